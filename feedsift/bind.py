@@ -91,8 +91,9 @@ BINDINGS: dict[str, str] = {
                    "CASE WHEN turn % 2 = 0 THEN 'https://x.test/u' || CAST(turn AS STRING) END AS link_url, "
                    "turn % 4 = 1 AS retweeted, CASE WHEN turn % 4 = 1 THEN 'RT ' || role END AS rt_text, "
                    "CASE WHEN turn % 4 = 1 THEN 'https://t.co/rt' || CAST(turn AS STRING) END AS rt_url, "
-                   "'2024-03-' || lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0') || 'T' "
-                   "|| lpad(CAST(turn % 24 AS STRING), 2, '0') || ':15:00.000Z' AS created_at, "
+                   "CASE WHEN turn % 3 = 2 THEN '' ELSE '2024-03-' || lpad(CAST(1 + conv_id % 28 AS STRING), 2, '0') "
+                   "|| 'T' || lpad(CAST(turn % 24 AS STRING), 2, '0') || ':15:00' "
+                   "|| CASE WHEN turn % 3 = 0 THEN '.000Z' ELSE '+00:00' END END AS created_at, "
                    "CASE WHEN turn > 0 THEN turn - 1 END AS reply_to "
                    "FROM {conversations}",
     # forum posts
