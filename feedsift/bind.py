@@ -84,7 +84,7 @@ BINDINGS: dict[str, str] = {
     # journal notes and inbox pages
     "notes": "SELECT doc_id AS id, source, substr(text, 1, 30) AS title, ts AS created_time, "
              "ts + INTERVAL 30 MINUTE AS last_edited_time, text AS content "
-             "FROM {documents} JOIN {events} ON event_id = doc_id",
+             "FROM {documents} JOIN {events} ON event_id = doc_id * 10",
     # raw short posts stored as JSON (S9); quoted/reply fields derived from the conversation turns
     "short_posts": "SELECT conv_id AS list_id, turn AS tweet_id, role AS name, text, "
                    "CASE WHEN turn % 3 = 0 THEN 'https://t.co/m' || CAST(turn AS STRING) END AS media_url, "
@@ -102,6 +102,16 @@ BINDINGS: dict[str, str] = {
              "CASE WHEN turn % 2 = 0 THEN 'u_' || CAST(conv_id AS STRING) END AS author_fullname, "
              "CAST(1700000000 + conv_id * 100 + turn AS DOUBLE) + CASE WHEN turn % 5 = 0 THEN 0.5 ELSE 0 END AS ts, "
              "text FROM {conversations}",
+    # stored page metadata (J4, K11): rating before the latest change, some pages without metadata
+    "page_state": "SELECT doc_id AS page_id, CAST(1 + 2 * quality AS INT) AS user_rating FROM {labels} "
+                  "WHERE doc_id % 5 <> 0",
+    # per-source watermarks of the inbox notes
+    "note_watermarks": "SELECT source, min(ts) + INTERVAL 10 DAY AS ts FROM {documents} JOIN {events} "
+                       "ON event_id = doc_id * 10 WHERE source <> 'src3' GROUP BY source",
+    # customers with an index category (region, or a category the index does not hold) and name
+    "customer_regions": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE r_name END AS category, "
+                        "n_name AS name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey "
+                        "JOIN {region} ON n_regionkey = r_regionkey",
     # dated vector collection
     "vectors": "SELECT 'hashing' AS model, CAST(DATE '2024-01-10' - CAST(label % 4 AS INT) AS DATE) AS as_of, "
                "CAST(vec_id AS STRING) AS item_id, embedding FROM {embeddings}",
