@@ -80,7 +80,9 @@ BINDINGS: dict[str, str] = {
                    "ts + INTERVAL 1 HOUR AS last_edited_time, "
                    "CASE WHEN event_type = 'error' THEN NULL ELSE CAST(CAST(floor(value) AS INT) % 5 + 1 AS STRING) "
                    "END AS user_rating, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'take ' || props END AS take_aways, "
-                   "event_id AS arrival, value AS relevant FROM {events}",
+                   "event_id AS arrival, value AS relevant, "
+                   "split(CASE WHEN event_id % 6 = 0 THEN 'action:deepdive,misc' ELSE 'misc' END, ',') AS tags "
+                   "FROM {events}",
     # journal notes and inbox pages
     "notes": "SELECT doc_id AS id, source, substr(text, 1, 30) AS title, ts AS created_time, "
              "ts + INTERVAL 30 MINUTE AS last_edited_time, text AS content "

@@ -48,4 +48,4 @@ def load_all() -> None:
     _LOADED = True
 
 
-MODULES = ["q_scoring", "q_functions", "q_dedup"]
+MODULES = ["q_scoring", "q_functions", "q_dedup", "q_filters"]
