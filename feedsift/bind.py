@@ -150,6 +150,7 @@ def duck_text(name: str) -> str:
 def with_bindings(names: list[str] | tuple[str, ...], body: str) -> str:
     """``WITH b1 AS (...), b2 AS (...) body`` for the DuckDB oracle."""
     if not names:
-        return body
+        b = body.lstrip()
+        return "WITH " + b[1:] if b.startswith(",") else body
     ctes = ",\n".join(f"{n} AS ({duck_text(n)})" for n in names)
     return f"WITH {ctes}\n{body}"

@@ -49,9 +49,11 @@ def within_threshold(distance: Column, metric: str, threshold: float | None) ->
 
 
 def l2_normalise(vec: Column) -> Column:
-    """``v / ||v||`` element-wise, computed in the JVM."""
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.transform(vec, lambda x: (x.cast("double") / norm).cast("float"))
+    """``v / ||v||`` element-wise in the JVM (the norm is folded once per row, not per element)."""
+    def unit(v):
+        return F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+                           lambda s: F.transform(v, lambda x: (x.cast("double") / F.sqrt(s)).cast("float")))
+    return F.aggregate(F.array(vec), F.lit(None).cast("array<float>"), lambda acc, v: unit(v))
 
 
 def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
