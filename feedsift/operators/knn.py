@@ -209,6 +209,15 @@ def relevance_score(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: in
                     F.col("n_neighbours").cast("bigint").alias("n_neighbours")))
 
 
+def similarity_topk(candidates: DataFrame, metric: str, threshold: float | None, k: int,
+                    group: str = "query_id") -> DataFrame:
+    """Over a candidate list per query, the threshold first, then the k best (ties by id)."""
+    c = candidates.where(within_threshold(F.col("distance"), metric, threshold))
+    dist = F.col("distance").desc() if metric_order(metric) == "desc" else F.col("distance").asc()
+    w = Window.partitionBy(group).orderBy(dist, F.col("item_id").asc())
+    return c.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
 def fallback_partition(vectors: DataFrame, run_date: Column | str) -> DataFrame:
     """The rated collection for ``run_date`` if it has rows, else the one of the day before.
 
