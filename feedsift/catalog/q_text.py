@@ -11,6 +11,7 @@ from feedsift.functions import text as X
 from feedsift.operators import chunking as CH
 from feedsift.operators import enrich as EN
 from feedsift.operators import knn
+from feedsift.operators.common import spread
 from feedsift.operators.embed import bucket_counts, hashing_embedding
 from feedsift.operators.filters import exclude_source_tag, include_tag
 from feedsift.sinks import records as R
@@ -120,7 +121,7 @@ FROM k WHERE rnk <= 3 AND distance <= 0.5"""
 
 
 def _chunk_vectors(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     c = CH.explode_chunks(d, "doc_id", "text", 1024, 128)
     return c.select((F.col("doc_id") * 100000 + F.col("chunk_no")).alias("item_id"),
                     hashing_embedding(F.col("chunk")).alias("embedding"))

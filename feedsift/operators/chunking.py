@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedsift.operators.common import spread
+
 # Separator order of the recursive splitter.
 SEPARATORS = ["\n\n", "\n", " ", ""]
 
@@ -110,7 +112,7 @@ def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int
                     chunks.append(c)
             yield pd.DataFrame({key: keys, "chunk_no": pd.array(nos, dtype="int32"), "chunk": chunks})
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return spread(df.select(key, text)).mapInPandas(run, schema)
 
 
 # ---------------------------------------------------------------- sentence packing (JVM aggregate)

@@ -18,3 +18,15 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin ``df`` over the cluster's parallelism when it has fewer partitions.
+
+    Used before CPU-heavy per-row work (embedding, HTML parsing, model calls):
+    a large file stored as one split would otherwise run that work in a single
+    task.  With many input splits (the normal case at scale) this is a no-op,
+    so no shuffle is added.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from feedsift.functions.text import parse_rank, refine_text, truncate
 from feedsift.operators.chunking import explode_chunks
+from feedsift.operators.common import spread
 from feedsift.operators.filters import rank_gate
 from feedsift.settings import DEFAULT, Settings
 
@@ -123,7 +124,7 @@ def read_through(df: DataFrame, key: str, text: Column, cache: DataFrame, model:
     j = df.join(c, df[key] == c["_ck"], "left")
     base = [df[x] for x in df.columns]
     hits = j.where(F.col("_ck").isNotNull()).select(*base, F.col("_cv").alias(out), F.lit(True).alias("from_cache"))
-    misses = j.where(F.col("_ck").isNull()).select(*base)
+    misses = spread(j.where(F.col("_ck").isNull()).select(*base))
     computed = misses.withColumn(out, model_call(model, text)).withColumn("from_cache", F.lit(False))
     new_rows = computed.select(F.col(key).alias(cache_key), F.col(out).alias(value))
     return hits.unionByName(computed), new_rows
@@ -139,7 +140,7 @@ def mapreduce_summary(df: DataFrame, key: str, text: str, map_model: TextModel,
     ``chunk_no``; ``collect_list`` order is not relied on).  A text's chunk
     count is bounded by its length, so no group grows with the table.
     """
-    src = df.select(key, truncate(F.col(text), limit).alias("_t"))
+    src = spread(df.select(key, truncate(F.col(text), limit).alias("_t")))
     chunks = explode_chunks(src, key, "_t", size, overlap)
     mapped = chunks.withColumn("_m", model_call(map_model, F.col("chunk")))
     combined = (mapped.groupBy(key)

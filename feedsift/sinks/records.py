@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from feedsift.functions.text import INVALID_RESPONSES, strip, truncate
 from feedsift.operators import knn
+from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
 from feedsift.operators.enrich import TextModel, model_call
 
@@ -99,7 +100,8 @@ def collect_evidence(topics: DataFrame, docs: DataFrame, model: TextModel, *, k:
     """M9: the k most similar documents per topic (inner product of hashing embeddings);
     bodies over 2000 characters are summarised by the model, shorter ones are kept."""
     q = topics.select(F.col("item_id").alias("query_id"), hashing_embedding(F.col("text")).alias("embedding"))
-    r = docs.select(F.col("doc_id").alias("item_id"), hashing_embedding(F.col("text")).alias("embedding"))
+    r = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("item_id"),
+                                                      hashing_embedding(F.col("text")).alias("embedding"))
     nb = knn.knn_join(q, r, k, "IP").select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), "rnk")
     j = nb.join(docs.select("doc_id", "text"), "doc_id")
     long_ = F.length("text") > summarise_over

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedsift.functions.text import refine_text
+from feedsift.operators.common import spread
 
 # Elements whose content is not page text.
 SKIP_TAGS = {"script", "style", "noscript", "template", "head"}
@@ -64,5 +65,5 @@ def page_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
         for b in batches:
             yield pd.DataFrame({key: b[key], "raw_text": [html_text(h) for h in b[html].tolist()]})
 
-    out = pages.select(key, html).mapInPandas(run, schema)
+    out = spread(pages.select(key, html)).mapInPandas(run, schema)
     return out.select(key, refine_text(F.col("raw_text")).alias("text"))
