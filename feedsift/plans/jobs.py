@@ -22,6 +22,7 @@ from feedsift.operators import filters as FL
 from feedsift.operators import knn
 from feedsift.operators import state as S
 from feedsift.operators import stats as ST
+from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
 from feedsift.settings import DEFAULT, Settings
 from feedsift.sinks import documents as DOC
@@ -38,7 +39,8 @@ class JobOutput:
 def score_items(items: DataFrame, score_text: Column, rated_vectors: DataFrame, rated_meta: DataFrame, *,
                 settings: Settings = DEFAULT, k: int | None = None, self_exclude: bool = False) -> DataFrame:
     """A2: score text -> embedding -> k nearest rated vectors -> mean rating (-1 when none)."""
-    q = items.select(F.col("id").alias("query_id"), hashing_embedding(score_text).alias("embedding"))
+    q = spread(items.select(F.col("id").alias("query_id"), score_text.alias("_t"))) \
+        .select("query_id", hashing_embedding(F.col("_t")).alias("embedding"))
     scores = knn.relevance_score(q, rated_vectors, rated_meta, k or settings.neighbours, settings.metric,
                                  settings.max_distance, unknown=settings.unknown_score, self_exclude=self_exclude)
     return items.join(scores.select(F.col("query_id").alias("id"), "relevant_score"), "id", "left")
@@ -46,7 +48,8 @@ def score_items(items: DataFrame, score_text: Column, rated_vectors: DataFrame,
 
 def rated_vectors_of(pages: DataFrame, text: Column) -> DataFrame:
     """C6 (index side): rated pages -> ``(item_id, embedding)`` of their text."""
-    return pages.select(F.col("id").alias("item_id"), hashing_embedding(text).alias("embedding"))
+    return spread(pages.select(F.col("id").alias("item_id"), text.alias("_t"))) \
+        .select("item_id", hashing_embedding(F.col("_t")).alias("embedding"))
 
 
 def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,

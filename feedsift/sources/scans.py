@@ -98,7 +98,7 @@ def lookup_index(df: DataFrame, index: DataFrame, category: Column, name: Column
 def read_texts(spark: SparkSession, expected: DataFrame, folder: str, name_col: str = "name") -> DataFrame:
     """Whole text of ``folder/<name>`` for each expected name; a missing file -> ''."""
     try:
-        files = (spark.read.option("wholetext", "true").text(folder)
+        files = (spark.read.text(folder, wholetext=True)
                  .select(F.col("_metadata.file_name").alias("_fname"), F.col("value").alias("_text")))
     except AnalysisException:
         return expected.withColumn("text", F.lit(""))

@@ -223,3 +223,28 @@ def test_medium_knn_plan_has_no_cartesian(spark):
     load_all()
     plan = QUERIES["relevance_score"](spark, MEDIUM)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_state_store_merge_versions(spark, tmp_path):
+    from feedsift.sinks.state_store import StateStore
+
+    st = StateStore(spark, str(tmp_path / "state"))
+    assert st.read("visited").count() == 0
+    d1 = spark.createDataFrame([("ns", "src", "s", "a"), ("ns", "src", "s", "b")],
+                               "namespace string, source string, scope string, item_id string")
+    st.merge("visited", d1, overwrite=False)
+    d2 = spark.createDataFrame([("ns", "src", "s", "b"), ("ns", "src", "s", "c")],
+                               "namespace string, source string, scope string, item_id string")
+    out = st.merge("visited", d2, overwrite=False)
+    assert sorted(r.item_id for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_read_texts_missing_is_empty(spark, tmp_path):
+    from feedsift.sources.scans import read_texts
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("hello\nworld")
+    names = spark.createDataFrame([("a.txt",), ("b.txt",)], "name string")
+    got = {r.name: r.text for r in read_texts(spark, names, str(tmp_path / "t")).collect()}
+    assert got == {"a.txt": "hello\nworld", "b.txt": ""}
+    assert {r.text for r in read_texts(spark, names, str(tmp_path / "none")).collect()} == {""}
