@@ -112,7 +112,7 @@ def drop_invalid_response(spark, sf):
 
 @register("rank_gate", uses=("scored", "items"), sql="""
 SELECT s.id, (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 AS gated,
-       CASE WHEN (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 THEN -0.02 END AS rate
+       CASE WHEN (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 THEN CAST(-0.02 AS DOUBLE) END AS rate
 FROM scored s JOIN items i ON s.id = i.id""")
 def rank_gate(spark, sf):
     """low score or long content -> no model call, rate -0.02."""

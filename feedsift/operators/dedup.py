@@ -32,19 +32,27 @@ def anti_join_visited(items: DataFrame, visited: DataFrame, on: dict[str, str],
     history rows (at most the batch size) meet the batch.  Otherwise a plain
     shuffle anti join is used.
     """
+    v = _history_for(items, visited, on, settings, delta_rows)
+    return items.join(v, _keys_cond(items, v, on), "left_anti")
+
+
+def _history_for(items: DataFrame, visited: DataFrame, on: dict[str, str], settings: Settings,
+                 delta_rows: int | None) -> DataFrame:
+    """The visited rows that can match this batch: semi-filtered by the batch's keys when the batch is provably small."""
     v = visited.select(*[F.col(c) for c in on.values()])
-    n = delta_rows if delta_rows is not None else None
+    n = delta_rows
     if n is None and settings.broadcast_max_rows > 0:
         n = items.limit(settings.broadcast_max_rows + 1).count()
     if n is not None and n <= settings.broadcast_max_rows:
         keys = items.select(*[F.col(k).alias(v_) for k, v_ in on.items()]).distinct()
         v = v.join(F.broadcast(keys), list(on.values()), "left_semi")
-    return items.join(v, _keys_cond(items, v, on), "left_anti")
+    return v
 
 
-def visited_flags(items: DataFrame, visited: DataFrame, on: dict[str, str], flag: str = "is_visited") -> DataFrame:
+def visited_flags(items: DataFrame, visited: DataFrame, on: dict[str, str], flag: str = "is_visited", *,
+                  settings: Settings = DEFAULT, delta_rows: int | None = None) -> DataFrame:
     """Items with a boolean ``flag``: the key is in the visited set (a set: one row per key)."""
-    v = visited.select(*[F.col(c) for c in on.values()]).withColumn("_hit", F.lit(True))
+    v = _history_for(items, visited, on, settings, delta_rows).withColumn("_hit", F.lit(True))
     out = items.join(v, _keys_cond(items, v, on), "left")
     return out.select(*[items[c] for c in items.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias(flag))
 

@@ -30,7 +30,7 @@ from feedsift.settings import DEFAULT, Settings
 METRICS = {"L2": "asc", "L2_SQUARED": "asc", "IP": "desc", "COSINE": "desc"}
 
 _ROUND = 6
-_QUERY_BATCH = 2048
+_QUERY_BATCH = 256          # query rows per matrix product: bounds task memory to 256 x block floats
 
 
 def metric_order(metric: str) -> str:

@@ -59,9 +59,12 @@ def enabled(df: DataFrame, flag: str = "enabled") -> DataFrame:
 
 def latest_partitions(partitions: DataFrame, n: int, *, key: str = "partition_id",
                       created: str = "created_time") -> DataFrame:
-    """The newest ``n`` partitions (ties by id).  A top-n over a small registry."""
-    w = Window.orderBy(F.col(created).desc(), F.col(key).desc())
-    return partitions.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    """The newest ``n`` partitions (ties by id).
+
+    ``orderBy().limit(n)`` plans as a per-partition top-n merged on one node
+    (``TakeOrderedAndProject``), never a single-partition window.
+    """
+    return partitions.orderBy(F.col(created).desc(), F.col(key).desc()).limit(n)
 
 
 def restrict_to_partitions(data: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

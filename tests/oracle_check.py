@@ -53,6 +53,19 @@ def norm(v):
     return v
 
 
+_DUCK = {"BIGINT": "long", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+         "DATE": "date", "TIMESTAMP": "timestamp", "FLOAT": "float", "SMALLINT": "short", "HUGEINT": "hugeint"}
+_SPARK = {"LongType": "long", "IntegerType": "int", "DoubleType": "double", "StringType": "string",
+          "BooleanType": "boolean", "DateType": "date", "TimestampNTZType": "timestamp", "TimestampType": "timestamp",
+          "FloatType": "float", "ShortType": "short"}
+
+
+def type_diff(df, description):
+    spark_t = {f.name: _SPARK.get(type(f.dataType).__name__, type(f.dataType).__name__) for f in df.schema.fields}
+    duck_t = {d[0]: _DUCK.get(str(d[1]), str(d[1])) for d in description}
+    return {c: (spark_t[c], duck_t.get(c)) for c in spark_t if spark_t[c] != duck_t.get(c)}
+
+
 def rows_of(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
@@ -80,6 +93,9 @@ def check(spark, con, name, fn, sql, sf_dir):
         res.update(ok=False, why=f"values differ; spark-only {diff[0]} oracle-only {diff[1]}")
         return res
     res["ok"] = True
+    td = type_diff(df, cur.description)
+    if td:
+        res["types"] = td
     return res
 
 
