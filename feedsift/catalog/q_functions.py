@@ -66,7 +66,7 @@ FROM versions""")
 def to_local_time(spark, sf):
     """UTC wall-clock time -> Los Angeles wall-clock time."""
     v = binding(spark, sf, "versions")
-    local = X.to_local_time(F.col("last_edited").cast("timestamp"))
+    local = X.to_local_time(F.col("last_edited"))
     return v.select("arrival", F.date_format(local, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("local_time"))
 
 

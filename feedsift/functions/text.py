@@ -210,8 +210,8 @@ def scale_rate(source, rate) -> Column:
 
 
 def to_local_time(ts) -> Column:
-    """UTC instant -> Los Angeles wall-clock time."""
-    return F.from_utc_timestamp(_c(ts), LOCAL_TZ)
+    """UTC wall-clock time (TIMESTAMP_NTZ) -> Los Angeles wall-clock time; independent of the session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(LOCAL_TZ), _c(ts))
 
 
 def parse_bool(col) -> Column:

@@ -28,18 +28,33 @@ def token_buckets(text, dim: int) -> Column:
                        .cast("int"))
 
 
-def _counts_of(buckets: Column, dim: int) -> Column:
-    zeros = F.array_repeat(F.lit(0), dim)
-    return F.aggregate(buckets, zeros, lambda acc, b: F.transform(acc, lambda v, i: v + F.when(i == b, 1).otherwise(0)))
+def _bind(value: Column, fn, out_type: str) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable (result of type ``out_type``).
 
+    An outer expression referenced inside a lambda would be re-evaluated for
+    every element; binding it through a one-element ``aggregate`` avoids that.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(out_type), lambda acc, v: fn(v))
 
-def bucket_counts(text, dim: int, limit: int = DEFAULT.embed_text_chars) -> Column:
-    """``array<int>`` of length ``dim``: token count per bucket.
 
-    The token buckets are the input of one fold, so each token is hashed once
-    (an outer expression referenced inside a lambda would be re-evaluated for
-    every element).
+def _counts_of(buckets: Column, dim: int) -> Column:
+    """Token count per bucket from the sorted bucket array.
+
+    In a sorted array the count of ``i`` is ``last(i) - first(i) + 1``;
+    ``array_position`` on the array and on its reverse gives both, so the work
+    is native array scans instead of one interpreted lambda per token and bucket.
     """
+    def from_sorted(srt: Column) -> Column:
+        return _bind(F.reverse(srt), lambda rev: F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.when(F.array_position(srt, i) == 0, F.lit(0)).otherwise(
+                (F.size(srt) - F.array_position(rev, i) - F.array_position(srt, i) + 2).cast("int"))), "array<int>")
+
+    return _bind(F.array_sort(buckets), from_sorted, "array<int>")
+
+
+def bucket_counts(text, dim: int, limit: int = DEFAULT.embed_text_chars) -> Column:
+    """``array<int>`` of length ``dim``: token count per bucket (each token hashed once)."""
     return _counts_of(token_buckets(truncate(_c(text), limit), dim), dim)
 
 
@@ -57,7 +72,4 @@ def l2_normalise_double(vec: Column) -> Column:
 
 def hashing_embedding(text, dim: int = 64, limit: int = DEFAULT.embed_text_chars) -> Column:
     """M5: ``array<double>`` unit vector of hashed token counts (tokens hashed once per row)."""
-    zeros = F.array_repeat(F.lit(0), dim)
-    b = token_buckets(truncate(_c(text), limit), dim)
-    return F.aggregate(b, zeros, lambda acc, x: F.transform(acc, lambda v, i: v + F.when(i == x, 1).otherwise(0)),
-                       lambda cnt: _normalised(cnt))
+    return _bind(bucket_counts(text, dim, limit), _normalised, "array<double>")

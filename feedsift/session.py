@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, app: str = "feedsift") -> SparkSession:
+def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = None) -> SparkSession:
     """A local session with the settings the test and bench harnesses use.
 
     On a cluster the session comes from the launcher; nothing here is required
@@ -22,7 +22,7 @@ def local_session(cpus: int | str = 8, app: str = "feedsift") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.session.timeZone", tz or os.environ.get("FEEDSIFT_SESSION_TZ", "UTC"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
