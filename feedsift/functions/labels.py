@@ -1,4 +1,4 @@
-"""Label arrays: stable top-k, first-k, distinct union."""
+"""Label arrays: stable top-k, first-k, rendering."""
 
 from __future__ import annotations
 
@@ -39,8 +39,3 @@ def render_labels(labels) -> Column:
     """Flatten ``array<struct(name, score)>`` to ``name:score|...`` (scores to 6 decimals)."""
     return F.array_join(F.transform(_c(labels), lambda x: F.concat(
         x["name"], F.lit(":"), F.format_string("%.6f", x["score"]))), "|")
-
-
-def distinct_union(arrays) -> Column:
-    """A6/U3 aggregate: sorted distinct union of the arrays of a group."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(_c(arrays)))))

@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -163,7 +162,3 @@ def chunk_index(chunks: DataFrame, key: str) -> DataFrame:
                                      F.count(F.lit(1)).alias("n_copies")) \
             .select("chunk_id", F.col(f"_first.{key}").alias(key), F.col("_first.chunk_no").alias("chunk_no"),
                     "chunk", "n_copies")
-
-
-def md5_hex(s: str) -> str:
-    return hashlib.md5(s.encode("utf-8")).hexdigest()

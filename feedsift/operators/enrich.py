@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedsift.functions.text import parse_rank, refine_text, truncate
+from feedsift.functions.text import parse_rank, truncate
 from feedsift.operators.chunking import explode_chunks
 from feedsift.operators.common import spread
 from feedsift.operators.filters import rank_gate
@@ -256,8 +256,3 @@ def embed_column(embedder: Embedder, text: Column, limit: int = DEFAULT.embed_te
             yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
 
     return call(truncate(text, limit))
-
-
-def journal_text(df: DataFrame) -> DataFrame:
-    """Refined journal text helper (P9 applied to the roll-up)."""
-    return df.withColumn("content", refine_text(F.col("content")))

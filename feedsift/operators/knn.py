@@ -1,10 +1,11 @@
 """Similarity join and scoring.
 
 ``knn_join`` is exact.  Both sides are cut into blocks of bounded size by a
-random salt (never by id, so a hot or repeated id cannot overload a block);
-every (query block, rated block) pair meets in one ``cogroup`` task that runs a
-NumPy matrix product and keeps the k best rated items per query row.  A final
-window over ``blocks * k`` candidates per query row picks the global k.  The
+deterministic hash (queries by their id, rated rows by id and vector), so a
+recomputed map task after an executor loss sends every row to the same block
+again; every (query block, rated block) pair meets in one ``cogroup`` task that
+runs a NumPy matrix product and keeps the k best rated items per query.  A
+final window over ``blocks * k`` candidates per query picks the global k.  The
 shuffle volume is ``queries * rated_blocks + rated * query_blocks`` rows plus
 ``queries * rated_blocks * k`` candidates; no pair is ever materialised as a
 row.
@@ -70,8 +71,8 @@ def _distances(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(sq) if metric == "L2" else sq
 
 
-def _local_topk(q_ids: np.ndarray, q_rows: np.ndarray, q_vecs: np.ndarray, r_ids: np.ndarray,
-                r_vecs: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+def _local_topk(q_ids: np.ndarray, q_vecs: np.ndarray, r_ids: np.ndarray, r_vecs: np.ndarray, k: int,
+                metric: str) -> pd.DataFrame:
     """Exact top-k per query row inside one block pair, ties broken by item id."""
     desc = metric_order(metric) == "desc"
     out = []
@@ -93,13 +94,12 @@ def _local_topk(q_ids: np.ndarray, q_rows: np.ndarray, q_vecs: np.ndarray, r_ids
         keep = rank_in_row < kk
         rows, cols = rows[keep], cols[keep]
         out.append(pd.DataFrame({
-            "_qrow": q_rows[start:stop][rows],
             "query_id": q_ids[start:stop][rows],
             "item_id": r_ids[cols],
             "distance": dist[rows, cols],
         }))
     if not out:
-        return pd.DataFrame({"_qrow": [], "query_id": [], "item_id": [], "distance": []})
+        return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})
     return pd.concat(out, ignore_index=True)
 
 
@@ -115,14 +115,13 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
              query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding",
              settings: Settings = DEFAULT, query_blocks: int | None = None,
              rated_blocks: int | None = None, keep_empty: bool = False) -> DataFrame:
-    """The k nearest rated items for every query row.
-
-    Returns ``(_qrow, query_id, item_id, distance, rnk)`` where ``_qrow`` is a
-    per-query-row key (a repeated query id stays separate rows, as in the
-    reference's per-item loop).  ``distance`` is rounded to 6 decimals.  With
-    ``keep_empty`` every query row appears at least once: rows without any
-    candidate carry a NULL ``item_id`` (used by scoring so that it never has
-    to join back to the queries).
+    """The k nearest rated items for every query.
+
+    Query ids are unique (a batch is keyed by item id).  Returns
+    ``(query_id, item_id, distance, rnk)``; ``distance`` is rounded to 6
+    decimals.  With ``keep_empty`` every query appears at least once: queries
+    without any candidate carry a NULL ``item_id`` (used by scoring so that it
+    never has to join back to the queries).
     """
     metric = metric.upper()
     metric_order(metric)
@@ -134,14 +133,15 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
         # two cheap counts decide the block grid; the grid bounds every task's memory
         query_blocks = query_blocks or _blocks(q.count(), settings.knn_block_rows)
         rated_blocks = rated_blocks or _blocks(r.count(), settings.knn_block_rows)
-    q = (q.withColumn("_qrow", F.monotonically_increasing_id())
-         .withColumn("qb", F.floor(F.rand(17) * query_blocks).cast("int"))
+    # deterministic block ids: a re-executed task reproduces exactly the same assignment
+    q = (q.where(F.col("qv").isNotNull())
+         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rated_blocks - 1)))))
-    r = (r.withColumn("rb", F.floor(F.rand(29) * rated_blocks).cast("int"))
+    r = (r.where(F.col("rv").isNotNull())
+         .withColumn("rb", F.pmod(F.xxhash64("item_id", "rv"), F.lit(rated_blocks)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
 
     schema = T.StructType([
-        T.StructField("_qrow", T.LongType()),
         T.StructField("query_id", qid_type),
         T.StructField("item_id", id_type),
         T.StructField("distance", T.DoubleType()),
@@ -153,16 +153,15 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
         if rdf.empty:
             if not keep_empty:
                 return pd.DataFrame({c: [] for c in schema.fieldNames()})
-            return pd.DataFrame({"_qrow": qdf["_qrow"], "query_id": qdf["query_id"],
-                                 "item_id": None, "distance": np.nan})
-        return _local_topk(qdf["query_id"].to_numpy(), qdf["_qrow"].to_numpy(), _stack(qdf["qv"]),
-                           rdf["item_id"].to_numpy(), _stack(rdf["rv"]), k, metric)
+            return pd.DataFrame({"query_id": qdf["query_id"], "item_id": None, "distance": np.nan})
+        return _local_topk(qdf["query_id"].to_numpy(), _stack(qdf["qv"]), rdf["item_id"].to_numpy(),
+                           _stack(rdf["rv"]), k, metric)
 
     local = (q.groupBy("qb", "rb")
              .cogroup(r.groupBy("qb", "rb"))
              .applyInPandas(block_pair, schema))
     dist = F.col("distance").desc_nulls_last() if metric_order(metric) == "desc" else F.col("distance").asc_nulls_last()
-    w = Window.partitionBy("_qrow").orderBy(dist, F.col("item_id").asc_nulls_last())
+    w = Window.partitionBy("query_id").orderBy(dist, F.col("item_id").asc_nulls_last())
     out = local.withColumn("rnk", F.row_number().over(w))
     if keep_empty:
         return out.where((F.col("rnk") <= k) & (F.col("item_id").isNotNull() | (F.col("rnk") == 1)))
@@ -189,10 +188,10 @@ def relevance_score(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: in
                     self_exclude: bool = False, **kw) -> DataFrame:
     """A1/A2: mean rating of the surviving neighbours; no neighbour -> ``unknown`` (-1).
 
-    One row per query row: ``(query_id, relevant_score, n_neighbours)``.  The
-    KNN keeps every query row (``keep_empty``), the metadata join is a left
-    join and the survivors are decided by a flag, so no join back to the
-    queries is needed.
+    One row per query: ``(query_id, relevant_score, n_neighbours)``.  The KNN
+    keeps every query (``keep_empty``), the metadata join is a left join and
+    the survivors are decided by a flag, so no join back to the queries is
+    needed.
     """
     nb = knn_join(queries, rated, k, metric, keep_empty=True, **kw)
     m = meta.select("item_id", F.col("user_rating").cast("double").alias("_rating"), F.lit(True).alias("_meta"))
@@ -201,7 +200,7 @@ def relevance_score(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: in
           & F.col("_meta").isNotNull())
     if self_exclude:
         ok = ok & (F.col("item_id") != F.col("query_id"))
-    return (nb.groupBy("_qrow", "query_id")
+    return (nb.groupBy("query_id")
             .agg(F.avg(F.when(ok, F.col("_rating"))).alias("_avg"),
                  F.count_if(ok).alias("n_neighbours"))
             .select("query_id",

@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = None) -> SparkSession:
+def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = None,
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the test and bench harnesses use.
 
     On a cluster the session comes from the launcher; nothing here is required
@@ -27,6 +28,8 @@ def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = N
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

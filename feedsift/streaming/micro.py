@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from feedsift.operators.dedup import anti_join_visited
+
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
                max_files_per_trigger: int | None = None) -> DataFrame:
@@ -66,9 +68,9 @@ def publish_with_visited(out_path: str, visited_path: str, key: str, *,
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         visited = _read_or_empty(spark, visited_path, f"{key} STRING, batch_id BIGINT")
-        seen = visited.where(F.col("batch_id") != batch_id).select(F.col(key).cast("string").alias("_k"))
-        fresh = (batch.dropDuplicates([key])
-                 .join(seen, F.col(key).cast("string") == F.col("_k"), "left_anti"))
+        seen = visited.where(F.col("batch_id") != batch_id).select(F.col(key).alias("_k"))
+        keyed = batch.dropDuplicates([key]).withColumn("_sk", F.col(key).cast("string"))
+        fresh = anti_join_visited(keyed, seen, {"_sk": "_k"}).drop("_sk")
         rows = transform(fresh) if transform else fresh
         rows = error(rows) if error else rows.withColumn("error", F.lit(None).cast("string"))
         rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
