@@ -55,7 +55,9 @@ def shuffle_bytes_by_description(log_dir: str) -> dict[str, int]:
     """Shuffle bytes written per job description, from Spark's event log."""
     stage_desc: dict[int, str] = {}
     out: dict[str, int] = {}
-    for path in glob.glob(f"{log_dir}/*"):
+    for path in sorted(glob.glob(f"{log_dir}/**/*", recursive=True)):
+        if os.path.isdir(path):
+            continue
         with open(path) as f:
             for line in f:
                 e = json.loads(line)
@@ -83,7 +85,7 @@ def main() -> None:
     conf = {}
     if event_log:
         log_dir = tempfile.mkdtemp(prefix="feedsift-eventlog-")
-        conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false"}
     spark = local_session(cpus, app="feedsift-bench", conf=conf)
     times: dict[str, float] = {}
     rows: dict[str, int] = {}

@@ -366,3 +366,11 @@ def subs_by_list(spark, sf):
     """Members per list (as counts; the grouping itself stays as rows keyed by list)."""
     s = SC.enabled(binding(spark, sf, "subscriptions")).select("member", F.explode("list_names").alias("list_name"))
     return s.groupBy("list_name").agg(F.count_distinct("member").alias("n_members"))
+
+
+@register("dedup_within_ttl")
+def dedup_within_ttl(spark, sf):
+    """Per page, versions inside the 1-day TTL of the last kept version are dropped (brute-force checked in tests)."""
+    v = binding(spark, sf, "versions").select("page_id", "arrival", "last_edited")
+    out = D.dedup_within_ttl(v, "page_id", "last_edited", 24 * 3600, tiebreak=["arrival"])
+    return out.select("page_id", "arrival", ts_text("last_edited").alias("last_edited"))

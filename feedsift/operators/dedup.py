@@ -123,3 +123,41 @@ def bag_union(*dfs: DataFrame) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d, allowMissingColumns=True)
     return out
+
+
+def dedup_within_ttl(df: DataFrame, key: str | list[str], ts: str, ttl_seconds: int,
+                     tiebreak: list[str] | None = None) -> DataFrame:
+    """R5 (batch): keep a row unless a *kept* row of the same key lies within ``ttl_seconds`` before it.
+
+    A visited marker with a TTL is set when a row is kept, so the kept set is a
+    chain: each kept row opens a TTL window, later rows inside it are dropped,
+    the first row after it is kept again.  The chain is sequential per key, so
+    rows are hash-partitioned by key, sorted within partitions and streamed
+    through ``mapInPandas`` carrying only (current key, last kept time) across
+    Arrow batches: memory stays bounded even for a key holding a third of the
+    rows (that key's chain is walked by one task, in order, without collecting it).
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    keys = [key] if isinstance(key, str) else list(key)
+    schema = T.StructType(list(df.schema.fields) + [T.StructField("_keep", T.BooleanType())])
+    ttl_us = int(ttl_seconds) * 1_000_000
+
+    def run(batches):
+        cur_key, last_kept = None, None
+        for b in batches:
+            t = pd.to_datetime(b[ts]).astype("int64") // 1000          # microseconds
+            keep = []
+            for kv, tv in zip(map(tuple, b[keys].itertuples(index=False, name=None)), t.tolist()):
+                if kv != cur_key:
+                    cur_key, last_kept = kv, None
+                if last_kept is None or tv - last_kept >= ttl_us:
+                    keep.append(True)
+                    last_kept = tv
+                else:
+                    keep.append(False)
+            yield b.assign(_keep=keep)
+
+    ordered = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, ts, *(tiebreak or []))
+    return ordered.mapInPandas(run, schema).where(F.col("_keep")).drop("_keep")

@@ -130,9 +130,12 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
     id_type = r.schema["item_id"].dataType
     qid_type = q.schema["query_id"].dataType
     if query_blocks is None or rated_blocks is None:
-        # two cheap counts decide the block grid; the grid bounds every task's memory
-        query_blocks = query_blocks or _blocks(q.count(), settings.knn_block_rows)
-        rated_blocks = rated_blocks or _blocks(r.count(), settings.knn_block_rows)
+        # one counting job (both sides) decides the block grid; the grid bounds every task's memory
+        sizes = {row["side"]: row["n"] for row in
+                 q.select(F.lit("q").alias("side")).unionByName(r.select(F.lit("r").alias("side")))
+                 .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+        query_blocks = query_blocks or _blocks(sizes.get("q", 0), settings.knn_block_rows)
+        rated_blocks = rated_blocks or _blocks(sizes.get("r", 0), settings.knn_block_rows)
     # deterministic block ids: a re-executed task reproduces exactly the same assignment
     q = (q.where(F.col("qv").isNotNull())
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))

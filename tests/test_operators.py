@@ -248,3 +248,19 @@ def test_read_texts_missing_is_empty(spark, tmp_path):
     got = {r.name: r.text for r in read_texts(spark, names, str(tmp_path / "t")).collect()}
     assert got == {"a.txt": "hello\nworld", "b.txt": ""}
     assert {r.text for r in read_texts(spark, names, str(tmp_path / "none")).collect()} == {""}
+
+
+def test_dedup_within_ttl_matches_brute_force(spark):
+    from feedsift.catalog import QUERIES, load_all
+
+    load_all()
+    ev = spark.read.parquet(f"{SMALL}/events.parquet").select("user_id", "event_id", "ts").collect()
+    want = set()
+    for uid in {r.user_id for r in ev}:
+        last = None
+        for r in sorted((r for r in ev if r.user_id == uid), key=lambda r: (r.ts, r.event_id)):
+            if last is None or (r.ts - last).total_seconds() >= 86400:
+                want.add(r.event_id)
+                last = r.ts
+    got = {r.arrival for r in QUERIES["dedup_within_ttl"](spark, SMALL).collect()}
+    assert got == want
