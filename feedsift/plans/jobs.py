@@ -9,6 +9,7 @@ pass (e.g. inside ``foreachBatch``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -201,3 +202,20 @@ def markdown_archive(pages: DataFrame, visited: DataFrame) -> DataFrame:
     """Not yet archived -> rating floor -> markdown files."""
     fresh = D.anti_join_visited(pages, visited, {"id": "item_id"})
     return DOC.markdown_files(fresh.where(F.col("user_rating").cast("int") >= 4))
+
+
+def run_sources(actions: dict[str, Callable[[], object]]) -> dict[str, dict]:
+    """Run each source's action (a write, a count) on its own; a failing source is recorded and skipped.
+
+    The reference turns a failing source into an empty batch and goes on; here
+    each source's Spark action runs inside its own ``try`` so one source's
+    failure never stops the others.  Per-row failures are handled inside the
+    plans (``error`` columns), never by exceptions.
+    """
+    out: dict[str, dict] = {}
+    for name, act in actions.items():
+        try:
+            out[name] = {"ok": True, "result": act(), "error": None}
+        except Exception as e:  # noqa: BLE001 - isolation is the point
+            out[name] = {"ok": False, "result": None, "error": f"{type(e).__name__}: {e}"[:500]}
+    return out

@@ -32,3 +32,13 @@ def test_feed_publishes_at_most_one(spark):
 def test_jobs_run(spark):
     for q in ["weekly_digest", "daily_journal", "todo_actions", "sync_and_index"]:
         assert QUERIES[q](spark, SMALL).count() >= 0
+
+
+def test_failing_source_is_isolated(spark):
+    from feedsift.plans.jobs import run_sources
+
+    good = lambda: spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    bad = lambda: spark.read.parquet(f"{SMALL}/missing.parquet").count()
+    res = run_sources({"documents": good, "broken": bad, "again": good})
+    assert res["documents"]["ok"] and res["again"]["ok"] and not res["broken"]["ok"]
+    assert res["documents"]["result"] == res["again"]["result"] > 0
