@@ -98,3 +98,12 @@ def sync_and_index(spark, sf):
     state = binding(spark, sf, "page_state").select(F.col("page_id").cast("string").alias("page_id"), "user_rating")
     out = J.sync_and_index(pages, visited, state, run_date=RUN_DATE)
     return out["vectors"].select("item_id", "as_of", "model", F.size("embedding").alias("dims"))
+
+
+@register("curate_articles")
+def curate_articles(spark, sf):
+    """Inbox pages since their source's watermark -> dedup -> map-reduce summary -> classify -> top labels."""
+    notes = binding(spark, sf, "notes")
+    visited = binding(spark, sf, "visited").select("item_id")
+    out = J.articles(notes, binding(spark, sf, "note_watermarks"), visited, run_ts=ts(RUN_TS)).published
+    return out.select("id", "source", "summary", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))

@@ -111,8 +111,8 @@ def is_invalid_response(text: Column) -> Column:
 
 def rank_gate(score: Column, content: Column, *, enabled: bool = True, settings: Settings = DEFAULT) -> Column:
     """True -> skip the model: low score (0 < s < 4), ranking disabled or content over 2000 chars."""
-    low = (score > 0) & (score < settings.rank_gate_low)
-    long_ = F.length(content) > settings.rank_gate_max_chars
+    low = F.coalesce((score > 0) & (score < settings.rank_gate_low), F.lit(False))   # a missing score is not low
+    long_ = F.coalesce(F.length(content) > settings.rank_gate_max_chars, F.lit(False))
     return F.lit(not enabled) | low | long_
 
 
@@ -141,3 +141,19 @@ def exclude_site(url: Column, sites=None) -> Column:
     for s in (sites or EXCLUDED_SITES):
         cond = cond | F.contains(url, F.lit(s))
     return F.when(cond, F.lit("")).otherwise(url)
+
+
+# Digest periods.
+PERIODS = ["weekly", "monthly", "yearly"]
+
+
+def period_start(now, period: str) -> Column:
+    """R8/trap Q13 (fixed): start of the digest look-back: 7 days, one month or one year before ``now``."""
+    n = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    if period == "weekly":
+        return n - F.make_dt_interval(days=F.lit(7))
+    if period == "monthly":
+        return n - F.make_ym_interval(months=F.lit(1))
+    if period == "yearly":
+        return n - F.make_ym_interval(years=F.lit(1))
+    raise ValueError(f"unknown period {period!r}; expected one of {PERIODS}")

@@ -264,3 +264,41 @@ def test_dedup_within_ttl_matches_brute_force(spark):
                 last = r.ts
     got = {r.arrival for r in QUERIES["dedup_within_ttl"](spark, SMALL).collect()}
     assert got == want
+
+
+def test_period_start_supports_month_and_year(spark):
+    now = "2024-03-31 12:00:00"
+    row = spark.range(1).select(FL.period_start(now, "weekly").alias("w"), FL.period_start(now, "monthly").alias("m"),
+                                FL.period_start(now, "yearly").alias("y")).first()
+    assert str(row.w) == "2024-03-24 12:00:00" and str(row.m) == "2024-02-29 12:00:00" and str(row.y) == "2023-03-31 12:00:00"
+    with pytest.raises(ValueError):
+        FL.period_start(now, "daily")
+
+
+def test_zero_means_missing(spark):
+    # trap Q4: score 0 -> 1, rate 0 -> -0.01 (short posts), relevant 0 not published, override 0 -> default
+    df = spark.createDataFrame([('{"topics": [{"topic": "a", "score": 0}], "overall_score": 0}',)], "a string")
+    p = df.select(X.parse_rank("a", short_post=True).alias("p")).first().p
+    assert p.topics[0].score == 1.0 and p.rate == -0.01
+    rows = spark.createDataFrame([(1, "l", 0.0), (2, "l", 4.5)], "id long, list_name string, relevant_score double")
+    pub = {r.id: r.relevant_score for r in DOC.published_rows(rows, name=F.lit("n"), source=F.lit("s"),
+                                                              tags=F.array()).collect()}
+    assert pub == {1: None, 2: 4.5}
+
+
+def test_publish_skips_unknown_targets_and_counts_failures(spark):
+    from feedsift.sinks.publish import publish_attempts, published_visited
+
+    df = spark.createDataFrame([(1, "notion", "x"), (2, "other", "y"), (3, "notion", "z" * 20)],
+                               "id long, target string, body string")
+    att = publish_attempts(df, max_chars=10, target=F.col("target"))
+    got = {r.id: r.error for r in att.collect()}
+    assert got == {1: None, 3: "content too long"}
+    assert [r.id for r in published_visited(att, ["id"], namespace="ns", source="s").collect()] == ["1"]
+
+
+def test_rank_gate_null_score_is_ranked(spark):
+    df = spark.createDataFrame([(1, None, "short"), (2, 2.0, "short"), (3, None, "x" * 2001)],
+                               "id long, relevant_score double, body string")
+    out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel()).collect()}
+    assert out == {1: True, 2: False, 3: False}

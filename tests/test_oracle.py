@@ -33,3 +33,10 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_plan_has_no_pairs_join(spark, name):
+    """No query plans a cross product or a nested-loop join (every join is an equi-join)."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
