@@ -33,6 +33,7 @@ def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = N
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_importable(spark)
     return spark
 
 
@@ -57,3 +58,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Make ``feedsift`` importable by the Python workers that run its pandas UDFs.
+
+    Workers unpickle UDFs by module reference, so the package must be on their
+    path.  Locally the package root is added to the workers' ``PYTHONPATH``
+    (``SparkContext.environment`` is passed to every Python worker); on a
+    cluster master the package is also zipped once and shipped with
+    ``addPyFile`` (the usual ``--py-files`` route).
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    key = f"{sc.applicationId}:{root}"
+    if key in _SHIPPED:
+        return
+    paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if not sc.master.startswith("local"):
+        import shutil
+
+        base = os.path.join(tempfile.mkdtemp(prefix="feedsift-pkg-"), "feedsift")
+        zip_path = shutil.make_archive(base, "zip", root_dir=root, base_dir="feedsift")
+        sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
