@@ -114,7 +114,10 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
 
 def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run_ts: Column,
              settings: Settings = DEFAULT) -> JobOutput:
-    """C2/C3 (articles, videos): inbox since watermark -> dedup -> map-reduce summary -> classify -> publish -> watermark."""
+    """C2/C3 (articles, videos): inbox since watermark -> dedup -> map-reduce summary -> classify -> published rows.
+
+    The caller advances the watermarks from the published rows (``state.advance_watermarks``) after writing them.
+    """
     pulled = S.since_watermark(inbox, watermarks, "source", "created_time", strict=False,
                                default_ts=run_ts - F.expr("INTERVAL 1 DAY"))
     fresh = D.anti_join_visited(pulled, visited, {"id": "item_id"})
@@ -131,7 +134,10 @@ def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run
 
 def sync_and_index(rated_pages: DataFrame, visited: DataFrame, page_state: DataFrame, *, run_date: str,
                    settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """Latest rated version per page -> new/changed split -> metadata upsert -> vector rows -> retention."""
+    """Latest rated version per page -> new/changed split -> metadata upsert -> vector rows of new pages.
+
+    Retention of old collections is its own job (``retention``, C11).
+    """
     latest = SC.sync_rated(rated_pages)
     latest = latest.withColumn("user_rating", F.col("user_rating").cast("int"))
     split = D.rating_change_split(latest.withColumnRenamed("id", "page_id"), visited, page_state)

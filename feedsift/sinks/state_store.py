@@ -3,10 +3,11 @@
 The four state tables (``watermarks``, ``visited``, ``cache``, ``page_state``)
 live as Parquet under one root on the cluster's shared file system.  A merge
 reads the current version, applies the upsert rule from
-``feedsift.operators.state`` and writes a new version directory, then points
-``_CURRENT`` at it: readers never see a half-written table, a failed job leaves
-the previous version intact, and the written table also cuts the lineage of
-long incremental runs.
+``feedsift.operators.state`` and writes a new version directory, then rewrites
+the one-line ``_CURRENT`` pointer: a failed merge leaves the previous version
+current, table data is only ever read from completed versions, and the written
+table also cuts the lineage of long incremental runs.  One writer at a time
+(the jobs run one at a time); readers run between merges.
 """
 
 from __future__ import annotations
