@@ -103,7 +103,13 @@ BINDINGS: dict[str, str] = {
              "CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'a' || CAST(conv_id AS STRING) END AS author, "
              "CASE WHEN turn % 2 = 0 THEN 'u_' || CAST(conv_id AS STRING) END AS author_fullname, "
              "CAST(1700000000 + conv_id * 100 + turn AS DOUBLE) + CASE WHEN turn % 5 = 0 THEN 0.5 ELSE 0 END AS ts, "
-             "text FROM {conversations}",
+             "text, CASE WHEN turn % 4 = 0 THEN '/r/' || role || '/c' || CAST(conv_id AS STRING) "
+             "WHEN turn % 4 = 1 THEN 'https://v.redd.it/v' || CAST(turn AS STRING) "
+             "WHEN turn % 4 = 2 THEN 'https://i.redd.it/p' || CAST(turn AS STRING) || '.png' "
+             "ELSE 'https://arxiv.org/abs/2101.' || CAST(10000 + conv_id AS STRING) END AS url, "
+             "'/r/' || role || '/comments/' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS permalink, "
+             "turn % 5 = 0 AS has_media, CAST(length(text) AS BIGINT) AS ups, turn AS downs, conv_id % 7 AS num_comments "
+             "FROM {conversations}",
     # stored page metadata (J4, K11): rating before the latest change, some pages without metadata
     "page_state": "SELECT doc_id AS page_id, CAST(1 + 2 * quality AS INT) AS user_rating FROM {labels} "
                   "WHERE doc_id % 5 <> 0",

@@ -48,4 +48,4 @@ def load_all() -> None:
     _LOADED = True
 
 
-MODULES = ["q_scoring", "q_functions", "q_dedup", "q_filters", "q_text", "q_records", "q_jobs"]
+MODULES = ["q_scoring", "q_functions", "q_dedup", "q_filters", "q_text", "q_records", "q_jobs", "q_normalise"]

@@ -20,7 +20,7 @@ _TS = duck_ts_text
 SELECT i.id, i.list_name FROM items i
 WHERE NOT EXISTS (SELECT 1 FROM visited v WHERE v.item_id = i.id AND v.list_name = i.list_name)""")
 def dedup_visited(spark, sf):
-    """Items not yet visited, keyed by (list, id)."""
+    """Items not yet visited, keyed by (list, id)."""
     items = binding(spark, sf, "items")
     out = D.anti_join_visited(items, binding(spark, sf, "visited"), {"id": "item_id", "list_name": "list_name"})
     return out.select("id", "list_name")
@@ -294,7 +294,7 @@ WHERE p.last_edited_time {op} coalesce(w.ts, TIMESTAMP '%s' - INTERVAL 1 DAY)"""
 
 @register("pull_since_watermark", uses=("rated_pages", "watermarks"), sql=_PULL.format(op=">="))
 def pull_since_watermark(spark, sf):
-    """Pages edited at/after their source's watermark (default: run time - 1 day); rating not required."""
+    """Pages edited at/after their source's watermark (default: run time - 1 day); rating not required."""
     p = binding(spark, sf, "rated_pages")
     out = S.since_watermark(p, binding(spark, sf, "watermarks"), "source", "last_edited_time", strict=False,
                             default_ts=ts(RUN_TS) - F.expr("INTERVAL 1 DAY"))
@@ -364,8 +364,7 @@ SELECT list_name, CAST(count(DISTINCT member) AS BIGINT) AS n_members
 FROM (SELECT member, unnest(list_names) AS list_name FROM subscriptions WHERE enabled) GROUP BY list_name""")
 def subs_by_list(spark, sf):
     """Members per list (as counts; the grouping itself stays as rows keyed by list)."""
-    s = SC.enabled(binding(spark, sf, "subscriptions")).select("member", F.explode("list_names").alias("list_name"))
-    return s.groupBy("list_name").agg(F.count_distinct("member").alias("n_members"))
+    return SC.members_per_list(SC.enabled(binding(spark, sf, "subscriptions")))
 
 
 @register("dedup_within_ttl")

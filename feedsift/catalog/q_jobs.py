@@ -107,3 +107,14 @@ def curate_articles(spark, sf):
     visited = binding(spark, sf, "visited").select("item_id")
     out = J.articles(notes, binding(spark, sf, "note_watermarks"), visited, run_ts=ts(RUN_TS)).published
     return out.select("id", "source", "summary", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))
+
+
+@register("research_dive")
+def research_dive(spark, sf):
+    """Deep-dive pages never acted on -> evidence from documents -> three refinement rounds -> record sections."""
+    pages = binding(spark, sf, "rated_pages").groupBy("id").agg(
+        F.max_by("take_aways", "last_edited_time").alias("take_aways"), F.max_by("tags", "last_edited_time").alias("tags"))
+    acted = binding(spark, sf, "todo_state").select(F.col("page_id").cast("string").alias("id"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    out = J.research(pages, acted, docs)
+    return out["record"].select("id", F.array_join(F.transform("sections", lambda x: x["name"]), "|").alias("sections"))

@@ -127,7 +127,7 @@ def markdown_render(spark, sf):
 @register("retention_keep", uses=("vectors",), sql="""
 SELECT as_of, CAST(count(*) AS BIGINT) AS n_rows FROM vectors WHERE as_of > DATE '2024-01-11' - 3 GROUP BY as_of""")
 def retention_keep(spark, sf):
-    """Collections dated on or before run date - 3 are dropped; the rest are kept."""
+    """Collections dated on or before run date - 3 are dropped; the rest are kept."""
     kept = DOC.retention_keep(binding(spark, sf, "vectors"), "2024-01-11", 3)
     return kept.groupBy("as_of").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
 
@@ -161,7 +161,7 @@ def metadata_insert(spark, sf):
 @register("pending_versions", uses=("partitions",), sql="""
 SELECT partition_id FROM partitions WHERE partition_id % 2 <> 0 ORDER BY partition_id""")
 def pending_versions(spark, sf):
-    """Registry of ordered version ids minus the applied ones (here the even ids)."""
+    """Registry of ordered version ids minus the applied ones (here the even ids), in order."""
     reg = binding(spark, sf, "partitions").select("partition_id")
     applied = reg.where(F.col("partition_id") % 2 == 0)
     return anti_join_visited(reg, applied, {"partition_id": "partition_id"}).orderBy("partition_id")

@@ -176,7 +176,7 @@ def reference_list(spark, sf):
 SELECT i.id, coalesce(c.value, {_digest_sql("S:", "substr(i.body, 1, 20000)")}) AS summary, c.item_id IS NOT NULL AS from_cache
 FROM items i LEFT JOIN (SELECT * FROM cache WHERE NOT expired) c ON i.id = c.item_id""")
 def cached_enrich(spark, sf):
-    """Read-through summary cache; the stand-in model runs on the misses only."""
+    """Read-through summary cache; the stand-in model runs on the misses only."""
     i = binding(spark, sf, "items")
     cache = binding(spark, sf, "cache").where(~F.col("expired")) \
         .withColumn("value", X.bytes_to_text(F.encode("value", "UTF-8")))
@@ -189,7 +189,7 @@ def cached_enrich(spark, sf):
 , j AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM m GROUP BY k)
 SELECT i.id, coalesce({_digest_sql("S:", "j.joined")}, '') AS summary FROM items i LEFT JOIN j ON i.id = j.k""")
 def mapreduce_summary(spark, sf):
-    """Chunk (2048/256) -> stand-in model per chunk -> ordered combine -> model."""
+    """Chunk (2048/256) -> stand-in model per chunk -> ordered combine -> model."""
     i = binding(spark, sf, "items").select("id", "body")
     out = EN.mapreduce_summary(i, "id", "body", EN.DigestModel("M:"), EN.DigestModel("S:"), size=2048, overlap=256)
     return out.select("id", "summary")
@@ -302,7 +302,7 @@ _TODO_GEN_SQL = """
 
 @register("todo_generate", uses=("rated_pages",), sql=_TODO_GEN_SQL)
 def todo_generate(spark, sf):
-    """F8 exclusion -> F6 take-aways -> action-list model -> translate -> F10/K8 action rows."""
+    """F8 exclusion -> F6 take-aways -> action-list model -> translate -> F10/K8 action rows."""
     p = sync_rated(binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating",
                                                             "last_edited_time", "take_aways", "tags"))
     p = exclude_source_tag(p, sources=["error", "signup"]).where(F.length(F.coalesce("take_aways", F.lit(""))) > 0)

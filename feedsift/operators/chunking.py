@@ -116,7 +116,7 @@ def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int
 
 # ---------------------------------------------------------------- sentence packing (JVM aggregate)
 def pack_sentences(text, limit: int = 1800) -> Column:
-    """M2: greedy blocks of ``.``-separated sentences, sizes without separators, joined with ``". "``.
+    """M2/K7: greedy blocks of ``.``-separated sentences, sizes without separators, joined with ``". "``.
 
     An oversized first sentence yields an empty first block (trap Q16).
     """

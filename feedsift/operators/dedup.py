@@ -23,7 +23,7 @@ def _keys_cond(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Colu
 
 def anti_join_visited(items: DataFrame, visited: DataFrame, on: dict[str, str], *,
                       settings: Settings = DEFAULT, delta_rows: int | None = None) -> DataFrame:
-    """Items whose key is not in the visited set (bag semantics, a left anti join).
+    """Items whose key is not in the visited set (bag semantics, a left anti join).
 
     ``on`` maps item columns to visited columns.  The visited history grows
     without bound while a batch is small, so when the batch is provably small
@@ -90,7 +90,7 @@ def rating_change_split(pages: DataFrame, visited: DataFrame, page_state: DataFr
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], version: str, arrival: str) -> DataFrame:
-    """Newest ``version`` per key; a tie keeps the first arrival (strict ``>``, trap Q10).
+    """Newest ``version`` per key; a tie keeps the first arrival (strict ``>``, trap Q10).
 
     One hash aggregate (``max_by`` over a struct) with partial aggregation on
     the map side: a hot key is combined before the shuffle.

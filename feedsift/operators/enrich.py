@@ -134,7 +134,7 @@ def read_through(df: DataFrame, key: str, text: Column, cache: DataFrame, model:
 def mapreduce_summary(df: DataFrame, key: str, text: str, map_model: TextModel, combine_model: TextModel, *,
                       size: int = DEFAULT.summary_chunk, overlap: int = DEFAULT.summary_overlap,
                       limit: int = DEFAULT.summary_text_chars, out: str = "summary") -> DataFrame:
-    """M3: chunk -> model per chunk -> ordered combine per text -> model once more.
+    """Chunk -> model per chunk -> ordered combine per text -> model once more.
 
     The chunk outputs of one text are re-assembled in chunk order (explicit
     ``chunk_no``; ``collect_list`` order is not relied on).  A text's chunk
@@ -247,7 +247,7 @@ class HashingEmbedder:
 
 
 def embed_column(embedder: Embedder, text: Column, limit: int = DEFAULT.embed_text_chars) -> Column:
-    """M5: ``array<float>`` per text (input truncated to 5000 chars), via an iterator pandas UDF."""
+    """``array<float>`` per text (input truncated to 5000 chars), via an iterator pandas UDF."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -115,7 +115,7 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
              query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding",
              settings: Settings = DEFAULT, query_blocks: int | None = None,
              rated_blocks: int | None = None, keep_empty: bool = False) -> DataFrame:
-    """The k nearest rated items for every query.
+    """The k nearest rated items for every query.
 
     Query ids are unique (a batch is keyed by item id).  Returns
     ``(query_id, item_id, distance, rnk)``; ``distance`` is rounded to 6

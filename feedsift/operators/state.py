@@ -20,7 +20,7 @@ def _lit_ts(ts) -> Column:
 
 def upsert(state: DataFrame, delta: DataFrame, key: str | list[str], *, overwrite: bool,
            ttl_seconds: int | None = None, now=None, seq: str | None = None) -> DataFrame:
-    """Merge ``delta`` into ``state``.
+    """Merge ``delta`` into ``state`` (composite keys stay key columns).
 
     * no TTL, no overwrite -> first write wins (existing keys keep their value);
     * no TTL, overwrite    -> last write wins;

@@ -56,7 +56,7 @@ def rated_vectors_of(pages: DataFrame, text: Column) -> DataFrame:
 def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,
            overrides: DataFrame | None = None, model: EN.TextModel | None = None,
            settings: Settings = DEFAULT) -> JobOutput:
-    """C1/C5 (short posts, posts): dedup -> score -> per-list threshold -> gate/classify -> top labels -> publish.
+    """C1/C5/X1 (short posts, posts): dedup -> score -> per-list threshold -> gate/classify -> top labels -> publish.
 
     ``items``: ``id, list_name, title, body``.  Returns published rows and the
     seven-stage funnel per list, computed from stage flags in one aggregation.

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    """Every tunable of the jobs in one frozen object, passed explicitly (no env reads in executors)."""
+
     # scoring (A1/A2, J5)
     neighbours: int = 2                 # k nearest rated items per scored item
     digest_neighbours: int = 4          # k for the weekly digest (self excluded afterwards)

@@ -146,3 +146,9 @@ def late_counts(df: DataFrame, watermarks: DataFrame, key: str, ts: str, *, defa
     bound = F.coalesce(F.col("_wm"), default_ts)
     return j.groupBy(df[key]).agg(F.count_if(F.col(ts) < bound).alias("n_late"),
                                   F.count_if(F.col(ts) >= bound).alias("n_on_time"))
+
+
+def register_partitions(registry: DataFrame, new: DataFrame, key: str = "partition_id") -> DataFrame:
+    """The registry with the new partition rows appended (a key already registered is not added twice)."""
+    fresh = new.join(registry.select(key), key, "left_anti")
+    return registry.unionByName(fresh, allowMissingColumns=True)

@@ -38,7 +38,7 @@ def reply_enrich(posts: DataFrame, targets: DataFrame, group_keys: list[str], re
 
 # ---------------------------------------------------------------- A8 (journal roll-up)
 def journal_rollup(notes: DataFrame, *, day: Column | None = None) -> DataFrame:
-    """Per day, ``"{title} {content}\\n"`` in creation order, the count and the last creation time."""
+    """Per day, ``"{title} {content}\\n"`` in creation order, the count and the last creation time."""
     d = notes.withColumn("day", day if day is not None else F.to_date("created_time")) \
         .withColumn("_line", F.concat(F.col("title"), F.lit(" "), F.col("content"), F.lit("\n")))
     return d.groupBy("day").agg(
@@ -53,7 +53,7 @@ def _invalid(x: Column) -> Column:
 
 
 def todo_rows(df: DataFrame, key: str, todo: str, trans: str, header: str = "Action Items") -> DataFrame:
-    """K8: one row per valid action line, paired with its translation line.
+    """One row per valid action line, paired with its translation line.
 
     Lines are zipped and truncated to the shorter list (J16); blank/invalid
     lines are skipped, a first line holding the header is skipped, the first

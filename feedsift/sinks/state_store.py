@@ -62,7 +62,7 @@ class StateStore:
 
     def merge(self, table: str, delta: DataFrame, *, overwrite: bool, ttl_seconds: int | None = None,
               now=None, seq: str | None = None) -> DataFrame:
-        """K10 upsert of ``delta`` into ``table`` (first/last wins, TTL) and publish the new version."""
+        """Upsert of ``delta`` into ``table`` (first/last wins, TTL) and publish the new version."""
         cols = [c.split()[0] for c in SCHEMAS[table].split(", ")]
         cur = self.read(table)
         merged = S.upsert(cur, delta, KEYS[table], overwrite=overwrite, ttl_seconds=ttl_seconds, now=now, seq=seq)

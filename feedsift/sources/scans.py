@@ -29,7 +29,7 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, fmt: str
 
 
 def lookback(df: DataFrame, day: str, run_date, days: int = 30) -> DataFrame:
-    """The ``days`` daily partitions ``D-days+1 .. D`` (inclusive of the run date)."""
+    """The ``days`` daily partitions ``D-days+1 .. D`` (inclusive of the run date)."""
     d = F.to_date(_lit(run_date))
     return df.where((F.col(day) > F.date_sub(d, days)) & (F.col(day) <= d))
 
@@ -59,7 +59,7 @@ def enabled(df: DataFrame, flag: str = "enabled") -> DataFrame:
 
 def latest_partitions(partitions: DataFrame, n: int, *, key: str = "partition_id",
                       created: str = "created_time") -> DataFrame:
-    """The newest ``n`` partitions (ties by id).
+    """The newest ``n`` partitions (ties by id).
 
     ``orderBy().limit(n)`` plans as a per-partition top-n merged on one node
     (``TakeOrderedAndProject``), never a single-partition window.
@@ -107,3 +107,9 @@ def read_texts(spark: SparkSession, expected: DataFrame, folder: str, name_col:
         return expected.withColumn("text", F.lit(""))
     j = expected.join(files, expected[name_col] == files["_fname"], "left")
     return j.select(*[expected[c] for c in expected.columns], F.coalesce(F.col("_text"), F.lit("")).alias("text"))
+
+
+def members_per_list(subscriptions: DataFrame, lists: str = "list_names", member: str = "member") -> DataFrame:
+    """Members per list as rows keyed by list (explode), with the distinct member count per list."""
+    s = subscriptions.select(member, F.explode(lists).alias("list_name"))
+    return s.groupBy("list_name").agg(F.count_distinct(member).alias("n_members"))

@@ -302,3 +302,9 @@ def test_rank_gate_null_score_is_ranked(spark):
                                "id long, relevant_score double, body string")
     out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel()).collect()}
     assert out == {1: True, 2: False, 3: False}
+
+
+def test_register_partitions_appends_new_only(spark):
+    reg = spark.createDataFrame([(1, "a")], "partition_id int, source string")
+    new = spark.createDataFrame([(1, "a"), (2, "b")], "partition_id int, source string")
+    assert sorted(r.partition_id for r in DOC.register_partitions(reg, new).collect()) == [1, 2]
