@@ -37,9 +37,14 @@ def anti_join_visited(items: DataFrame, visited: DataFrame, on: dict[str, str],
 
 
 def _history_for(items: DataFrame, visited: DataFrame, on: dict[str, str], settings: Settings,
-                 delta_rows: int | None) -> DataFrame:
-    """The visited rows that can match this batch: semi-filtered by the batch's keys when the batch is provably small."""
-    v = visited.select(*[F.col(c) for c in on.values()])
+                 delta_rows: int | None, keep: list[str] | None = None) -> DataFrame:
+    """The history rows that can match this batch: semi-filtered by the batch's keys when the batch is provably small.
+
+    The history (visited set, page state) grows without bound while a batch
+    is small: broadcasting the batch's distinct keys (after a count proves the
+    bound) filters the history map-side, so only matching rows are shuffled.
+    """
+    v = visited.select(*[F.col(c) for c in on.values()], *[F.col(c) for c in (keep or []) if c not in on.values()])
     n = delta_rows
     if n is None and settings.broadcast_max_rows > 0:
         n = items.limit(settings.broadcast_max_rows + 1).count()
@@ -70,6 +75,7 @@ def changed_since_processed(pages: DataFrame, state: DataFrame, key: str, versio
     """Keep pages never processed or whose stored version differs (inequality, trap Q11)."""
     sv = state_version or version
     s = state.select(F.col(key).alias("_k"), F.col(sv).alias("_sv"), F.lit(True).alias("_seen"))
+    s = _history_for(pages, s, {key: "_k"}, DEFAULT, None, keep=["_sv", "_seen"])
     j = pages.join(s, pages[key] == s["_k"], "left")
     keep = F.col("_seen").isNull() | ~(F.col(version).eqNullSafe(F.col("_sv")))
     return j.where(keep).select(*[pages[c] for c in pages.columns])
@@ -80,6 +86,8 @@ def rating_change_split(pages: DataFrame, visited: DataFrame, page_state: DataFr
     """Flags ``is_new`` (never indexed) and ``is_updated`` (new, no metadata, or rating changed)."""
     v = visited.select(F.col(visited_key).alias("_vk"), F.lit(True).alias("_visited"))
     m = page_state.select(F.col(key).alias("_mk"), F.col(rating).alias("_stored"), F.lit(True).alias("_meta"))
+    v = _history_for(pages, v, {key: "_vk"}, DEFAULT, None, keep=["_visited"])
+    m = _history_for(pages, m, {key: "_mk"}, DEFAULT, None, keep=["_stored", "_meta"])
     j = pages.join(v, pages[key] == v["_vk"], "left").join(m, pages[key] == m["_mk"], "left")
     visited_ = F.coalesce(F.col("_visited"), F.lit(False))
     has_meta = F.coalesce(F.col("_meta"), F.lit(False))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedsift.operators.common import bounded_broadcast
 from feedsift.settings import DEFAULT, Settings
 
 # Metric names and their ordering; fixed by the reference's metric dispatch.
@@ -180,7 +181,7 @@ def neighbours(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: int, me
     """
     nb = knn_join(queries, rated, k, metric, **kw)
     nb = nb.where(within_threshold(F.col("distance"), metric, threshold))
-    nb = nb.join(meta.select("item_id", "user_rating"), "item_id", "inner")
+    nb = nb.join(bounded_broadcast(meta.select("item_id", "user_rating")), "item_id", "inner")
     if self_exclude:
         nb = nb.where(F.col("item_id") != F.col("query_id"))
     return nb
@@ -197,7 +198,9 @@ def relevance_score(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: in
     needed.
     """
     nb = knn_join(queries, rated, k, metric, keep_empty=True, **kw)
-    m = meta.select("item_id", F.col("user_rating").cast("double").alias("_rating"), F.lit(True).alias("_meta"))
+    # metadata is one row per rated item: broadcast only when a count proves it small, else a shuffle join
+    m = bounded_broadcast(meta.select("item_id", F.col("user_rating").cast("double").alias("_rating"),
+                                      F.lit(True).alias("_meta")))
     nb = nb.join(m, "item_id", "left")
     ok = (F.col("item_id").isNotNull() & within_threshold(F.col("distance"), metric, threshold)
           & F.col("_meta").isNotNull())
