@@ -180,15 +180,31 @@ def classify_rank(df: DataFrame, key: str, score: str, content: Column, model: T
 
 
 # ---------------------------------------------------------------- fallback (M6)
-def fallback_enrich(df: DataFrame, text: Column, primary: TextModel, fallback: TextModel, out: str) -> DataFrame:
-    """M6: primary model; an empty answer (and a primary that is not already the fallback) -> fallback model."""
-    p = df.withColumn(out, model_call(primary, text)).withColumn("used", F.lit(primary.name))
-    if primary.name == fallback.name:
-        return p
-    empty = F.coalesce(F.col(out), F.lit("")) == ""
-    keep = p.where(~empty)
-    redo = (p.where(empty).withColumn(out, model_call(fallback, text)).withColumn("used", F.lit(fallback.name)))
-    return keep.unionByName(redo)
+def fallback_enrich(df: DataFrame, text: Column, primary: TextModel, fallback: TextModel, out: str, *,
+                    tries: int = 3, wait: float = 5.0) -> DataFrame:
+    """M6: primary model; an empty answer (and a primary that is not already the fallback) -> fallback model.
+
+    One pandas UDF per Arrow batch calls the primary on every row and the
+    fallback only on the rows whose answer is empty, so neither model runs
+    twice on a row.  Adds ``out`` and ``used`` (the model that answered).
+    """
+    same = primary.name == fallback.name
+
+    @F.pandas_udf("struct<answer:string,used:string>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            vals = s.where(s.notna(), "").tolist()
+            ans = list(with_retry(lambda: primary.generate(vals), tries, wait))
+            used = [primary.name] * len(ans)
+            redo = [i for i, a in enumerate(ans) if not a] if not same else []
+            if redo:
+                again = with_retry(lambda: fallback.generate([vals[i] for i in redo]), tries, wait)
+                for i, a in zip(redo, again):
+                    ans[i], used[i] = a, fallback.name
+            yield pd.DataFrame({"answer": ans, "used": used})
+
+    r = call(text)
+    return df.withColumn("_fb", r).withColumn(out, F.col("_fb.answer")).withColumn("used", F.col("_fb.used")).drop("_fb")
 
 
 # ---------------------------------------------------------------- journal refine (M11), versions (M12), translate
@@ -202,16 +218,24 @@ def journal_refine(df: DataFrame, text: str, model: TextModel) -> DataFrame:
     return df.withColumn("refined", F.struct(*outs))
 
 
-def refine_versions(df: DataFrame, key: str, text: str, model: TextModel, rounds: int = 3) -> DataFrame:
+def refine_versions(df: DataFrame, key: str, text: str, model: TextModel, rounds: int = 3, *,
+                    materialise: bool = True) -> DataFrame:
     """``rounds`` refinement passes; every version is kept (``version`` 1..N), the last is current.
 
-    A loop of DataFrame passes on the driver (plan building only); each pass
-    feeds the previous version's text to the model.
+    Each pass feeds the previous version's text to the model.  With
+    ``materialise`` every round is written by a reliable ``checkpoint()`` into
+    the cluster's ``spark.checkpoint.dir`` before the next round reads it, so a
+    round's model calls run once (not again for every later version) and the
+    versions stay consistent even with a non-deterministic model.
     """
+    from feedsift.session import cut_lineage
+
     cur = df.select(key, F.col(text).alias("text"))
     versions = []
     for v in range(1, rounds + 1):
         cur = cur.select(key, model_call(model, F.col("text")).alias("text"))
+        if materialise:
+            cur = cut_lineage(cur)
         versions.append(cur.withColumn("version", F.lit(v)))
     out = versions[0]
     for x in versions[1:]:

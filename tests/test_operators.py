@@ -308,3 +308,22 @@ def test_register_partitions_appends_new_only(spark):
     reg = spark.createDataFrame([(1, "a")], "partition_id int, source string")
     new = spark.createDataFrame([(1, "a"), (2, "b")], "partition_id int, source string")
     assert sorted(r.partition_id for r in DOC.register_partitions(reg, new).collect()) == [1, 2]
+
+
+def test_fallback_called_only_for_empty_answers(spark):
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    out = EN.fallback_enrich(df, F.col("text"), EN.EmptyModel(), EN.DigestModel("S:"), "summary")
+    rows = out.collect()
+    assert all((r.used == "digest") == r.summary.startswith("S:") for r in rows)
+    assert {r.used for r in rows} == {"digest", "flaky"}
+    assert all(r.summary for r in rows)
+
+
+def test_refine_versions_chain(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "")], "id long, t string")
+    out = {(r.id, r.version): r.text for r in EN.refine_versions(df, "id", "t", EN.DigestModel("S:"), 3).collect()}
+    import hashlib
+
+    h = lambda s: "S:" + hashlib.md5(s.encode()).hexdigest()
+    assert out[(1, 1)] == h("a") and out[(1, 2)] == h(h("a")) and out[(1, 3)] == h(h(h("a")))
+    assert out[(2, 3)] == ""
