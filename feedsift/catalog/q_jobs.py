@@ -14,6 +14,7 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
+from feedsift.catalog.q_text import _embed_ctes
 from feedsift.plans import jobs as J
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -35,7 +36,38 @@ def _curate(spark, sf):
     return J.curate(items, binding(spark, sf, "visited"), vectors, meta, overrides=parse_overrides(spark, OVERRIDES))
 
 
-@register("curate_posts")
+_OVR = (", o AS (SELECT split_part(e, ':', 1) AS list_name, CAST(split_part(e, ':', 2) AS DOUBLE) AS min_score "
+        f"FROM (SELECT unnest(string_split('{OVERRIDES}', ',')) AS e) WHERE len(string_split(e, ':')) >= 2)")
+
+# The whole C1 chain in SQL: dedup -> embedding -> exact KNN (squared L2, k=2, <= 0.5) -> mean rating ->
+# per-list threshold -> rank gate -> stand-in classifier.
+_CURATE = """
+, rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)
+, fresh AS MATERIALIZED (SELECT i.* FROM items i LEFT JOIN visited v ON v.item_id = i.id AND v.list_name = i.list_name
+                         WHERE v.item_id IS NULL)
+, qtext AS MATERIALIZED (SELECT id, list_name || ' ' || title || ': ' || body AS t FROM fresh)""" \
+    + _embed_ctes("r", "rated_docs", "id", "text") + _embed_ctes("q", "qtext", "id", "t") + """
+, pairs AS (SELECT q.key AS query_id, r.key AS item_id,
+                   round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
+            FROM q, r)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM pairs)
+, kept AS (SELECT k.query_id, m.user_rating FROM ranked k JOIN ratings m ON k.item_id = m.page_id
+           WHERE k.rnk <= 2 AND k.distance <= 0.5)
+, scores AS (SELECT f.id, coalesce(avg(CAST(kept.user_rating AS DOUBLE)), -1.0) AS relevant_score
+             FROM fresh f LEFT JOIN kept ON f.id = kept.query_id GROUP BY f.id)""" + _OVR + """
+, passed AS (SELECT f.id, f.list_name, f.title || ': ' || f.body AS content, s.relevant_score
+             FROM fresh f JOIN scores s ON f.id = s.id LEFT JOIN o ON f.list_name = o.list_name
+             WHERE s.relevant_score < 0 OR s.relevant_score >= coalesce(nullif(o.min_score, 0), 4.0))
+, g AS (SELECT *, md5(content) AS h, length(content) AS n,
+               (relevant_score > 0 AND relevant_score < 4) OR length(content) > 2000 AS gated FROM passed)"""
+
+
+@register("curate_posts", uses=("items", "visited", "ratings"), sql=_CURATE + """
+SELECT id, list_name, round(relevant_score, 6) AS relevant_score,
+  CASE WHEN gated THEN -0.02 ELSE round(coalesce(nullif((n % 11) / 10.0, 0), -0.01), 6) END AS rate,
+  CASE WHEN gated THEN '' ELSE 't' || substr(h, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) END AS topics,
+  NOT gated AS ranked
+FROM g""")
 def curate_posts(spark, sf):
     """Dedup -> KNN score against rated documents -> per-list threshold -> gate/classify -> top-3 labels."""
     p = _curate(spark, sf).published
@@ -43,7 +75,13 @@ def curate_posts(spark, sf):
                     render_labels("topics").alias("topics"), "ranked")
 
 
-@register("curate_funnel")
+@register("curate_funnel", uses=("items", "visited", "ratings"), sql=_CURATE + """
+, c AS (SELECT i.list_name, count(*) AS total_input, count(f.id) AS post_deduping, count(f.id) AS post_scoring,
+               count(g.id) AS post_filtering, count(g.id) AS post_summary, count_if(coalesce(NOT g.gated, false)) AS post_ranking,
+               count(g.id) AS total_pushed
+        FROM items i LEFT JOIN fresh f ON i.id = f.id LEFT JOIN g ON i.id = g.id GROUP BY i.list_name)
+SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM c
+UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))""")
 def curate_funnel(spark, sf):
     """The seven stage counters per list for the same run."""
     return _curate(spark, sf).funnel
