@@ -14,7 +14,7 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
-from feedsift.catalog.q_text import _embed_ctes
+from feedsift.catalog.q_text import _embed_ctes, _todo_rows_sql
 from feedsift.plans import jobs as J
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -110,7 +110,14 @@ def weekly_digest(spark, sf):
     return out["sections"]
 
 
-@register("daily_journal")
+@register("daily_journal", uses=("notes", "note_watermarks"), sql=f"""
+, pulled AS (SELECT n.* FROM notes n LEFT JOIN note_watermarks w ON n.source = w.source
+             WHERE n.created_time > coalesce(w.ts, TIMESTAMP '{RUN_TS}' - INTERVAL 365 DAY))
+, r AS (SELECT CAST(created_time AS DATE) AS day, count(*) AS n,
+               string_agg(title || ' ' || content || chr(10), '' ORDER BY created_time, id) AS text
+        FROM pulled GROUP BY CAST(created_time AS DATE))
+SELECT day, CAST(n AS BIGINT) AS n_notes, 'S:' || md5('title|' || text) AS title, 'S:' || md5('summary|' || text) AS summary
+FROM r""")
 def daily_journal(spark, sf):
     """Notes after the watermark -> day roll-up -> six model passes (one row per day)."""
     out = J.daily_journal(binding(spark, sf, "notes"), binding(spark, sf, "note_watermarks"), run_ts=ts(RUN_TS))
@@ -118,7 +125,15 @@ def daily_journal(spark, sf):
                                  F.col("refined.summary").alias("summary"))
 
 
-@register("todo_actions")
+@register("todo_actions", uses=("rated_pages", "todo_state"), sql="""
+, pages AS (SELECT p.id, p.take_aways FROM rated_pages p LEFT JOIN todo_state s ON p.id = CAST(s.page_id AS VARCHAR)
+            WHERE (s.page_id IS NULL OR p.last_edited_time IS DISTINCT FROM s.last_edited)
+              AND p.source NOT IN ('error', 'signup') AND NOT list_contains(p.tags, 'action:deepdive')
+              AND length(coalesce(p.take_aways, '')) > 0)
+, gen AS (SELECT id, 'Action Items' || chr(10) || '1. ' || substr(md5(take_aways), 1, 8) || chr(10) || '2. None' AS todo,
+                 'T' || chr(10) || '1. ' || substr(md5('tr|' || take_aways), 1, 8) || chr(10) || '2. None' AS todo_trans
+          FROM pages)
+""" + _todo_rows_sql("gen"))
 def todo_actions(spark, sf):
     """Changed pages (version inequality) -> exclusions -> take-aways -> action rows."""
     pages = binding(spark, sf, "rated_pages").select("id", "source", "last_edited_time", "take_aways", "tags")
@@ -127,7 +142,12 @@ def todo_actions(spark, sf):
     return J.todo_actions(pages, state, excluded_sources=["error", "signup"])
 
 
-@register("sync_and_index")
+@register("sync_and_index", uses=("rated_pages", "visited"), sql="""
+, latest AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited_time DESC, arrival ASC) AS rn FROM rated_pages
+    WHERE user_rating IS NOT NULL AND user_rating <> '') WHERE rn = 1)
+SELECT id AS item_id, DATE '{RUN_DATE}' AS as_of, 'hashing' AS model, 64 AS dims FROM latest
+WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM visited)""".replace("{RUN_DATE}", RUN_DATE))
 def sync_and_index(spark, sf):
     """Newest rated version per page, new/changed split, vector rows for the run date's collection."""
     pages = binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating", "last_edited_time",
