@@ -14,7 +14,7 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
-from feedsift.catalog.q_text import _embed_ctes, _todo_rows_sql
+from feedsift.catalog.q_text import _chunks_sql, _embed_ctes, _todo_rows_sql
 from feedsift.plans import jobs as J
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -87,7 +87,37 @@ def curate_funnel(spark, sf):
     return _curate(spark, sf).funnel
 
 
-@register("curate_feed")
+def _summary_sql(src: str, key: str, text: str) -> str:
+    """DuckDB spelling of the map-reduce summary of ``src`` (chunks 2048/256 of the first 20000 characters)."""
+    return _chunks_sql("mc", src, key, f"substr({text}, 1, 20000)", 2048, 256) + """
+, mm AS (SELECT k, chunk_no, CASE WHEN coalesce(chunk, '') = '' THEN '' ELSE 'M:' || md5(chunk) END AS out FROM mc)
+, mj AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mm GROUP BY k)
+, msum AS (SELECT k, CASE WHEN coalesce(joined, '') = '' THEN '' ELSE 'S:' || md5(joined) END AS summary FROM mj)"""
+
+
+_FEED = """
+, head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_name ORDER BY id) AS rn FROM items) WHERE rn <= 3)
+, rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)
+, fresh AS MATERIALIZED (SELECT h.* FROM head h LEFT JOIN visited v ON v.item_id = h.id AND v.list_name = h.list_name
+                         WHERE v.item_id IS NULL)
+, qtext AS MATERIALIZED (SELECT id, substr(title || ' - ' || list_name || ' - ' || body, 1, 1024) AS t FROM fresh)""" \
+    + _embed_ctes("r", "rated_docs", "id", "text") + _embed_ctes("q", "qtext", "id", "t") + """
+, pairs AS (SELECT q.key AS query_id, r.key AS item_id,
+                   round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
+            FROM q, r)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM pairs)
+, kept AS (SELECT k.query_id, m.user_rating FROM ranked k JOIN ratings m ON k.item_id = m.page_id
+           WHERE k.rnk <= 2 AND k.distance <= 0.5)
+, scores AS (SELECT f.id, f.list_name, f.title, f.body, coalesce(avg(CAST(kept.user_rating AS DOUBLE)), -1.0) AS relevant_score
+             FROM fresh f LEFT JOIN kept ON f.id = kept.query_id GROUP BY f.id, f.list_name, f.title, f.body)
+, top AS (SELECT * FROM scores WHERE relevant_score < 0 OR relevant_score >= 4 ORDER BY relevant_score DESC, id LIMIT 1)
+""" + _summary_sql("top", "id", "body") + """
+SELECT t.id, t.list_name, round(t.relevant_score, 6) AS relevant_score, coalesce(ms.summary, '') AS summary,
+       array_to_string(string_split(t.title, ' ')[1:3], '|') AS tags
+FROM top t LEFT JOIN msum ms ON t.id = ms.k"""
+
+
+@register("curate_feed", uses=("items", "visited", "ratings"), sql=_FEED)
 def curate_feed(spark, sf):
     """C4: first 3 entries per feed -> dedup -> score -> global top 1 -> map-reduce summary -> first tags."""
     items = binding(spark, sf, "items").select("id", "list_name", "title", "body").withColumn("pos", F.col("id"))
@@ -158,7 +188,16 @@ def sync_and_index(spark, sf):
     return out["vectors"].select("item_id", "as_of", "model", F.size("embedding").alias("dims"))
 
 
-@register("curate_articles")
+@register("curate_articles", uses=("notes", "note_watermarks", "visited"), sql="""
+, pulled AS (SELECT n.* FROM notes n LEFT JOIN note_watermarks w ON n.source = w.source
+             WHERE n.created_time >= coalesce(w.ts, TIMESTAMP '{RUN_TS}' - INTERVAL 1 DAY))
+, fresh AS (SELECT * FROM pulled WHERE id NOT IN (SELECT item_id FROM visited))
+""".replace("{RUN_TS}", RUN_TS) + _summary_sql("fresh", "id", "content") + """
+, g AS (SELECT f.id, f.source, coalesce(ms.summary, '') AS summary FROM fresh f LEFT JOIN msum ms ON f.id = ms.k)
+, h AS (SELECT *, md5(summary) AS hh, length(summary) AS n FROM g)
+SELECT id, source, summary, round((n % 11) / 10.0, 6) AS rate,
+       't' || substr(hh, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) AS topics
+FROM h""")
 def curate_articles(spark, sf):
     """Inbox pages since their source's watermark -> dedup -> map-reduce summary -> classify -> top labels."""
     notes = binding(spark, sf, "notes")
