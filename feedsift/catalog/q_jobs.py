@@ -127,7 +127,33 @@ def curate_feed(spark, sf):
                       F.array_join("tags", "|").alias("tags"))
 
 
-@register("weekly_digest")
+_DIGEST_SQL = """
+, lat AS MATERIALIZED (SELECT id, arg_max_null(take_aways, last_edited_time) AS text,
+                              CAST(arg_max_null(user_rating, last_edited_time) AS INTEGER) AS user_rating
+                       FROM rated_pages GROUP BY id)
+, meta AS (SELECT id AS item_id, user_rating FROM lat WHERE user_rating IS NOT NULL)
+, latest AS (SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited_time DESC, arrival ASC) AS rn FROM rated_pages
+    WHERE user_rating IS NOT NULL AND user_rating <> '') WHERE rn = 1)
+, pages AS MATERIALIZED (SELECT id, source, CAST(user_rating AS INTEGER) AS user_rating, take_aways,
+                                id || ': ' || CASE WHEN coalesce(take_aways, '') <> '' THEN chr(10) || 'Take aways: ' || take_aways ELSE '' END AS t
+                         FROM latest WHERE CAST(user_rating AS INTEGER) >= 4 OR coalesce(take_aways, '') <> '')""" \
+    + _embed_ctes("r", "lat", "id", "text") + _embed_ctes("q", "pages", "id", "t") + """
+, pairs AS (SELECT q.key AS query_id, r.key AS item_id,
+                   round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
+            FROM q, r)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM pairs)
+, kept AS (SELECT k.query_id, m.user_rating FROM ranked k JOIN meta m ON k.item_id = m.item_id
+           WHERE k.rnk <= 4 AND k.distance <= 0.5 AND k.item_id <> k.query_id)
+, scored AS (SELECT p.id, p.source, p.user_rating, coalesce(avg(CAST(kept.user_rating AS DOUBLE)), -1.0) AS relevant
+             FROM pages p LEFT JOIN kept ON p.id = kept.query_id GROUP BY p.id, p.source, p.user_rating)
+, digest AS (SELECT * FROM scored WHERE user_rating * 0.8 + relevant * 0.2 >= 4.5 ORDER BY relevant DESC, id LIMIT 10)
+SELECT source, CAST(count(*) AS BIGINT) AS n_pages,
+       '## ' || source || chr(10) || string_agg('- ' || id, chr(10) ORDER BY relevant DESC, id) AS section
+FROM digest GROUP BY source"""
+
+
+@register("weekly_digest", uses=("rated_pages",), sql=_DIGEST_SQL)
 def weekly_digest(spark, sf):
     """Digest pages scored against the rated collection (k=4, self excluded), post-filtered, by source."""
     pages = binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating", "last_edited_time",
