@@ -232,7 +232,28 @@ def curate_articles(spark, sf):
     return out.select("id", "source", "summary", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))
 
 
-@register("research_dive")
+_RESEARCH_SQL = """
+, lat AS (SELECT id, arg_max_null(take_aways, last_edited_time) AS take_aways, arg_max_null(tags, last_edited_time) AS tags
+          FROM rated_pages GROUP BY id)
+, chosen AS MATERIALIZED (SELECT * FROM lat WHERE id NOT IN (SELECT CAST(page_id AS VARCHAR) FROM todo_state)
+                          AND length(coalesce(take_aways, '')) > 0 AND list_contains(tags, 'action:deepdive'))
+, v1 AS (SELECT id, 'S:' || md5(take_aways) AS t FROM chosen)
+, v2 AS (SELECT id, 'S:' || md5(t) AS t FROM v1)
+, v3 AS (SELECT id, 'S:' || md5(t) AS t FROM v2)
+, topics AS MATERIALIZED (SELECT CAST(id AS BIGINT) AS item_id, take_aways AS text FROM chosen)""" \
+    + _embed_ctes("d", "documents", "doc_id", "text") + _embed_ctes("q", "topics", "item_id", "text") + """
+, p AS (SELECT q.key AS item_id, d.key AS doc_id, round(list_inner_product(q.e, d.e), 6) AS distance FROM q, d)
+, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance DESC, doc_id) AS rnk FROM p)
+        WHERE rnk <= 3)
+, refs AS (SELECT k.item_id, string_agg('- [' || substr(doc.text, 1, 30) || '](doc:' || CAST(k.doc_id AS VARCHAR) || ')',
+                                        chr(10) ORDER BY k.rnk) AS refs
+           FROM k JOIN documents doc ON k.doc_id = doc.doc_id GROUP BY k.item_id)
+SELECT c.id, 'Body' || CASE WHEN coalesce(r.refs, '') <> '' THEN '|References' ELSE '' END AS sections,
+       md5(v3.t) AS body_md5, r.refs
+FROM chosen c JOIN v3 ON c.id = v3.id LEFT JOIN refs r ON CAST(c.id AS BIGINT) = r.item_id"""
+
+
+@register("research_dive", uses=("rated_pages", "todo_state"), sql=_RESEARCH_SQL)
 def research_dive(spark, sf):
     """Deep-dive pages never acted on -> evidence from documents -> three refinement rounds -> record sections."""
     pages = binding(spark, sf, "rated_pages").groupBy("id").agg(
@@ -240,4 +261,7 @@ def research_dive(spark, sf):
     acted = binding(spark, sf, "todo_state").select(F.col("page_id").cast("string").alias("id"))
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     out = J.research(pages, acted, docs)
-    return out["record"].select("id", F.array_join(F.transform("sections", lambda x: x["name"]), "|").alias("sections"))
+    sec = F.col("sections")
+    return out["record"].select("id", F.array_join(F.transform(sec, lambda x: x["name"]), "|").alias("sections"),
+                                F.md5(F.element_at(sec, 1)["text"]).alias("body_md5"),
+                                F.try_element_at(sec, F.lit(2))["text"].alias("refs"))
