@@ -174,7 +174,8 @@ def scale_rate(spark, sf):
     return r.select("id", "source", X.scale_rate("source", rate).alias("scaled"))
 
 
-_BOOLS = "['yes', 'TRUE', 't', 'Y', '1', 'no', 'False', 'f', 'N', '0']"
+BOOL_TEXTS = ["yes", "TRUE", "t", "Y", "1", "no", "False", "f", "N", "0"]
+_BOOLS = "[" + ", ".join(f"'{x}'" for x in BOOL_TEXTS) + "]"
 
 
 @register("parse_bool", uses=("versions",), sql=f"""
@@ -183,7 +184,7 @@ SELECT arrival, txt, lower(txt) IN ('yes', 'true', 't', 'y', '1') AS value FROM
 def parse_bool(spark, sf):
     """Boolean texts (case-insensitive); unknown text raises."""
     v = binding(spark, sf, "versions")
-    t = v.select("arrival", F.element_at(F.array(*[F.lit(x) for x in eval(_BOOLS)]),
+    t = v.select("arrival", F.element_at(F.array(*[F.lit(x) for x in BOOL_TEXTS]),
                                          (F.col("arrival") % 10 + 1).cast("int")).alias("txt"))
     return t.select("arrival", "txt", X.parse_bool("txt").alias("value"))
 
