@@ -110,6 +110,9 @@ BINDINGS: dict[str, str] = {
              "'/r/' || role || '/comments/' || CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS permalink, "
              "turn % 5 = 0 AS has_media, CAST(length(text) AS BIGINT) AS ups, turn AS downs, conv_id % 7 AS num_comments "
              "FROM {conversations}",
+    # summary caches holding half / all of the documents (read-through hit-rate variants of J9)
+    "cache_half": "SELECT doc_id AS item_id, 'S:' || md5(substr(text, 1, 20000)) AS value FROM {documents} WHERE doc_id % 2 = 0",
+    "cache_all": "SELECT doc_id AS item_id, 'S:' || md5(substr(text, 1, 20000)) AS value FROM {documents}",
     # stored page metadata (J4, K11): rating before the latest change, some pages without metadata
     "page_state": "SELECT doc_id AS page_id, CAST(1 + 2 * quality AS INT) AS user_rating FROM {labels} "
                   "WHERE doc_id % 5 <> 0",

@@ -184,6 +184,33 @@ def cached_enrich(spark, sf):
     return out.select("id", "summary", "from_cache")
 
 
+def _hit_rate_variant(name: str, cache_binding: str | None):
+    sql = (f"SELECT i.id, coalesce(c.value, {_digest_sql('S:', 'substr(i.body, 1, 20000)')}) AS summary, "
+           "c.item_id IS NOT NULL AS from_cache FROM items i LEFT JOIN "
+           + (f"{cache_binding} c ON i.id = c.item_id" if cache_binding else
+              "(SELECT NULL::BIGINT AS item_id, NULL::VARCHAR AS value WHERE false) c ON i.id = c.item_id"))
+
+    @register(name, uses=("items",) + ((cache_binding,) if cache_binding else ()), sql=sql)
+    def q(spark, sf):
+        i = binding(spark, sf, "items")
+        if cache_binding:
+            cache = binding(spark, sf, cache_binding)
+        else:   # cold start: the cache table exists but holds nothing yet
+            cache = spark.createDataFrame([], "item_id BIGINT, value STRING")
+        out, _new = EN.read_through(i, "id", X.truncate(F.col("body"), 20000), cache, EN.DigestModel("S:"), "summary")
+        return out.select("id", "summary", "from_cache")
+
+    q.__name__ = name
+    q.__doc__ = (f"J9: read-through summary cache at {'0' if not cache_binding else '50' if 'half' in cache_binding else '100'}"
+                 " % hits; the model runs on the misses only.")
+    return q
+
+
+cached_enrich_cold = _hit_rate_variant("cached_enrich_cold", None)
+cached_enrich_half = _hit_rate_variant("cached_enrich_half", "cache_half")
+cached_enrich_warm = _hit_rate_variant("cached_enrich_warm", "cache_all")
+
+
 @register("mapreduce_summary", uses=("items",), sql=_chunks_sql("c", "items", "id", "substr(body, 1, 20000)", 2048, 256) + f"""
 , m AS (SELECT k, chunk_no, {_digest_sql("M:", "chunk")} AS out FROM c)
 , j AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM m GROUP BY k)
