@@ -156,10 +156,11 @@ def duck_text(name: str) -> str:
     return sql.format(**{t: t for t in _tables_of(sql)})
 
 
-def with_bindings(names: list[str] | tuple[str, ...], body: str) -> str:
-    """``WITH b1 AS (...), b2 AS (...) body`` for the DuckDB oracle."""
+def with_bindings(names: list[str] | tuple[str, ...], body: str, recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] b1 AS (...), b2 AS (...) body`` for the DuckDB oracle."""
+    head = "WITH RECURSIVE " if recursive else "WITH "
     if not names:
         b = body.lstrip()
-        return "WITH " + b[1:] if b.startswith(",") else body
+        return head + b[1:] if b.startswith(",") else body
     ctes = ",\n".join(f"{n} AS ({duck_text(n)})" for n in names)
-    return f"WITH {ctes}\n{body}"
+    return f"{head}{ctes}\n{body}"

@@ -19,7 +19,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, uses: tuple[str, ...] | list[str] = (), sql: str | None = None):
+def register(name: str, uses: tuple[str, ...] | list[str] = (), sql: str | None = None, recursive: bool = False):
     """Register a fixture query; ``sql`` (optional) is the oracle body over the ``uses`` bindings."""
 
     def deco(fn: QueryFn) -> QueryFn:
@@ -27,7 +27,7 @@ def register(name: str, uses: tuple[str, ...] | list[str] = (), sql: str | None
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_bindings(list(uses), sql)
+            ORACLES[name] = with_bindings(list(uses), sql, recursive)
         return fn
 
     return deco

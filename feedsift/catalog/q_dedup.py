@@ -367,9 +367,19 @@ def subs_by_list(spark, sf):
     return SC.members_per_list(SC.enabled(binding(spark, sf, "subscriptions")))
 
 
-@register("dedup_within_ttl")
+@register("dedup_within_ttl", uses=("versions",), recursive=True, sql=f"""
+, o AS (SELECT page_id, arrival, last_edited,
+               CAST(row_number() OVER (PARTITION BY page_id ORDER BY last_edited, arrival) AS INTEGER) AS i FROM versions)
+, ch(page_id, i, last_kept, kept, arrival, last_edited) AS (
+    SELECT page_id, i, last_edited, true, arrival, last_edited FROM o WHERE i = 1
+    UNION ALL
+    SELECT o.page_id, o.i,
+           CASE WHEN o.last_edited >= ch.last_kept + INTERVAL 1 DAY THEN o.last_edited ELSE ch.last_kept END,
+           o.last_edited >= ch.last_kept + INTERVAL 1 DAY, o.arrival, o.last_edited
+    FROM ch JOIN o ON o.page_id = ch.page_id AND o.i = ch.i + 1)
+SELECT page_id, arrival, {_TS("last_edited")} AS last_edited FROM ch WHERE kept""")
 def dedup_within_ttl(spark, sf):
-    """Per page, versions inside the 1-day TTL of the last kept version are dropped (brute-force checked in tests)."""
+    """Per page, versions inside the 1-day TTL of the last kept version are dropped (recursive-SQL oracle)."""
     v = binding(spark, sf, "versions").select("page_id", "arrival", "last_edited")
     out = D.dedup_within_ttl(v, "page_id", "last_edited", 24 * 3600, tiebreak=["arrival"])
     return out.select("page_id", "arrival", ts_text("last_edited").alias("last_edited"))

@@ -9,7 +9,6 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, duck_ts_text, ts, ts_text
 from feedsift.functions import media as M
 from feedsift.operators import filters as FL
-from feedsift.operators.chunking import pack_sentences
 from feedsift.operators.dedup import anti_join_visited
 from feedsift.operators.embed import hashing_embedding
 from feedsift.sinks import documents as DOC
@@ -97,16 +96,6 @@ def digest_labels(spark, sf):
     return DOC.distinct_labels(d, "labels").select(F.array_join("labels", "|").alias("labels"))
 
 
-@register("journal_record")
-def journal_record(spark, sf):
-    """K7: each day's journal text as blocks of at most 1800 characters (sentence packing)."""
-    from feedsift.sinks.records import journal_rollup
-
-    r = journal_rollup(binding(spark, sf, "notes"))
-    b = r.select("day", F.posexplode(pack_sentences("text", 1800)).alias("block_no", "block"))
-    return b.select("day", "block_no", F.length("block").cast("bigint").alias("block_len"))
-
-
 @register("markdown_render", uses=("rated_pages",), sql=_LATEST_RATED + """
 , r AS (SELECT source || '_default_' || id || '.md' AS file_name,
                '---' || chr(10) || 'title: ' || id || chr(10) || 'source: ' || source || chr(10) || 'rating: ' || user_rating

@@ -68,9 +68,30 @@ def chunk_recursive(spark, sf):
     return c.select("id", "chunk_no", F.length("chunk").cast("bigint").alias("chunk_len"), F.md5("chunk").alias("chunk_md5"))
 
 
-@register("pack_sentences")
+def _pack_sql(src: str, key: str, text: str, limit: int = 1800) -> str:
+    """DuckDB spelling of sentence packing: a running size with resets, one recursion step per sentence."""
+    return f"""
+, sent AS (SELECT k, CAST(generate_subscripts(p, 1) AS INTEGER) AS i, unnest(p) AS s
+           FROM (SELECT {key} AS k, string_split(coalesce({text}, ''), '.') AS p FROM {src}))
+, nsent AS (SELECT k, max(i) AS n FROM sent GROUP BY k)
+, pk(k, i, cur, cnt, size, emit) AS (
+    SELECT {key}, 1, '', 0, 0, NULL::VARCHAR FROM {src}
+    UNION ALL
+    SELECT pk.k, pk.i + 1,
+      CASE WHEN pk.size + length(s.s) <= {limit} THEN (CASE WHEN pk.cnt = 0 THEN s.s ELSE pk.cur || '. ' || s.s END) ELSE s.s END,
+      CASE WHEN pk.size + length(s.s) <= {limit} THEN pk.cnt + 1 ELSE 1 END,
+      CASE WHEN pk.size + length(s.s) <= {limit} THEN pk.size + length(s.s) ELSE length(s.s) END,
+      CASE WHEN pk.size + length(s.s) <= {limit} THEN NULL ELSE pk.cur END
+    FROM pk JOIN sent s ON s.k = pk.k AND s.i = pk.i)
+, packed AS (SELECT k, i, emit AS block FROM pk WHERE emit IS NOT NULL
+             UNION ALL SELECT pk.k, pk.i + 1000000000, pk.cur FROM pk JOIN nsent ON pk.k = nsent.k AND pk.i = nsent.n + 1)
+, blocks AS (SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS INTEGER) AS block_no, block FROM packed)"""
+
+
+@register("pack_sentences", uses=("items",), recursive=True, sql=_pack_sql("items", "id", "body") + """
+SELECT k AS id, block_no, CAST(length(block) AS BIGINT) AS block_len, md5(block) AS block_md5 FROM blocks""")
 def pack_sentences(spark, sf):
-    """M2: sentence blocks of at most 1800 characters per text; checked against brute force in tests."""
+    """M2: sentence blocks of at most 1800 characters per text (JVM ``aggregate``; recursive-SQL oracle)."""
     i = binding(spark, sf, "items")
     b = i.select("id", F.posexplode(CH.pack_sentences("body", 1800)).alias("block_no", "block"))
     return b.select("id", "block_no", F.length("block").cast("bigint").alias("block_len"), F.md5("block").alias("block_md5"))
@@ -264,6 +285,15 @@ _ROLLUP = """
         FROM notes GROUP BY CAST(created_time AS DATE))"""
 
 
+@register("journal_record", uses=("notes",), recursive=True, sql=_ROLLUP + _pack_sql("r", "day", "text") + """
+SELECT k AS day, block_no, CAST(length(block) AS BIGINT) AS block_len FROM blocks""")
+def journal_record(spark, sf):
+    """K7: each day's journal text as blocks of at most 1800 characters (sentence packing)."""
+    r = R.journal_rollup(binding(spark, sf, "notes"))
+    b = r.select("day", F.posexplode(CH.pack_sentences("text", 1800)).alias("block_no", "block"))
+    return b.select("day", "block_no", F.length("block").cast("bigint").alias("block_len"))
+
+
 @register("journal_rollup", uses=("notes",), sql=_ROLLUP + f"""
 SELECT day, CAST(n AS BIGINT) AS n_notes, md5(text) AS text_md5, {_TS("last_created")} AS last_created FROM r""")
 def journal_rollup(spark, sf):

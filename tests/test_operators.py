@@ -327,3 +327,15 @@ def test_refine_versions_chain(spark):
     h = lambda s: "S:" + hashlib.md5(s.encode()).hexdigest()
     assert out[(1, 1)] == h("a") and out[(1, 2)] == h(h("a")) and out[(1, 3)] == h(h(h("a")))
     assert out[(2, 3)] == ""
+
+
+def test_page_text_visible_text_only(spark):
+    from feedsift.sources.html import page_text
+
+    html = ("<!DOCTYPE html><html><head><title>T &amp; co</title><style>p{x:1}</style>"
+            "<script>var a='</p>';</script></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav>"
+            "<p>First  line</p>\n\n\n<p>Second &lt;b&gt;</p><div>Third</div></body></html>")
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
+    got = {r.page_id: r.text for r in page_text(df).collect()}
+    assert got[1] == "Home\nFirst  line\nSecond <b>\nThird"
+    assert got[2] == ""
