@@ -136,7 +136,12 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
                  q.select(F.lit("q").alias("side")).unionByName(r.select(F.lit("r").alias("side")))
                  .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
         query_blocks = query_blocks or _blocks(sizes.get("q", 0), settings.knn_block_rows)
-        rated_blocks = rated_blocks or _blocks(sizes.get("r", 0), settings.knn_block_rows)
+        if not rated_blocks:
+            # memory bound first; then, only while there are fewer block pairs than task slots, split the
+            # rated side further (never below knn_min_block_rows), so replication stays bounded
+            slots = queries.sparkSession.sparkContext.defaultParallelism
+            rated_blocks = max(_blocks(sizes.get("r", 0), settings.knn_block_rows),
+                               min(math.ceil(slots / query_blocks), _blocks(sizes.get("r", 0), settings.knn_min_block_rows)))
     # deterministic block ids: a re-executed task reproduces exactly the same assignment
     q = (q.where(F.col("qv").isNotNull())
          .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
