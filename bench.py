@@ -1,8 +1,8 @@
 """Benchmark the headline queries.
 
 Runs each headline query over ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1)
-on ``local[$BENCH_CPUS]`` (default 8): one warm-up, then the median of
-``$BENCH_REPEAT`` (default 3) timed runs.  A run executes the whole plan into
+on ``local[$BENCH_CPUS]`` (default 8): a warm-up pass over all queries, then
+the median of ``$BENCH_REPEAT`` (default 3) timed runs per query.  A run executes the whole plan into
 Spark's ``noop`` sink (no collect on the driver).  Prints one JSON line.
 
 With ``BENCH_EVENT_LOG=1`` the session also writes Spark's event log into a
@@ -89,8 +89,9 @@ def main() -> None:
     spark = local_session(cpus, app="feedsift-bench", conf=conf)
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    for name in names:                                               # warm-up pass over every query (JIT, workers)
+        run_once(spark, name, sf_dir, "#warm")
     for name in names:
-        run_once(spark, name, sf_dir, "#warm")                       # warm-up
         runs = [run_once(spark, name, sf_dir, f"#{i}") for i in range(repeat)]
         times[name] = round(statistics.median(runs), 3)
         if event_log:
