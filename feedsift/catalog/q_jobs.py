@@ -58,8 +58,9 @@ _CURATE = """
 , passed AS (SELECT f.id, f.list_name, f.title || ': ' || f.body AS content, s.relevant_score
              FROM fresh f JOIN scores s ON f.id = s.id LEFT JOIN o ON f.list_name = o.list_name
              WHERE s.relevant_score < 0 OR s.relevant_score >= coalesce(nullif(o.min_score, 0), 4.0))
-, g AS (SELECT *, md5(content) AS h, length(content) AS n,
-               (relevant_score > 0 AND relevant_score < 4) OR length(content) > 2000 AS gated FROM passed)"""
+, g AS (SELECT p.*, md5(f.body) AS h, length(f.body) AS n,
+               (p.relevant_score > 0 AND p.relevant_score < 4) OR length(p.content) > 2000 AS gated
+        FROM passed p JOIN fresh f ON p.id = f.id)"""
 
 
 @register("curate_posts", uses=("items", "visited", "ratings"), sql=_CURATE + """

@@ -153,13 +153,15 @@ def mapreduce_summary(df: DataFrame, key: str, text: str, map_model: TextModel,
 # ---------------------------------------------------------------- classify and rate
 def classify_rank(df: DataFrame, key: str, score: str, content: Column, model: TextModel, *,
                   cache: DataFrame | None = None, enabled: bool = True, short_post: bool = False,
-                  settings: Settings = DEFAULT) -> DataFrame:
+                  model_text: Column | None = None, settings: Settings = DEFAULT) -> DataFrame:
     """M4: gated rows get default labels and rate -0.02; the others are ranked (cache first) and parsed.
 
-    Adds ``topics``, ``categories``, ``rate``, ``feedback``, ``ranked``.
+    The gate measures ``content``; the model reads ``model_text`` when given
+    (posts measure ``title: text`` but prompt with ``text``, trap Q21), else
+    ``content``.  Adds ``topics``, ``categories``, ``rate``, ``feedback``, ``ranked``.
     """
     gated_flag = rank_gate(F.col(score), content, enabled=enabled, settings=settings)
-    d = df.withColumn("_content", content).withColumn("_gated", gated_flag)
+    d = df.withColumn("_content", model_text if model_text is not None else content).withColumn("_gated", gated_flag)
     label = "array<struct<name:string,score:double>>"
     gated = (d.where(F.col("_gated"))
              .withColumn("topics", F.array().cast(label)).withColumn("categories", F.array().cast(label))

@@ -69,7 +69,7 @@ def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated
     with_min = FL.with_list_min(scored, ovr, default=settings.min_score)
     passed = with_min.where(FL.passes_min(F.col("relevant_score"), F.col("min_score"))).drop("min_score")
     ranked = EN.classify_rank(passed, "id", "relevant_score", X.rank_text_post(F.col("title"), F.col("body")),
-                              model or EN.RankModel(), short_post=True, settings=settings)
+                              model or EN.RankModel(), short_post=True, model_text=F.col("body"), settings=settings)
     published = ranked.select("id", "list_name", "title", "relevant_score", "rate", "feedback",
                               L.topk_labels(F.transform("topics", lambda t: F.struct(
                                   X.label_normalise(t["name"]).alias("name"), t["score"].alias("score"))),

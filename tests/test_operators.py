@@ -339,3 +339,16 @@ def test_page_text_visible_text_only(spark):
     got = {r.page_id: r.text for r in page_text(df).collect()}
     assert got[1] == "Home\nFirst  line\nSecond <b>\nThird"
     assert got[2] == ""
+
+
+def test_rank_gate_measures_content_model_reads_text(spark):
+    # trap Q21: the gate measures "title: text", the model is prompted with the text only
+    df = spark.createDataFrame([(1, None, "t" * 1999, "body")], "id long, relevant_score double, title string, body string")
+    content = F.concat(F.col("title"), F.lit(": "), F.col("body"))
+    out = EN.classify_rank(df, "id", "relevant_score", content, EN.RankModel(), model_text=F.col("body")).first()
+    assert out.ranked is False            # 1999 + 2 + 4 > 2000 characters: gated
+    ok = EN.classify_rank(df.withColumn("title", F.lit("t")), "id", "relevant_score",
+                          F.concat(F.lit("t: "), F.col("body")), EN.RankModel(), model_text=F.col("body")).first()
+    import hashlib
+
+    assert ok.ranked and ok.feedback == "fb-" + hashlib.md5(b"body").hexdigest()[:6]
