@@ -386,9 +386,24 @@ def refine_versions(spark, sf):
 
 
 # ---------------------------------------------------------------- S11, S12, P8, J10, P6
-@register("page_text")
+def _page_text_sql() -> str:
+    """DuckDB spelling of S11 on the stored pages: drop script/style/template blocks, comments and declarations,
+    strip tags, decode the entities the pages use, collapse blank lines, strip."""
+    x = "html"
+    for pattern in (r"<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>", r"<!--.*?-->"):
+        x = f"regexp_replace({x}, '{pattern}', '', 'gs')"
+    x = f"regexp_replace(regexp_replace({x}, '<![^>]*>', '', 'g'), '<[^>]*>', '', 'g')"
+    for ent, ch in (("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&lt;", "'<'"),
+                    ("&gt;", "'>'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{ent}', {ch})"
+    collapsed = f"regexp_replace({x}, '\\n{{2,}}', chr(10), 'g')"
+    text = "coalesce(" + _STRIP.format(x=collapsed) + ", '')"
+    return f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {text} AS t FROM pages)"
+
+
+@register("page_text", uses=(), sql=_page_text_sql())
 def page_text(spark, sf):
-    """Visible text of each stored web page, blank lines collapsed (HTML parsed in mapInPandas)."""
+    """Text of each stored web page (script/style/template skipped), blank lines collapsed; HTML parsed in mapInPandas."""
     p = spark.read.parquet(f"{sf}/pages.parquet")
     t = html_page_text(p)
     return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 from feedsift.functions.text import refine_text
 from feedsift.operators.common import spread
 
-# Elements whose content is not page text.
-SKIP_TAGS = {"script", "style", "noscript", "template", "head"}
-BLOCK_TAGS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section",
-              "article", "header", "footer", "nav", "title", "pre", "blockquote"}
+# Elements whose content is not page text (the loader's text extraction skips them).
+SKIP_TAGS = {"script", "style", "template"}
 
 
 class _TextOf(HTMLParser):
+    """All text nodes in document order, entities decoded, nothing inserted between them."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
@@ -33,14 +33,10 @@ class _TextOf(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in SKIP_TAGS:
             self.skip += 1
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
 
     def handle_endtag(self, tag):
         if tag in SKIP_TAGS:
             self.skip = max(0, self.skip - 1)
-        elif tag in BLOCK_TAGS:
-            self.parts.append("\n")
 
     def handle_data(self, data):
         if not self.skip:
@@ -48,7 +44,7 @@ class _TextOf(HTMLParser):
 
 
 def html_text(html: str | None) -> str:
-    """Visible text of a page; block elements become line breaks."""
+    """Text of a page: every text node (title included) except script/style/template contents, concatenated."""
     if not html:
         return ""
     p = _TextOf()

