@@ -393,9 +393,12 @@ def _page_text_sql() -> str:
     for pattern in (r"<(script|style|template)\b[^>]*>.*?</(script|style|template)\s*>", r"<!--.*?-->"):
         x = f"regexp_replace({x}, '{pattern}', '', 'gs')"
     x = f"regexp_replace(regexp_replace({x}, '<![^>]*>', '', 'g'), '<[^>]*>', '', 'g')"
-    for ent, ch in (("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&quot;", "chr(34)"), ("&lt;", "'<'"),
-                    ("&gt;", "'>'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
-        x = f"replace({x}, '{ent}', {ch})"
+    # HTML5 decodes these legacy named references even without the ';' (e.g. "&ampX" -> "&X"); '&amp' goes last so
+    # that, as in one decoding pass, it never creates a new reference
+    for name, ch in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", "\u00a0"),
+                     ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{ch}', 'g')"
+    x = f"replace({x}, '&#39;', chr(39))"
     collapsed = f"regexp_replace({x}, '\\n{{2,}}', chr(10), 'g')"
     text = "coalesce(" + _STRIP.format(x=collapsed) + ", '')"
     return f"SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {text} AS t FROM pages)"
