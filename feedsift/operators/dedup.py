@@ -49,7 +49,8 @@ def _history_for(items: DataFrame, visited: DataFrame, on: dict[str, str], setti
     if n is None and settings.broadcast_max_rows > 0:
         n = items.limit(settings.broadcast_max_rows + 1).count()
     if n is not None and n <= settings.broadcast_max_rows:
-        keys = items.select(*[F.col(k).alias(v_) for k, v_ in on.items()]).distinct()
+        # duplicates on the build side of a semi join are harmless, so no distinct (and no shuffle) is needed
+        keys = items.select(*[F.col(k).alias(v_) for k, v_ in on.items()])
         v = v.join(F.broadcast(keys), list(on.values()), "left_semi")
     return v
 
