@@ -94,10 +94,12 @@ def _local_topk(q_ids: np.ndarray, q_vecs: np.ndarray, r_ids: np.ndarray, r_vecs
         rank_in_row = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
         keep = rank_in_row < kk
         rows, cols = rows[keep], cols[keep]
+        d = dist[rows, cols]
         out.append(pd.DataFrame({
             "query_id": q_ids[start:stop][rows],
             "item_id": r_ids[cols],
-            "distance": dist[rows, cols],
+            # an undefined similarity (zero vector under cosine) is NULL: it sorts last and passes no threshold
+            "distance": pd.array(np.where(np.isnan(d), None, d), dtype="Float64"),
         }))
     if not out:
         return pd.DataFrame({"query_id": [], "item_id": [], "distance": []})

@@ -352,3 +352,10 @@ def test_rank_gate_measures_content_model_reads_text(spark):
     import hashlib
 
     assert ok.ranked and ok.feedback == "fb-" + hashlib.md5(b"body").hexdigest()[:6]
+
+
+def test_cosine_zero_vector_never_ranks_first(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    r = spark.createDataFrame([(10, [0.0, 0.0]), (11, [0.5, 0.5]), (12, [-1.0, 0.2])], "item_id long, embedding array<double>")
+    got = [(x.item_id, x.distance) for x in knn.knn_join(q, r, 3, "COSINE").orderBy("rnk").collect()]
+    assert [g[0] for g in got] == [11, 12, 10] and got[-1][1] is None
