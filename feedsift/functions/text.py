@@ -249,6 +249,22 @@ def html_unescape_basic(col) -> Column:
     return c
 
 
+def html_unescape_full(col) -> Column:
+    """P26 (the rest): every HTML5 character reference, decoded by the standard library in an Arrow-batched
+    pandas UDF.  Use after ``html_unescape_basic`` only where a ``&`` is left (the JVM path covers the usual five)."""
+    import html as _html
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    @F.pandas_udf(T.StringType())
+    def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda v: None if v is None else _html.unescape(v))
+
+    return unescape(_c(col))
+
+
 def collection_name(model, as_of, prefix: str = "news") -> Column:
     """``{prefix}_{model with \\W+ -> _}__{date with - -> _}``."""
     return F.concat(F.lit(prefix + "_"), F.regexp_replace(_c(model), r"\W+", "_"), F.lit("__"),
