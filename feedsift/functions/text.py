@@ -6,6 +6,10 @@ codegen; nothing leaves the JVM.
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,15 +256,10 @@ def html_unescape_basic(col) -> Column:
 def html_unescape_full(col) -> Column:
     """P26 (the rest): every HTML5 character reference, decoded by the standard library in an Arrow-batched
     pandas UDF.  Use after ``html_unescape_basic`` only where a ``&`` is left (the JVM path covers the usual five)."""
-    import html as _html
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf(T.StringType())
     def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda v: None if v is None else _html.unescape(v))
+            yield s.map(lambda v: None if v is None else html.unescape(v))
 
     return unescape(_c(col))
 
