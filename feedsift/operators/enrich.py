@@ -137,8 +137,10 @@ def mapreduce_summary(df: DataFrame, key: str, text: str, map_model: TextModel,
     """Chunk -> model per chunk -> ordered combine per text -> model once more.
 
     The chunk outputs of one text are re-assembled in chunk order (explicit
-    ``chunk_no``; ``collect_list`` order is not relied on).  A text's chunk
-    count is bounded by its length, so no group grows with the table.
+    ``chunk_no``; ``collect_list`` order is not relied on).  The text is cut
+    to ``limit`` characters first, so a group holds at most
+    ``ceil((limit - size) / (size - overlap)) + 1`` chunks (12 with the
+    defaults) and never grows with the table.
     """
     src = spread(df.select(key, truncate(F.col(text), limit).alias("_t")))
     chunks = explode_chunks(src, key, "_t", size, overlap)
