@@ -27,15 +27,25 @@ def write_snapshot(df: DataFrame, folder: str, run_id: str) -> None:
 
 
 # ---------------------------------------------------------------- K2 / K12
-def vector_rows(df: DataFrame, key: str, embedding: Column, *, model: str, as_of: str) -> DataFrame:
-    """K2: rows of the dated vector collection ``(model, as_of, item_id, embedding)``."""
+def vector_rows(df: DataFrame, key: str, embedding: Column, *, model: str, as_of: str,
+                dim: int | None = None) -> DataFrame:
+    """K2: rows of the dated vector collection ``(model, as_of, item_id, embedding, error)``.
+
+    With ``dim`` a row whose vector is missing or of another size gets an
+    ``error`` (counted per row, never raised); append only the rows without one.
+    """
+    e = embedding.cast("array<float>")
+    err = F.lit(None).cast("string")
+    if dim is not None:
+        err = F.when(e.isNull() | (F.size(e) != dim), F.lit("bad vector size")).otherwise(err)
     return df.select(F.lit(model).alias("model"), F.to_date(F.lit(as_of)).alias("as_of"),
-                     F.col(key).cast("string").alias("item_id"), embedding.cast("array<float>").alias("embedding"))
+                     F.col(key).cast("string").alias("item_id"), e.alias("embedding"), err.alias("error"))
 
 
 def append_vectors(rows: DataFrame, path: str) -> None:
-    """K2: append into the table partitioned by (model, as_of); callers anti-join ``visited`` first."""
-    rows.write.mode("append").partitionBy("model", "as_of").parquet(path)
+    """K2: append the error-free rows into the table partitioned by (model, as_of); callers anti-join ``visited`` first."""
+    ok = rows.where(F.col("error").isNull()).drop("error") if "error" in rows.columns else rows
+    ok.write.mode("append").partitionBy("model", "as_of").parquet(path)
 
 
 def retention_keep(vectors: DataFrame, run_date: str, days: int) -> DataFrame:
