@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from feedsift.bind import binding
 from feedsift.catalog import register
 from feedsift.catalog.util import RUN_TS, ts
-from feedsift.functions import text as X
 from feedsift.operators import filters as FL
 from feedsift.operators import stats as ST
 from feedsift.operators.dedup import visited_flags
@@ -216,5 +215,3 @@ def collection_stats(spark, sf):
     out = ST.collection_stats(binding(spark, sf, "vectors"))
     return out.select("model", "as_of", F.col("n_rows").cast("bigint"), "is_empty")
 
-
-__all__ = ["X"]
