@@ -367,3 +367,30 @@ def test_html_unescape_basic_and_full(spark):
     full = [r.f for r in df.select(X.html_unescape_full("u").alias("f")).collect()]
     assert basic[0] == "a & b <c> \"d\" 'e'" and full[0] == basic[0]
     assert full[1] == "x é é …" and full[2] is None
+
+
+def test_empty_inputs_cold_start(spark):
+    """Cold start: empty batches, histories and collections flow through without errors."""
+    items = spark.createDataFrame([], "id long, list_name string, title string, body string")
+    some = spark.createDataFrame([(1, "l", "t", "b")], "id long, list_name string, title string, body string")
+    visited = spark.createDataFrame([], "item_id long, list_name string")
+    on = {"id": "item_id", "list_name": "list_name"}
+    assert D.anti_join_visited(items, visited, on).count() == 0
+    assert D.anti_join_visited(some, visited, on).count() == 1
+    assert D.dedup_tallies(some, visited, on, ["list_name"]).first().new == 1
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    empty_vec = spark.createDataFrame([], "item_id long, embedding array<double>")
+    empty_meta = spark.createDataFrame([], "item_id long, user_rating int")
+    assert knn.knn_join(q.limit(0), empty_vec, 2, "IP").count() == 0
+    assert [r.relevant_score for r in knn.relevance_score(q, empty_vec, empty_meta, 2, "IP", 0.3).collect()] == [-1.0]
+    state = spark.createDataFrame([], "k long, v string")
+    delta = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert [r.v for r in S.upsert(state, delta, "k", overwrite=False).collect()] == ["a"]
+    assert S.upsert(state, state, "k", overwrite=True).count() == 0
+    wm = spark.createDataFrame([], "source string, ts timestamp_ntz")
+    batch = spark.createDataFrame([], "source string, t timestamp_ntz")
+    assert S.advance_watermarks(wm, batch, "source", "t").count() == 0
+    assert ST.funnel_counts(items, ["list_name"], {"total_input": F.lit(True)}).count() == 0
+    assert CH.explode_chunks(items, "id", "body", 1024, 128).count() == 0
+    assert EN.classify_rank(items.withColumn("relevant_score", F.lit(1.0)), "id", "relevant_score", F.col("body"),
+                            EN.RankModel()).count() == 0
