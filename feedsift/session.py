@@ -81,9 +81,20 @@ def ensure_importable(spark: SparkSession) -> None:
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     if not sc.master.startswith("local"):
-        import shutil
-
-        base = os.path.join(tempfile.mkdtemp(prefix="feedsift-pkg-"), "feedsift")
-        zip_path = shutil.make_archive(base, "zip", root_dir=root, base_dir="feedsift")
-        sc.addPyFile(zip_path)
+        sc.addPyFile(package_zip())
     _SHIPPED.add(key)
+
+
+def package_zip() -> str:
+    """Zip the ``feedsift`` package (sources only) for ``addPyFile`` / ``--py-files``; returns the archive path."""
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="feedsift-pkg-"), "feedsift.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _dirs, files in os.walk(os.path.join(root, "feedsift")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    return path

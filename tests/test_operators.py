@@ -394,3 +394,13 @@ def test_empty_inputs_cold_start(spark):
     assert CH.explode_chunks(items, "id", "body", 1024, 128).count() == 0
     assert EN.classify_rank(items.withColumn("relevant_score", F.lit(1.0)), "id", "relevant_score", F.col("body"),
                             EN.RankModel()).count() == 0
+
+
+def test_package_zip_holds_the_package():
+    import zipfile
+
+    from feedsift.session import package_zip
+
+    names = zipfile.ZipFile(package_zip()).namelist()
+    assert "feedsift/__init__.py" in names and "feedsift/operators/knn.py" in names
+    assert all(n.endswith(".py") for n in names)
