@@ -404,3 +404,24 @@ def test_package_zip_holds_the_package():
     names = zipfile.ZipFile(package_zip()).namelist()
     assert "feedsift/__init__.py" in names and "feedsift/operators/knn.py" in names
     assert all(n.endswith(".py") for n in names)
+
+
+def test_recursive_chunks_cover_whole_texts(spark):
+    """M1 (separator-aware) on the real documents: chunks are in-order substrings of at most 2048 characters that
+    together cover every non-whitespace character of the text."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    df = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    chunks: dict[int, list[tuple[int, str]]] = {}
+    for r in CH.recursive_chunks(df, "doc_id", "text", 2048, 256).collect():
+        chunks.setdefault(r.doc_id, []).append((r.chunk_no, r.chunk))
+    for k, text in docs.items():
+        covered = [False] * len(text)
+        start = 0
+        for _, ch in sorted(chunks.get(k, [])):
+            assert 0 < len(ch) <= 2048
+            pos = text.find(ch, start)
+            assert pos >= 0, (k, ch[:40])
+            for i in range(pos, pos + len(ch)):
+                covered[i] = True
+            start = pos + 1
+        assert all(c or text[i].isspace() for i, c in enumerate(covered)), k
