@@ -51,12 +51,12 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def pack_u(a: np.ndarray) -> bytes:
-    """A non-decreasing or arbitrary uint64 array as zstd-compressed byte planes of its differences."""
+def pack_u(a: np.ndarray, delta: bool = True) -> bytes:
+    """Unsigned numbers as zstd-compressed byte planes, of their differences if ``delta`` (for ascending ones)."""
     import zstandard
 
     a = np.ascontiguousarray(a, np.uint64)
-    d = np.diff(a, prepend=np.uint64(0))
+    d = np.diff(a, prepend=np.uint64(0)) if delta else a
     planes = d.view(np.uint8).reshape(-1, 8).T
     used = [i for i in range(8) if planes[i].any()] if len(a) else []
     body = b"".join(np.ascontiguousarray(planes[i]).tobytes() for i in used)
@@ -64,7 +64,7 @@ def pack_u(a: np.ndarray) -> bytes:
     return head + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def unpack_u(b: bytes) -> np.ndarray:
+def unpack_u(b: bytes, delta: bool = True) -> np.ndarray:
     import zstandard
 
     n, mask = int.from_bytes(b[:8], "little"), b[8]
@@ -75,7 +75,7 @@ def unpack_u(b: bytes) -> np.ndarray:
         if mask >> i & 1:
             out[:, i] = np.frombuffer(body, np.uint8, n, at)
             at += n
-    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64) if delta else out.view(np.uint64).ravel()
 
 
 class Blob:
@@ -98,6 +98,28 @@ class Blob:
         return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
 
 
+MESSAGE = "to long, src long, payload binary"
+_MESSAGE = pa.schema([("to", pa.int64()), ("src", pa.int64()), ("payload", pa.binary())])
+
+
+def messages(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_MESSAGE)], schema=_MESSAGE)
+
+
+def by_segment(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(segment, first, end) of the runs of ascending ``keys`` that agree above the lowest ``shift`` bits."""
+    if not len(keys):
+        return []
+    seg = keys >> np.uint64(shift)
+    at = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1, [len(keys)]]).tolist()
+    return [(int(seg[a]), a, z) for a, z in zip(at, at[1:])]
+
+
+def group_rows(t: pa.Table) -> list[dict]:
+    """A group's messages in order of their source."""
+    return sorted(t.to_pylist(), key=lambda r: r["src"])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise a 64-bit value so that all its bits depend on all input bits."""
     x = x ^ (x >> np.uint64(31))

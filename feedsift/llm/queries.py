@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedsift.session import ensure_importable
 
-from . import ann, decontam, line_dedup, packing, secrets, simhash, toxicity, wavelet
+from . import ann, decontam, line_dedup, ngram_lm, packing, secrets, simhash, substring, toxicity, wavelet
 from .common import crc_fold, table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,12 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(shards)
 
 
+@query()
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and bigram log10 probability of every document, learnt from nine of ten folds."""
+    return ngram_lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
 @query()
 def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the positive-unlabelled model fitted on four of five folds."""
@@ -96,6 +102,22 @@ def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), width=1024, end_id=0).drop("ids")
 
 
+@query(r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(w, i, i + 19), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT r, list_sort(list(DISTINCT p)) AS gone FROM (SELECT r, unnest(range(i, i + 20)) AS p FROM later) GROUP BY r),
+kept AS (SELECT r, coalesce(string_agg(w[p], ' ' ORDER BY p), '') AS kept
+  FROM (SELECT r, w, gone, unnest(range(1, len(w) + 1)) AS p FROM d LEFT JOIN gone USING (r)) WHERE gone IS NULL OR NOT list_contains(gone, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r)
+""")
+def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier."""
+    got = substring.dedup(table(spark, sf_dir, "documents"), window=20)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
