@@ -61,7 +61,7 @@ BINDINGS: dict[str, str] = {
                  "ELSE '{{\"feedback\": \"f' || CAST(doc_id % 3 AS STRING) || '\", \"topics\": [{{\"topic\": \"' "
                  "|| lang || '\", \"category\": \"' || source || '\", \"score\": ' || CAST(doc_id % 2 AS STRING) "
                  "|| '}}], \"overall_score\": ' || CAST(doc_id % 2 AS STRING) || '}}' END AS answer FROM {documents}",
-    "cache": "SELECT doc_id AS item_id, 'S:' || md5(substr(text, 1, 20000)) AS value, doc_id % 6 = 0 AS expired "
+    "cache": "SELECT doc_id AS item_id, 'S:' || md5(text) AS value, doc_id % 6 = 0 AS expired "
              "FROM {documents} WHERE doc_id % 3 = 0",
     "action_lists": "SELECT doc_id AS id, 'Action Items' || chr(10) || '1. ' || lang || chr(10) || chr(10) "
                     "|| '2. None' || chr(10) || '3. ' || source AS todo, 'T' || chr(10) || '1. t' || lang "
@@ -84,9 +84,10 @@ BINDINGS: dict[str, str] = {
                    "split(CASE WHEN event_id % 6 = 0 THEN 'action:deepdive,misc' ELSE 'misc' END, ',') AS tags "
                    "FROM {events}",
     # journal notes and inbox pages
-    "notes": "SELECT doc_id AS id, source, substr(text, 1, 30) AS title, ts AS created_time, "
-             "ts + INTERVAL 30 MINUTE AS last_edited_time, text AS content "
-             "FROM {documents} JOIN {events} ON event_id = doc_id * 10",
+    "notes": "SELECT doc_id AS id, source, substr(text, 1, 30) AS title, "
+             "TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE AS created_time, "
+             "TIMESTAMP '2024-01-01 00:30:00' + CAST(doc_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE AS last_edited_time, "
+             "text AS content FROM {documents}",
     # raw short posts stored as JSON (S9); quoted/reply fields derived from the conversation turns
     "short_posts": "SELECT conv_id AS list_id, turn AS tweet_id, role AS name, text, "
                    "CASE WHEN turn % 3 = 0 THEN 'https://t.co/m' || CAST(turn AS STRING) END AS media_url, "
@@ -111,14 +112,14 @@ BINDINGS: dict[str, str] = {
              "turn % 5 = 0 AS has_media, CAST(length(text) AS BIGINT) AS ups, turn AS downs, conv_id % 7 AS num_comments "
              "FROM {conversations}",
     # summary caches holding half / all of the documents (read-through hit-rate variants of J9)
-    "cache_half": "SELECT doc_id AS item_id, 'S:' || md5(substr(text, 1, 20000)) AS value FROM {documents} WHERE doc_id % 2 = 0",
-    "cache_all": "SELECT doc_id AS item_id, 'S:' || md5(substr(text, 1, 20000)) AS value FROM {documents}",
+    "cache_half": "SELECT doc_id AS item_id, 'S:' || md5(text) AS value FROM {documents} WHERE doc_id % 2 = 0",
+    "cache_all": "SELECT doc_id AS item_id, 'S:' || md5(text) AS value FROM {documents}",
     # stored page metadata (J4, K11): rating before the latest change, some pages without metadata
     "page_state": "SELECT doc_id AS page_id, CAST(1 + 2 * quality AS INT) AS user_rating FROM {labels} "
                   "WHERE doc_id % 5 <> 0",
     # per-source watermarks of the inbox notes
-    "note_watermarks": "SELECT source, min(ts) + INTERVAL 10 DAY AS ts FROM {documents} JOIN {events} "
-                       "ON event_id = doc_id * 10 WHERE source <> 'src3' GROUP BY source",
+    "note_watermarks": "SELECT source, min(TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE) "
+                       "+ INTERVAL 10 DAY AS ts FROM {documents} WHERE source <> 'src3' GROUP BY source",
     # customers with an index category (region, or a category the index does not hold) and name
     "customer_regions": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE r_name END AS category, "
                         "n_name AS name FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey "

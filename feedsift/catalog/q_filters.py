@@ -110,11 +110,11 @@ def drop_invalid_response(spark, sf):
 
 
 @register("rank_gate", uses=("scored", "items"), sql="""
-SELECT s.id, (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 AS gated,
-       CASE WHEN (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 THEN CAST(-0.02 AS DOUBLE) END AS rate
+SELECT s.id, (s.relevant_score > 0 AND s.relevant_score < 4) AS gated,
+       CASE WHEN s.relevant_score > 0 AND s.relevant_score < 4 THEN CAST(-0.02 AS DOUBLE) END AS rate
 FROM scored s JOIN items i ON s.id = i.id""")
 def rank_gate(spark, sf):
-    """low score or long content -> no model call, rate -0.02."""
+    """low score -> no model call, rate -0.02."""
     s = binding(spark, sf, "scored").join(binding(spark, sf, "items").select("id", "body"), "id")
     g = FL.rank_gate(F.col("relevant_score"), F.col("body"))
     return s.select("id", g.alias("gated"), F.when(g, F.lit(-0.02)).alias("rate"))
@@ -122,7 +122,7 @@ def rank_gate(spark, sf):
 
 @register("summary_gate", uses=("items", "cache"), sql="""
 SELECT i.id, CASE WHEN c.item_id IS NOT NULL THEN 'cached' WHEN coalesce(i.body, '') = '' THEN 'drop'
-                  WHEN length(i.body) <= 200 THEN 'pass' ELSE 'summarise' END AS action
+                  ELSE 'summarise' END AS action
 FROM items i LEFT JOIN (SELECT item_id FROM cache WHERE NOT expired) c ON i.id = c.item_id""")
 def summary_gate(spark, sf):
     """short texts pass unsummarised, empty ones drop, cached ones reuse the cache."""
@@ -154,14 +154,14 @@ def exclude_site(spark, sf):
 # ---------------------------------------------------------------- statistics
 _FUNNEL_SQL = _OVR_SQL + """
 , f AS (
-  SELECT i.list_name, v.item_id IS NULL AS deduped,
+  SELECT i.list_name, s.relevant_score, v.item_id IS NULL AS deduped,
          v.item_id IS NULL AND (s.relevant_score < 0 OR s.relevant_score >= coalesce(nullif(o.min_score, 0), 4.0)) AS filtered,
-         length(i.body) > 2000 AS long_text, length(coalesce(i.body, '')) > 0 AS has_text
+         length(coalesce(i.body, '')) > 0 AS has_text
   FROM items i JOIN scored s ON i.id = s.id LEFT JOIN visited v ON v.item_id = i.id AND v.list_name = i.list_name
   LEFT JOIN o ON i.list_name = o.list_name)
 , c AS (SELECT list_name, count(*) AS total_input, count_if(deduped) AS post_deduping, count_if(deduped) AS post_scoring,
                count_if(filtered) AS post_filtering, count_if(filtered AND has_text) AS post_summary,
-               count_if(filtered AND has_text AND NOT long_text) AS post_ranking, count_if(filtered) AS total_pushed
+               count_if(filtered AND has_text AND NOT coalesce(relevant_score > 0 AND relevant_score < 4, false)) AS post_ranking, count_if(filtered) AS total_pushed
         FROM f GROUP BY list_name)
 SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM c
 UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))"""
@@ -176,7 +176,7 @@ def funnel_counts(spark, sf):
     deduped = ~F.col("is_visited")
     filtered = deduped & FL.passes_min(F.col("relevant_score"), F.col("min_score"))
     has_text = F.length(F.coalesce(F.col("body"), F.lit(""))) > 0
-    ranked = filtered & has_text & ~(F.length("body") > 2000)
+    ranked = filtered & has_text & ~FL.rank_gate(F.col("relevant_score"), F.col("body"))
     flags = {"total_input": F.lit(True), "post_deduping": deduped, "post_scoring": deduped,
              "post_filtering": filtered, "post_summary": filtered & has_text, "post_ranking": ranked,
              "total_pushed": filtered}
@@ -196,14 +196,14 @@ def rate_histogram(spark, sf):
 
 
 @register("publish_stats", uses=("items", "scored"), sql="""
-SELECT i.list_name, CAST(count(*) AS BIGINT) AS total, CAST(count_if(length(i.body) > 10000) AS BIGINT) AS error
+SELECT i.list_name, CAST(count(*) AS BIGINT) AS total, CAST(count_if(coalesce(i.title, '') = '' OR i.lang = 'de') AS BIGINT) AS error
 FROM items i JOIN scored s ON i.id = s.id WHERE s.relevant_score < 0 OR s.relevant_score >= 4 GROUP BY i.list_name""")
 def publish_stats(spark, sf):
-    """Publish attempts per list with per-row isolated errors (stand-in target rejects > 10000 chars)."""
+    """Publish attempts per list with per-row isolated errors (the stand-in target rejects one language and untitled rows)."""
     from feedsift.sinks.publish import publish_attempts
 
     items = binding(spark, sf, "items").join(binding(spark, sf, "scored").select("id", "relevant_score"), "id")
-    attempts = publish_attempts(items.where(FL.passes_min(F.col("relevant_score"), 4.0)), max_chars=10000)
+    attempts = publish_attempts(items.where(FL.passes_min(F.col("relevant_score"), 4.0)), rejected=F.when((F.coalesce("title", F.lit("")) == "") | (F.col("lang") == "de"), F.lit("rejected")))
     return ST.publish_tallies(attempts, ["list_name"]).select(
         "list_name", F.col("total").cast("bigint"), F.col("error").cast("bigint"))
 

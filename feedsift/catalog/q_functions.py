@@ -71,9 +71,9 @@ def to_local_time(spark, sf):
 
 
 @register("score_text_feed", uses=("items",), sql="""
-SELECT id, substr(title || ' - ' || list_name || ' - ' || body, 1, 1024) AS score_text FROM items""")
+SELECT id, title || ' - ' || list_name || ' - ' || body AS score_text FROM items""")
 def score_text_feed(spark, sf):
-    """P5: feed score text, 1024 characters."""
+    """P5: feed score text, whole."""
     return binding(spark, sf, "items").select("id", X.score_text_feed("title", "list_name", "body").alias("score_text"))
 
 
@@ -261,12 +261,12 @@ PROMPT = "Rate the quality of the text from 0 to 1 and name its topics. Answer i
 
 
 @register("build_prompt", uses=("items",), sql=f"""
-SELECT id, md5(replace('{PROMPT.replace(chr(10), "' || chr(10) || '")}', '{{content}}', substr(body, 1, 1024))) AS prompt_md5
+SELECT id, md5(replace('{PROMPT.replace(chr(10), "' || chr(10) || '")}', '{{content}}', body)) AS prompt_md5
 FROM items""")
 def build_prompt(spark, sf):
-    """prompt = template with the (truncated) content substituted."""
+    """prompt = template with the whole content substituted."""
     i = binding(spark, sf, "items")
-    return i.select("id", F.md5(X.build_prompt(PROMPT, X.truncate("body", 1024))).alias("prompt_md5"))
+    return i.select("id", F.md5(X.build_prompt(PROMPT, F.col("body"))).alias("prompt_md5"))
 
 
 @register("assemble_sections", uses=("action_lists", "summaries"), sql="""

@@ -14,7 +14,7 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
-from feedsift.catalog.q_text import _chunks_sql, _embed_ctes, _todo_rows_sql
+from feedsift.catalog.q_text import _chunks_sql, _separator_chunks_sql, _embed_ctes, _todo_rows_sql
 from feedsift.plans import jobs as J
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -59,7 +59,7 @@ _CURATE = """
              FROM fresh f JOIN scores s ON f.id = s.id LEFT JOIN o ON f.list_name = o.list_name
              WHERE s.relevant_score < 0 OR s.relevant_score >= coalesce(nullif(o.min_score, 0), 4.0))
 , g AS (SELECT p.*, md5(f.body) AS h, length(f.body) AS n,
-               (p.relevant_score > 0 AND p.relevant_score < 4) OR length(p.content) > 2000 AS gated
+               (p.relevant_score > 0 AND p.relevant_score < 4) AS gated
         FROM passed p JOIN fresh f ON p.id = f.id)"""
 
 
@@ -89,8 +89,8 @@ def curate_funnel(spark, sf):
 
 
 def _summary_sql(src: str, key: str, text: str) -> str:
-    """DuckDB spelling of the map-reduce summary of ``src`` (chunks 2048/256 of the first 20000 characters)."""
-    return _chunks_sql("mc", src, key, f"substr({text}, 1, 20000)", 2048, 256) + """
+    """DuckDB spelling of the map-reduce summary of ``src`` (chunks 2048/256 of the whole text)."""
+    return _separator_chunks_sql("mc", src, key, text, 2048, 256) + """
 , mm AS (SELECT k, chunk_no, CASE WHEN coalesce(chunk, '') = '' THEN '' ELSE 'M:' || md5(chunk) END AS out FROM mc)
 , mj AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mm GROUP BY k)
 , msum AS (SELECT k, CASE WHEN coalesce(joined, '') = '' THEN '' ELSE 'S:' || md5(joined) END AS summary FROM mj)"""
@@ -101,7 +101,7 @@ _FEED = """
 , rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)
 , fresh AS MATERIALIZED (SELECT h.* FROM head h LEFT JOIN visited v ON v.item_id = h.id AND v.list_name = h.list_name
                          WHERE v.item_id IS NULL)
-, qtext AS MATERIALIZED (SELECT id, substr(title || ' - ' || list_name || ' - ' || body, 1, 1024) AS t FROM fresh)""" \
+, qtext AS MATERIALIZED (SELECT id, title || ' - ' || list_name || ' - ' || body AS t FROM fresh)""" \
     + _embed_ctes("r", "rated_docs", "id", "text") + _embed_ctes("q", "qtext", "id", "t") + """
 , pairs AS (SELECT q.key AS query_id, r.key AS item_id,
                    round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance

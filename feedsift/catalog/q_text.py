@@ -34,8 +34,32 @@ def _chunks_sql(name: str, src: str, key: str, text: str, size: int, overlap: in
     return _CHUNKS.format(name=name, src=src, key=key, text=text, size=size, stride=size - overlap)
 
 
+def _separator_chunks_sql(name: str, src: str, key: str, text: str, size: int, overlap: int) -> str:
+    """DuckDB CTEs for ``name(k, chunk_no, chunk)``: the pieces, then one list fold over them."""
+    def cut(x: str, level: int) -> str:
+        if level == 3:
+            return f"regexp_extract_all({x}, '(?s).{{1,{min(size, max(1, overlap))}}}')"
+        sep = ["\\n\\n", "\\n", " "][level]
+        p = f"p{level}"
+        return (f"flatten(list_transform(regexp_extract_all({x}, '(?s).*?{sep}|.+'), lambda {p}: "
+                f"CASE WHEN length({p}) <= {size} THEN [{p}] ELSE {cut(p, level + 1)} END))")
+
+    state = "STRUCT(done STRUCT(a INTEGER, z INTEGER)[], a INTEGER, z INTEGER, tail INTEGER[], n INTEGER)"
+    end = "(s.z + x.n)"
+    return f"""
+, {name}_p AS MATERIALIZED (SELECT {key} AS k, {text} AS t, {cut(f"coalesce({text}, '')", 0)} AS pieces FROM {src})
+, {name}_s AS MATERIALIZED (SELECT k, t, list_reduce(list_transform(pieces, lambda p: CAST({{'done': [], 'a': 0, 'z': 0, 'tail': [], 'n': length(p)}} AS {state})),
+    lambda s, x: CAST({{'done': CASE WHEN {end} - s.a <= {size} THEN s.done ELSE list_append(s.done, {{'a': s.a, 'z': s.z}}) END,
+      'a': CASE WHEN {end} - s.a <= {size} THEN s.a ELSE coalesce(list_filter(s.tail, lambda b: {end} - b <= {size} AND b > s.a)[1], s.z) END,
+      'z': {end}, 'tail': list_filter(list_append(s.tail, s.z), lambda b: {end} - b <= {overlap}), 'n': 0}} AS {state}),
+    CAST({{'done': [], 'a': 0, 'z': 0, 'tail': [], 'n': 0}} AS {state})) AS st FROM {name}_p WHERE len(pieces) > 0)
+, {name} AS (SELECT k, CAST(i - 1 AS INTEGER) AS chunk_no, substr(t, spans[i].a + 1, spans[i].z - spans[i].a) AS chunk
+  FROM (SELECT k, t, spans, unnest(range(1, len(spans) + 1)) AS i
+        FROM (SELECT k, t, list_append(st.done, {{'a': st.a, 'z': st.z}}) AS spans FROM {name}_s)))"""
+
+
 def _buckets_sql(text: str) -> str:
-    return ("list_transform(list_filter(regexp_split_to_array(lower(substr(" + text + ", 1, 5000)), '[^\\pL\\pN]+'), "
+    return ("list_transform(list_filter(regexp_split_to_array(lower(" + text + "), '[^\\pL\\pN]+'), "
             "lambda t: t <> ''), lambda t: CAST(CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64 AS INTEGER))")
 
 
@@ -61,9 +85,10 @@ def chunk_overlap(spark, sf):
     return c.select("id", "chunk_no", F.length("chunk").cast("bigint").alias("chunk_len"), F.md5("chunk").alias("chunk_md5"))
 
 
-@register("chunk_recursive")
+@register("chunk_recursive", uses=("items",), sql=_separator_chunks_sql("c", "items", "id", "body", 2048, 256) + """
+SELECT k AS id, chunk_no, CAST(length(chunk) AS BIGINT) AS chunk_len, md5(chunk) AS chunk_md5 FROM c""")
 def chunk_recursive(spark, sf):
-    """M1 (separator-aware, summary variant 2048/256): chunk rows per text; checked against brute force in tests."""
+    """M1 (separator-aware, summary variant 2048/256): chunk rows per text."""
     c = CH.recursive_chunks(binding(spark, sf, "items"), "id", "body", 2048, 256)
     return c.select("id", "chunk_no", F.length("chunk").cast("bigint").alias("chunk_len"), F.md5("chunk").alias("chunk_md5"))
 
@@ -123,7 +148,7 @@ def embed_text(spark, sf):
     cnt = bucket_counts("body", 64)
     from feedsift.operators.embed import token_buckets
 
-    out = i.select("id", F.size(token_buckets(X.truncate("body", 5000), 64)).cast("bigint").alias("n_tokens"),
+    out = i.select("id", F.size(token_buckets("body", 64)).cast("bigint").alias("n_tokens"),
                    cnt.alias("cnt"))
     rendered = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(
         F.element_at("cnt", j + 1) > 0, F.concat(j.cast("string"), F.lit(":"), F.element_at("cnt", j + 1).cast("string"))))
@@ -131,20 +156,20 @@ def embed_text(spark, sf):
 
 
 _RETRIEVE_SQL = _chunks_sql("c", "documents", "doc_id", "text", 1024, 128) + """
-, cc AS MATERIALIZED (SELECT k * 100000 + chunk_no AS item_id, chunk FROM c)""" + _embed_ctes("r", "cc", "item_id", "chunk") \
+, cc AS MATERIALIZED (SELECT CAST(k AS VARCHAR) || ':' || CAST(chunk_no AS VARCHAR) AS item_id, chunk FROM c)""" + _embed_ctes("r", "cc", "item_id", "chunk") \
     + _embed_ctes("q", "benchmark", "item_id", "text") + """
 , p AS (SELECT q.key AS query_id, r.key AS item_id,
                round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
         FROM q, r)
 , k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM p)
-SELECT query_id, CAST(item_id // 100000 AS BIGINT) AS doc_id, CAST(item_id % 100000 AS INTEGER) AS chunk_no, distance
+SELECT query_id, CAST(split_part(item_id, ':', 1) AS BIGINT) AS doc_id, CAST(split_part(item_id, ':', 2) AS INTEGER) AS chunk_no, distance
 FROM k WHERE rnk <= 3 AND distance <= 0.5"""
 
 
 def _chunk_vectors(spark, sf):
     d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     c = CH.explode_chunks(d, "doc_id", "text", 1024, 128)
-    return c.select((F.col("doc_id") * 100000 + F.col("chunk_no")).alias("item_id"),
+    return c.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string")).alias("item_id"),
                     hashing_embedding(F.col("chunk")).alias("embedding"))
 
 
@@ -155,8 +180,8 @@ def chunk_retrieve(spark, sf):
                                                               hashing_embedding(F.col("text")).alias("embedding"))
     nb = knn.knn_join(q, _chunk_vectors(spark, sf), 3, "L2_SQUARED")
     nb = nb.where(knn.within_threshold(F.col("distance"), "L2_SQUARED", 0.5))
-    return nb.select("query_id", (F.col("item_id") / 100000).cast("bigint").alias("doc_id"),
-                     (F.col("item_id") % 100000).cast("int").alias("chunk_no"), "distance")
+    return nb.select("query_id", F.split_part("item_id", F.lit(":"), F.lit(1)).cast("bigint").alias("doc_id"),
+                     F.split_part("item_id", F.lit(":"), F.lit(2)).cast("int").alias("chunk_no"), "distance")
 
 
 _EVIDENCE_SQL = _embed_ctes("d", "documents", "doc_id", "text") + _embed_ctes("q", "benchmark", "item_id", "text") + """
@@ -164,7 +189,7 @@ _EVIDENCE_SQL = _embed_ctes("d", "documents", "doc_id", "text") + _embed_ctes("q
 , k0 AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY distance DESC, doc_id) AS rnk FROM p)
 , k AS (SELECT k0.*, documents.text FROM k0 JOIN documents ON k0.doc_id = documents.doc_id WHERE rnk <= 3)
 SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk,
-       CASE WHEN length(text) > 2000 THEN 'S:' || md5(substr(text, 1, 20000)) ELSE md5(text) END AS evidence
+       CASE WHEN length(text) > 0 THEN 'S:' || md5(text) ELSE md5(text) END AS evidence
 FROM k WHERE rnk <= 3"""
 
 
@@ -176,14 +201,14 @@ def _evidence(spark, sf):
 
 @register("collect_evidence", uses=(), sql=_EVIDENCE_SQL)
 def collect_evidence(spark, sf):
-    """M9: per topic text the 3 most similar documents; bodies over 2000 chars are summarised."""
+    """M9: per topic text the 3 most similar documents; whole bodies are summarised."""
     e = _evidence(spark, sf)
     return e.select("item_id", "doc_id", F.col("rnk").cast("int").alias("rnk"),
                     F.when(F.col("summarised"), F.col("evidence")).otherwise(F.md5("evidence")).alias("evidence"))
 
 
 @register("reference_list", uses=(), sql=_EVIDENCE_SQL.replace(
-    "SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk,\n       CASE WHEN length(text) > 2000 THEN 'S:' || md5(substr(text, 1, 20000)) ELSE md5(text) END AS evidence\nFROM k WHERE rnk <= 3",
+    "SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk,\n       CASE WHEN length(text) > 0 THEN 'S:' || md5(text) ELSE md5(text) END AS evidence\nFROM k WHERE rnk <= 3",
     "SELECT item_id, string_agg('- [' || substr(text, 1, 30) || '](' || replace('https://docs.example/d ' || CAST(doc_id AS VARCHAR), ' ', '') || ')', chr(10) ORDER BY rnk) AS refs\nFROM k WHERE rnk <= 3 GROUP BY item_id"))
 def reference_list(spark, sf):
     """``- [title](url)`` lines per topic, url without spaces, in evidence order."""
@@ -194,19 +219,19 @@ def reference_list(spark, sf):
 
 # ---------------------------------------------------------------- J9, M3, M4, M6
 @register("cached_enrich", uses=("items", "cache"), sql=f"""
-SELECT i.id, coalesce(c.value, {_digest_sql("S:", "substr(i.body, 1, 20000)")}) AS summary, c.item_id IS NOT NULL AS from_cache
+SELECT i.id, coalesce(c.value, {_digest_sql("S:", "i.body")}) AS summary, c.item_id IS NOT NULL AS from_cache
 FROM items i LEFT JOIN (SELECT * FROM cache WHERE NOT expired) c ON i.id = c.item_id""")
 def cached_enrich(spark, sf):
     """Read-through summary cache; the stand-in model runs on the misses only."""
     i = binding(spark, sf, "items")
     cache = binding(spark, sf, "cache").where(~F.col("expired")) \
         .withColumn("value", X.bytes_to_text(F.encode("value", "UTF-8")))
-    out, _new = EN.read_through(i, "id", X.truncate(F.col("body"), 20000), cache, EN.DigestModel("S:"), "summary")
+    out, _new = EN.read_through(i, "id", F.col("body"), cache, EN.DigestModel("S:"), "summary")
     return out.select("id", "summary", "from_cache")
 
 
 def _hit_rate_variant(name: str, cache_binding: str | None):
-    sql = (f"SELECT i.id, coalesce(c.value, {_digest_sql('S:', 'substr(i.body, 1, 20000)')}) AS summary, "
+    sql = (f"SELECT i.id, coalesce(c.value, {_digest_sql('S:', 'i.body')}) AS summary, "
            "c.item_id IS NOT NULL AS from_cache FROM items i LEFT JOIN "
            + (f"{cache_binding} c ON i.id = c.item_id" if cache_binding else
               "(SELECT NULL::BIGINT AS item_id, NULL::VARCHAR AS value WHERE false) c ON i.id = c.item_id"))
@@ -218,7 +243,7 @@ def _hit_rate_variant(name: str, cache_binding: str | None):
             cache = binding(spark, sf, cache_binding)
         else:   # cold start: the cache table exists but holds nothing yet
             cache = spark.createDataFrame([], "item_id BIGINT, value STRING")
-        out, _new = EN.read_through(i, "id", X.truncate(F.col("body"), 20000), cache, EN.DigestModel("S:"), "summary")
+        out, _new = EN.read_through(i, "id", F.col("body"), cache, EN.DigestModel("S:"), "summary")
         return out.select("id", "summary", "from_cache")
 
     q.__name__ = name
@@ -232,7 +257,7 @@ cached_enrich_half = _hit_rate_variant("cached_enrich_half", "cache_half")
 cached_enrich_warm = _hit_rate_variant("cached_enrich_warm", "cache_all")
 
 
-@register("mapreduce_summary", uses=("items",), sql=_chunks_sql("c", "items", "id", "substr(body, 1, 20000)", 2048, 256) + f"""
+@register("mapreduce_summary", uses=("items",), sql=_separator_chunks_sql("c", "items", "id", "body", 2048, 256) + f"""
 , m AS (SELECT k, chunk_no, {_digest_sql("M:", "chunk")} AS out FROM c)
 , j AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM m GROUP BY k)
 SELECT i.id, coalesce({_digest_sql("S:", "j.joined")}, '') AS summary FROM items i LEFT JOIN j ON i.id = j.k""")
@@ -245,7 +270,7 @@ def mapreduce_summary(spark, sf):
 
 _RANK_SQL = """
 , g AS (SELECT s.id, s.relevant_score, i.body, md5(i.body) AS h, length(i.body) AS n,
-               (s.relevant_score > 0 AND s.relevant_score < 4) OR length(i.body) > 2000 AS gated
+               (s.relevant_score > 0 AND s.relevant_score < 4) AS gated
         FROM scored s JOIN items i ON s.id = i.id)
 SELECT id, NOT gated AS ranked,
   CASE WHEN gated THEN '' ELSE 't' || substr(h, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) END AS topics,

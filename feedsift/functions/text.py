@@ -86,10 +86,10 @@ def truncate(col, n: int) -> Column:
     return F.substring(_c(col), 1, n)
 
 
-def score_text_feed(title, list_name, summary, n: int = 1024) -> Column:
-    """P5: ``f"{title} - {list} - {summary}"[:1024]``."""
-    return truncate(F.concat_ws(" - ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(list_name), F.lit("")),
-                                F.coalesce(_c(summary), F.lit(""))), n)
+def score_text_feed(title, list_name, summary) -> Column:
+    """P5: ``f"{title} - {list} - {summary}"`` (whole; cut it with ``truncate`` where a model asks for that)."""
+    return F.concat_ws(" - ", F.coalesce(_c(title), F.lit("")), F.coalesce(_c(list_name), F.lit("")),
+                       F.coalesce(_c(summary), F.lit("")))
 
 
 def score_text_short(reply_name, reply_text, name, text) -> Column:

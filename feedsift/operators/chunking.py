@@ -1,26 +1,19 @@
 """Text chunking (M1, M2, M8).
 
 * ``fixed_chunks`` — fixed-stride windows with overlap, a pure JVM expression.
-* ``recursive_chunks`` — separator-aware splitting (``\\n\\n``, ``\\n``, space,
-  character) with overlap; sequential per text, so it runs as a per-row helper
-  in ``mapInPandas`` while Spark partitions the rows.
+* ``recursive_chunks`` — separator-aware splitting (paragraphs, lines, words,
+  characters) with overlap, as one fold over the pieces of a text.
 * ``pack_sentences`` — greedy packing of ``.``-separated sentences into blocks
   of at most 1800 characters, as one ``aggregate`` with a struct accumulator.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from feedsift.operators.common import spread
 
-# Separator order of the recursive splitter.
-SEPARATORS = ["\n\n", "\n", " ", ""]
+# Separator order of the recursive splitter (last: single characters).
+SEPARATORS = ["\n\n", "\n", " "]
 
 
 def _c(x) -> Column:
@@ -47,71 +40,56 @@ def explode_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int)
             .select(key, F.col("_c.chunk_no").alias("chunk_no"), F.col("_c.text").alias("chunk")))
 
 
-# ---------------------------------------------------------------- recursive splitter (per-row helper)
-def _merge(splits: list[str], sep: str, size: int, overlap: int) -> list[str]:
-    docs: list[str] = []
-    cur: list[str] = []
-    total = 0
-    seplen = len(sep)
-    for s in splits:
-        n = len(s)
-        if total + n + (seplen if cur else 0) > size and cur:
-            doc = sep.join(cur).strip()
-            if doc:
-                docs.append(doc)
-            while total > overlap or (total + n + (seplen if cur else 0) > size and total > 0):
-                total -= len(cur[0]) + (seplen if len(cur) > 1 else 0)
-                cur.pop(0)
-        cur.append(s)
-        total += n + (seplen if len(cur) > 1 else 0)
-    doc = sep.join(cur).strip()
-    if doc:
-        docs.append(doc)
-    return docs
-
-
-def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
-    """Split on the first separator present, merge pieces up to ``size`` with ``overlap``, recurse on big pieces."""
-    if not text:
-        return []
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    pieces = [p for p in (list(text) if sep == "" else text.split(sep)) if p]
-    out: list[str] = []
-    small: list[str] = []
-    for p in pieces:
-        if len(p) < size:
-            small.append(p)
-            continue
-        if small:
-            out.extend(_merge(small, sep, size, overlap))
-            small = []
-        out.extend(split_recursive(p, size, overlap, rest) if rest else [p])
-    if small:
-        out.extend(_merge(small, sep, size, overlap))
-    return out
+# ---------------------------------------------------------------- separator-aware splitter
+def separator_pieces(text, size: int, overlap: int) -> Column:
+    """The text cut into pieces of at most ``size`` characters: at paragraph ends, where a piece is still too long at
+    line ends, then after spaces, then every few characters. Separators stay at the end of their piece, so the pieces
+    joined are the text."""
+    finest = "(?s).{1,%d}" % min(size, max(1, overlap))
+    patterns = [f"(?s).*?{sep}|.+" for sep in SEPARATORS] + [finest]
+
+    def cut(t: Column, level: int) -> Column:
+        parts = F.regexp_extract_all(t, F.lit(patterns[level]), F.lit(0))
+        if level == len(patterns) - 1:
+            return parts
+        return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(cut(p, level + 1))))
+
+    return cut(F.coalesce(_c(text), F.lit("")), 0)
+
+
+def separator_chunks(text, size: int, overlap: int) -> Column:
+    """M1 (separator-aware): ``array<struct(chunk_no, text)>``, one fold over the pieces.
+
+    A chunk takes pieces while it holds at most ``size`` characters. The next
+    one starts at the first piece of the last ``overlap`` characters that still
+    leaves room for the piece that didn't fit, or at that piece. The state holds
+    the finished spans, the open span and the starts of the pieces within the
+    overlap; an empty text has no chunk.
+    """
+    span = "array<struct<a:int,z:int>>"
+    start = F.struct(F.array().cast(span).alias("done"), F.lit(0).alias("a"), F.lit(0).alias("z"), F.array().cast("array<int>").alias("tail"))
+
+    def step(st, piece):
+        end = st["z"] + F.length(piece)
+        fits = end - st["a"] <= size
+        room = F.filter(st["tail"], lambda b: (end - b <= size) & (b > st["a"]))
+        return F.struct(
+            F.when(fits, st["done"]).otherwise(F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["z"].alias("z"))))).alias("done"),
+            F.when(fits, st["a"]).otherwise(F.coalesce(F.get(room, F.lit(0)), st["z"])).alias("a"),
+            end.alias("z"),
+            F.filter(F.concat(st["tail"], F.array(st["z"])), lambda b: end - b <= overlap).alias("tail"))
+
+    def finish(st):
+        return F.when(st["z"] > st["a"], F.concat(st["done"], F.array(F.struct(st["a"].alias("a"), st["z"].alias("z"))))).otherwise(st["done"])
+
+    spans = F.aggregate(separator_pieces(text, size, overlap), start, step, finish)
+    return F.transform(spans, lambda x, n: F.struct(n.alias("chunk_no"), F.substring(_c(text), x["a"] + 1, x["z"] - x["a"]).alias("text")))
 
 
 def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int) -> DataFrame:
-    """M1 (separator-aware): ``(key, chunk_no, chunk)`` rows, text split inside ``mapInPandas``."""
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("chunk_no", T.IntegerType()),
-                           T.StructField("chunk", T.StringType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keys, nos, chunks = [], [], []
-            for k, t in zip(b[key].tolist(), b[text].tolist()):
-                for i, c in enumerate(split_recursive(t or "", size, overlap)):
-                    keys.append(k)
-                    nos.append(i)
-                    chunks.append(c)
-            yield pd.DataFrame({key: keys, "chunk_no": pd.array(nos, dtype="int32"), "chunk": chunks})
-
-    return spread(df.select(key, text)).mapInPandas(run, schema)
+    """M1 (separator-aware): ``(key, chunk_no, chunk)`` rows."""
+    return (df.select(key, F.explode(separator_chunks(text, size, overlap)).alias("_c"))
+            .select(key, F.col("_c.chunk_no").alias("chunk_no"), F.col("_c.text").alias("chunk")))
 
 
 # ---------------------------------------------------------------- sentence packing (JVM aggregate)

@@ -1,7 +1,6 @@
 """JVM-side hashing embedder (M5 offline default, P28).
 
-Tokens are runs of letters/digits of the lower-cased text (input truncated to
-5000 characters); each token adds 1 to bucket ``md5(token)[:8] mod dim``; the
+Tokens are runs of letters/digits of the whole lower-cased text; each token adds 1 to bucket ``md5(token)[:8] mod dim``; the
 count vector is L2-normalised.  Computed per row with higher-order functions:
 no shuffle and no Python worker.
 """
@@ -11,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedsift.functions.text import truncate
-from feedsift.settings import DEFAULT
-
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -54,9 +50,9 @@ def _counts_of(buckets: Column, dim: int) -> Column:
     return _bind(F.array_sort(buckets), from_sorted, "array<int>")
 
 
-def bucket_counts(text, dim: int, limit: int = DEFAULT.embed_text_chars) -> Column:
+def bucket_counts(text, dim: int) -> Column:
     """``array<int>`` of length ``dim``: token count per bucket (each token hashed once)."""
-    return _counts_of(token_buckets(truncate(_c(text), limit), dim), dim)
+    return _counts_of(token_buckets(_c(text), dim), dim)
 
 
 def _normalised(vec: Column) -> Column:
@@ -71,6 +67,6 @@ def l2_normalise_double(vec: Column) -> Column:
     return F.aggregate(F.array(vec), F.lit(None).cast("array<double>"), lambda acc, v: _normalised(v))
 
 
-def hashing_embedding(text, dim: int = 64, limit: int = DEFAULT.embed_text_chars) -> Column:
+def hashing_embedding(text, dim: int = 64) -> Column:
     """M5: ``array<double>`` unit vector of hashed token counts (tokens hashed once per row)."""
-    return _bind(bucket_counts(text, dim, limit), _normalised, "array<double>")
+    return _bind(bucket_counts(text, dim), _normalised, "array<double>")

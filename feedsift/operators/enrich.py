@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedsift.functions.text import parse_rank, truncate
-from feedsift.operators.chunking import explode_chunks
+from feedsift.functions.text import parse_rank
+from feedsift.operators.chunking import recursive_chunks
 from feedsift.operators.common import spread
 from feedsift.operators.filters import rank_gate
 from feedsift.settings import DEFAULT, Settings
@@ -133,17 +133,16 @@ def read_through(df: DataFrame, key: str, text: Column, cache: DataFrame, model:
 # ---------------------------------------------------------------- map-reduce summary
 def mapreduce_summary(df: DataFrame, key: str, text: str, map_model: TextModel, combine_model: TextModel, *,
                       size: int = DEFAULT.summary_chunk, overlap: int = DEFAULT.summary_overlap,
-                      limit: int = DEFAULT.summary_text_chars, out: str = "summary") -> DataFrame:
-    """Chunk -> model per chunk -> ordered combine per text -> model once more.
+                      out: str = "summary") -> DataFrame:
+    """Separator-aware chunks -> model per chunk -> ordered combine per text -> model once more.
 
     The chunk outputs of one text are re-assembled in chunk order (explicit
-    ``chunk_no``; ``collect_list`` order is not relied on).  The text is cut
-    to ``limit`` characters first, so a group holds at most
-    ``ceil((limit - size) / (size - overlap)) + 1`` chunks (12 with the
-    defaults) and never grows with the table.
+    ``chunk_no``; ``collect_list`` order is not relied on).  Whole texts are
+    read: a group holds the chunks of one text, bounded by that text's length,
+    and never grows with the table.
     """
-    src = spread(df.select(key, truncate(F.col(text), limit).alias("_t")))
-    chunks = explode_chunks(src, key, "_t", size, overlap)
+    src = spread(df.select(key, F.col(text).alias("_t")))
+    chunks = recursive_chunks(src, key, "_t", size, overlap)
     mapped = chunks.withColumn("_m", model_call(map_model, F.col("chunk")))
     combined = (mapped.groupBy(key)
                 .agg(F.array_sort(F.collect_list(F.struct("chunk_no", "_m"))).alias("_parts"))
@@ -274,8 +273,8 @@ class HashingEmbedder:
         return out
 
 
-def embed_column(embedder: Embedder, text: Column, limit: int = DEFAULT.embed_text_chars) -> Column:
-    """``array<float>`` per text (input truncated to 5000 chars), via an iterator pandas UDF."""
+def embed_column(embedder: Embedder, text: Column) -> Column:
+    """``array<float>`` per whole text, via an iterator pandas UDF."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -283,4 +282,4 @@ def embed_column(embedder: Embedder, text: Column, limit: int = DEFAULT.embed_te
             vecs = embedder.embed(s.where(s.notna(), "").tolist())
             yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
 
-    return call(truncate(text, limit))
+    return call(text)

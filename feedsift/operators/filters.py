@@ -110,14 +110,17 @@ def is_invalid_response(text: Column) -> Column:
 
 
 def rank_gate(score: Column, content: Column, *, enabled: bool = True, settings: Settings = DEFAULT) -> Column:
-    """True -> skip the model: low score (0 < s < 4), ranking disabled or content over 2000 chars."""
+    """True -> skip the model: low score (0 < s < 4), ranking disabled or, where ``rank_gate_max_chars`` is set,
+    longer content (off by default)."""
     low = F.coalesce((score > 0) & (score < settings.rank_gate_low), F.lit(False))   # a missing score is not low
-    long_ = F.coalesce(F.length(content) > settings.rank_gate_max_chars, F.lit(False))
+    most = settings.rank_gate_max_chars
+    long_ = F.lit(False) if most is None else F.coalesce(F.length(content) > most, F.lit(False))
     return F.lit(not enabled) | low | long_
 
 
 def summary_action(text: Column, cached: Column, settings: Settings = DEFAULT) -> Column:
-    """'cached' when a cache hit exists, 'drop' for empty text, 'pass' up to 200 chars, else 'summarise'."""
+    """'cached' when a cache hit exists, 'drop' for empty text, 'pass' up to ``summary_gate_chars``
+    (0: none passes), else 'summarise'."""
     t = F.coalesce(text, F.lit(""))
     return (F.when(cached, F.lit("cached"))
             .when(t == "", F.lit("drop"))

@@ -24,14 +24,11 @@ class Settings:
     digest_relevance_weight: float = 0.2
     # enrichment gates
     rank_gate_low: float = 4.0
-    rank_gate_max_chars: int = 2000
-    summary_gate_chars: int = 200
+    rank_gate_max_chars: int | None = None   # a length above which ranking is skipped; off
+    summary_gate_chars: int = 0              # texts up to this length pass unsummarised; off
     gated_rate: float = -0.02
     unparsed_rate: float = -0.01
-    # text limits (P10)
-    score_text_chars: int = 1024
-    embed_text_chars: int = 5000
-    summary_text_chars: int = 20000
+    # labels (P11, T1)
     label_chars: int = 20
     top_labels: int = 3
     # chunking (M1, M2)

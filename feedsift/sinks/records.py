@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsift.functions.text import INVALID_RESPONSES, strip, truncate
+from feedsift.functions.text import INVALID_RESPONSES, strip
 from feedsift.operators import knn
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
@@ -96,18 +96,18 @@ def todo_generate(pages: DataFrame, key: str, text: str, model: TextModel, trans
 
 # ---------------------------------------------------------------- M9 / K14 (evidence)
 def collect_evidence(topics: DataFrame, docs: DataFrame, model: TextModel, *, k: int = 3,
-                     summarise_over: int = 2000) -> DataFrame:
+                     summarise_over: int = 0) -> DataFrame:
     """M9: the k most similar documents per topic (inner product of hashing embeddings);
-    bodies over 2000 characters are summarised by the model, shorter ones are kept."""
+    whole bodies over ``summarise_over`` characters are summarised by the model (0: all but empty ones), others kept."""
     q = topics.select(F.col("item_id").alias("query_id"), hashing_embedding(F.col("text")).alias("embedding"))
     r = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("item_id"),
                                                       hashing_embedding(F.col("text")).alias("embedding"))
     nb = knn.knn_join(q, r, k, "IP").select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"), "rnk")
     j = nb.join(docs.select("doc_id", "text"), "doc_id")
     long_ = F.length("text") > summarise_over
-    summ = j.where(long_).withColumn("evidence", model_call(model, truncate(F.col("text"), 20000))) \
+    summ = j.where(long_).withColumn("evidence", model_call(model, F.col("text"))) \
         .withColumn("summarised", F.lit(True))
-    keep = j.where(~long_).withColumn("evidence", F.col("text")).withColumn("summarised", F.lit(False))
+    keep = j.where(~F.coalesce(long_, F.lit(False))).withColumn("evidence", F.col("text")).withColumn("summarised", F.lit(False))
     return summ.unionByName(keep)
 
 
