@@ -88,7 +88,7 @@ def guess_cost(value: str) -> float:
         for k, step in ((run, 0.0), (walk, math.log10(2))):            # a repeat of, or a walk from, one character
             if k >= 3:
                 cost = min(cost, best[j - k] + brute + math.log10(k) + step * (k - 1))
-        for p in range(2, min(8, j // 2) + 1):                         # a repeat of a longer unit
+        for p in range(2, min(8, j - 1) + 1):                          # a repeat of a longer unit
             same[p] = same[p] + 1 if value[j - 1] == value[j - 1 - p] else 0
             if (k := same[p] // p) and same[p] % p == 0:
                 cost = min(cost, best[j - k * p] + math.log10(k + 1))
