@@ -41,7 +41,10 @@ BINDINGS: dict[str, str] = {
     "watermarks": "SELECT event_type AS source, min(ts) AS ts FROM {events} WHERE event_type <> 'signup' "
                   "GROUP BY event_type",
     # ---- feeds, partitions, subscriptions, index
-    "feed_entries": "SELECT source AS feed, doc_id AS pos, substr(text, 1, 40) AS title, lang AS raw_date "
+    "feed_entries": "SELECT source AS feed, doc_id AS pos, substr(text, 1, 40) AS title, "
+                    "CASE WHEN doc_id % 4 = 3 THEN lang ELSE 'Thu, ' || lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0') || ' Mar 2022 ' "
+                    "|| lpad(CAST(doc_id % 24 AS STRING), 2, '0') || ':30:00 ' "
+                    "|| CASE WHEN doc_id % 4 = 0 THEN 'GMT' WHEN doc_id % 4 = 1 THEN '-0500' ELSE '+0900' END END AS raw_date "
                     "FROM {documents}",
     "partitions": "SELECT CAST(year(o_orderdate) AS INT) AS partition_id, min(o_orderdate) AS created_time, "
                   "count(*) AS n FROM {orders} GROUP BY year(o_orderdate)",

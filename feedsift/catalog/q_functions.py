@@ -26,7 +26,8 @@ def hash_ids(spark, sf):
 
 @register("feed_item_id", uses=("feed_entries",), sql="""
 SELECT feed, pos, md5(concat_ws('_', feed, title,
-       coalesce(strftime(try_cast(raw_date AS TIMESTAMP), '%Y-%m-%d'), raw_date))) AS item_id
+       coalesce(strftime(try_strptime(substr(raw_date, 6, 20), '%d %b %Y %H:%M:%S')
+           - CASE substr(raw_date, 27) WHEN '-0500' THEN INTERVAL (-5) HOUR WHEN '+0900' THEN INTERVAL 9 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d'), raw_date))) AS item_id
 FROM feed_entries""")
 def feed_item_id(spark, sf):
     """Feed item id from list, title and the day of the published date (raw text if unparsed)."""

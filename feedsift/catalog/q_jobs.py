@@ -173,10 +173,11 @@ def weekly_digest(spark, sf):
 , r AS (SELECT CAST(created_time AS DATE) AS day, count(*) AS n,
                string_agg(title || ' ' || content || chr(10), '' ORDER BY created_time, id) AS text
         FROM pulled GROUP BY CAST(created_time AS DATE))
-SELECT day, CAST(n AS BIGINT) AS n_notes, 'S:' || md5('title|' || text) AS title, 'S:' || md5('summary|' || text) AS summary
+SELECT day, CAST(n AS BIGINT) AS n_notes, 'S:' || md5('title|S:' || md5('rewrite|' || text)) AS title,
+       'S:' || md5('summary|S:' || md5('rewrite|' || text)) AS summary
 FROM r""")
 def daily_journal(spark, sf):
-    """Notes after the watermark -> day roll-up -> six model passes (one row per day)."""
+    """Notes after the watermark -> day roll-up -> rewrite and five passes over it (one row per day)."""
     out = J.daily_journal(binding(spark, sf, "notes"), binding(spark, sf, "note_watermarks"), run_ts=ts(RUN_TS))
     return out["refined"].select("day", "n_notes", F.col("refined.title").alias("title"),
                                  F.col("refined.summary").alias("summary"))

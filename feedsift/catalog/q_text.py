@@ -341,9 +341,10 @@ def daily_rollup_window(spark, sf):
 
 
 @register("journal_refine", uses=("notes",), sql=_ROLLUP + """
-SELECT day, """ + ", ".join(f"{_digest_sql('S:', repr(p + '|') + ' || text')} AS {p}" for p in EN.JOURNAL_PASSES) + " FROM r")
+, w AS (SELECT day, """ + _digest_sql("S:", "'rewrite|' || text") + """ AS rewrite FROM r)
+SELECT day, rewrite, """ + ", ".join(f"{_digest_sql('S:', repr(p + '|') + ' || rewrite')} AS {p}" for p in EN.JOURNAL_PASSES[1:]) + " FROM w")
 def journal_refine(spark, sf):
-    """Six stand-in model passes over each day's roll-up."""
+    """A rewrite of each day's roll-up, and five passes over the rewrite (stand-in model)."""
     r = R.journal_rollup(binding(spark, sf, "notes"))
     out = EN.journal_refine(r, "text", EN.DigestModel("S:"))
     return out.select("day", *[F.col(f"refined.{p}").alias(p) for p in EN.JOURNAL_PASSES])

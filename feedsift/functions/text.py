@@ -40,9 +40,29 @@ def md5_hex(col) -> Column:
     return F.md5(_c(col))
 
 
+def feed_day(raw_date) -> Column:
+    """``YYYY-MM-DD`` in UTC of a feed date: RFC 822 (weekday optional, zone as offset or GMT/UT/Z) or ISO 8601 (a time
+    without a zone counts as UTC); NULL if it is neither.  Independent of the session time zone."""
+    raw = strip(_c(raw_date))
+    m = r"^(?:[A-Za-z]{3},? +)?(\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}):(\d{2})(?::\d{2})? *(GMT|UTC?|Z|[+-]\d{4})$"
+    iso = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::\d{2}(?:\.\d+)?)?)? *(Z|[+-]\d{2}:?\d{2})?$"
+    month = F.format_string("%02d", (F.floor(F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.regexp_extract(raw, m, 2))) / 3) + 1).cast("int"))
+    rfc = F.concat_ws("-", F.regexp_extract(raw, m, 3), month, F.lpad(F.regexp_extract(raw, m, 1), 2, "0"))
+
+    def day(date: Column, hour: Column, minute: Column, zone: Column) -> Column:
+        offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (
+            F.substring(zone, 2, 2).cast("int") * 60 + F.regexp_extract(zone, r"(\d{2})$", 1).cast("int"))).otherwise(F.lit(0))
+        at = F.coalesce(F.nullif(hour, F.lit("")).cast("int"), F.lit(0)) * 60 + F.coalesce(F.nullif(minute, F.lit("")).cast("int"), F.lit(0)) - offset
+        return F.date_format(F.date_add(F.try_to_date(date, "yyyy-MM-dd"), F.floor(at / 1440).cast("int")), "yyyy-MM-dd")
+
+    x = lambda p, i: F.regexp_extract(raw, p, i)
+    return F.when(raw.rlike(m), day(rfc, x(m, 4), x(m, 5), x(m, 6))).when(
+        raw.rlike(iso), day(F.concat_ws("-", x(iso, 1), x(iso, 2), x(iso, 3)), x(iso, 4), x(iso, 5), x(iso, 6)))
+
+
 def feed_item_id(list_name, title, raw_date) -> Column:
-    """``md5(list_title_key)``; key = ``YYYY-MM-DD`` of the parsed date, else the raw text."""
-    key = F.coalesce(F.date_format(F.try_to_timestamp(_c(raw_date)), "yyyy-MM-dd"), _c(raw_date))
+    """``md5(list_title_key)``; key = the UTC day of the parsed date (ISO 8601 or RFC 822), else the raw text."""
+    key = F.coalesce(feed_day(raw_date), _c(raw_date))
     return F.md5(F.concat_ws("_", _c(list_name), _c(title), key))
 
 

@@ -1,6 +1,6 @@
 """De-duplication and versioning.
 
-All operators are joins or hash aggregates with map-side partial aggregation,
+All operators are joins or aggregates with map-side partial aggregation,
 so a hot key (one id holding a large share of the rows) is reduced before the
 shuffle instead of landing whole in one task.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedsift.settings import DEFAULT, Settings
+from feedsift.operators.common import BROADCAST_MAX_BYTES, estimated_bytes
 
 
 def _keys_cond(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
@@ -21,44 +21,32 @@ def _keys_cond(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Colu
     return cond
 
 
-def anti_join_visited(items: DataFrame, visited: DataFrame, on: dict[str, str], *,
-                      settings: Settings = DEFAULT, delta_rows: int | None = None) -> DataFrame:
+def anti_join_visited(items: DataFrame, visited: DataFrame, on: dict[str, str]) -> DataFrame:
     """Items whose key is not in the visited set (bag semantics, a left anti join).
 
     ``on`` maps item columns to visited columns.  The visited history grows
-    without bound while a batch is small, so when the batch is provably small
-    (``delta_rows`` or a count <= ``broadcast_max_rows``) the batch's keys are
-    broadcast to semi-filter the history map-side first; only the matching
-    history rows (at most the batch size) meet the batch.  Otherwise a plain
-    shuffle anti join is used.
+    without bound while a batch is small, so when the batch's keys are estimated
+    small they are broadcast to semi-filter the history map-side first; only the
+    matching history rows meet the batch.  Otherwise a plain shuffle anti join
+    is used.
     """
-    v = _history_for(items, visited, on, settings, delta_rows)
+    v = _history_for(items, visited, on)
     return items.join(v, _keys_cond(items, v, on), "left_anti")
 
 
-def _history_for(items: DataFrame, visited: DataFrame, on: dict[str, str], settings: Settings,
-                 delta_rows: int | None, keep: list[str] | None = None) -> DataFrame:
-    """The history rows that can match this batch: semi-filtered by the batch's keys when the batch is provably small.
-
-    The history (visited set, page state) grows without bound while a batch
-    is small: broadcasting the batch's distinct keys (after a count proves the
-    bound) filters the history map-side, so only matching rows are shuffled.
-    """
+def _history_for(items: DataFrame, visited: DataFrame, on: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+    """The history rows that can match this batch, semi-filtered by the batch's keys when those are estimated small."""
     v = visited.select(*[F.col(c) for c in on.values()], *[F.col(c) for c in (keep or []) if c not in on.values()])
-    n = delta_rows
-    if n is None and settings.broadcast_max_rows > 0:
-        n = items.limit(settings.broadcast_max_rows + 1).count()
-    if n is not None and n <= settings.broadcast_max_rows:
-        # duplicates on the build side of a semi join are harmless, so no distinct (and no shuffle) is needed
-        keys = items.select(*[F.col(k).alias(v_) for k, v_ in on.items()])
+    # duplicates on the build side of a semi join are harmless, so no distinct (and no shuffle) is needed
+    keys = items.select(*[F.col(k).alias(v_) for k, v_ in on.items()])
+    if estimated_bytes(keys) <= BROADCAST_MAX_BYTES:
         v = v.join(F.broadcast(keys), list(on.values()), "left_semi")
     return v
 
 
-def visited_flags(items: DataFrame, visited: DataFrame, on: dict[str, str], flag: str = "is_visited", *,
-                  settings: Settings = DEFAULT, delta_rows: int | None = None) -> DataFrame:
-    """Items with a boolean ``flag``: the key is in the visited set (a set: one row per key)."""
-    v = _history_for(items, visited, on, settings, delta_rows).withColumn("_hit", F.lit(True))
+def visited_flags(items: DataFrame, visited: DataFrame, on: dict[str, str], flag: str = "is_visited") -> DataFrame:
+    """Items with a boolean ``flag``: the key is in the visited set; a marker stored twice counts once."""
+    v = _history_for(items, visited, on).distinct().withColumn("_hit", F.lit(True))
     out = items.join(v, _keys_cond(items, v, on), "left")
     return out.select(*[items[c] for c in items.columns], F.coalesce(F.col("_hit"), F.lit(False)).alias(flag))
 
@@ -76,7 +64,7 @@ def changed_since_processed(pages: DataFrame, state: DataFrame, key: str, versio
     """Keep pages never processed or whose stored version differs (inequality, trap Q11)."""
     sv = state_version or version
     s = state.select(F.col(key).alias("_k"), F.col(sv).alias("_sv"), F.lit(True).alias("_seen"))
-    s = _history_for(pages, s, {key: "_k"}, DEFAULT, None, keep=["_sv", "_seen"])
+    s = _history_for(pages, s, {key: "_k"}, keep=["_sv", "_seen"]).groupBy("_k").agg(F.max("_sv").alias("_sv"), F.max("_seen").alias("_seen"))
     j = pages.join(s, pages[key] == s["_k"], "left")
     keep = F.col("_seen").isNull() | ~(F.col(version).eqNullSafe(F.col("_sv")))
     return j.where(keep).select(*[pages[c] for c in pages.columns])
@@ -87,8 +75,8 @@ def rating_change_split(pages: DataFrame, visited: DataFrame, page_state: DataFr
     """Flags ``is_new`` (never indexed) and ``is_updated`` (new, no metadata, or rating changed)."""
     v = visited.select(F.col(visited_key).alias("_vk"), F.lit(True).alias("_visited"))
     m = page_state.select(F.col(key).alias("_mk"), F.col(rating).alias("_stored"), F.lit(True).alias("_meta"))
-    v = _history_for(pages, v, {key: "_vk"}, DEFAULT, None, keep=["_visited"])
-    m = _history_for(pages, m, {key: "_mk"}, DEFAULT, None, keep=["_stored", "_meta"])
+    v = _history_for(pages, v, {key: "_vk"}, keep=["_visited"]).distinct()
+    m = _history_for(pages, m, {key: "_mk"}, keep=["_stored", "_meta"]).distinct()
     j = pages.join(v, pages[key] == v["_vk"], "left").join(m, pages[key] == m["_mk"], "left")
     visited_ = F.coalesce(F.col("_visited"), F.lit(False))
     has_meta = F.coalesce(F.col("_meta"), F.lit(False))

@@ -95,25 +95,52 @@ def with_retry(fn: Callable[[], object], tries: int = 3, wait: float = 5.0, slee
     raise last  # type: ignore[misc]
 
 
-def model_call(model: TextModel, text: Column, *, tries: int = 3, wait: float = 5.0) -> Column:
-    """Apply ``model`` to a string column through an iterator pandas UDF (Arrow batches)."""
+def _answers(model: TextModel, vals: list[str], tries: int, wait: float) -> tuple[list[str | None], list[str | None]]:
+    """(answers, errors): one call for the whole batch; if that fails, one call per text, each with its own retries."""
+    try:
+        return list(model.generate(vals)), [None] * len(vals)
+    except Exception:  # noqa: BLE001 - a provider error of any kind is isolated below
+        pass
+    out: list[str | None] = []
+    errors: list[str | None] = []
+    for v in vals:
+        try:
+            out.append(with_retry(lambda v=v: model.generate([v])[0], tries, wait))
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001
+            out.append(None)
+            errors.append(f"{type(e).__name__}: {e}"[:500])
+    return out, errors
 
-    @F.pandas_udf(T.StringType())
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def model_attempt(model: TextModel, text: Column, *, tries: int = 3, wait: float = 5.0) -> Column:
+    """``struct(answer, error)`` per row (Arrow batches): a failing text has an error and no answer, and
+    neither repeats nor stops the calls of the other rows."""
+
+    @F.pandas_udf("struct<answer:string,error:string>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            vals = s.where(s.notna(), "").tolist()
-            yield pd.Series(with_retry(lambda: model.generate(vals), tries, wait))
+            answers, errors = _answers(model, s.where(s.notna(), "").tolist(), tries, wait)
+            yield pd.DataFrame({"answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return call(text)
 
 
+def model_call(model: TextModel, text: Column, *, tries: int = 3, wait: float = 5.0) -> Column:
+    """The model's answer per row; NULL where the calls for that text failed (``model_attempt`` tells the error)."""
+    return model_attempt(model, text, tries=tries, wait=wait)["answer"]
+
+
 # ---------------------------------------------------------------- read-through cache
 def read_through(df: DataFrame, key: str, text: Column, cache: DataFrame, model: TextModel, out: str, *,
-                 now=None, cache_key: str = "item_id", value: str = "value") -> tuple[DataFrame, DataFrame]:
+                 now=None, cache_key: str = "item_id", value: str = "value",
+                 materialise: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cached value on a hit, else call the model; returns (enriched, new cache rows).
 
     One left join of the whole batch to the (valid) cache; the model runs only
-    on the misses; the misses are what gets appended to the cache.
+    on the misses; the misses are what gets appended to the cache.  With
+    ``materialise`` the computed misses are checkpointed first, so that a caller
+    who uses both results pays for each model call once.
     ``cache`` holds ``item_id, value[, expires_at]`` for one (kind, model).
     """
     c = cache
@@ -126,6 +153,10 @@ def read_through(df: DataFrame, key: str, text: Column, cache: DataFrame, model:
     hits = j.where(F.col("_ck").isNotNull()).select(*base, F.col("_cv").alias(out), F.lit(True).alias("from_cache"))
     misses = spread(j.where(F.col("_ck").isNull()).select(*base))
     computed = misses.withColumn(out, model_call(model, text)).withColumn("from_cache", F.lit(False))
+    if materialise:
+        from feedsift.session import cut_lineage
+
+        computed = cut_lineage(computed)
     new_rows = computed.select(F.col(key).alias(cache_key), F.col(out).alias(value))
     return hits.unionByName(computed), new_rows
 
@@ -215,10 +246,12 @@ JOURNAL_PASSES = ["rewrite", "title", "insights", "takeaways", "todo", "summary"
 
 
 def journal_refine(df: DataFrame, text: str, model: TextModel) -> DataFrame:
-    """Six model passes over the day's text, returned as one struct column ``refined``."""
-    fields = [F.concat(F.lit(f"{p}|"), F.col(text)) for p in JOURNAL_PASSES]
-    outs = [model_call(model, f).alias(p) for p, f in zip(JOURNAL_PASSES, fields)]
-    return df.withColumn("refined", F.struct(*outs))
+    """Six model passes as one struct column ``refined``: the first rewrites the day's text, the others read the rewrite."""
+    first, *rest = JOURNAL_PASSES
+    cols = df.columns
+    out = df.withColumn("_rewrite", model_call(model, F.concat(F.lit(f"{first}|"), F.col(text))))
+    passes = [model_call(model, F.concat(F.lit(f"{p}|"), F.col("_rewrite"))).alias(p) for p in rest]
+    return out.select(*cols, F.struct(F.col("_rewrite").alias(first), *passes).alias("refined"))
 
 
 def refine_versions(df: DataFrame, key: str, text: str, model: TextModel, rounds: int = 3, *,

@@ -26,12 +26,16 @@ def upsert(state: DataFrame, delta: DataFrame, key: str | list[str], *, overwrit
     * no TTL, overwrite    -> last write wins;
     * TTL                  -> last write wins and ``expires_at = now + ttl``.
 
-    Within the delta, the last row by ``seq`` wins.  Result has the state's
-    columns plus ``origin`` ('state' or 'delta').
+    Where ``now`` is given, state rows that have expired by then are gone before
+    the merge, so they never win a first write.  Within the delta, the last row
+    by ``seq`` wins.  Result has the state's columns plus ``origin`` ('state' or
+    'delta').
     """
     keys = [key] if isinstance(key, str) else list(key)
     last = overwrite or ttl_seconds is not None
     d = delta
+    if now is not None and "expires_at" in state.columns:
+        state = ttl_valid(state, now)
     if ttl_seconds is not None:
         d = d.withColumn("expires_at", _lit_ts(now) + F.make_dt_interval(secs=F.lit(ttl_seconds)))
     # priority: who wins on a key collision; then the delta's own order
@@ -61,16 +65,23 @@ def advance_watermarks(stored: DataFrame, batch: DataFrame, key: str | list[str]
     return j.select(*keys, F.greatest(F.col("_old"), F.col("_new")).alias("ts"))
 
 
-def since_watermark(df: DataFrame, watermarks: DataFrame, key: str, ts: str, *, strict: bool,
+def since_watermark(df: DataFrame, watermarks: DataFrame, key: str | list[str], ts: str, *, strict: bool,
                     default_ts, wm_ts: str = "ts") -> DataFrame:
-    """Rows newer than their key's watermark (one watermark row per key).
+    """Rows newer than their key's watermark, e.g. of (source, category).
+
+    Of several watermark rows of a key the newest counts.
 
     ``strict`` uses ``>`` (journal), otherwise ``>=`` (re-reads the boundary row,
     which the visited set removes later).  Keys without a watermark start at
     ``default_ts`` (run time minus the look-back).
     """
-    w = bounded_broadcast(watermarks.select(F.col(key).alias("_wk"), F.col(wm_ts).alias("_wm")))
-    j = df.join(w, df[key] == w["_wk"], "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    w = watermarks.groupBy(*[F.col(k).alias(f"_wk{i}") for i, k in enumerate(keys)]).agg(F.max(wm_ts).alias("_wm"))
+    w = bounded_broadcast(w)
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & df[k].eqNullSafe(w[f"_wk{i}"])
+    j = df.join(w, cond, "left")
     bound = F.coalesce(F.col("_wm"), _lit_ts(default_ts))
     cond = F.col(ts) > bound if strict else F.col(ts) >= bound
     return j.where(cond).select(*[df[c] for c in df.columns])

@@ -44,7 +44,9 @@ def publish_tallies(df: DataFrame, by: list[str], error: str = "error") -> DataF
                                F.count_if(F.col(error).isNotNull()).alias("error"))
 
 
-def collection_stats(vectors: DataFrame) -> DataFrame:
-    """Rows per (model, as_of) collection."""
-    return (vectors.groupBy("model", "as_of").agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("is_empty", F.col("n_rows") == 0))
+def collection_stats(vectors: DataFrame, collections: DataFrame | None = None) -> DataFrame:
+    """Rows per (model, as_of) collection; with the list of ``collections`` also those without any row."""
+    n = vectors.groupBy("model", "as_of").agg(F.count(F.lit(1)).alias("n_rows"))
+    if collections is not None:
+        n = collections.select("model", "as_of").distinct().join(n, ["model", "as_of"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return n.withColumn("is_empty", F.col("n_rows") == 0)

@@ -1,7 +1,8 @@
 """User-facing jobs (C1-C12) composed from the library operators.
 
-Each job is one lazily built set of DataFrames (no action inside): Spark plans
-the whole chain, so scans are pruned once and the only shuffles are the dedup
+Each job is one lazily built set of DataFrames (the only actions while building
+are the block-counting job of each KNN join and the checkpoints of versioned
+refinement): Spark plans the whole chain, so scans are pruned once and the only shuffles are the dedup
 joins, the KNN block exchange and the per-key aggregations.  Every job returns
 its published rows and its per-stage funnel so a caller can write both in one
 pass (e.g. inside ``foreachBatch``).
@@ -39,12 +40,19 @@ class JobOutput:
 
 def score_items(items: DataFrame, score_text: Column, rated_vectors: DataFrame, rated_meta: DataFrame, *,
                 settings: Settings = DEFAULT, k: int | None = None, self_exclude: bool = False) -> DataFrame:
-    """A2: score text -> embedding -> k nearest rated vectors -> mean rating (-1 when none)."""
-    q = spread(items.select(F.col("id").alias("query_id"), score_text.alias("_t"))) \
+    """A2: score text -> embedding -> k nearest rated vectors -> mean rating (-1 when none).
+
+    An item is known by its id within its list, where there are lists: one id in
+    two lists is scored in each.
+    """
+    keyed = "list_name" in items.columns
+    key = F.to_json(F.struct("list_name", "id")) if keyed else F.col("id")
+    items = items.withColumn("_query", key)
+    q = spread(items.select(F.col("_query").alias("query_id"), score_text.alias("_t"))) \
         .select("query_id", hashing_embedding(F.col("_t")).alias("embedding"))
     scores = knn.relevance_score(q, rated_vectors, rated_meta, k or settings.neighbours, settings.metric,
                                  settings.max_distance, unknown=settings.unknown_score, self_exclude=self_exclude)
-    return items.join(scores.select(F.col("query_id").alias("id"), "relevant_score"), "id", "left")
+    return items.join(scores.select(F.col("query_id").alias("_query"), "relevant_score"), "_query", "left").drop("_query")
 
 
 def rated_vectors_of(pages: DataFrame, text: Column) -> DataFrame:
@@ -78,8 +86,9 @@ def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated
                                   X.label_normalise(t["name"]).alias("name"), t["score"].alias("score"))),
                                   settings.top_labels).alias("categories"),
                               "ranked")
-    stage = (flagged.join(scored.select("id", "relevant_score"), "id", "left")
-             .join(published.select("id", F.lit(True).alias("_pub"), F.col("ranked").alias("_ranked")), "id", "left"))
+    key = ["list_name", "id"]
+    stage = (flagged.join(scored.select(*key, "relevant_score"), key, "left")
+             .join(published.select(*key, F.lit(True).alias("_pub"), F.col("ranked").alias("_ranked")), key, "left"))
     deduped = ~F.col("is_visited")
     pub = F.coalesce(F.col("_pub"), F.lit(False))
     funnel = ST.funnel_counts(stage, ["list_name"], {
@@ -98,12 +107,13 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
     scored = score_items(fresh, X.score_text_feed(F.col("title"), F.col("list_name"), F.col("body")),
                          rated_vectors, rated_meta, settings=settings)
     top = FL.relevance_topk(scored, "relevant_score", "id", k=settings.relevance_top_k, min_score=settings.min_score)
-    summ = EN.mapreduce_summary(top, "id", "body", EN.DigestModel("M:"), EN.DigestModel("S:"),
+    summ = EN.mapreduce_summary(top.withColumn("_item", F.to_json(F.struct("list_name", "id"))), "_item", "body", EN.DigestModel("M:"), EN.DigestModel("S:"),
                                 size=settings.summary_chunk, overlap=settings.summary_overlap)
     published = summ.select("id", "list_name", "title", "relevant_score", "summary",
                             L.firstk(F.split("title", " "), settings.top_labels).alias("tags"))
-    stage = flagged.join(scored.select("id", "relevant_score"), "id", "left") \
-        .join(published.select("id", F.lit(True).alias("_pub")), "id", "left")
+    key = ["list_name", "id"]
+    stage = flagged.join(scored.select(*key, "relevant_score"), key, "left") \
+        .join(published.select(*key, F.lit(True).alias("_pub")), key, "left")
     pub = F.coalesce(F.col("_pub"), F.lit(False))
     funnel = ST.funnel_counts(stage, ["list_name"], {
         "total_input": F.lit(True), "post_deduping": ~F.col("is_visited"),
@@ -150,11 +160,22 @@ def sync_and_index(rated_pages: DataFrame, visited: DataFrame, page_state: DataF
     return {"latest": latest, "page_state": new_state, "vectors": vectors}
 
 
-def weekly_digest(rated_pages: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,
-                  settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """Pre-filter -> score against the collection (k=4, self excluded) -> post-filter -> sections, labels."""
+def weekly_digest(rated_pages: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *, page_texts: DataFrame | None = None,
+                  now: Column | None = None, period: str = "weekly", settings: Settings = DEFAULT) -> dict[str, DataFrame]:
+    """Look-back -> pre-filter -> score against the collection (k=4, self excluded) -> post-filter -> sections, labels.
+
+    With ``now`` only pages edited within the ``period`` before it are read;
+    ``page_texts`` (``id, page_text``) holds the text of the pages' blocks, which
+    the score text contains.
+    """
+    if now is not None:
+        rated_pages = rated_pages.where(F.col("last_edited_time") >= FL.period_start(now, period))
     pages = FL.digest_prefilter(SC.sync_rated(rated_pages))
-    scored = score_items(pages, X.score_text_digest(F.col("id"), F.lit(""), F.col("take_aways")),
+    if page_texts is None:
+        pages = pages.withColumn("page_text", F.lit(""))
+    else:
+        pages = pages.join(page_texts.select("id", "page_text"), "id", "left")
+    scored = score_items(pages, X.score_text_digest(F.col("id"), F.col("page_text"), F.col("take_aways")),
                          rated_vectors, rated_meta, settings=settings, k=settings.digest_neighbours, self_exclude=True)
     digest = FL.digest_postfilter(scored.withColumn("user_rating", F.col("user_rating").cast("int"))
                                   .withColumn("relevant", F.col("relevant_score")), settings=settings)
@@ -190,11 +211,11 @@ def research(pages: DataFrame, acted: DataFrame, topics_docs: DataFrame, *, roun
     chosen = FL.include_tag(FL.takeaway_pages(fresh))
     versions = EN.refine_versions(chosen, "id", "take_aways", EN.DigestModel("S:"), rounds=rounds)
     current = versions.where("is_current").select("id", F.col("text").alias("body"))
-    topics = chosen.select(F.col("id").cast("long").alias("item_id"), F.col("take_aways").alias("text"))
+    topics = chosen.select(F.col("id").alias("item_id"), F.col("take_aways").alias("text"))
     ev = R.collect_evidence(topics, topics_docs, EN.DigestModel("S:"))
     refs = R.reference_list(ev.withColumn("title", F.substring("text", 1, 30))
                             .withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))), "item_id", "rnk")
-    record = current.join(refs.select(F.col("item_id").cast("string").alias("id"), F.col("refs")), "id", "left") \
+    record = current.join(refs.select(F.col("item_id").alias("id"), "refs"), "id", "left") \
         .withColumn("appendix", F.lit(""))
     return {"versions": versions, "record": DOC.research_sections(record)}
 

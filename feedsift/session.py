@@ -40,11 +40,14 @@ def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = N
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names this folder; we only pick one ourselves when it is unset
-    (as in local tests).
+    The cluster names this folder; we only pick one ourselves when it is unset,
+    for a local master (as in tests): on a cluster a folder of this machine
+    would be invisible to the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="feedsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -49,7 +49,6 @@ class Settings:
     # KNN execution
     knn_block_rows: int = 20000         # max vectors per block in the blocked join
     knn_min_block_rows: int = 2048      # rated blocks are split further for parallelism, never below this
-    broadcast_max_rows: int = 200000    # rated side above this is never broadcast
 
 
 DEFAULT = Settings()

@@ -119,11 +119,12 @@ def research_sections(df: DataFrame) -> DataFrame:
 
 
 def checked_insert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows to append; a key that already exists fails the job (duplicate-key error)."""
-    e = existing.select(*keys).withColumn("_dup", F.lit(True))
-    j = new.join(e, keys, "left")
+    """Rows to append; a key that exists already, or twice in the new rows, fails the job (duplicate-key error)."""
+    e = existing.select(*keys).distinct().withColumn("_dup", F.lit(True))
+    twice = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias("_twice"))
+    j = new.join(e, keys, "left").join(twice, keys, "left")
     # the check is the filter predicate itself, so the optimizer cannot prune it away
-    ok = F.when(F.col("_dup").isNotNull(),
+    ok = F.when(F.col("_dup").isNotNull() | F.col("_twice").isNotNull(),
                 F.raise_error(F.concat(F.lit("duplicate key: "), F.concat_ws("/", *[F.col(k) for k in keys])))
                 .cast("boolean")).otherwise(F.lit(True))
     return j.where(ok).select(*new.columns)

@@ -15,7 +15,7 @@ from feedsift.functions.text import INVALID_RESPONSES, strip
 from feedsift.operators import knn
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
-from feedsift.operators.enrich import TextModel, model_call
+from feedsift.operators.enrich import TextModel, model_attempt, model_call
 
 
 def _c(x) -> Column:
@@ -88,10 +88,11 @@ class ActionListModel:
 
 
 def todo_generate(pages: DataFrame, key: str, text: str, model: TextModel, translator: TextModel | None) -> DataFrame:
-    """Action list per page from the model, plus its translation (optional, M13)."""
-    out = pages.select(key, F.col(text)).withColumn("todo", model_call(model, F.col(text)))
-    t = model_call(translator, F.col(text)) if translator is not None else F.lit("")
-    return out.withColumn("todo_trans", t)
+    """Action list per page from the model, plus its translation (optional, M13); a failing page has its ``error``."""
+    out = pages.select(key, F.col(text)).withColumn("_todo", model_attempt(model, F.col(text)))
+    t = model_attempt(translator, F.col(text)) if translator is not None else F.struct(F.lit("").alias("answer"), F.lit(None).cast("string").alias("error"))
+    return out.withColumn("_trans", t).select(key, text, F.col("_todo.answer").alias("todo"), F.col("_trans.answer").alias("todo_trans"),
+                                              F.coalesce("_todo.error", "_trans.error").alias("error"))
 
 
 # ---------------------------------------------------------------- M9 / K14 (evidence)

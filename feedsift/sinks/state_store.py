@@ -2,19 +2,18 @@
 
 The four state tables (``watermarks``, ``visited``, ``cache``, ``page_state``)
 live as Parquet under one root on the cluster's shared file system.  A merge
-reads the current version, applies the upsert rule from
-``feedsift.operators.state`` and writes a new version directory, then rewrites
-the one-line ``_CURRENT`` pointer: a failed merge leaves the previous version
-current, table data is only ever read from completed versions, and the written
-table also cuts the lineage of long incremental runs.  One writer at a time
-(the jobs run one at a time); readers run between merges.
+reads the newest committed version, applies the upsert rule from
+``feedsift.operators.state`` and writes the next numbered version.  There is no
+pointer to lose: a merge that fails leaves a folder without ``_SUCCESS``, which
+is never read, and the previous version stays current; a folder that can't be
+listed or read is an error, never an empty table.  A few versions are kept for
+readers that still use them.  One writer at a time (the jobs run one at a time).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from feedsift.operators import state as S
@@ -35,30 +34,35 @@ KEYS = {
 
 
 class StateStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """Numbered versions of each table; a version counts once Spark's writer has committed it (``_SUCCESS``)."""
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_CURRENT"
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
-    def _current_version(self, table: str) -> str | None:
-        try:
-            rows = self.spark.read.text(self._pointer(table)).collect()   # one line, written by ``_publish``
-        except AnalysisException:
-            return None
-        return rows[0].value.strip() if rows else None
+    def _versions(self, table: str) -> list[str]:
+        """Committed versions, oldest first (a listing of one folder, no job)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory() and s.getPath().getName().startswith("v-")]
+        child = self.spark._jvm.org.apache.hadoop.fs.Path
+        return sorted(n for n in names if fs.exists(child(path, f"{n}/_SUCCESS")))
 
     def read(self, table: str) -> DataFrame:
-        v = self._current_version(table)
-        if v is None:
+        done = self._versions(table)
+        if not done:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.parquet(f"{self.root}/{table}/{v}")
+        return self.spark.read.parquet(f"{self.root}/{table}/{done[-1]}")
 
     def _publish(self, table: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(f"{self.root}/{table}/{version}")
-        self.spark.createDataFrame([(version,)], "value STRING").coalesce(1) \
-            .write.mode("overwrite").text(self._pointer(table))
+        done = self._versions(table)
+        number = int(done[-1].split("-")[1]) + 1 if done else 1
+        df.write.mode("errorifexists").parquet(f"{self.root}/{table}/v-{number:012d}-{uuid.uuid4().hex}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for old in done[:-self.keep]:
+            p = path(f"{self.root}/{table}/{old}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def merge(self, table: str, delta: DataFrame, *, overwrite: bool, ttl_seconds: int | None = None,
               now=None, seq: str | None = None) -> DataFrame:

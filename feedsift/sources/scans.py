@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from feedsift.operators.common import bounded_broadcast
+from feedsift.operators.common import bounded_broadcast, is_missing_path
 from feedsift.operators.dedup import latest_per_key
 
 
@@ -24,7 +24,9 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     """Read a stored batch with a fixed schema; a missing path is an empty batch."""
     try:
         return spark.read.schema(schema).format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -103,7 +105,9 @@ def read_texts(spark: SparkSession, expected: DataFrame, folder: str, name_col:
     try:
         files = (spark.read.text(folder, wholetext=True)
                  .select(F.col("_metadata.file_name").alias("_fname"), F.col("value").alias("_text")))
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return expected.withColumn("text", F.lit(""))
     j = expected.join(files, expected[name_col] == files["_fname"], "left")
     return j.select(*[expected[c] for c in expected.columns], F.coalesce(F.col("_text"), F.lit("")).alias("text"))

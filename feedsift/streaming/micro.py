@@ -6,9 +6,11 @@
         stays for batch runs).
 * R4/R11 — ``foreachBatch`` publish: anti join with the ``visited`` table,
         write the output, then append visited markers (mark-after-success).
-        Both writes are per-``batch_id`` partition overwrites, so a replayed
-        batch id rewrites instead of duplicating; the anti join ignores the
-        markers of the batch being replayed.
+        Both writes overwrite the partition of (query id, batch id), so a
+        replayed batch rewrites instead of duplicating and the anti join
+        ignores only its own markers. The query id lives in the checkpoint: a
+        lost checkpoint starts a new query, whose batches never touch what an
+        earlier query published or marked.
 * R5  — TTL dedup: ``withWatermark`` + ``dropDuplicatesWithinWatermark``.
 * R6  — keyed change detection: ``applyInPandasWithState`` keeps the last
         rating per key and emits a row only when it changes.
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from feedsift.operators.common import is_missing_path
 from feedsift.operators.dedup import anti_join_visited
 
 
@@ -51,35 +54,42 @@ def run_available_now(stream: DataFrame, process_batch: Callable[[DataFrame, int
 def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
 def publish_with_visited(out_path: str, visited_path: str, key: str, *,
                          transform: Callable[[DataFrame], DataFrame] | None = None,
-                         error: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+                         error: Callable[[DataFrame], DataFrame] | None = None,
+                         query_id: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: dedup against ``visited``, publish, then mark visited.
 
     ``transform`` builds the published rows; ``error`` (optional) adds an
     ``error`` column — failed rows are not marked, so they are retried by the
-    next run (at-least-once).
+    next run (at-least-once). ``query_id`` names the run outside a streaming query.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        visited = _read_or_empty(spark, visited_path, f"{key} STRING, batch_id BIGINT")
-        seen = visited.where(F.col("batch_id") != batch_id).select(F.col(key).alias("_k"))
+        run = query_id or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not run:
+            raise ValueError("outside a streaming query, name the run by query_id")
+        visited = _read_or_empty(spark, visited_path, f"{key} STRING, query_id STRING, batch_id BIGINT")
+        own = (F.col("query_id") == run) & (F.col("batch_id") == batch_id)
+        seen = visited.where(~own).select(F.col(key).cast("string").alias("_k"))
         keyed = batch.dropDuplicates([key]).withColumn("_sk", F.col(key).cast("string"))
         fresh = anti_join_visited(keyed, seen, {"_sk": "_k"}).drop("_sk")
         rows = transform(fresh) if transform else fresh
         rows = error(rows) if error else rows.withColumn("error", F.lit(None).cast("string"))
-        rows = rows.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
+        rows = rows.withColumn("query_id", F.lit(run)).withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
         try:
             (rows.where(F.col("error").isNull()).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
-            marks = rows.where(F.col("error").isNull()).select(F.col(key).cast("string").alias(key), "batch_id")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("query_id", "batch_id").parquet(out_path))
+            marks = rows.where(F.col("error").isNull()).select(F.col(key).cast("string").alias(key), "query_id", "batch_id")
             (marks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(visited_path))
+             .partitionBy("query_id", "batch_id").parquet(visited_path))
         finally:
             rows.unpersist()
 
@@ -99,7 +109,7 @@ def dedup_within_ttl(stream: DataFrame, key: str | list[str], ts: str, ttl: str)
     return event_time(stream, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-_CHANGE_SCHEMA = "page_id LONG, user_rating INT, previous INT, ts TIMESTAMP_NTZ"
+_CHANGE_SCHEMA = "page_id %s, user_rating INT, previous INT, ts TIMESTAMP_NTZ"
 
 
 def rating_changes(stream: DataFrame, key: str = "page_id", rating: str = "user_rating",
@@ -128,8 +138,8 @@ def rating_changes(stream: DataFrame, key: str = "page_id", rating: str = "user_
         if prev is None or best != prev:
             yield pd.DataFrame([(k[0], best, prev, best_ts)], columns=["page_id", "user_rating", "previous", "ts"])
 
-    src = stream.select(F.col(key).cast("long").alias(key), F.col(rating).cast("int").alias(rating), F.col(ts))
-    return src.groupBy(key).applyInPandasWithState(step, _CHANGE_SCHEMA, "rating INT", "append",
+    src = stream.select(F.col(key), F.col(rating).cast("int").alias(rating), F.col(ts))
+    return src.groupBy(key).applyInPandasWithState(step, _CHANGE_SCHEMA % stream.schema[key].dataType.simpleString(), "rating INT", "append",
                                                    GroupStateTimeout.NoTimeout)
 
 

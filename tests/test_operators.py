@@ -215,9 +215,9 @@ def test_broadcast_only_when_bounded(spark):
     from feedsift.operators.common import bounded_broadcast
 
     small = spark.range(10)
-    plan = small.join(bounded_broadcast(small, 100), "id")._jdf.queryExecution().executedPlan().toString()
+    plan = small.join(bounded_broadcast(small, 1000), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
-    big = bounded_broadcast(spark.range(1000), 100)
+    big = bounded_broadcast(spark.range(1000), 1000)
     assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
 
 
@@ -306,6 +306,11 @@ def test_rank_gate_null_score_is_ranked(spark):
     df = spark.createDataFrame([(1, None, "short"), (2, 2.0, "short"), (3, None, "x" * 2001)],
                                "id long, relevant_score double, body string")
     out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel()).collect()}
+    assert out == {1: True, 2: False, 3: True}               # no gate by length unless it is asked for
+    from feedsift.settings import Settings
+
+    gate = Settings(rank_gate_max_chars=2000)
+    out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel(), settings=gate).collect()}
     assert out == {1: True, 2: False, 3: False}
 
 
@@ -350,7 +355,10 @@ def test_rank_gate_measures_content_model_reads_text(spark):
     # trap Q21: the gate measures "title: text", the model is prompted with the text only
     df = spark.createDataFrame([(1, None, "t" * 1999, "body")], "id long, relevant_score double, title string, body string")
     content = F.concat(F.col("title"), F.lit(": "), F.col("body"))
-    out = EN.classify_rank(df, "id", "relevant_score", content, EN.RankModel(), model_text=F.col("body")).first()
+    from feedsift.settings import Settings
+
+    gate = Settings(rank_gate_max_chars=2000)
+    out = EN.classify_rank(df, "id", "relevant_score", content, EN.RankModel(), model_text=F.col("body"), settings=gate).first()
     assert out.ranked is False            # 1999 + 2 + 4 > 2000 characters: gated
     ok = EN.classify_rank(df.withColumn("title", F.lit("t")), "id", "relevant_score",
                           F.concat(F.lit("t: "), F.col("body")), EN.RankModel(), model_text=F.col("body")).first()
@@ -427,3 +435,138 @@ def test_recursive_chunks_cover_whole_texts(spark):
             assert 0 <= pos <= end, (k, ch[:40])
             start, end = pos, max(end, pos + len(ch))
         assert end == len(text), k
+
+
+def test_state_store_ignores_a_version_that_was_not_committed(spark, tmp_path):
+    """A merge that stopped midway leaves the last committed version current."""
+    from feedsift.sinks.state_store import StateStore
+
+    st = StateStore(spark, str(tmp_path / "state"), keep=2)
+    row = lambda i: spark.createDataFrame([("ns", "src", "s", i)], "namespace string, source string, scope string, item_id string")
+    for i in "abcd":
+        st.merge("visited", row(i), overwrite=False)
+    (tmp_path / "state" / "visited" / "v-999999999999-x").mkdir()
+    assert sorted(r.item_id for r in st.read("visited").collect()) == list("abcd")
+    assert len(st._versions("visited")) == 3
+
+
+def test_expired_state_does_not_win_a_first_write(spark):
+    import datetime as dt
+
+    from feedsift.operators.state import upsert
+
+    now = dt.datetime(2024, 1, 2)
+    state = spark.createDataFrame([("k", "old", dt.datetime(2024, 1, 1)), ("m", "kept", None)], "id string, v string, expires_at timestamp")
+    delta = spark.createDataFrame([("k", "new"), ("m", "new")], "id string, v string")
+    got = {r.id: r.v for r in upsert(state, delta, "id", overwrite=False, now=now).collect()}
+    assert got == {"k": "new", "m": "kept"}
+
+
+def test_duplicate_markers_count_once(spark):
+    from feedsift.operators import dedup as DD
+
+    items = spark.createDataFrame([(1, "a"), (2, "a")], "id long, l string")
+    visited = spark.createDataFrame([(1, "a"), (1, "a")], "item_id long, l string")
+    on = {"id": "item_id", "l": "l"}
+    t = DD.dedup_tallies(items, visited, on, ["l"]).first()
+    assert (t.total, t.duplicate, t["new"]) == (2, 1, 1)
+    pages = spark.createDataFrame([(1, 5)], "page_id long, user_rating int")
+    state = spark.createDataFrame([(1, 5), (1, 5)], "page_id long, user_rating int")
+    assert DD.rating_change_split(pages, visited.select("item_id"), state).count() == 1
+
+
+def test_composite_watermarks_do_not_repeat_rows(spark):
+    from feedsift.operators.state import since_watermark
+
+    rows = spark.createDataFrame([("s", "x", 5), ("s", "y", 5), ("t", None, 5)], "source string, category string, ts int")
+    wm = spark.createDataFrame([("s", "x", 7), ("s", "x", 3), ("s", "y", 4), ("t", None, 9)], "source string, category string, ts int")
+    got = since_watermark(rows, wm, ["source", "category"], "ts", strict=False, default_ts=0).collect()
+    assert [(r.source, r.category) for r in got] == [("s", "y")]
+
+
+def test_one_id_in_two_lists_is_scored_in_each(spark):
+    from feedsift.plans import jobs as J
+
+    items = spark.createDataFrame([("x", "tech", "t", "alpha beta"), ("x", "news", "t", "gamma delta")], "id string, list_name string, title string, body string")
+    rated = spark.createDataFrame([(1, "tech t: alpha beta"), (2, "news t: gamma delta")], "id long, text string")
+    meta = spark.createDataFrame([(1, 5), (2, 1)], "item_id long, user_rating int")
+    visited = spark.createDataFrame([], "item_id string, list_name string")
+    from feedsift.settings import Settings
+
+    out = J.curate(items, visited, J.rated_vectors_of(rated, F.col("text")), meta, settings=Settings(neighbours=1, min_score=0.5))
+    assert {r.list_name: r.relevant_score for r in out.published.collect()} == {"tech": 5.0, "news": 1.0}
+    assert {(r.list_name, r.n) for r in out.funnel.where("stage = 'total_input'").collect()} == {("tech", 1), ("news", 1)}
+
+
+def test_feed_days(spark):
+    from feedsift.functions.text import feed_day
+
+    cases = {"Thu, 03 Mar 2022 08:00:00 GMT": "2022-03-03", "Thu, 03 Mar 2022 23:30:00 -0500": "2022-03-04", "3 Mar 2022 01:00 +0900": "2022-03-02",
+             "2022-03-03T23:30:00-05:00": "2022-03-04", "2022-03-03": "2022-03-03", "2022-03-03T08:00:00Z": "2022-03-03", "soon": None, "": None, None: None,
+             "Thu, 31 Feb 2022 08:00:00 GMT": None}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+    assert [r.d for r in df.select("i", feed_day("c").alias("d")).orderBy("i").collect()] == list(cases.values())
+
+
+def test_a_failing_text_is_isolated(spark):
+    from feedsift.operators.enrich import model_attempt
+
+    class Picky:
+        name = "picky"
+
+        def generate(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad text")
+            return ["ok:" + t for t in texts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id long, t string").coalesce(1)
+    got = {r.id: (r.x.answer, r.x.error) for r in df.select("id", model_attempt(Picky(), F.col("t"), tries=2, wait=0).alias("x")).collect()}
+    assert got == {1: ("ok:a", None), 2: (None, "ValueError: bad text"), 3: ("ok:c", None)}
+
+
+def test_duplicate_keys_within_an_insert_fail(spark):
+    new = spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(Exception, match="duplicate key"):
+        DOC.checked_insert(spark.createDataFrame([], "k long"), new, ["k"]).collect()
+
+
+def test_replayed_publish_gives_the_same_rows(spark, tmp_path):
+    from feedsift.sinks.publish import publish_attempts, write_batch
+
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id long, body string")
+    att = publish_attempts(df, rejected=F.when(F.col("id") == 2, F.lit("no")))
+    paths = [str(tmp_path / p) for p in ("visited", "out", "attempts")]
+    for _ in range(2):
+        assert write_batch(att, *paths, ["id"], namespace="n", source="s", run_id="r1") == {"total": 2, "error": 1}
+    assert [r.id for r in spark.read.parquet(paths[1]).collect()] == [1]
+    assert spark.read.parquet(paths[0]).count() == 1
+
+
+def test_whole_texts_reach_embedding_and_summary(spark):
+    """A change at the tail of a 100,000-character text changes its embedding, its summary and its score text."""
+    from feedsift.functions.text import score_text_feed
+    from feedsift.operators import enrich as EN2
+    from feedsift.operators.embed import hashing_embedding
+
+    base = "word " * 20_000
+    df = spark.createDataFrame([(1, base + "alpha"), (2, base + "omega")], "id long, t string")
+    e = df.select("id", hashing_embedding("t").alias("e"), score_text_feed(F.lit("t"), F.lit("l"), "t").alias("s")).orderBy("id").collect()
+    assert e[0].e != e[1].e and e[0].s != e[1].s
+    s = EN2.mapreduce_summary(df, "id", "t", EN2.DigestModel("M:"), EN2.DigestModel("S:")).orderBy("id").collect()
+    assert s[0].summary != s[1].summary
+
+
+def test_building_queries_runs_no_job(spark):
+    """Plans are built without jobs, but for schema reads, the KNN block count and checkpoints."""
+    from feedsift.catalog import QUERIES, load_all
+
+    load_all()
+    sc = spark.sparkContext
+    for name in ("dedup_visited", "funnel_counts", "mapreduce_summary", "cached_enrich", "pull_since_watermark", "page_text"):
+        QUERIES[name](spark, SMALL)                      # reads the schemas once
+        sc.setJobGroup(f"build-{name}", name)
+        QUERIES[name](spark, SMALL)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert all(s is None or s.numTasks <= 1 for s in stages), (name, len(jobs))
+    sc.setLocalProperty("spark.jobGroup.id", None)

@@ -19,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     res = check(spark, con, name, QUERIES[name], ORACLES.get(name), SMALL)
-    assert res.get("ok") is not False, res
+    assert res.get("ok") is True, res                        # a query without an oracle fails too
 
 
 def test_every_query_has_a_docstring():

@@ -26,7 +26,13 @@ def test_source_filter_reaches_parquet(spark):
 
 
 def test_time_bound_reaches_parquet(spark):
-    plan = _plan(spark, "scan_inbox_since")
+    import datetime as dt
+
+    from feedsift.sources.scans import created_since
+
+    events = spark.read.parquet(f"{MEDIUM}/events.parquet")
+    df = created_since(events, dt.datetime(2024, 1, 10), strict=False, created="ts")
+    plan = df._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"GreaterThanOrEqual\(ts,2024-01-10", plan)
 
 

@@ -35,7 +35,7 @@ def test_available_now_publish_equals_batch(spark, tmp_path):
 def test_replayed_batch_is_idempotent(spark, tmp_path):
     ev = spark.read.parquet(f"{SMALL}/events.parquet").where(F.col("event_id") < 200)
     out, visited = str(tmp_path / "out"), str(tmp_path / "visited")
-    fn = micro.publish_with_visited(out, visited, "user_id", transform=lambda d: d.select("user_id"))
+    fn = micro.publish_with_visited(out, visited, "user_id", transform=lambda d: d.select("user_id"), query_id="q")
     fn(ev, 0)
     n = spark.read.parquet(out).count()
     fn(ev, 0)                      # same batch id again (retry after a failure)
@@ -48,12 +48,44 @@ def test_failed_rows_are_not_marked(spark, tmp_path):
     ev = spark.read.parquet(f"{SMALL}/events.parquet").where(F.col("event_id") < 100)
     out, visited = str(tmp_path / "out"), str(tmp_path / "visited")
     err = lambda d: d.withColumn("error", F.when(F.col("user_id") % 2 == 0, F.lit("rejected")))
-    fn = micro.publish_with_visited(out, visited, "user_id", transform=lambda d: d.select("user_id"), error=err)
+    fn = micro.publish_with_visited(out, visited, "user_id", transform=lambda d: d.select("user_id"), error=err, query_id="q")
     fn(ev, 0)
     marked = {r.user_id for r in spark.read.parquet(visited).collect()}
     assert marked and all(int(u) % 2 == 1 for u in marked)
 
 
+def test_lost_checkpoint_keeps_what_was_published(spark, tmp_path):
+    """After a lost checkpoint batch ids start at 0 again; nothing published or marked before is lost or repeated."""
+    out, visited = str(tmp_path / "out"), str(tmp_path / "visited")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    micro.publish_with_visited(out, visited, "id", query_id="first")(rows("1", "2"), 0)
+    micro.publish_with_visited(out, visited, "id", query_id="second")(rows("2", "3"), 0)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+    assert sorted(r.id for r in spark.read.parquet(visited).collect()) == ["1", "2", "3"]
+
+
+def test_lost_checkpoint_of_a_running_query(spark, tmp_path):
+    src = str(tmp_path / "src")
+    spark.createDataFrame([("1",), ("2",)], "id string").coalesce(1).write.parquet(f"{src}/a")
+    out, visited = str(tmp_path / "out"), str(tmp_path / "visited")
+    fn = micro.publish_with_visited(out, visited, "id")
+    micro.run_available_now(micro.read_files(spark, f"{src}/*", spark.read.parquet(f"{src}/a").schema), fn, str(tmp_path / "c1"))
+    spark.createDataFrame([("2",), ("3",)], "id string").coalesce(1).write.parquet(f"{src}/b")
+    micro.run_available_now(micro.read_files(spark, f"{src}/*", spark.read.parquet(f"{src}/a").schema), fn, str(tmp_path / "c2"))
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+    assert spark.read.parquet(out).select("query_id").distinct().count() == 2
+
+
+def test_unreadable_history_is_an_error(spark, tmp_path):
+    """Only a missing path is an empty history; a folder without readable rows is not."""
+    import pytest
+
+    (tmp_path / "visited").mkdir()
+    fn = micro.publish_with_visited(str(tmp_path / "out"), str(tmp_path / "visited"), "id", query_id="q")
+    with pytest.raises(Exception, match="UNABLE_TO_INFER_SCHEMA"):
+        fn(spark.createDataFrame([("1",)], "id string"), 0)
+
+
 def test_rating_changes_stream(spark, tmp_path):
     src = tmp_path / "src"
     schema = "page_id long, user_rating int, last_edited string"
