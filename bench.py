@@ -40,6 +40,11 @@ HEADLINE = [
     "page_text",
     "cached_enrich",
     "funnel_counts",
+    "curate_posts",         # the dearest composite jobs and text queries
+    "collect_evidence",
+    "research_dive",
+    "embed_text",
+    "journal_record",
 ]
 
 

@@ -122,7 +122,11 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
 
     Query ids are unique (a batch is keyed by item id).  Returns
     ``(query_id, item_id, distance, rnk)``; ``distance`` is rounded to 6
-    decimals.  With ``keep_empty`` every query appears at least once: queries
+    decimals.  A batch of at most ``knn_broadcast_queries`` queries is broadcast
+    and the rated side is scanned where it lies, each task keeping its k best per
+    query; larger batches meet the rated side in blocks.  Fetching that bounded
+    batch, or else counting both sides, is the one job run while the plan is
+    built.  With ``keep_empty`` every query appears at least once: queries
     without any candidate carry a NULL ``item_id`` (used by scoring so that it
     never has to join back to the queries).
     """
@@ -132,6 +136,10 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
     r = rated.select(F.col(item_id).alias("item_id"), F.col(vector).alias("rv"))
     id_type = r.schema["item_id"].dataType
     qid_type = q.schema["query_id"].dataType
+    if query_blocks is None and rated_blocks is None:
+        few = q.where(F.col("qv").isNotNull()).limit(settings.knn_broadcast_queries + 1).toPandas()
+        if len(few) <= settings.knn_broadcast_queries:
+            return _scan_rated(q.select("query_id"), few, r, k, metric, keep_empty)
     if query_blocks is None or rated_blocks is None:
         # one counting job (both sides) decides the block grid; the grid bounds every task's memory
         sizes = {row["side"]: row["n"] for row in
@@ -179,6 +187,34 @@ def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *
     return out.where(F.col("rnk") <= k)
 
 
+def _scan_rated(ids: DataFrame, few: pd.DataFrame, rated: DataFrame, k: int, metric: str, keep_empty: bool) -> DataFrame:
+    """The k nearest of a broadcast batch of queries by one scan of the rated side, which is not shuffled."""
+    schema = T.StructType([T.StructField("query_id", ids.schema["query_id"].dataType),
+                           T.StructField("item_id", rated.schema["item_id"].dataType), T.StructField("distance", T.DoubleType())])
+    desc = metric_order(metric) == "desc"
+    shared = ids.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy(), _stack(few["qv"])))
+
+    def scan(batches):
+        q_ids, q_vecs = shared.value
+        best = None
+        for b in batches:
+            if len(b) == 0 or len(q_ids) == 0:
+                continue
+            got = _local_topk(q_ids, q_vecs, b["item_id"].to_numpy(), _stack(b["rv"]), k, metric)
+            best = got if best is None else pd.concat([best, got], ignore_index=True)
+            best = best.sort_values(["distance", "item_id"], ascending=[not desc, True], na_position="last", kind="stable")
+            best = best.groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    local = rated.where(F.col("rv").isNotNull()).mapInPandas(scan, schema)
+    dist = F.col("distance").desc_nulls_last() if desc else F.col("distance").asc_nulls_last()
+    out = local.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(dist, F.col("item_id")))).where(F.col("rnk") <= k)
+    if not keep_empty:
+        return out
+    return ids.join(out, "query_id", "left").withColumn("rnk", F.coalesce("rnk", F.lit(1)))
+
+
 def neighbours(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: int, metric: str,
                threshold: float | None, *, self_exclude: bool = False, **kw) -> DataFrame:
     """J5 -> T3/T4 -> J6 (-> J7): k cut first, then threshold, metadata inner join, self exclusion.

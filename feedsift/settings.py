@@ -47,6 +47,7 @@ class Settings:
     weekly_days: int = 7
     latest_partitions: int = 2
     # KNN execution
+    knn_broadcast_queries: int = 1000   # a batch of at most so many queries is broadcast to the rated side
     knn_block_rows: int = 20000         # max vectors per block in the blocked join
     knn_min_block_rows: int = 2048      # rated blocks are split further for parallelism, never below this
 
