@@ -292,13 +292,17 @@ def classify_rank(spark, sf):
 
 
 @register("fallback_enrich", uses=("items",), sql="""
-SELECT id, CASE WHEN regexp_matches(substr(md5(body), 1, 1), '[0-9]') THEN 'S:' || md5(body) ELSE 'P:' || md5(body) END AS summary,
-       CASE WHEN regexp_matches(substr(md5(body), 1, 1), '[0-9]') THEN 'digest' ELSE 'flaky' END AS used
-FROM items""")
+, s AS (SELECT id, i, trim(x, ' ' || chr(10)) AS sent FROM (SELECT id, unnest(string_split(body, '.')) AS x, generate_subscripts(string_split(body, '.'), 1) AS i FROM items))
+, c AS (SELECT id, i, sent, count(*) OVER (PARTITION BY id) AS n,
+               row_number() OVER (PARTITION BY id ORDER BY len(list_distinct(string_split(sent, ' '))) DESC, i) AS rk FROM s WHERE sent <> '')
+, k AS (SELECT id, string_agg(sent, '. ' ORDER BY i) || '.' AS summary FROM c WHERE rk <= 2 AND n >= 4 GROUP BY id)
+SELECT items.id, coalesce(k.summary, array_to_string(string_split(body, ' ')[1:12], ' ')) AS summary,
+       CASE WHEN k.id IS NULL THEN 'lead-words' ELSE 'key-sentences' END AS used
+FROM items LEFT JOIN k ON items.id = k.id""")
 def fallback_enrich(spark, sf):
-    """M6: an empty primary answer goes to the fallback model."""
+    """M6: key sentences of the whole text; texts too short for that go to the fallback, their first words."""
     i = binding(spark, sf, "items").select("id", "body")
-    out = EN.fallback_enrich(i, F.col("body"), EN.EmptyModel(), EN.DigestModel("S:"), "summary")
+    out = EN.fallback_enrich(i, F.col("body"), EN.KeySentences(), EN.LeadWords(), "summary")
     return out.select("id", "summary", "used")
 
 

@@ -82,6 +82,34 @@ class EmptyModel:
         return ["" if _md5(t or "")[0].isdigit() else "P:" + _md5(t or "") for t in texts]
 
 
+class KeySentences:
+    """Extractive summaries: the ``n`` sentences with the most different words, in text order.
+
+    Texts with fewer than ``min_sentences`` sentences get no answer, which leaves them to a fallback model.
+    """
+
+    def __init__(self, n: int = 2, min_sentences: int = 4, name: str = "key-sentences"):
+        self.n, self.min_sentences, self.name = n, min_sentences, name
+
+    def generate(self, texts: list[str]) -> list[str]:
+        out = []
+        for t in texts:
+            parts = [p for p in (x.strip(" \n") for x in (t or "").split(".")) if p]
+            best = sorted(range(len(parts)), key=lambda i: (-len(set(parts[i].split(" "))), i))[:self.n]
+            out.append(". ".join(parts[i] for i in sorted(best)) + "." if len(parts) >= self.min_sentences else "")
+        return out
+
+
+class LeadWords:
+    """Extractive summaries of last resort: the first ``n`` words of the text."""
+
+    def __init__(self, n: int = 12, name: str = "lead-words"):
+        self.n, self.name = n, name
+
+    def generate(self, texts: list[str]) -> list[str]:
+        return [" ".join((t or "").split(" ")[:self.n]) for t in texts]
+
+
 def with_retry(fn: Callable[[], object], tries: int = 3, wait: float = 5.0, sleep=time.sleep):
     """M7: call ``fn`` up to ``tries`` times, waiting ``wait`` seconds between tries; re-raise the last error."""
     last = None
