@@ -124,7 +124,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 8,
-            target: float = 0.96, sample: int = 128, bucket_rows: int = 400, cell_rows: int = 20_000) -> DataFrame:
+            target: float = 0.96, sample: int = 128, bucket_rows: int = 400, cell_rows: int = 60_000) -> DataFrame:
     """query_id, rank (from 1), the neighbour's id as ``id_col``, score: the k nearest found of each query row among all
     rows but those of its own id."""
     spark = vectors.sparkSession
@@ -177,13 +177,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     big = left.groupBy("key").agg(F.count("*").alias("nq"), F.lit(0).cast("long").alias("nx")).unionByName(right.groupBy("key").agg(F.lit(0).cast("long").alias("nq"), F.count("*").alias("nx")))
     big = big.groupBy("key").agg(F.sum("nq").alias("nq"), F.sum("nx").alias("nx")).where((F.col("nq") > cell_rows) | (F.col("nx") > cell_rows))
     big = staged(big.select("key", F.ceil(F.col("nq") / cell_rows).cast("int").alias("bq"), F.ceil(F.col("nx") / cell_rows).cast("int").alias("bx")), "large")
-    cells = max(1, facts.n * tables // cell_rows)
+    # a table's buckets are dealt to so many cells; a query meets at most tables * min(probes, cells) of them
+    cells = max(1, -(-facts.n // cell_rows))
 
     def celled(side: DataFrame, own: str, other: str) -> DataFrame:
         got = side.join(big, "key", "left").withColumn("me", F.coalesce(F.pmod(F.xxhash64("id"), F.col(own)).cast("int"), F.lit(0)))
         got = got.withColumn("you", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other) - 1, F.lit(0)))))
         pair = ("me", "you") if own == "bq" else ("you", "me")
-        cell = F.when(F.col(own).isNull(), F.pmod(F.xxhash64("key"), F.lit(cells))).otherwise(F.xxhash64("key", *pair).bitwiseOR(F.lit(1 << 40)))
+        of_table = F.floor(F.col("key") / h.buckets).cast("long") * cells + F.pmod(F.xxhash64("key"), F.lit(cells))
+        cell = F.when(F.col(own).isNull(), of_table).otherwise(F.xxhash64("key", *pair).bitwiseOR(F.lit(1 << 40)))
         return got.select(cell.alias("cell"), "key", "id", "vec")
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
