@@ -149,7 +149,9 @@ def dedup(docs: DataFrame, window: int = 20, extra: int = 8, block_bytes: int =
         parts = [unpack_u(r["payload"]) for r in rows]
         cells = np.sort(np.concatenate(parts))
         twice = cells[1:][cells[1:] == cells[:-1]]                      # each block names a cell once
-        out = [(r["src"], r["to"], _packed(np.isin(p, twice, assume_unique=False, kind="sort"))) for r, p in zip(rows, parts)]
+        ends = np.append(twice, np.uint64(0))                           # a last entry, so that every place has one
+        found = ((p, np.searchsorted(twice, p)) for p in parts)
+        out = [(r["src"], r["to"], _packed((at < len(twice)) & (ends[at] == p))) for r, (p, at) in zip(rows, found)]
         return pa.Table.from_batches([messages(out)])
 
     sketched = blocks.select("to", "payload").mapInArrow(sketch, MESSAGE)
