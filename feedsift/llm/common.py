@@ -133,7 +133,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _RNG = np.random.default_rng(20240229)
 _BASES = [int(x) | 3 for x in _RNG.integers(0, 2**63, 2)]
 _BYTE = _RNG.integers(1, 2**64 - 1, (2, 256), dtype=np.uint64)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -146,7 +146,7 @@ def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(max(n, _SLICE) + 1, b, np.uint64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        if n > 4 * _SLICE:
+        if n > 16 * _SLICE:
             return both[0], both[1]
         _POWERS[seed] = (both[0], both[1])
     return _POWERS[seed]
@@ -181,7 +181,7 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, off - off[0]
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def text_chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of runs of rows with about ``size`` bytes of text; a longer text is a run of its own."""
     for b in batches:
         data, off = text_bytes(b.column(1))
@@ -264,7 +264,7 @@ class UnitEncoder:
     beyond its bound (ids don't change). Strings that look like special tokens are ordinary text.
     """
 
-    BOUND = 1_500_000
+    BOUND = 800_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -335,7 +335,7 @@ def text_udf(fn: Callable[[np.ndarray, np.ndarray], pa.Array], returns: str):
     with an element per row. Null texts arrive as empty ones."""
 
     def apply(col: pa.Array) -> pa.Array:
-        col = pc.fill_null(col, "")
+        col = pc.fill_null(col, "") if col.null_count else col
         batch = pa.record_batch([pa.nulls(len(col)), col], names=["i", "t"])
         parts = [fn(d, o) for _, d, o in text_chunks([batch])]
         return pa.concat_arrays(parts) if parts else fn(np.empty(0, np.uint8), np.zeros(1, np.int64))

@@ -56,20 +56,19 @@ def _bases(tokens: DataFrame) -> DataFrame:
 def pieces(tokens: DataFrame, width: int = 1024, with_ids: bool = False) -> DataFrame:
     """Cut the concatenated runs into windows; one row per piece. ``ids`` is null unless asked for."""
     def cut(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                n, raw = r["n_tokens"], r["ids"]
-                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
-                g = r["base"] + r["local"]
-                edge = np.arange(g // width + 1, -(-(g + n) // width)) * width - g
-                at = [0, *edge.tolist(), n]
-                m = len(at) - 1
-                first = np.array(at[:-1])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([r["doc_id"]] * m, pa.int64()), "start": first, "length": np.diff(at),
-                    "ids_crc32": pa.array([zlib.crc32(ids[x:y].data) for x, y in zip(at, at[1:])], pa.int64()), "doc_tokens": np.full(m, n),
-                    "sequence_id": (g + first) // width, "offset": (g + first) % width,
-                    "ids": pa.array([ids[x:y].tobytes() if with_ids else None for x, y in zip(at, at[1:])], pa.binary())})
+        for r in (r for b in batches for i in range(0, b.num_rows, 256) for r in b.slice(i, 256).to_pylist()):
+            n, raw = r["n_tokens"], r["ids"]
+            ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
+            g = r["base"] + r["local"]
+            edge = np.arange(g // width + 1, -(-(g + n) // width)) * width - g
+            at = [0, *edge.tolist(), n]
+            m = len(at) - 1
+            first = np.array(at[:-1])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array([r["doc_id"]] * m, pa.int64()), "start": first, "length": np.diff(at),
+                "ids_crc32": pa.array([zlib.crc32(ids[x:y].data) for x, y in zip(at, at[1:])], pa.int64()), "doc_tokens": np.full(m, n),
+                "sequence_id": (g + first) // width, "offset": (g + first) % width,
+                "ids": pa.array([ids[x:y].tobytes() if with_ids else None for x, y in zip(at, at[1:])], pa.binary())})
 
     def joined(batches):                     # a record batch per document is small; hand them on in larger ones
         held, rows = [], 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import encoder, text_chunks
 
 
-def token_runs(batches, path: str, end_id: int, size: int = 4 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def token_runs(batches, path: str, end_id: int, size: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc ids, token ids, offsets) for runs of rows; each document's ids end with ``end_id``."""
     enc = encoder(path)
     for ids, data, off in text_chunks(batches, size):

@@ -10,7 +10,7 @@ the file's compression uses. Each shard is written as one row of one Parquet fil
 are simply written again.
 
 A shard closes when it holds ``shard_tokens`` ids; a document is never cut, so a
-shard is bounded by that number plus the last run of rows (4 MB of text, or one longer document). Null or empty texts
+shard is bounded by that number plus the last run of rows (1 MB of text, or one longer document). Null or empty texts
 still have their end id. Rows with a null doc_id come first; rows with the same
 doc_id are ordered by a hash of their text, repeated rows stay repeated. An empty
 table gives no shards.
@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
                 "lengths": lengths.tolist(), "payload": WaveletMatrix.build(ids).to_bytes()}], schema=schema)
 
         schema = pa.schema([("task", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-        for doc, ids, at in token_runs(batches, tokenizer, end_id, min(4 << 20, 2 * shard_tokens)):
+        for doc, ids, at in token_runs(batches, tokenizer, end_id, min(1 << 20, 2 * shard_tokens)):
             docs_in.append(doc)
             ids_in.append((np.diff(at), ids))
             if sum(len(x) for _, x in ids_in) >= shard_tokens:
