@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_udf
+from .common import text_udf, word_spans
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -113,16 +113,15 @@ def guessed_spans(text: str, min_log10: float) -> list[tuple[int, int, int]]:
     return got
 
 
+_HEX_BYTES = np.zeros(256, bool)
+_HEX_BYTES[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
+
+
 def _hex_runs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which texts hold a run of 32 hexadecimal digits."""
-    ok = np.zeros(256, bool)
-    ok[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
-    w = np.concatenate([[False], ok[data], [False]]).view(np.int8)
-    step = np.diff(w)
-    a, z = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    a = a[z - a >= 32]
+    starts, ends, _ = word_spans(data, off, _HEX_BYTES)          # runs end at text borders
     out = np.zeros(len(off) - 1, bool)
-    out[np.searchsorted(off, a, "right") - 1] = True            # a run over a border of texts only costs a needless scan
+    out[np.searchsorted(off, starts[ends - starts >= 32], "right") - 1] = True
     return out
 
 
@@ -139,7 +138,7 @@ def secrets(docs: DataFrame, name: str = "secrets", min_log10: float = 9.0, text
 
     def scan(data, off):
         raw = data.tobytes()
-        hexes = _hex_runs(data, off) if len(data) else np.zeros(len(off) - 1, bool)
+        hexes = _hex_runs(data, off)
         cols: list[list] = [[] for _ in range(7)]
         for k, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
             part = raw[a:z]

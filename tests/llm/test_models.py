@@ -191,3 +191,14 @@ def test_secret_prefilter_loses_nothing(spark):
     got = {r.doc_id: r.secrets.base_spans for r in secrets.secrets(docs.select("doc_id", "text")).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, z, k in secrets.base_spans(r.text))
+
+
+def test_secret_digests_in_neighbouring_texts(spark):
+    digest = "0123456789abcdef" * 2
+    texts = [digest, digest, "a page", digest, "", digest, "face", digest[:20], digest[:20], "é" + digest + "g"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.secrets.n_hex, r.secrets.base_spans) for r in secrets.secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        spans = secrets.base_spans(t)
+        assert got[i] == (len(spans), ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, z, k in spans))
+    assert [got[i][0] for i in range(len(texts))] == [1, 1, 0, 1, 0, 1, 0, 0, 0, 1]
