@@ -4,7 +4,8 @@
 (Dirichlet smoothing; p0 is the base distribution, additive smoothing of the
 training tokens' counts, one unknown word included), so the probabilities of all
 words after any context add up to one. A text starts after a start mark, and its
-end is a token. Contexts seen once in training carry no entries (p = p0).
+end is a token. Contexts seen in training less than ``least_context`` times carry
+no entries (p = p0); with 1, every context that was seen does.
 
 A shard's trie has two memory-mapped levels, both Elias-Fano coded: the contexts'
 word numbers, with monotone pointers to their successors; and the successors'
@@ -212,7 +213,7 @@ class Block:
 
 
 def score(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int = 8 << 20, segment_words: int = 1_000_000,
-          shard_pairs: int = 1_500_000, context_tokens: int = 1_000_000) -> DataFrame:
+          shard_pairs: int = 1_500_000, context_tokens: int = 1_000_000, least_context: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, learning from those whose
     crc32 fold isn't 0."""
     spark = docs.sparkSession
@@ -277,7 +278,7 @@ def score(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int =
         number, count = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, np.int64),) * 2
         ctx, tok, before, counts, doc = block.pairs(number, count, start, end, end_count, end_count)
         # pairs that can have an entry, distinct; their shard splits a large context by its successors
-        may = np.flatnonzero((before > 1) & (counts > 0))
+        may = np.flatnonzero((before >= least_context) & (counts > 0))
         split = before[may] // context_tokens + 1
         place = mix64(ctx[may].astype(np.uint64) * np.uint64(1 << 20) + mix64(tok[may].astype(np.uint64)) % split.astype(np.uint64)) % np.uint64(shards)
         order = np.lexsort((tok[may], ctx[may], place))
@@ -333,7 +334,7 @@ def score(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int =
         b = before[may]
         code = codes[pair_of]
         p[may] = np.where(code > 0, 10.0 ** (-(code - 1) / STEP), 0.0) + mu / (b + mu) * p0[may]
-        plain = (before > 1) & (counts == 0)
+        plain = (before >= least_context) & (counts == 0)
         p[plain] = mu / (before[plain] + mu) * p0[plain]
         n = len(block.doc_ids)
         return pa.table({

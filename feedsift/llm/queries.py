@@ -48,7 +48,7 @@ def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and bigram log10 probability of every document, learnt from nine of ten folds."""
-    return ngram_lm.score(table(spark, sf_dir, "documents"), folds=10)
+    return ngram_lm.score(table(spark, sf_dir, "documents"), folds=10, least_context=1)
 
 
 @query()

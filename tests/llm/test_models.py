@@ -104,6 +104,41 @@ def test_language_model_edge_cases(edge_docs, no_docs):
     assert ngram_lm.score(no_docs).count() == 0
 
 
+def _lm_whole(rows, mu=20.0):
+    """doc_id -> (tokens, score) of the model with the pairs of every context that was seen."""
+    docs = [(i, (t or "").encode().translate(bytes(LOWER)).split()) for i, t in rows]
+    uni, bi, ctx = Counter(), Counter(), Counter()
+    for i, w in docs:
+        if zlib.crc32(str(i).encode()) % 10:
+            uni.update([*w, "/"])
+            ctx.update(["^", *w])
+            bi.update(zip(["^", *w], [*w, "/"]))
+    n, v = sum(uni.values()), len(uni)
+    p0 = lambda x: (uni[x] + 0.1) / (n + 0.1 * (v + 1))
+    return {i: (len(w) + 1, sum(math.log10((bi[u, x] + mu * p0(x)) / (ctx[u] + mu)) for u, x in zip(["^", *w], [*w, "/"]))) for i, w in docs}
+
+
+def test_language_model_keeps_contexts_seen_once(spark):
+    from feedsift.llm.queries import QUERIES
+
+    docs = table(spark, SMALL, "documents")
+    want = _lm_whole([(r.doc_id, r.text) for r in docs.collect()])
+    small = {"block_bytes": 30_000, "segment_words": 2000, "shard_pairs": 5000, "context_tokens": 100}
+    for got in (QUERIES["op3_elias_fano_lm"](spark, SMALL), ngram_lm.score(docs, least_context=1, **small)):
+        got = {r.doc_id: r.score for r in got.collect()}
+        assert set(got) == set(want) and all(abs(got[i] - s) <= 1.3e-4 * n for i, (n, s) in want.items())
+
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:40]
+    rows = [(i, "common words of all texts " * 9) for i in learnt] + [(200 + i, "") for i in range(9)]
+    rows += [(learnt[0] + 1000, "zyx quux thud"), (held, "zyx quux thud")]
+    rows = [(i, t) for i, t in rows if i == held or zlib.crc32(str(i).encode()) % 10]
+    assert len(rows) > 40 and rows[-2][1] == "zyx quux thud"
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), least_context=1).collect()}
+    assert abs(got[held].score - _lm_whole(rows)[held][1]) <= 1.3e-4 * 4
+    assert got[held].score > got[held].base_score + 3            # three names after a name seen once: about 1/21 each
+
+
 def test_elias_fano_and_trie():
     r = np.random.default_rng(0)
     for n, top in ((0, 1), (1, 1), (500, 3), (500, 10**6), (500, 2**61)):
