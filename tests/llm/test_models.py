@@ -237,3 +237,21 @@ def test_secret_digests_in_neighbouring_texts(spark):
         spans = secrets.base_spans(t)
         assert got[i] == (len(spans), ",".join(f"{secrets.KINDS[k]}:{a}:{z}" for a, z, k in spans))
     assert [got[i][0] for i in range(len(texts))] == [1, 1, 0, 1, 0, 1, 0, 0, 0, 1]
+
+
+def test_secret_contexts_and_learnt_words(spark):
+    v = "x9$Kq2!vLm8#"
+    yes = [f"AWS_SECRET_ACCESS_KEY={v}", f"DB_PWD={v}", f"DB_PASSPHRASE: {v}", f'"secretAccessKey": "{v}"', f"PGPASSWORD={v}", f"redis://:{v}@host", f"ftp://{'u' * 90}:{v}@host",
+           "password: xK9$q2!", f"token: pwd: {v}", f"key token: {'ab' * 50} secret pwd is {v}"]
+    no = ["password is required", "token: available", "passwords: qz", "Author: Kowalczyk"]
+    prose = ["it is required that the page is available"] * 6
+    docs = spark.createDataFrame(list(enumerate(yes + no + prose)), "doc_id long, text string")
+    got = {r.doc_id: r.secrets for r in secrets.secrets(docs).collect()}
+    for i, t in enumerate(yes):
+        at = t.index("xK9$q2!" if "xK9" in t else v)
+        assert got[i].n_guess == 1 and f"guess:{at}:{at + (7 if 'xK9' in t else len(v))}" in got[i].spans.split(","), t
+    assert all(got[i].n_guess == 0 for i in range(len(yes), len(got)))
+    copies = spark.createDataFrame([(i, "password: zvqkwjxhpf") for i in range(50)], "doc_id long, text string")
+    assert all(r.secrets.n_guess == 1 for r in secrets.secrets(copies).collect())
+    for text in ("pass" * 50_000, "token=" * 30_000, "pass word_" * 20_000 + ":", "://a:" * 30_000):      # in linear time
+        secrets.in_context(text, 9.0, lambda x: 0.0)
