@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without the lines on more than a tenth of their source's documents."""
+    """All documents without the lines on more than a tenth of their source's distinct texts."""
     ensure_importable(spark)
-    return line_dedup.drop_lines(docs, host_col="source", ratio=0.1, min_pages=5)
+    return line_dedup.drop_lines(docs, host_col="source", ratio=0.1, min_pages=5, copies_once=True)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

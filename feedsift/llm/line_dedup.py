@@ -13,7 +13,9 @@ spread over them. Lines are told apart by two 64-bit hashes.
 
 Null and empty texts have no lines and stay as they are; such pages still count
 for their host. A null host is a host of its own. Repeated rows are pages of
-their own. An empty table stays empty.
+their own, unless ``copies_once`` is set: then a host's pages with the same text
+count as one page, in a line's pages and in the host's, so that copies don't turn
+their own lines into boilerplate. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ def _stripped(line: Column) -> Column:
     return F.regexp_replace(line, r"^\s+|\s+$", "")
 
 
-def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min_pages: int, text: Column | None = None) -> DataFrame:
     """(host, drop): each host's array of hashes of its boilerplate lines; hosts without any are left out.
 
-    ``lines`` is the array of a page's lines.
+    ``lines`` is the array of a page's lines. With ``text``, a host's pages of the same text count once.
     """
-    base = pages.select(host.alias("__host"), F.array_distinct(F.transform(F.filter(F.transform(lines, _stripped), lambda x: x != ""), _hash)).alias("__lines"))
+    cols = [host.alias("__host"), F.array_distinct(F.transform(F.filter(F.transform(lines, _stripped), lambda x: x != ""), _hash)).alias("__lines")]
+    base = pages.select(*cols) if text is None else pages.select(*cols, _hash(text).alias("__text")).distinct().select("__host", "__lines")
     base = staged(base, "line-hashes")
     total = base.groupBy("__host").agg(F.count("*").alias("__pages"))
     found = base.select("__host", F.explode("__lines").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
@@ -47,9 +50,9 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min
     return often.groupBy(found["__host"]).agg(F.collect_list("__line").alias("__drop"))
 
 
-def mark(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def mark(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 5, text: Column | None = None) -> DataFrame:
     """``pages`` with ``__drop``: the hashes of the lines to drop from the page (null: none)."""
-    drop = boilerplate(pages, host, lines, ratio, min_pages).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    drop = boilerplate(pages, host, lines, ratio, min_pages, text).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cols = [F.col(f"`{c}`") for c in pages.columns]
     salted = pages.select(*cols, host.alias("__h"), F.pmod(F.xxhash64(*_plain(pages)), F.lit(SALTS)).cast("int").alias("__s"))
     return salted.join(drop, salted["__h"].eqNullSafe(drop["__host"]) & (salted["__s"] == drop["__salt"]), "left").select(*cols, "__drop")
@@ -65,13 +68,13 @@ def keeps(line: Column, drop: Column) -> Column:
     return drop.isNull() | (bare == "") | ~F.array_contains(drop, _hash(bare))
 
 
-def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5, copies_once: bool = False) -> DataFrame:
     """``docs`` without the boilerplate lines of their host (all other columns as they are, ``n_chars`` recounted if there).
 
     Texts that lose no line keep every character.
     """
     text = F.col(f"`{text_col}`")
-    marked = mark(docs, F.col(f"`{host_col}`"), F.split(F.coalesce(text, F.lit("")), "\n"), ratio, min_pages)
+    marked = mark(docs, F.col(f"`{host_col}`"), F.split(F.coalesce(text, F.lit("")), "\n"), ratio, min_pages, F.coalesce(text, F.lit("")) if copies_once else None)
     marked = marked.withColumn("__text", F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: keeps(x, F.col("__drop"))), "\n")))
     kind = dict(docs.dtypes)
     own = {text_col: F.col("__text")} | ({"n_chars": F.length("__text").cast(kind["n_chars"])} if "n_chars" in kind else {})

@@ -50,6 +50,17 @@ def test_pipeline_edge_cases(spark, edge_docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, got, MEDIUM).columns[:2] == ["doc_id", "start"]
 
 
+def test_line_stage_keeps_a_group_of_copies(spark):
+    rows = [(i, "the whole text\nof one page", "en", "s", 26) for i in range(20)]
+    rows += [(100 + i, f"own line {i}\nfollow us", "en", "s", 0) for i in range(40)]
+    rows += [(200 + i, "of one page", "en", None, 0) for i in range(9)] + [(300, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate_lines(spark, docs, SMALL).collect()}
+    assert got == {i: f"own line {i - 100}" if 100 <= i < 200 else t for i, t, *_ in rows}
+    kept = corpus_pipeline.keep_one_of_each_group(spark, corpus_pipeline.drop_boilerplate_lines(spark, docs, SMALL), SMALL)
+    assert {r.text for r in kept.where("doc_id < 100").collect()} == {"the whole text\nof one page"}
+
+
 def test_registered():
     import __spark_entry__ as e
 
