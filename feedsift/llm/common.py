@@ -7,6 +7,7 @@ name never clash with its own; a null text counts as empty everywhere.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -261,7 +262,7 @@ class UnitEncoder:
     """Token ids of whole texts by the tokenizers library, each distinct unit between sure cuts encoded once.
 
     Units are looked up by a 64-bit hash of their bytes in sorted arrays; the memo is emptied when it grows
-    beyond its bound (ids don't change). Strings that look like special tokens are ordinary text.
+    beyond its bound (ids don't change). The vocabulary's added tokens are units of their own, as in the library.
     """
 
     BOUND = 800_000
@@ -271,7 +272,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = self.tok.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized and self.tok.normalizer for t in added):
+            raise ValueError("added tokens that depend on the text around them aren't supported")
+        contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
         self._reset()
 
     def _reset(self) -> None:
@@ -288,13 +293,32 @@ class UnitEncoder:
         self.keys = np.insert(self.keys, at, keys)
         self.slot = np.insert(self.slot, at, np.arange(first, first + len(units)))
 
+    def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The sure cuts: around every added token and none within it."""
+        cuts = unit_cuts(data, off)
+        if self.added is None:
+            return cuts
+        raw, at, found = data.tobytes(), 0, []
+        while m := self.added.search(raw, at):
+            a, z = m.span()
+            whole = off[np.searchsorted(off, a, "right")] >= z       # not over a border of texts
+            at = z if whole else a + 1
+            if whole:
+                found.append((a, z))
+        if not found:
+            return cuts
+        a, z = np.array(found).T
+        k = np.searchsorted(a, cuts, "left") - 1
+        cuts = cuts[(k < 0) | (cuts >= z[np.maximum(k, 0)])]
+        return np.unique(np.concatenate([cuts, a, z[z < len(data)]]))
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts in ``data``, and the offsets of each text's ids."""
         if len(data) == 0:
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
         if len(self.keys) > self.BOUND:
             self._reset()
-        starts = unit_cuts(data, off)
+        starts = self._cuts(data, off)
         ends = np.append(starts[1:], len(data))
         keys, where, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
         known = np.searchsorted(self.keys, keys)

@@ -32,6 +32,21 @@ def test_unit_encoder_equals_plain_encoding(plain, texts):
     assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [plain(t) for t in texts]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", "<|", "a", "é", " ", "  ", "\n", "'s", ".", "0", "中"]), max_size=12).map("".join), max_size=5))
+def test_unit_encoder_equals_the_unchanged_library_call(texts):
+    tok = Tokenizer.from_file(tokenizer_path())
+    data, off = text_bytes(pa.array(texts, pa.string()))
+    ids, at = encoder(tokenizer_path()).encode(data, off)
+    assert [ids[a:z].tolist() for a, z in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unit_encoder_added_token():
+    data, off = text_bytes(pa.array(["x <|endoftext|>y", "<|endo", "ftext|>"]))
+    ids, at = encoder(tokenizer_path()).encode(data, off)
+    assert ids[:at[1]].tolist() == [87, 220, 50256, 88] and 50256 not in ids[at[1]:]
+
+
 def test_unit_encoder_forgets_without_changing_ids(spark, plain):
     enc = encoder(tokenizer_path())
     texts = [r.text for r in table(spark, SMALL, "documents").limit(30).collect()]
