@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from feedsift.session import ensure_importable
 
-from . import ann, decontam, line_dedup, ngram_lm, packing, secrets, simhash, substring, toxicity, wavelet
+from . import ann, conversation, decontam, line_dedup, ngram_lm, packing, secrets, simhash, substring, toxicity, wavelet
 from .common import crc_fold, table, tokenizer_path
+from .oracles import CONVERSATION
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +140,9 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     """Words of every document that lie in an occurrence of a benchmark window."""
     got = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
     return got.select("doc_id", "contamination.*").withColumn("contaminated", F.col("n_hit") > 0)
+
+
+@query(CONVERSATION)
+def op13_prefix_doubling_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and the least of its cheapest repairs."""
+    return conversation.repair_damaged(table(spark, sf_dir, "conversations"))
