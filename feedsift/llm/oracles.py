@@ -76,3 +76,24 @@ FROM ids LEFT JOIN counts USING (c) LEFT JOIN audit USING (c) LEFT JOIN done USI
 
 
 CONVERSATION = _conversation()
+
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS (SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00c0-\u00ff]+')) AS run FROM documents) WHERE length(run) >= 7),
+hashed AS (SELECT run, n, {crc32_sql("doc || ':' || run")} AS h FROM (SELECT doc, run, count(*) AS n FROM runs GROUP BY doc, run)),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.less = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * words.n THEN near END AS form,
+    CASE WHEN near_n >= 10 * words.n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM forms
+  UNION ALL SELECT chain.word, forms.form, k + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""

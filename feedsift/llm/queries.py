@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from feedsift.session import ensure_importable
 
-from . import ann, conversation, decontam, line_dedup, ngram_lm, packing, secrets, simhash, substring, toxicity, wavelet
+from . import ann, conversation, decontam, line_dedup, ngram_lm, packing, permuterm, secrets, simhash, substring, toxicity, wavelet
 from .common import crc_fold, table, tokenizer_path
-from .oracles import CONVERSATION
+from .oracles import CONVERSATION, SPELLING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,6 +142,12 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return got.select("doc_id", "contamination.*").withColumn("contaminated", F.col("n_hit") > 0)
 
 
+@query(SPELLING)
+def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the (damaged) documents with the number of words one edit away, its form and its root."""
+    return permuterm.spelling_variants(table(spark, sf_dir, "documents"), least=7, least_count=2, ratio=10, damage=31)
+
+
 @query(CONVERSATION)
 def op13_prefix_doubling_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by rule, with its faults and the least of its cheapest repairs."""
