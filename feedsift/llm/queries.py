@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedsift.session import ensure_importable
 
-from . import ann, conversation, decontam, line_dedup, ngram_lm, packing, permuterm, secrets, simhash, substring, toxicity, wavelet
+from . import ann, conversation, decontam, langid, line_dedup, ngram_lm, packing, permuterm, secrets, simhash, substring, toxicity, wavelet
 from .common import crc_fold, table, tokenizer_path
 from .oracles import CONVERSATION, SPELLING
 
@@ -142,6 +142,14 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return got.select("doc_id", "contamination.*").withColumn("contaminated", F.col("n_hit") > 0)
 
 
+@query()
+def op11_byte_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by the byte network fitted on three of four folds."""
+    docs = table(spark, sf_dir, "documents")
+    got = langid.identified(docs.select("doc_id", "text"), langid.train(docs, folds=4, held_out=2))
+    return got.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.share")
+
+
 @query(SPELLING)
 def op12_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the (damaged) documents with the number of words one edit away, its form and its root."""
