@@ -264,10 +264,15 @@ def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_windows: int =
     """Fit on the rows whose crc32 fold isn't ``held_out``; None if there is nothing to learn from."""
     known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held_out) & _letters(F.col("text")))
-    kinds = known.select("lang").distinct().count()
+    kinds = known.groupBy("lang").agg(F.count("*").alias("n"))               # a row for each language
+    kinds = [(r.lang, r.n) for r in kinds.collect()]
     if not kinds:
         return None
-    per_lang = max(1, max_windows // per_doc // kinds)
+    per_lang = max(1, max_windows // per_doc // len(kinds))
+    # by the hash, about four times the rows wanted of each language are looked at, however many there are
+    share = [(k, min(1.0, (4 * per_lang + 100) / n)) for k, n in kinds]
+    chance = F.element_at(F.create_map(*[F.lit(x) for pair in share for x in pair]), F.col("lang"))
+    known = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)) < chance)
     room = F.greatest(F.lit(1), F.length("text") - STEPS + 1)
     cut = F.array(*[F.substring("text", (F.pmod(F.xxhash64(F.lit(j), "doc_id"), room) + 1).cast("int"), F.lit(STEPS)) for j in range(per_doc)])
     rank = F.row_number().over(Win.partitionBy("lang").orderBy("key", "doc_id", "cut"))
