@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from feedsift.bind import binding
 from feedsift.catalog import register
 from feedsift.operators import knn
+from feedsift.settings import DEFAULT
 
 # Similarity cut on the test vectors (FIXTURES §3): inner product >= 0.34, or squared L2 <= 1.32.
 IP_CUT = 0.34
@@ -104,6 +107,38 @@ def digest_score(spark, sf):
     return out.select("query_id", F.round("relevant_score", 6).alias("relevant_score"), "n_neighbours")
 
 
+def _cells_sql(dist: str, order: str) -> str:
+    return f"""
+, p AS (SELECT q.vec_id AS query_id, r.vec_id AS item_id, {dist} AS distance FROM embeddings q, embeddings r)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance {order}, item_id) AS rnk FROM p)
+SELECT query_id, item_id, distance, CAST(rnk AS INTEGER) AS rnk FROM ranked WHERE rnk <= 4"""
+
+
+def _by_cells(spark, sf, metric):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    nb = knn.knn_join(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"),
+                      4, metric, settings=replace(DEFAULT, knn_broadcast_queries=0))
+    return nb.select("query_id", "item_id", "distance", F.col("rnk").cast("int").alias("rnk"))
+
+
+@register("knn_cells_l2", uses=(), sql=_cells_sql(_L2SQ_EXP, "ASC"))
+def knn_cells_l2(spark, sf):
+    """Every vector's 4 nearest of all by squared L2, cell by cell, whatever the size of the batch."""
+    return _by_cells(spark, sf, "L2_SQUARED")
+
+
+@register("knn_cells_ip", uses=(), sql=_cells_sql(_IP, "DESC"))
+def knn_cells_ip(spark, sf):
+    """Every vector's 4 largest inner products with all, cell by cell."""
+    return _by_cells(spark, sf, "IP")
+
+
+@register("knn_cells_cosine", uses=(), sql=_cells_sql(_COS, "DESC"))
+def knn_cells_cosine(spark, sf):
+    """Every vector's 4 nearest of all by cosine, cell by cell."""
+    return _by_cells(spark, sf, "COSINE")
+
+
 _FALLBACK_DATE = "2024-01-21"
 
 

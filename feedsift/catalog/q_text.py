@@ -145,14 +145,11 @@ FROM c""")
 def embed_text(spark, sf):
     """M5: hashed token counts per text (the offline embedder's input to normalisation)."""
     i = binding(spark, sf, "items").select("id", "body")
-    cnt = bucket_counts("body", 64)
-    from feedsift.operators.embed import token_buckets
-
-    out = i.select("id", F.size(token_buckets("body", 64)).cast("bigint").alias("n_tokens"),
-                   cnt.alias("cnt"))
+    out = spread(i).select("id", bucket_counts("body", 64).alias("cnt"))
     rendered = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(
         F.element_at("cnt", j + 1) > 0, F.concat(j.cast("string"), F.lit(":"), F.element_at("cnt", j + 1).cast("string"))))
-    return out.select("id", "n_tokens", F.array_join(F.filter(rendered, lambda x: x.isNotNull()), "|").alias("buckets"))
+    n = F.aggregate("cnt", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return out.select("id", n.alias("n_tokens"), F.array_join(F.filter(rendered, lambda x: x.isNotNull()), "|").alias("buckets"))
 
 
 _RETRIEVE_SQL = _chunks_sql("c", "documents", "doc_id", "text", 1024, 128) + """

@@ -1,72 +1,75 @@
-"""JVM-side hashing embedder (M5 offline default, P28).
+"""Hashing embedder (M5 offline default, P28).
 
 Tokens are runs of letters/digits of the whole lower-cased text; each token adds 1 to bucket ``md5(token)[:8] mod dim``; the
-count vector is L2-normalised.  Computed per row with higher-order functions:
-no shuffle and no Python worker.
+count vector is L2-normalised. One Arrow pass counts a batch of texts: the buckets of tokens seen before come from a
+bounded memo, and one ``bincount`` makes the vectors of the whole batch. There is no shuffle, and a batch's memory is that of its texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
-def tokens(text) -> Column:
-    """Runs of letters/digits of the lower-cased text (native ``array_remove`` drops the empty pieces)."""
-    return F.array_remove(F.split(F.lower(_c(text)), r"[^\p{L}\p{N}]+"), "")
+_TOKEN = re.compile(r"[^\W_]+")
+_MEMO_TOKENS = 500_000
 
 
-def token_buckets(text, dim: int) -> Column:
-    return F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
-                       .cast("int"))
+class _Buckets(dict):
+    """Token -> bucket; filled as tokens are met, and emptied when it has grown too large."""
 
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
-def _bind(value: Column, fn, out_type: str) -> Column:
-    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable (result of type ``out_type``).
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _MEMO_TOKENS:
+            self.clear()
+        b = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        return b
 
-    An outer expression referenced inside a lambda would be re-evaluated for
-    every element; binding it through a one-element ``aggregate`` avoids that.
-    """
-    return F.aggregate(F.array(value), F.lit(None).cast(out_type), lambda acc, v: fn(v))
 
+_MEMO: dict[int, _Buckets] = {}
 
-def _counts_of(buckets: Column, dim: int) -> Column:
-    """Token count per bucket from the sorted bucket array.
 
-    In a sorted array the count of ``i`` is ``last(i) - first(i) + 1``;
-    ``array_position`` on the array and on its reverse gives both, so the work
-    is native array scans instead of one interpreted lambda per token and bucket.
-    """
-    def from_sorted(srt: Column) -> Column:
-        return _bind(F.reverse(srt), lambda rev: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.when(F.array_position(srt, i) == 0, F.lit(0)).otherwise(
-                (F.size(srt) - F.array_position(rev, i) - F.array_position(srt, i) + 2).cast("int"))), "array<int>")
+def count_tokens(texts: list[str], dim: int) -> np.ndarray:
+    """(texts, dim): tokens of each lower-cased text per bucket."""
+    buckets = _MEMO.setdefault(dim, _Buckets(dim))
+    out = np.zeros((len(texts), dim), np.int64)
+    for row, text in zip(out, texts):
+        found = [buckets[t] for t in _TOKEN.findall(text)]
+        if found:
+            row += np.bincount(found, minlength=dim)
+    return out
 
-    return _bind(F.array_sort(buckets), from_sorted, "array<int>")
 
+def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), kind))
 
-def bucket_counts(text, dim: int) -> Column:
-    """``array<int>`` of length ``dim``: token count per bucket (each token hashed once)."""
-    return _counts_of(token_buckets(_c(text), dim), dim)
 
+def _texts(col: pa.Array) -> list[str]:
+    return ["" if t is None else t for t in col.to_pylist()]
 
-def _normalised(vec: Column) -> Column:
-    """Unit vector of ``vec`` (zero stays zero); ``vec`` is only ever a lambda variable here."""
-    return F.aggregate(vec, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
-                       lambda s: F.transform(vec, lambda x: F.when(s > 0, x.cast("double") / F.sqrt(s))
-                                             .otherwise(F.lit(0.0))))
 
+def bucket_counts(text, dim: int = 64) -> Column:
+    """``array<int>`` of length ``dim``: token count per bucket (zeros for a null text)."""
+    def count(col: pa.Array) -> pa.Array:
+        return _lists(count_tokens(_texts(col), dim), pa.int32())
 
-def l2_normalise_double(vec: Column) -> Column:
-    """P28 in doubles; the zero vector stays zero."""
-    return F.aggregate(F.array(vec), F.lit(None).cast("array<double>"), lambda acc, v: _normalised(v))
+    count.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(count, "array<int>")(F.lower(F.col(text) if isinstance(text, str) else text))
 
 
 def hashing_embedding(text, dim: int = 64) -> Column:
-    """M5: ``array<double>`` unit vector of hashed token counts (tokens hashed once per row)."""
-    return _bind(bucket_counts(text, dim), _normalised, "array<double>")
+    """M5: ``array<double>`` unit vector of hashed token counts; zeros for a text without tokens."""
+    def embed(col: pa.Array) -> pa.Array:
+        n = count_tokens(_texts(col), dim).astype(float)
+        length = np.sqrt((n * n).sum(1, keepdims=True))
+        return _lists(np.divide(n, length, out=np.zeros_like(n), where=length > 0), pa.float64())
+
+    embed.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    return F.arrow_udf(embed, "array<double>")(F.lower(F.col(text) if isinstance(text, str) else text))

@@ -1,14 +1,11 @@
 """Similarity join and scoring.
 
-``knn_join`` is exact.  Both sides are cut into blocks of bounded size by a
-deterministic hash (queries by their id, rated rows by id and vector), so a
-recomputed map task after an executor loss sends every row to the same block
-again; every (query block, rated block) pair meets in one ``cogroup`` task that
-runs a NumPy matrix product and keeps the k best rated items per query.  A
-final window over ``blocks * k`` candidates per query picks the global k.  The
-shuffle volume is ``queries * rated_blocks + rated * query_blocks`` rows plus
-``queries * rated_blocks * k`` candidates; no pair is ever materialised as a
-row.
+``knn_join`` is exact.  A small batch of queries is broadcast and the rated side
+scanned where it lies; a large one meets the rated side cell by cell
+(``operators/cells.py``): each query looks only at the cells that the triangle
+inequality leaves open.  Either way a task runs NumPy matrix products and keeps
+the k best rated items per query, and a final window picks the global k; no
+pair is ever materialised as a row.
 
 Distances are rounded to 6 decimals before ranking and ties are broken by
 ``item_id``, so the result is deterministic and equal to a brute-force SQL
@@ -17,7 +14,7 @@ ranking.
 
 from __future__ import annotations
 
-import math
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedsift.operators import cells
+from feedsift.operators.cells import stack
 from feedsift.operators.common import bounded_broadcast
 from feedsift.settings import DEFAULT, Settings
 
@@ -106,93 +105,45 @@ def _local_topk(q_ids: np.ndarray, q_vecs: np.ndarray, r_ids: np.ndarray, r_vecs
     return pd.concat(out, ignore_index=True)
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series.to_numpy()]) if len(series) else np.zeros((0, 0))
-
-
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / max(1, block_rows)))
-
-
 def knn_join(queries: DataFrame, rated: DataFrame, k: int, metric: str = "IP", *,
              query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding",
-             settings: Settings = DEFAULT, query_blocks: int | None = None,
-             rated_blocks: int | None = None, keep_empty: bool = False) -> DataFrame:
+             settings: Settings = DEFAULT, keep_empty: bool = False) -> DataFrame:
     """The k nearest rated items for every query.
 
     Query ids are unique (a batch is keyed by item id).  Returns
     ``(query_id, item_id, distance, rnk)``; ``distance`` is rounded to 6
     decimals.  A batch of at most ``knn_broadcast_queries`` queries is broadcast
     and the rated side is scanned where it lies, each task keeping its k best per
-    query; larger batches meet the rated side in blocks.  Fetching that bounded
-    batch, or else counting both sides, is the one job run while the plan is
-    built.  With ``keep_empty`` every query appears at least once: queries
-    without any candidate carry a NULL ``item_id`` (used by scoring so that it
-    never has to join back to the queries).
+    query; a larger batch meets the rated side by cells.  Which of the two, and
+    the cells, are found by jobs that run while the plan is built (a count of at most
+    that many ids comes first, so no vector is made for it).  With ``keep_empty``
+    every query appears at least once: queries without any candidate carry a
+    NULL ``item_id`` (used by scoring so that it never has to join back to the
+    queries).
     """
     metric = metric.upper()
-    metric_order(metric)
+    desc = metric_order(metric) == "desc"
     q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("qv"))
     r = rated.select(F.col(item_id).alias("item_id"), F.col(vector).alias("rv"))
-    id_type = r.schema["item_id"].dataType
-    qid_type = q.schema["query_id"].dataType
-    if query_blocks is None and rated_blocks is None:
-        few = q.where(F.col("qv").isNotNull()).limit(settings.knn_broadcast_queries + 1).toPandas()
-        if len(few) <= settings.knn_broadcast_queries:
-            return _scan_rated(q.select("query_id"), few, r, k, metric, keep_empty)
-    if query_blocks is None or rated_blocks is None:
-        # one counting job (both sides) decides the block grid; the grid bounds every task's memory
-        sizes = {row["side"]: row["n"] for row in
-                 q.select(F.lit("q").alias("side")).unionByName(r.select(F.lit("r").alias("side")))
-                 .groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
-        query_blocks = query_blocks or _blocks(sizes.get("q", 0), settings.knn_block_rows)
-        if not rated_blocks:
-            # memory bound first; then, only while there are fewer block pairs than task slots, split the
-            # rated side further (never below knn_min_block_rows), so replication stays bounded
-            slots = queries.sparkSession.sparkContext.defaultParallelism
-            rated_blocks = max(_blocks(sizes.get("r", 0), settings.knn_block_rows),
-                               min(math.ceil(slots / query_blocks), _blocks(sizes.get("r", 0), settings.knn_min_block_rows)))
-    # deterministic block ids: a re-executed task reproduces exactly the same assignment
-    q = (q.where(F.col("qv").isNotNull())
-         .withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-         .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rated_blocks - 1)))))
-    r = (r.where(F.col("rv").isNotNull())
-         .withColumn("rb", F.pmod(F.xxhash64("item_id", "rv"), F.lit(rated_blocks)).cast("int"))
-         .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-
-    schema = T.StructType([
-        T.StructField("query_id", qid_type),
-        T.StructField("item_id", id_type),
-        T.StructField("distance", T.DoubleType()),
-    ])
-
-    def block_pair(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty:
-            return pd.DataFrame({c: [] for c in schema.fieldNames()})
-        if rdf.empty:
-            if not keep_empty:
-                return pd.DataFrame({c: [] for c in schema.fieldNames()})
-            return pd.DataFrame({"query_id": qdf["query_id"], "item_id": None, "distance": np.nan})
-        return _local_topk(qdf["query_id"].to_numpy(), _stack(qdf["qv"]), rdf["item_id"].to_numpy(),
-                           _stack(rdf["rv"]), k, metric)
-
-    local = (q.groupBy("qb", "rb")
-             .cogroup(r.groupBy("qb", "rb"))
-             .applyInPandas(block_pair, schema))
-    dist = F.col("distance").desc_nulls_last() if metric_order(metric) == "desc" else F.col("distance").asc_nulls_last()
-    w = Window.partitionBy("query_id").orderBy(dist, F.col("item_id").asc_nulls_last())
-    out = local.withColumn("rnk", F.row_number().over(w))
-    if keep_empty:
-        return out.where((F.col("rnk") <= k) & (F.col("item_id").isNotNull() | (F.col("rnk") == 1)))
-    return out.where(F.col("rnk") <= k)
-
-
-def _scan_rated(ids: DataFrame, few: pd.DataFrame, rated: DataFrame, k: int, metric: str, keep_empty: bool) -> DataFrame:
-    """The k nearest of a broadcast batch of queries by one scan of the rated side, which is not shuffled."""
+    if q.select("query_id").limit(settings.knn_broadcast_queries + 1).count() <= settings.knn_broadcast_queries:
+        local = _scan_rated(q, q.where(F.col("qv").isNotNull()).toPandas(), r, k, metric)
+    else:
+        local = cells.candidates(q, r, k, metric, partial(_local_topk, k=k, metric=metric), desc,
+                                 block=settings.knn_block_rows, max_pivots=settings.knn_pivots)
+    dist = F.col("distance").desc_nulls_last() if desc else F.col("distance").asc_nulls_last()
+    w = Window.partitionBy("query_id").orderBy(dist, F.col("item_id"))
+    out = local.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+    if not keep_empty:
+        return out
+    return q.select("query_id").join(out, "query_id", "left").withColumn("rnk", F.coalesce("rnk", F.lit(1)))
+
+
+def _scan_rated(ids: DataFrame, few: pd.DataFrame, rated: DataFrame, k: int, metric: str) -> DataFrame:
+    """Each task's k nearest of a broadcast batch of queries by one scan of the rated side, which is not shuffled."""
     schema = T.StructType([T.StructField("query_id", ids.schema["query_id"].dataType),
                            T.StructField("item_id", rated.schema["item_id"].dataType), T.StructField("distance", T.DoubleType())])
     desc = metric_order(metric) == "desc"
-    shared = ids.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy(), _stack(few["qv"])))
+    shared = ids.sparkSession.sparkContext.broadcast((few["query_id"].to_numpy(), stack(few["qv"])))
 
     def scan(batches):
         q_ids, q_vecs = shared.value
@@ -200,19 +151,14 @@ def _scan_rated(ids: DataFrame, few: pd.DataFrame, rated: DataFrame, k: int, met
         for b in batches:
             if len(b) == 0 or len(q_ids) == 0:
                 continue
-            got = _local_topk(q_ids, q_vecs, b["item_id"].to_numpy(), _stack(b["rv"]), k, metric)
+            got = _local_topk(q_ids, q_vecs, b["item_id"].to_numpy(), stack(b["rv"]), k, metric)
             best = got if best is None else pd.concat([best, got], ignore_index=True)
             best = best.sort_values(["distance", "item_id"], ascending=[not desc, True], na_position="last", kind="stable")
             best = best.groupby("query_id", sort=False).head(k)
         if best is not None:
             yield best
 
-    local = rated.where(F.col("rv").isNotNull()).mapInPandas(scan, schema)
-    dist = F.col("distance").desc_nulls_last() if desc else F.col("distance").asc_nulls_last()
-    out = local.withColumn("rnk", F.row_number().over(Window.partitionBy("query_id").orderBy(dist, F.col("item_id")))).where(F.col("rnk") <= k)
-    if not keep_empty:
-        return out
-    return ids.join(out, "query_id", "left").withColumn("rnk", F.coalesce("rnk", F.lit(1)))
+    return rated.where(F.col("rv").isNotNull()).mapInPandas(scan, schema)
 
 
 def neighbours(queries: DataFrame, rated: DataFrame, meta: DataFrame, k: int, metric: str,

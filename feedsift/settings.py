@@ -48,8 +48,8 @@ class Settings:
     latest_partitions: int = 2
     # KNN execution
     knn_broadcast_queries: int = 1000   # a batch of at most so many queries is broadcast to the rated side
-    knn_block_rows: int = 20000         # max vectors per block in the blocked join
-    knn_min_block_rows: int = 2048      # rated blocks are split further for parallelism, never below this
+    knn_block_rows: int = 20000         # about so many vectors of a cell, and queries that look at it, meet in one task
+    knn_pivots: int = 1024              # cells of a large join at most (else the square root of the rated rows)
 
 
 DEFAULT = Settings()

@@ -13,21 +13,23 @@ from feedsift.operators import filters as FL
 from feedsift.operators import knn
 from feedsift.operators import state as S
 from feedsift.operators import stats as ST
+from feedsift.settings import Settings
 from feedsift.functions import text as X
 from feedsift.sinks import documents as DOC
 from tests.conftest import MEDIUM, SMALL
 
 
-# ---------------------------------------------------------------- KNN: blocked == brute force
+# ---------------------------------------------------------------- KNN == brute force, by cells and by a scan
+@pytest.mark.parametrize("few", [0, 1000])
 @pytest.mark.parametrize("metric", ["IP", "L2_SQUARED", "L2", "COSINE"])
-def test_blocked_knn_equals_brute_force(spark, metric):
+def test_knn_equals_brute_force(spark, metric, few):
     rng = np.random.default_rng(7)
     q = rng.normal(size=(37, 8)).round(2)
     r = rng.normal(size=(150, 8)).round(2)
     r[5] = r[6]                     # exact duplicate vectors -> ties broken by id
     qdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, embedding array<double>")
     rdf = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(r)], "item_id long, embedding array<double>")
-    got = knn.knn_join(qdf, rdf, 3, metric, query_blocks=3, rated_blocks=4)
+    got = knn.knn_join(qdf, rdf, 3, metric, settings=Settings(knn_broadcast_queries=few, knn_block_rows=7))
     got = sorted((row.query_id, row.item_id, row.rnk) for row in got.collect())
     d = knn._distances(q, r, metric).round(6)
     want = []
@@ -307,7 +309,6 @@ def test_rank_gate_null_score_is_ranked(spark):
                                "id long, relevant_score double, body string")
     out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel()).collect()}
     assert out == {1: True, 2: False, 3: True}               # no gate by length unless it is asked for
-    from feedsift.settings import Settings
 
     gate = Settings(rank_gate_max_chars=2000)
     out = {r.id: r.ranked for r in EN.classify_rank(df, "id", "relevant_score", F.col("body"), EN.RankModel(), settings=gate).collect()}
@@ -355,7 +356,6 @@ def test_rank_gate_measures_content_model_reads_text(spark):
     # trap Q21: the gate measures "title: text", the model is prompted with the text only
     df = spark.createDataFrame([(1, None, "t" * 1999, "body")], "id long, relevant_score double, title string, body string")
     content = F.concat(F.col("title"), F.lit(": "), F.col("body"))
-    from feedsift.settings import Settings
 
     gate = Settings(rank_gate_max_chars=2000)
     out = EN.classify_rank(df, "id", "relevant_score", content, EN.RankModel(), model_text=F.col("body"), settings=gate).first()
@@ -491,7 +491,6 @@ def test_one_id_in_two_lists_is_scored_in_each(spark):
     rated = spark.createDataFrame([(1, "tech t: alpha beta"), (2, "news t: gamma delta")], "id long, text string")
     meta = spark.createDataFrame([(1, 5), (2, 1)], "item_id long, user_rating int")
     visited = spark.createDataFrame([], "item_id string, list_name string")
-    from feedsift.settings import Settings
 
     out = J.curate(items, visited, J.rated_vectors_of(rated, F.col("text")), meta, settings=Settings(neighbours=1, min_score=0.5))
     assert {r.list_name: r.relevant_score for r in out.published.collect()} == {"tech": 5.0, "news": 1.0}

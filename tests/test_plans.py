@@ -52,7 +52,13 @@ def test_latest_per_key_combines_before_its_single_shuffle(spark):
     assert "partial_max_by" in plan and _exchanges(plan) == 1
 
 
-def test_knn_scoring_shuffles_only_for_blocks_and_top_k(spark):
+def test_knn_scoring_of_a_small_batch_leaves_the_rated_side_in_place(spark):
     plan = _plan(spark, "relevance_score")
     assert "WindowGroupLimit" in plan and "Partial" in plan
-    assert _exchanges(plan) == 3          # two cogroup sides + one exchange by query for the global top-k
+    assert _exchanges(plan) == 2          # each task's k best per query, and the queries that keep_empty joins back
+
+
+def test_knn_scoring_of_a_large_batch_shuffles_for_cells_and_top_k(spark):
+    plan = _plan(spark, "knn_cells_l2")
+    assert "FlatMapCoGroupsInPandas" in plan and "Window" in plan
+    assert _exchanges(plan) == 3          # both sides of the further visits, and the candidates by query
