@@ -311,22 +311,35 @@ _ROLLUP = """
         FROM notes GROUP BY CAST(created_time AS DATE))"""
 
 
-@register("journal_record", uses=("notes",), recursive=True, sql=_ROLLUP + _pack_sql("r", "day", "text") + """
-SELECT k AS day, block_no, CAST(length(block) AS BIGINT) AS block_len FROM blocks""")
+# every day of January, the last ones without notes in small tables
+_DAYS = ("2024-01-01", "2024-01-31")
+_ALL_DAYS = _ROLLUP.replace(", r AS (", ", r0 AS (") + f"""
+, r AS (SELECT d.day, coalesce(n, 0) AS n, coalesce(text, '') AS text, last_created
+        FROM (SELECT CAST(unnest(generate_series(DATE '{_DAYS[0]}', DATE '{_DAYS[1]}', INTERVAL 1 DAY)) AS DATE) AS day) d LEFT JOIN r0 ON d.day = r0.day)"""
+
+
+@register("journal_record", uses=("notes",), recursive=True, sql=_ALL_DAYS + _pack_sql("r", "day", "text") + """
+SELECT k AS day, CAST(block_no AS BIGINT) AS block_no, CAST(length(block) AS BIGINT) AS block_len, md5(block) AS block_md5 FROM blocks""")
 def journal_record(spark, sf):
-    """K7: each day's journal text as blocks of at most 1800 characters (sentence packing)."""
-    r = R.journal_rollup(binding(spark, sf, "notes"))
-    b = r.select("day", F.posexplode(CH.pack_sentences("text", 1800)).alias("block_no", "block"))
-    return b.select("day", "block_no", F.length("block").cast("bigint").alias("block_len"))
+    """K7/M2: each day's journal text, also an empty one, as blocks of at most 1800 characters, packed as rows."""
+    b = R.journal_blocks(binding(spark, sf, "notes"), *_DAYS)
+    return b.select("day", "block_no", F.length("block").cast("bigint").alias("block_len"), F.md5("block").alias("block_md5"))
 
 
-@register("journal_rollup", uses=("notes",), sql=_ROLLUP + f"""
-SELECT day, CAST(n AS BIGINT) AS n_notes, md5(text) AS text_md5, {_TS("last_created")} AS last_created FROM r""")
+@register("journal_rollup", uses=("notes",), sql=_ALL_DAYS + f"""
+SELECT day, CAST(n AS BIGINT) AS n_notes, CAST(length(text) AS BIGINT) AS n_chars, {_TS("last_created")} AS last_created FROM r""")
 def journal_rollup(spark, sf):
-    """Per day ``"{title} {content}\\n"`` in creation order, carrying the last creation time."""
-    out = R.journal_rollup(binding(spark, sf, "notes"))
-    return out.select("day", F.col("n_notes").cast("bigint"), F.md5("text").alias("text_md5"),
-                      ts_text("last_created").alias("last_created"))
+    """A row for every day, with or without notes: count, characters, last creation time."""
+    out = R.journal_days(binding(spark, sf, "notes"), *_DAYS)
+    return out.select("day", F.col("n_notes").cast("bigint"), F.col("n_chars").cast("bigint"), ts_text("last_created").alias("last_created"))
+
+
+@register("journal_lines", uses=("notes",), sql="""
+SELECT CAST(created_time AS DATE) AS day, row_number() OVER (PARTITION BY CAST(created_time AS DATE) ORDER BY created_time, id) - 1 AS line_no,
+       md5(title || ' ' || content || chr(10)) AS line_md5 FROM notes""")
+def journal_lines(spark, sf):
+    """Every day's lines in creation order, numbered without gathering a day in one task."""
+    return R.journal_lines(binding(spark, sf, "notes")).select("day", F.col("line_no").cast("bigint"), F.md5("line").alias("line_md5"))
 
 
 @register("daily_rollup_window", uses=("notes",), sql=f"""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsift.operators.common import BROADCAST_MAX_BYTES, estimated_bytes
+from feedsift.operators.segments import keep_within_ttl
 
 
 def _keys_cond(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
@@ -76,7 +77,8 @@ def rating_change_split(pages: DataFrame, visited: DataFrame, page_state: DataFr
     v = visited.select(F.col(visited_key).alias("_vk"), F.lit(True).alias("_visited"))
     m = page_state.select(F.col(key).alias("_mk"), F.col(rating).alias("_stored"), F.lit(True).alias("_meta"))
     v = _history_for(pages, v, {key: "_vk"}, keep=["_visited"]).distinct()
-    m = _history_for(pages, m, {key: "_mk"}, keep=["_stored", "_meta"]).distinct()
+    m = _history_for(pages, m, {key: "_mk"}, keep=["_stored", "_meta"])
+    m = m.groupBy("_mk").agg(F.max("_stored").alias("_stored"), F.max("_meta").alias("_meta"))   # one row per page, whatever is stored twice
     j = pages.join(v, pages[key] == v["_vk"], "left").join(m, pages[key] == m["_mk"], "left")
     visited_ = F.coalesce(F.col("_visited"), F.lit(False))
     has_meta = F.coalesce(F.col("_meta"), F.lit(False))
@@ -128,33 +130,9 @@ def dedup_within_ttl(df: DataFrame, key: str | list[str], ts: str, ttl_seconds:
 
     A visited marker with a TTL is set when a row is kept, so the kept set is a
     chain: each kept row opens a TTL window, later rows inside it are dropped,
-    the first row after it is kept again.  The chain is sequential per key, so
-    rows are hash-partitioned by key, sorted within partitions and streamed
-    through ``mapInPandas`` carrying only (current key, last kept time) across
-    Arrow batches: memory stays bounded even for a key holding a third of the
-    rows (that key's chain is walked by one task, in order, without collecting it).
+    the first row after it is kept again.  The chain is followed over sorted
+    segments of bounded size (``operators/segments.py``), so that a key holding
+    a third of the rows is worked on by as many tasks as its rows need.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
     keys = [key] if isinstance(key, str) else list(key)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField("_keep", T.BooleanType())])
-    ttl_us = int(ttl_seconds) * 1_000_000
-
-    def run(batches):
-        cur_key, last_kept = None, None
-        for b in batches:
-            t = pd.to_datetime(b[ts]).astype("int64") // 1000          # microseconds
-            keep = []
-            for kv, tv in zip(map(tuple, b[keys].itertuples(index=False, name=None)), t.tolist()):
-                if kv != cur_key:
-                    cur_key, last_kept = kv, None
-                if last_kept is None or tv - last_kept >= ttl_us:
-                    keep.append(True)
-                    last_kept = tv
-                else:
-                    keep.append(False)
-            yield b.assign(_keep=keep)
-
-    ordered = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, ts, *(tiebreak or []))
-    return ordered.mapInPandas(run, schema).where(F.col("_keep")).drop("_keep")
+    return keep_within_ttl(df, keys, ts, ttl_seconds, tiebreak or [])

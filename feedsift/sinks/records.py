@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedsift.functions.text import INVALID_RESPONSES, strip
@@ -16,6 +16,8 @@ from feedsift.operators import knn
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
 from feedsift.operators.enrich import TextModel, model_attempt, model_call
+from feedsift.operators.segments import BITS, in_segments, pack_rows
+from feedsift.session import cut_lineage
 
 
 def _c(x) -> Column:
@@ -36,13 +38,64 @@ def reply_enrich(posts: DataFrame, targets: DataFrame, group_keys: list[str], re
                     (F.col(reply_col).isNotNull() & F.col("_found").isNull()).alias("reply_deleted"))
 
 
-# ---------------------------------------------------------------- A8 (journal roll-up)
+# ---------------------------------------------------------------- A8, K7 (journal roll-up)
+def _day_lines(notes: DataFrame, day: Column | None) -> DataFrame:
+    """``day, created_time, id, line``; notes without a creation time belong to no day."""
+    line = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")), F.lit("\n"))
+    return notes.select((day if day is not None else F.to_date("created_time")).alias("day"), "created_time", "id", line.alias("line")) \
+        .where(F.col("day").isNotNull())
+
+
+def journal_days(notes: DataFrame, first: str, last: str, *, day: Column | None = None) -> DataFrame:
+    """A row for every day from ``first`` to ``last``, also without notes: how many, their characters, the last creation time."""
+    days = notes.sparkSession.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day")
+    sums = _day_lines(notes, day).groupBy("day").agg(F.count(F.lit(1)).alias("n_notes"), F.sum(F.length("line")).alias("n_chars"),
+                                                     F.max("created_time").alias("last_created"))
+    return days.join(sums, "day", "left").withColumn("n_notes", F.coalesce("n_notes", F.lit(0))).withColumn("n_chars", F.coalesce("n_chars", F.lit(0)))
+
+
+def _numbered(rows: DataFrame, key: str, count: Column, name: str) -> DataFrame:
+    """Rows of ``in_segments`` with the sum of ``count`` over the key's rows before each: sums of segments first, then
+    within segments, so that no task sees more than a segment's rows or a key's segments."""
+    within = Window.partitionBy(key, "_seg").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, "_seg").agg(F.sum(count).alias("_n")).select(key, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return rows.withColumn("_in", F.coalesce(F.sum(count).over(within), F.lit(0))).join(sums, [key, "_seg"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in")
+
+
+def journal_lines(notes: DataFrame, *, day: Column | None = None, bits: int = BITS) -> DataFrame:
+    """Each day's ``"{title} {content}\\n"`` lines in creation order, numbered from 0: the day's text as rows."""
+    rows = in_segments(_day_lines(notes, day), ["day", "created_time", "id"], bits)
+    return _numbered(rows, "day", F.lit(1), "line_no").select("day", "line_no", "line")
+
+
+def journal_blocks(notes: DataFrame, first: str, last: str, limit: int = 1800, *, day: Column | None = None, bits: int = BITS) -> DataFrame:
+    """K7/M2: every day's text (an empty one for a day without notes) as blocks of ``.``-separated sentences.
+
+    The same blocks as ``pack_sentences`` of the day's whole text, which is never made: the full stops before each line number
+    the sentences, the parts of a sentence meet by that number, sentences are packed by their lengths as rows, and only the
+    sentences of one block are put together.
+    """
+    rows = in_segments(_day_lines(notes, day), ["day", "created_time", "id"], bits)
+    stops = F.length("line") - F.length(F.replace("line", F.lit("."), F.lit("")))
+    pieces = _numbered(rows, "day", stops, "_first").select("day", "_row", "_first", F.posexplode(F.split("line", r"\.", -1)).alias("_at", "_piece"))
+    sentences = cut_lineage(pieces.groupBy("day", (F.col("_first") + F.col("_at")).alias("sentence_no")).agg(
+        F.expr("listagg(_piece, '') WITHIN GROUP (ORDER BY _row)").alias("sentence")))
+    numbers = pack_rows(sentences.withColumn("_length", F.length("sentence")), ["day"], ["sentence_no"], "_length", limit, bits=bits)
+    blocks = sentences.join(numbers, ["day", "sentence_no"]).groupBy("day", "block_no").agg(
+        F.expr("listagg(sentence, '. ') WITHIN GROUP (ORDER BY sentence_no)").alias("block"))
+    # a day without notes, and one whose first sentence is too long, begins with an empty block
+    days = notes.sparkSession.sql(f"SELECT explode(sequence(DATE '{first}', DATE '{last}')) AS day, 0L AS block_no, '' AS block")
+    known = numbers.select("day").distinct().withColumn("_known", F.lit(True))
+    opened = days.unionByName(known.select("day", F.lit(0).cast("long").alias("block_no"), F.lit("").alias("block"))).distinct()
+    return blocks.unionByName(opened.join(blocks.where("block_no = 0").select("day"), "day", "left_anti"))
+
+
 def journal_rollup(notes: DataFrame, *, day: Column | None = None) -> DataFrame:
-    """Per day, ``"{title} {content}\\n"`` in creation order, the count and the last creation time."""
-    d = notes.withColumn("day", day if day is not None else F.to_date("created_time")) \
-        .withColumn("_line", F.concat(F.col("title"), F.lit(" "), F.col("content"), F.lit("\n")))
-    return d.groupBy("day").agg(
-        F.expr("listagg(_line, '') WITHIN GROUP (ORDER BY created_time, id)").alias("text"),
+    """M11 (input of a model): per day the whole text, the count and the last creation time; days without notes have no row.
+    ``journal_lines`` and ``journal_blocks`` give the text without making one string of a day."""
+    return _day_lines(notes, day).groupBy("day").agg(
+        F.expr("listagg(line, '') WITHIN GROUP (ORDER BY created_time, id)").alias("text"),
         F.count(F.lit(1)).alias("n_notes"), F.max("created_time").alias("last_created"))
 
 
