@@ -64,6 +64,9 @@ BINDINGS: dict[str, str] = {
                  "ELSE '{{\"feedback\": \"f' || CAST(doc_id % 3 AS STRING) || '\", \"topics\": [{{\"topic\": \"' "
                  "|| lang || '\", \"category\": \"' || source || '\", \"score\": ' || CAST(doc_id % 2 AS STRING) "
                  "|| '}}], \"overall_score\": ' || CAST(doc_id % 2 AS STRING) || '}}' END AS answer FROM {documents}",
+    # texts with the labels that the rank classifier learns (M4)
+    "rank_training": "SELECT d.doc_id, d.text, d.lang AS topic, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE 'clean' END AS category, "
+                     "CAST(l.quality AS STRING) AS quality FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id",
     "cache": "SELECT doc_id AS item_id, 'S:' || md5(text) AS value, doc_id % 6 = 0 AS expired "
              "FROM {documents} WHERE doc_id % 3 = 0",
     "action_lists": "SELECT doc_id AS id, 'Action Items' || chr(10) || '1. ' || lang || chr(10) || chr(10) "

@@ -14,7 +14,7 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
-from feedsift.catalog.q_text import _chunks_sql, _separator_chunks_sql, _embed_ctes, _todo_rows_sql
+from feedsift.catalog.q_text import _classifier_sql, _embed_ctes, _summary_sql, _todo_rows_sql, rank_classifier
 from feedsift.plans import jobs as J
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -33,14 +33,14 @@ def _rated(spark, sf):
 def _curate(spark, sf):
     items = binding(spark, sf, "items").select("id", "list_name", "title", "body")
     vectors, meta = _rated(spark, sf)
-    return J.curate(items, binding(spark, sf, "visited"), vectors, meta, overrides=parse_overrides(spark, OVERRIDES))
+    return J.curate(items, binding(spark, sf, "visited"), vectors, meta, overrides=parse_overrides(spark, OVERRIDES), model=rank_classifier(spark, sf))
 
 
 _OVR = (", o AS (SELECT split_part(e, ':', 1) AS list_name, CAST(split_part(e, ':', 2) AS DOUBLE) AS min_score "
         f"FROM (SELECT unnest(string_split('{OVERRIDES}', ',')) AS e) WHERE len(string_split(e, ':')) >= 2)")
 
 # The whole C1 chain in SQL: dedup -> embedding -> exact KNN (squared L2, k=2, <= 0.5) -> mean rating ->
-# per-list threshold -> rank gate -> stand-in classifier.
+# per-list threshold -> rank gate.
 _CURATE = """
 , rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)
 , fresh AS MATERIALIZED (SELECT i.* FROM items i LEFT JOIN visited v ON v.item_id = i.id AND v.list_name = i.list_name
@@ -58,17 +58,16 @@ _CURATE = """
 , passed AS (SELECT f.id, f.list_name, f.title || ': ' || f.body AS content, s.relevant_score
              FROM fresh f JOIN scores s ON f.id = s.id LEFT JOIN o ON f.list_name = o.list_name
              WHERE s.relevant_score < 0 OR s.relevant_score >= coalesce(nullif(o.min_score, 0), 4.0))
-, g AS (SELECT p.*, md5(f.body) AS h, length(f.body) AS n,
-               (p.relevant_score > 0 AND p.relevant_score < 4) AS gated
-        FROM passed p JOIN fresh f ON p.id = f.id)"""
+, g AS MATERIALIZED (SELECT p.*, f.body, (p.relevant_score > 0 AND p.relevant_score < 4) AS gated FROM passed p JOIN fresh f ON p.id = f.id)"""
 
 
-@register("curate_posts", uses=("items", "visited", "ratings"), sql=_CURATE + """
-SELECT id, list_name, round(relevant_score, 6) AS relevant_score,
-  CASE WHEN gated THEN -0.02 ELSE round(coalesce(nullif((n % 11) / 10.0, 0), -0.01), 6) END AS rate,
-  CASE WHEN gated THEN '' ELSE 't' || substr(h, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) END AS topics,
+@register("curate_posts", uses=("items", "visited", "ratings", "rank_training"), sql=_CURATE + """
+, todo AS MATERIALIZED (SELECT id, body FROM g WHERE NOT gated)""" + _classifier_sql("nb", "todo", "id", "body") + """
+SELECT g.id, list_name, round(relevant_score, 6) AS relevant_score,
+  CASE WHEN gated THEN -0.02 ELSE coalesce(nullif(quality, 0), -0.01) END AS rate,
+  CASE WHEN gated THEN '' ELSE topic || ':' || printf('%.6f', score) END AS topics,
   NOT gated AS ranked
-FROM g""")
+FROM g LEFT JOIN nb ON g.id = nb.k""")
 def curate_posts(spark, sf):
     """Dedup -> KNN score against rated documents -> per-list threshold -> gate/classify -> top-3 labels."""
     p = _curate(spark, sf).published
@@ -88,14 +87,6 @@ def curate_funnel(spark, sf):
     return _curate(spark, sf).funnel
 
 
-def _summary_sql(src: str, key: str, text: str) -> str:
-    """DuckDB spelling of the map-reduce summary of ``src`` (chunks 2048/256 of the whole text)."""
-    return _separator_chunks_sql("mc", src, key, text, 2048, 256) + """
-, mm AS (SELECT k, chunk_no, CASE WHEN coalesce(chunk, '') = '' THEN '' ELSE 'M:' || md5(chunk) END AS out FROM mc)
-, mj AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mm GROUP BY k)
-, msum AS (SELECT k, CASE WHEN coalesce(joined, '') = '' THEN '' ELSE 'S:' || md5(joined) END AS summary FROM mj)"""
-
-
 _FEED = """
 , head AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_name ORDER BY id) AS rn FROM items) WHERE rn <= 3)
 , rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)
@@ -216,21 +207,18 @@ def sync_and_index(spark, sf):
     return out["vectors"].select("item_id", "as_of", "model", F.size("embedding").alias("dims"))
 
 
-@register("curate_articles", uses=("notes", "note_watermarks", "visited"), sql="""
+@register("curate_articles", uses=("notes", "note_watermarks", "visited", "rank_training"), sql="""
 , pulled AS (SELECT n.* FROM notes n LEFT JOIN note_watermarks w ON n.source = w.source
              WHERE n.created_time >= coalesce(w.ts, TIMESTAMP '{RUN_TS}' - INTERVAL 1 DAY))
-, fresh AS (SELECT * FROM pulled WHERE id NOT IN (SELECT item_id FROM visited))
+, fresh AS MATERIALIZED (SELECT * FROM pulled WHERE id NOT IN (SELECT item_id FROM visited))
 """.replace("{RUN_TS}", RUN_TS) + _summary_sql("fresh", "id", "content") + """
-, g AS (SELECT f.id, f.source, coalesce(ms.summary, '') AS summary FROM fresh f LEFT JOIN msum ms ON f.id = ms.k)
-, h AS (SELECT *, md5(summary) AS hh, length(summary) AS n FROM g)
-SELECT id, source, summary, round((n % 11) / 10.0, 6) AS rate,
-       't' || substr(hh, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) AS topics
-FROM h""")
+, g AS MATERIALIZED (SELECT f.id, f.source, coalesce(ms.summary, '') AS summary FROM fresh f LEFT JOIN msum ms ON f.id = ms.k)""" + _classifier_sql("nb", "g", "id", "summary") + """
+SELECT id, source, summary, quality AS rate, topic || ':' || printf('%.6f', score) AS topics FROM g JOIN nb ON g.id = nb.k""")
 def curate_articles(spark, sf):
     """Inbox pages since their source's watermark -> dedup -> map-reduce summary -> classify -> top labels."""
     notes = binding(spark, sf, "notes")
     visited = binding(spark, sf, "visited").select("item_id")
-    out = J.articles(notes, binding(spark, sf, "note_watermarks"), visited, run_ts=ts(RUN_TS)).published
+    out = J.articles(notes, binding(spark, sf, "note_watermarks"), visited, run_ts=ts(RUN_TS), model=rank_classifier(spark, sf)).published
     return out.select("id", "source", "summary", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))
 
 

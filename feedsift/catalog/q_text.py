@@ -9,11 +9,14 @@ from feedsift.catalog import register
 from feedsift.catalog.util import duck_ts_text, ts_text
 from feedsift.functions import text as X
 from feedsift.operators import chunking as CH
+from feedsift.operators import classify
 from feedsift.operators import enrich as EN
 from feedsift.operators import knn
+from feedsift.operators.classify import RankClassifier
 from feedsift.operators.common import spread
 from feedsift.operators.embed import bucket_counts, hashing_embedding
 from feedsift.operators.filters import exclude_source_tag, include_tag
+from feedsift.operators.summarise import CentralSentences, KeySentences
 from feedsift.sinks import records as R
 from feedsift.sources.blocks import blocks_to_text
 from feedsift.sources.html import page_text as html_page_text
@@ -72,6 +75,74 @@ def _embed_ctes(name: str, src: str, key: str, text: str) -> str:
 , {name} AS MATERIALIZED (SELECT key, list_transform(cnt, lambda v: CASE WHEN nrm > 0 THEN v / nrm ELSE 0.0 END) AS e FROM {name}_n)"""
 
 
+def _tokens_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '[^\\pL\\pN]+'), lambda t: t <> '')"
+
+
+def _central_sql(name: str, src: str, key: str, text: str, n: int = 2, rounds: int = 10) -> str:
+    """DuckDB CTEs for ``name(k, summary, linked)``: PageRank of each text's sentences, one pair of CTEs per round;
+    ``name_key(k, summary)`` has the sentences with the most different words instead."""
+    blank = "' ' || chr(9) || chr(10) || chr(13)"
+    sql = f"""
+, {name}_s AS MATERIALIZED (SELECT k, i, s FROM (SELECT k, i, trim(x, {blank}) AS s FROM (SELECT k, unnest(p) AS x, generate_subscripts(p, 1) AS i
+    FROM (SELECT {key} AS k, regexp_split_to_array(coalesce({text}, ''), '[.!?\n]+') AS p FROM {src}))) WHERE s <> '')
+, {name}_x AS MATERIALIZED (SELECT k, i, w, tf / sqrt(sum(tf * tf) OVER (PARTITION BY k, i)) AS x
+    FROM (SELECT k, i, w, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT k, i, unnest({_tokens_sql('s')}) AS w FROM {name}_s) GROUP BY k, i, w))
+, {name}_d AS MATERIALIZED (SELECT x.k, x.i, sum(x.x * c.c) - sum(x.x * x.x) AS d, sum(x.x * x.x) AS own, count(*) AS nt
+    FROM {name}_x x JOIN (SELECT k, w, sum(x) AS c FROM {name}_x GROUP BY k, w) c USING (k, w) GROUP BY x.k, x.i)
+, {name}_v0 AS MATERIALIZED (SELECT s.k, s.i, 1.0::DOUBLE / count(*) OVER (PARTITION BY s.k) AS v, count(*) OVER (PARTITION BY s.k) AS m,
+    coalesce(own, 0) AS own, coalesce(nt, 0) AS nt, coalesce(d.d, 0) AS d FROM {name}_s s LEFT JOIN {name}_d d USING (k, i))"""
+    for r in range(1, rounds + 1):
+        sql += f"""
+, {name}_u{r} AS MATERIALIZED (SELECT k, w, sum(x * v / d) AS c FROM {name}_x JOIN {name}_v{r - 1} USING (k, i) WHERE d > 1e-9 GROUP BY k, w)
+, {name}_v{r} AS MATERIALIZED (SELECT v.k, v.i, 0.15::DOUBLE / m + 0.85::DOUBLE * (coalesce(h.s, 0) - CASE WHEN d > 1e-9 THEN own * v / d ELSE 0 END) AS v, m, own, nt, d
+    FROM {name}_v{r - 1} v LEFT JOIN (SELECT x.k, x.i, sum(x.x * u.c) AS s FROM {name}_x x JOIN {name}_u{r} u USING (k, w) GROUP BY x.k, x.i) h USING (k, i))"""
+    return sql + f"""
+, {name}_r AS (SELECT k, i, s, max(d) OVER (PARTITION BY k) > 1e-9 AS linked,
+      row_number() OVER (PARTITION BY k ORDER BY round(v * m, 9) DESC, nt DESC, i) AS central,
+      row_number() OVER (PARTITION BY k ORDER BY nt DESC, i) AS most FROM {name}_v{rounds} JOIN {name}_s USING (k, i))
+, {name} AS (SELECT k, string_agg(s, '. ' ORDER BY i) || '.' AS summary, bool_or(linked) AS linked FROM {name}_r WHERE central <= {n} GROUP BY k)
+, {name}_key AS (SELECT k, string_agg(s, '. ' ORDER BY i) || '.' AS summary FROM {name}_r WHERE most <= {n} GROUP BY k)"""
+
+
+def _summary_sql(src: str, key: str, text: str) -> str:
+    """DuckDB spelling of the map-reduce summary of ``src`` (chunks 2048/256 of the whole text): ``msum(k, summary)``."""
+    return _separator_chunks_sql("mc", src, key, text, 2048, 256) + """
+, mk AS (SELECT CAST(k AS VARCHAR) || '|' || CAST(chunk_no AS VARCHAR) AS ck, k, chunk_no, chunk FROM mc)""" \
+        + _central_sql("mm", "mk", "ck", "chunk") + """
+, mj AS (SELECT mk.k AS jk, string_agg(coalesce(mm.summary, ''), chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mk LEFT JOIN mm ON mk.ck = mm.k GROUP BY mk.k)""" \
+        + _central_sql("msum", "mj", "jk", "joined")
+
+
+_LABELS = ("topic", "category", "quality")
+
+
+def _classifier_sql(name: str, src: str, key: str, text: str) -> str:
+    """DuckDB CTEs for ``name(k, topic, category, score, quality)``: naive Bayes over ``rank_training``, scored on ``src``."""
+    sql = f"""
+, {name}_w AS MATERIALIZED (SELECT topic, category, quality, unnest({_tokens_sql('text')}) AS w FROM rank_training)
+, {name}_voc AS MATERIALIZED (SELECT count(DISTINCT w) AS v FROM {name}_w)
+, {name}_n AS MATERIALIZED (SELECT {key} AS k, len({_tokens_sql(f"coalesce({text}, '')")}) AS t FROM {src})
+, {name}_i AS MATERIALIZED (SELECT k, w, count(*) AS tf FROM (SELECT {key} AS k, unnest({_tokens_sql(f"coalesce({text}, '')")}) AS w FROM {src}) GROUP BY k, w)"""
+    for x in _LABELS:
+        sql += f"""
+, {name}_c_{x} AS MATERIALIZED (SELECT {x} AS label, w, count(*) AS n FROM {name}_w GROUP BY {x}, w)
+, {name}_t_{x} AS MATERIALIZED (SELECT label, docs, coalesce(n, 0) AS n, sum(docs) OVER () AS total FROM (SELECT {x} AS label, count(*) AS docs FROM rank_training GROUP BY {x})
+    LEFT JOIN (SELECT label, sum(n) AS n FROM {name}_c_{x} GROUP BY label) USING (label))
+, {name}_h_{x} AS MATERIALIZED (SELECT k, label, sum(tf * ln(n + 1)) AS s FROM {name}_i JOIN {name}_c_{x} USING (w) GROUP BY k, label)
+, {name}_s_{x} AS (SELECT n.k, l.label, ln(l.docs / l.total) - n.t * ln(l.n + (SELECT v FROM {name}_voc)) + coalesce(h.s, 0) AS s
+    FROM {name}_n n CROSS JOIN {name}_t_{x} l LEFT JOIN {name}_h_{x} h ON h.k = n.k AND h.label = l.label)
+, {name}_p_{x} AS MATERIALIZED (SELECT k, label, round(e / sum(e) OVER (PARTITION BY k), 6) AS p FROM (SELECT k, label, exp(s - max(s) OVER (PARTITION BY k)) AS e FROM {name}_s_{x}))
+, {name}_b_{x} AS (SELECT k, label, p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, label) AS rk FROM {name}_p_{x}) WHERE rk = 1)"""
+    return sql + f"""
+, {name} AS MATERIALIZED (SELECT n.k, t.label AS topic, c.label AS category, t.p AS score, coalesce(q.p, 0) AS quality
+    FROM {name}_n n JOIN {name}_b_topic t ON t.k = n.k JOIN {name}_b_category c ON c.k = n.k LEFT JOIN {name}_p_quality q ON q.k = n.k AND q.label = '1')"""
+
+
+def rank_classifier(spark, sf) -> RankClassifier:
+    return RankClassifier(classify.fit(binding(spark, sf, "rank_training"), "doc_id", "text", list(_LABELS)))
+
+
 def _digest_sql(prefix: str, x: str) -> str:
     return f"CASE WHEN coalesce({x}, '') = '' THEN '' ELSE '{prefix}' || md5({x}) END"
 
@@ -254,52 +325,42 @@ cached_enrich_half = _hit_rate_variant("cached_enrich_half", "cache_half")
 cached_enrich_warm = _hit_rate_variant("cached_enrich_warm", "cache_all")
 
 
-@register("mapreduce_summary", uses=("items",), sql=_separator_chunks_sql("c", "items", "id", "body", 2048, 256) + f"""
-, m AS (SELECT k, chunk_no, {_digest_sql("M:", "chunk")} AS out FROM c)
-, j AS (SELECT k, string_agg(out, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM m GROUP BY k)
-SELECT i.id, coalesce({_digest_sql("S:", "j.joined")}, '') AS summary FROM items i LEFT JOIN j ON i.id = j.k""")
+@register("mapreduce_summary", uses=("items",), sql=_summary_sql("items", "id", "body") + """
+SELECT i.id, coalesce(m.summary, '') AS summary FROM items i LEFT JOIN msum m ON i.id = m.k""")
 def mapreduce_summary(spark, sf):
-    """Chunk (2048/256) -> stand-in model per chunk -> ordered combine -> model."""
+    """Chunks (2048/256) -> their most central sentences -> ordered combine -> the most central of those."""
     i = binding(spark, sf, "items").select("id", "body")
-    out = EN.mapreduce_summary(i, "id", "body", EN.DigestModel("M:"), EN.DigestModel("S:"), size=2048, overlap=256)
+    out = EN.mapreduce_summary(i, "id", "body", CentralSentences(), CentralSentences(), size=2048, overlap=256)
     return out.select("id", "summary")
 
 
-_RANK_SQL = """
-, g AS (SELECT s.id, s.relevant_score, i.body, md5(i.body) AS h, length(i.body) AS n,
-               (s.relevant_score > 0 AND s.relevant_score < 4) AS gated
-        FROM scored s JOIN items i ON s.id = i.id)
+@register("classify_rank", uses=("scored", "items", "rank_training"), sql="""
+, g AS (SELECT s.id, (s.relevant_score > 0 AND s.relevant_score < 4) AS gated, i.body FROM scored s JOIN items i ON s.id = i.id)
+, todo AS MATERIALIZED (SELECT id, body FROM g WHERE NOT gated)""" + _classifier_sql("nb", "todo", "id", "body") + """
 SELECT id, NOT gated AS ranked,
-  CASE WHEN gated THEN '' ELSE 't' || substr(h, 7, 2) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) END AS topics,
-  CASE WHEN gated THEN '' ELSE 'c' || substr(h, 9, 1) || ':' || printf('%.6f', CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 10) / 10.0 END) END AS categories,
-  CASE WHEN gated THEN -0.02 ELSE round((n % 11) / 10.0, 6) END AS rate,
-  CASE WHEN gated THEN '' ELSE 'fb-' || substr(h, 1, 6) END AS feedback
-FROM g"""
-
-
-@register("classify_rank", uses=("scored", "items"), sql=_RANK_SQL)
+  CASE WHEN gated THEN '' ELSE topic || ':' || printf('%.6f', score) END AS topics,
+  CASE WHEN gated THEN '' ELSE category || ':' || printf('%.6f', score) END AS categories,
+  CASE WHEN gated THEN -0.02 ELSE quality END AS rate, CASE WHEN gated THEN '' ELSE topic || '/' || category END AS feedback
+FROM g LEFT JOIN nb ON g.id = nb.k""")
 def classify_rank(spark, sf):
-    """Gated rows get defaults and -0.02; others are ranked by the stand-in and parsed."""
+    """Gated rows get defaults and -0.02; others are ranked by the trained classifier and parsed."""
     from feedsift.functions.labels import render_labels
 
     s = binding(spark, sf, "scored").join(binding(spark, sf, "items").select("id", "body"), "id")
-    out = EN.classify_rank(s, "id", "relevant_score", F.col("body"), EN.RankModel())
+    out = EN.classify_rank(s, "id", "relevant_score", F.col("body"), rank_classifier(spark, sf))
     return out.select("id", "ranked", render_labels("topics").alias("topics"),
                       render_labels("categories").alias("categories"), F.round("rate", 6).alias("rate"), "feedback")
 
 
-@register("fallback_enrich", uses=("items",), sql="""
-, s AS (SELECT id, i, trim(x, ' ' || chr(10)) AS sent FROM (SELECT id, unnest(string_split(body, '.')) AS x, generate_subscripts(string_split(body, '.'), 1) AS i FROM items))
-, c AS (SELECT id, i, sent, count(*) OVER (PARTITION BY id) AS n,
-               row_number() OVER (PARTITION BY id ORDER BY len(list_distinct(string_split(sent, ' '))) DESC, i) AS rk FROM s WHERE sent <> '')
-, k AS (SELECT id, string_agg(sent, '. ' ORDER BY i) || '.' AS summary FROM c WHERE rk <= 2 AND n >= 4 GROUP BY id)
-SELECT items.id, coalesce(k.summary, array_to_string(string_split(body, ' ')[1:12], ' ')) AS summary,
-       CASE WHEN k.id IS NULL THEN 'lead-words' ELSE 'key-sentences' END AS used
-FROM items LEFT JOIN k ON items.id = k.id""")
+@register("fallback_enrich", uses=("items",), sql=_central_sql("cs", "items", "id", "body") + """
+SELECT items.id, coalesce(CASE WHEN cs.linked THEN cs.summary ELSE cs_key.summary END, '') AS summary,
+       CASE WHEN cs.linked THEN 'central-sentences' ELSE 'key-sentences' END AS used
+FROM items LEFT JOIN cs ON items.id = cs.k LEFT JOIN cs_key ON items.id = cs_key.k""")
 def fallback_enrich(spark, sf):
-    """M6: key sentences of the whole text; texts too short for that go to the fallback, their first words."""
+    """M6: the most central sentences of the whole text; texts whose sentences share no word go to the fallback, the
+    sentences with the most different words."""
     i = binding(spark, sf, "items").select("id", "body")
-    out = EN.fallback_enrich(i, F.col("body"), EN.KeySentences(), EN.LeadWords(), "summary")
+    out = EN.fallback_enrich(i, F.col("body"), CentralSentences(answer_unlinked=False), KeySentences(), "summary")
     return out.select("id", "summary", "used")
 
 

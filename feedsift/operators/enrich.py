@@ -82,34 +82,6 @@ class EmptyModel:
         return ["" if _md5(t or "")[0].isdigit() else "P:" + _md5(t or "") for t in texts]
 
 
-class KeySentences:
-    """Extractive summaries: the ``n`` sentences with the most different words, in text order.
-
-    Texts with fewer than ``min_sentences`` sentences get no answer, which leaves them to a fallback model.
-    """
-
-    def __init__(self, n: int = 2, min_sentences: int = 4, name: str = "key-sentences"):
-        self.n, self.min_sentences, self.name = n, min_sentences, name
-
-    def generate(self, texts: list[str]) -> list[str]:
-        out = []
-        for t in texts:
-            parts = [p for p in (x.strip(" \n") for x in (t or "").split(".")) if p]
-            best = sorted(range(len(parts)), key=lambda i: (-len(set(parts[i].split(" "))), i))[:self.n]
-            out.append(". ".join(parts[i] for i in sorted(best)) + "." if len(parts) >= self.min_sentences else "")
-        return out
-
-
-class LeadWords:
-    """Extractive summaries of last resort: the first ``n`` words of the text."""
-
-    def __init__(self, n: int = 12, name: str = "lead-words"):
-        self.n, self.name = n, name
-
-    def generate(self, texts: list[str]) -> list[str]:
-        return [" ".join((t or "").split(" ")[:self.n]) for t in texts]
-
-
 def with_retry(fn: Callable[[], object], tries: int = 3, wait: float = 5.0, sleep=time.sleep):
     """M7: call ``fn`` up to ``tries`` times, waiting ``wait`` seconds between tries; re-raise the last error."""
     last = None
@@ -244,29 +216,32 @@ def classify_rank(df: DataFrame, key: str, score: str, content: Column, model: T
 # ---------------------------------------------------------------- fallback (M6)
 def fallback_enrich(df: DataFrame, text: Column, primary: TextModel, fallback: TextModel, out: str, *,
                     tries: int = 3, wait: float = 5.0) -> DataFrame:
-    """M6: primary model; an empty answer (and a primary that is not already the fallback) -> fallback model.
+    """M6: primary model; an empty or failed answer (and a primary that is not already the fallback) -> fallback model.
 
     One pandas UDF per Arrow batch calls the primary on every row and the
-    fallback only on the rows whose answer is empty, so neither model runs
-    twice on a row.  Adds ``out`` and ``used`` (the model that answered).
+    fallback only on the rows left without an answer, so neither model runs
+    twice on a row. Calls are isolated per text: if both models fail for a text, it
+    has no answer and the fallback's error. Adds ``out``, ``used`` (the model that
+    answered) and ``error``.
     """
     same = primary.name == fallback.name
 
-    @F.pandas_udf("struct<answer:string,used:string>")
+    @F.pandas_udf("struct<answer:string,used:string,error:string>")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             vals = s.where(s.notna(), "").tolist()
-            ans = list(with_retry(lambda: primary.generate(vals), tries, wait))
-            used = [primary.name] * len(ans)
+            ans, errors = _answers(primary, vals, tries, wait)
+            used = [primary.name if e is None else None for e in errors]
             redo = [i for i, a in enumerate(ans) if not a] if not same else []
             if redo:
-                again = with_retry(lambda: fallback.generate([vals[i] for i in redo]), tries, wait)
-                for i, a in zip(redo, again):
-                    ans[i], used[i] = a, fallback.name
-            yield pd.DataFrame({"answer": ans, "used": used})
+                again, errs = _answers(fallback, [vals[i] for i in redo], tries, wait)
+                for i, a, e in zip(redo, again, errs):
+                    ans[i], used[i], errors[i] = a, fallback.name if e is None else None, e
+            yield pd.DataFrame({"answer": pd.Series(ans, dtype=object), "used": pd.Series(used, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     r = call(text)
-    return df.withColumn("_fb", r).withColumn(out, F.col("_fb.answer")).withColumn("used", F.col("_fb.used")).drop("_fb")
+    return df.withColumn("_fb", r).withColumn(out, F.col("_fb.answer")).withColumn("used", F.col("_fb.used")) \
+        .withColumn("error", F.col("_fb.error")).drop("_fb")
 
 
 # ---------------------------------------------------------------- journal refine (M11), versions (M12), translate
@@ -314,33 +289,14 @@ def translate(df: DataFrame, text: str, model: TextModel | None, out: str = "tra
     return df.withColumn(out, model_call(model, F.col(text)))
 
 
-# ---------------------------------------------------------------- embeddings (M5)
-class HashingEmbedder:
-    """Offline embedder: hashed token counts (md5 bucket), L2-normalised."""
-
-    def __init__(self, dim: int = 64, name: str = "hashing"):
-        self.dim, self.name = dim, name
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        import re
-
-        out = []
-        for t in texts:
-            v = np.zeros(self.dim)
-            for tok in re.findall(r"\w+", (t or "").lower()):
-                v[int(_md5(tok)[:8], 16) % self.dim] += 1.0
-            n = np.linalg.norm(v)
-            out.append((v / n if n > 0 else v).tolist())
-        return out
-
-
+# ---------------------------------------------------------------- embeddings
 def embed_column(embedder: Embedder, text: Column) -> Column:
-    """``array<float>`` per whole text, via an iterator pandas UDF."""
+    """``array<double>`` per whole text by a plugged-in embedder (Arrow batches)."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             vecs = embedder.embed(s.where(s.notna(), "").tolist())
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
+            yield pd.Series([np.asarray(v, dtype=np.float64) for v in vecs])
 
     return call(text)

@@ -26,6 +26,7 @@ from feedsift.operators import state as S
 from feedsift.operators import stats as ST
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
+from feedsift.operators.summarise import CentralSentences
 from feedsift.settings import DEFAULT, Settings
 from feedsift.sinks import documents as DOC
 from feedsift.sinks import records as R
@@ -107,7 +108,7 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
     scored = score_items(fresh, X.score_text_feed(F.col("title"), F.col("list_name"), F.col("body")),
                          rated_vectors, rated_meta, settings=settings)
     top = FL.relevance_topk(scored, "relevant_score", "id", k=settings.relevance_top_k, min_score=settings.min_score)
-    summ = EN.mapreduce_summary(top.withColumn("_item", F.to_json(F.struct("list_name", "id"))), "_item", "body", EN.DigestModel("M:"), EN.DigestModel("S:"),
+    summ = EN.mapreduce_summary(top.withColumn("_item", F.to_json(F.struct("list_name", "id"))), "_item", "body", CentralSentences(), CentralSentences(),
                                 size=settings.summary_chunk, overlap=settings.summary_overlap)
     published = summ.select("id", "list_name", "title", "relevant_score", "summary",
                             L.firstk(F.split("title", " "), settings.top_labels).alias("tags"))
@@ -123,7 +124,7 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
 
 
 def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run_ts: Column,
-             settings: Settings = DEFAULT) -> JobOutput:
+             model: EN.TextModel | None = None, settings: Settings = DEFAULT) -> JobOutput:
     """C2/C3 (articles, videos): inbox since watermark -> dedup -> map-reduce summary -> classify -> published rows.
 
     The caller advances the watermarks from the published rows (``state.advance_watermarks``) after writing them.
@@ -131,10 +132,10 @@ def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run
     pulled = S.since_watermark(inbox, watermarks, "source", "created_time", strict=False,
                                default_ts=run_ts - F.expr("INTERVAL 1 DAY"))
     fresh = D.anti_join_visited(pulled, visited, {"id": "item_id"})
-    summ = EN.mapreduce_summary(fresh, "id", "content", EN.DigestModel("M:"), EN.DigestModel("S:"),
+    summ = EN.mapreduce_summary(fresh, "id", "content", CentralSentences(), CentralSentences(),
                                 size=settings.summary_chunk, overlap=settings.summary_overlap)
     ranked = EN.classify_rank(summ.withColumn("relevant_score", F.lit(None).cast("double")), "id", "relevant_score",
-                              F.col("summary"), EN.RankModel(), settings=settings)
+                              F.col("summary"), model or EN.RankModel(), settings=settings)
     published = ranked.select("id", "source", "title", "summary", "rate", "feedback",
                               L.topk_labels("topics", settings.top_labels).alias("topics"))
     funnel = ST.funnel_counts(published.withColumn("list_name", F.col("source")), ["list_name"],
