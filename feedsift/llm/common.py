@@ -130,43 +130,63 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-#: Random odd base and byte values of the polynomial span hashes; any fixed random numbers do.
-_RNG = np.random.default_rng(20240229)
-_BASES = [int(x) | 3 for x in _RNG.integers(0, 2**63, 2)]
-_BYTE = _RNG.integers(1, 2**64 - 1, (2, 256), dtype=np.uint64)
+#: Random values of the bytes for each seed; any fixed random numbers do.
+_BYTE = np.random.default_rng(20240229).integers(1, 2**64 - 1, (2, 256), dtype=np.uint64)
+_STEP = np.uint64(0xA24BAED4963EE407)
 _SLICE = 1 << 18
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    if seed not in _POWERS or len(_POWERS[seed][0]) <= n:
-        base = _BASES[seed]
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(n, _SLICE) + 1, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if n > 16 * _SLICE:
-            return both[0], both[1]
-        _POWERS[seed] = (both[0], both[1])
-    return _POWERS[seed]
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans ascend and don't overlap. Works in slices of bounded size."""
+    """A 64-bit hash of the bytes of each span; spans ascend and don't overlap. Works in slices of bounded size.
+
+    Every byte is mixed with its place in the span before the sum, so that no rearrangement or exchange of bytes cancels out
+    as it does in a polynomial modulo a power of two.
+    """
     out = np.empty(len(starts), np.uint64)
+
+    def mixed(lo: int, hi: int, place: np.ndarray) -> np.ndarray:
+        return mix64(_BYTE[seed][data[lo:hi]] + place.astype(np.uint64) * _STEP)
+
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        up, down = _powers(seed, hi - lo)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[seed][data[lo:hi]] * up[:hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
+        if j == i + 1:                                             # it may be longer than a slice
+            out[i] = np.add.reduce([mixed(x, min(x + _SLICE, hi), np.arange(x - lo, min(x + _SLICE, hi) - lo)).sum(dtype=np.uint64) for x in range(lo, hi, _SLICE)], dtype=np.uint64)
+        else:
+            s, e = starts[i:j] - lo, ends[i:j] - lo
+            place = np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo)))
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(mixed(lo, hi, place), out=total[1:])
+            out[i:j] = total[e] - total[s]
         i = j
-    return mix64(out)
+    return mix64(out + (ends - starts).astype(np.uint64) * _STEP)
+
+
+def window_hash(words: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the ``window`` word hashes from each place that has so many, put together from runs of 1, 2, 4, ... words."""
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    run, length, out, done = mix64(words + _STEP), 1, None, 0
+    while True:
+        if window & length:
+            part = run[done:done + n]
+            out = part if out is None else mix64(out * _STEP + part)
+            done += length
+        if 2 * length > window:
+            return out
+        run = mix64(run[:-length] * _STEP + run[length:])
+        length *= 2
+
+
+def sequence_hash(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the word hashes from each ``at`` to the next one, each mixed with its place."""
+    n = np.diff(at)
+    place = np.arange(len(words)) - np.repeat(at[:-1], n)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix64(words + place.astype(np.uint64) * _STEP), out=total[1:])
+    return mix64(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * _STEP)
 
 
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +281,9 @@ def unit_cuts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """Token ids of whole texts by the tokenizers library, each distinct unit between sure cuts encoded once.
 
-    Units are looked up by a 64-bit hash of their bytes in sorted arrays; the memo is emptied when it grows
-    beyond its bound (ids don't change). The vocabulary's added tokens are units of their own, as in the library.
+    Units are told apart by their bytes: those of a call by Arrow's dictionary encoding, those learnt before by a 64-bit hash in
+    sorted arrays and a comparison of the bytes (a unit whose hash is another's is encoded each time). The memo is emptied
+    when it grows beyond its bound (ids don't change). The vocabulary's added tokens are units of their own, as in the library.
     """
 
     BOUND = 800_000
@@ -282,16 +303,49 @@ class UnitEncoder:
     def _reset(self) -> None:
         self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat, self.ends = array("I"), array("q", [0])
+        self.raw, self.raw_ends = bytearray(), array("q", [0])
 
-    def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
-        first = len(self.ends) - 1
+    def _encode(self, units: list[bytes]) -> None:
+        """Append the units' ids, without a place in the memo."""
         for i in range(0, len(units), 2048):
             for e in self.tok.encode_batch_fast([u.decode() for u in units[i:i + 2048]], add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.ends.append(len(self.flat))
+        for u in units:
+            self.raw += u
+            self.raw_ends.append(len(self.raw))
+
+    def _slots(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The place of the ids of each (distinct) unit, learning those that are new."""
+        n = len(off) - 1
+        keys = span_hash(data, off[:-1], off[1:])
         at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.slot = np.insert(self.slot, at, np.arange(first, first + len(units)))
+        slot = np.full(n, -1)
+        inside = np.flatnonzero(at < len(self.keys))
+        inside = inside[self.keys[at[inside]] == keys[inside]]
+        if len(inside):
+            known = self.slot[at[inside]]
+            stops, raw = np.frombuffer(self.raw_ends, np.int64), np.frombuffer(self.raw, np.uint8)
+            size = np.diff(off)[inside]
+            alike = stops[known + 1] - stops[known] == size
+            inside, known, size = inside[alike], known[alike], size[alike]
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            differs = data[np.repeat(off[inside], size) + step] != raw[np.repeat(stops[known], size) + step]
+            wrong = np.bincount(np.repeat(np.arange(len(size)), size)[differs], minlength=len(size)) > 0
+            slot[inside[~wrong]] = known[~wrong]
+            del stops, raw                                      # so that the buffers can grow again
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            first, body = len(self.ends) - 1, data.tobytes()
+            self._encode([body[a:z] for a, z in zip(off[new].tolist(), off[new + 1].tolist())])
+            slot[new] = first + np.arange(len(new))
+            fresh, which = np.unique(keys[new], return_index=True)
+            free = ~np.isin(fresh, self.keys)
+            fresh, which = fresh[free], which[free]
+            at = np.searchsorted(self.keys, fresh)
+            self.keys = np.insert(self.keys, at, fresh)
+            self.slot = np.insert(self.slot, at, first + which)
+        return slot
 
     def _cuts(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The sure cuts: around every added token and none within it."""
@@ -319,17 +373,9 @@ class UnitEncoder:
         if len(self.keys) > self.BOUND:
             self._reset()
         starts = self._cuts(data, off)
-        ends = np.append(starts[1:], len(data))
-        keys, where, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        known = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = known < len(self.keys)
-        new[inside] = self.keys[known[inside]] != keys[inside]
-        if new.any():
-            raw = data.tobytes()
-            at = where[new]
-            self._learn(keys[new], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-        slot = self.slot[np.searchsorted(self.keys, keys)][inverse]
+        cuts = np.append(starts, len(data)).astype(np.int64)
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        slot = self._slots(*text_bytes(units.dictionary))[np.asarray(units.indices)]
         flat, stops = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
         first, n = stops[slot], stops[slot + 1] - stops[slot]
         stop = np.cumsum(n)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MESSAGE, SPACE_WORDS, _powers, by_segment, group_rows, messages, mix64, pack_u, span_hash, staged, text_chunks, texts_of, unpack_u, word_spans
+from .common import MESSAGE, SPACE_WORDS, by_segment, group_rows, messages, pack_u, sequence_hash, span_hash, staged, text_chunks, texts_of, unpack_u, window_hash, word_spans
 from .tokens import task_id
 
 BLOCKS = "to long, payload binary, doc_ids array<long>, n_words array<long>, hi array<long>, lo array<long>"
@@ -41,14 +41,6 @@ NULL_ID = -(1 << 63)
 ANSWER = 1 << 62
 
 
-def run_hash(words: np.ndarray, first: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of the run of ``size`` word hashes from each place in ``first``."""
-    up, down = _powers(seed, len(words))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[:len(words)], out=total[1:])
-    return mix64((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
-
-
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Documents packed into blocks: words joined by single spaces, with counts and the hash of each word sequence."""
 
@@ -62,7 +54,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
             raw = data.tobytes()
             body = b"\n".join(b" ".join(raw[a:z].split()) for a, z in zip(off[:-1].tolist(), off[1:].tolist()))
             n = np.diff(at)
-            both = [run_hash(span_hash(data, starts, ends, s), at[:-1], n, s).view(np.int64) for s in (0, 1)]
+            both = [sequence_hash(span_hash(data, starts, ends, s), at).view(np.int64) for s in (0, 1)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([task_id() << 32 | number]), pa.array([zip_.compress(body)], pa.binary())]
                 + [pa.array([x], pa.list_(pa.int64())) for x in (ids, n, *both)], names=["to", "payload", "doc_ids", "n_words", "hi", "lo"])
@@ -93,8 +85,8 @@ class Block:
         per = np.maximum(self.n - self.window + 1, 0)
         self.doc = np.repeat(np.arange(len(self.n)), per)
         self.pos = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        first, size = self.at[self.doc] + self.pos, np.full(len(self.doc), self.window)
-        self.h, self.g = (run_hash(span_hash(data, starts, ends, s), first, size, s) for s in (0, 1))
+        first = self.at[self.doc] + self.pos
+        self.h, self.g = (window_hash(span_hash(data, starts, ends, s), self.window)[first] for s in (0, 1))
         self.cells, self.cell_of, self.count = np.unique(self.h >> np.uint64(64 - self.bits), return_inverse=True, return_counts=True)
 
     def suspects(self, repeated: np.ndarray, copies: set[int], doc_ids: np.ndarray):

@@ -65,5 +65,5 @@ def test_registered():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert simhash.near_duplicates.__doc__
