@@ -43,7 +43,11 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min
     """
     cols = [host.alias("__host"), F.array_distinct(F.transform(F.filter(F.transform(lines, _stripped), lambda x: x != ""), _hash)).alias("__lines")]
     base = pages.select(*cols) if text is None else pages.select(*cols, _hash(text).alias("__text")).distinct().select("__host", "__lines")
-    base = staged(base, "line-hashes")
+    return boilerplate_of(staged(base, "line-hashes"), ratio, min_pages)
+
+
+def boilerplate_of(base: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(host, drop) from a written table with a row for each page: ``__host`` and the distinct hashes ``__lines``."""
     total = base.groupBy("__host").agg(F.count("*").alias("__pages"))
     found = base.select("__host", F.explode("__lines").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_pages)
     often = found.join(total, found["__host"].eqNullSafe(total["__host"])).where(F.col("__n") > ratio * F.col("__pages"))
@@ -52,7 +56,11 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float, min
 
 def mark(pages: DataFrame, host: Column, lines: Column, ratio: float = 0.1, min_pages: int = 5, text: Column | None = None) -> DataFrame:
     """``pages`` with ``__drop``: the hashes of the lines to drop from the page (null: none)."""
-    drop = boilerplate(pages, host, lines, ratio, min_pages, text).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted_join(pages, host, boilerplate(pages, host, lines, ratio, min_pages, text))
+
+
+def salted_join(pages: DataFrame, host: Column, drop: DataFrame) -> DataFrame:
+    drop = drop.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cols = [F.col(f"`{c}`") for c in pages.columns]
     salted = pages.select(*cols, host.alias("__h"), F.pmod(F.xxhash64(*_plain(pages)), F.lit(SALTS)).cast("int").alias("__s"))
     return salted.join(drop, salted["__h"].eqNullSafe(drop["__host"]) & (salted["__s"] == drop["__salt"]), "left").select(*cols, "__drop")
@@ -93,8 +101,15 @@ def url_host(url: Column) -> Column:
 
 
 def page_lines(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """page_id, host, n_lines (not blank), n_dropped and the kept lines joined by line feeds, for every page."""
-    base = pages.select("page_id", url_host(F.col("url")).alias("host"), F.filter(F.transform(html_lines(F.col("html")), _stripped), lambda x: x != "").alias("lines"))
-    marked = mark(base, F.col("host"), F.col("lines"), ratio, min_pages)
-    kept = F.filter("lines", lambda x: keeps(x, F.col("__drop")))
-    return marked.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(kept)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("text"))
+    """page_id, host, n_lines (not blank), n_dropped and the kept lines joined by line feeds, for every page.
+
+    A page's lines are cut and hashed once and written; both passes read them.
+    """
+    lines = F.filter(F.transform(html_lines(F.col("html")), _stripped), lambda x: x != "")
+    cut = pages.select("page_id", url_host(F.col("url")).alias("host"), lines.alias("lines"))
+    cut = staged(cut.withColumn("hashes", F.transform("lines", _hash)), "lines")
+    drop = boilerplate_of(cut.select(F.col("host").alias("__host"), F.array_distinct("hashes").alias("__lines")), ratio, min_pages)
+    marked = salted_join(cut, F.col("host"), drop)
+    kept = F.transform(F.filter(F.arrays_zip("lines", "hashes"), lambda x: F.col("__drop").isNull() | ~F.array_contains(F.col("__drop"), x["hashes"])), lambda x: x["lines"])
+    marked = marked.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), F.col("lines")).otherwise(kept).alias("kept"))
+    return marked.select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
