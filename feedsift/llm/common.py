@@ -311,9 +311,9 @@ class UnitEncoder:
             for e in self.tok.encode_batch_fast([u.decode() for u in units[i:i + 2048]], add_special_tokens=False):
                 self.flat.extend(e.ids)
                 self.ends.append(len(self.flat))
-        for u in units:
-            self.raw += u
-            self.raw_ends.append(len(self.raw))
+        stops = len(self.raw) + np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        self.raw += b"".join(units)
+        self.raw_ends.frombytes(stops.tobytes())
 
     def _slots(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """The place of the ids of each (distinct) unit, learning those that are new."""
@@ -340,9 +340,9 @@ class UnitEncoder:
             self._encode([body[a:z] for a, z in zip(off[new].tolist(), off[new + 1].tolist())])
             slot[new] = first + np.arange(len(new))
             fresh, which = np.unique(keys[new], return_index=True)
-            free = ~np.isin(fresh, self.keys)
-            fresh, which = fresh[free], which[free]
             at = np.searchsorted(self.keys, fresh)
+            free = np.append(self.keys, ~fresh[-1])[at] != fresh
+            fresh, which, at = fresh[free], which[free], at[free]
             self.keys = np.insert(self.keys, at, fresh)
             self.slot = np.insert(self.slot, at, first + which)
         return slot

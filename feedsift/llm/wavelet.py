@@ -48,11 +48,12 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        alphabet, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-        order = np.argsort(-count, kind="stable")
-        rank = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
-        rank[order] = np.arange(len(order))
-        cur = rank[inverse]
+        every = np.bincount(ids)                                   # as long as the vocabulary, at most
+        alphabet = np.flatnonzero(every)
+        order = np.argsort(-every[alphabet], kind="stable")
+        rank = np.empty(len(every), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+        rank[alphabet[order]] = np.arange(len(order))
+        cur = rank[ids]
         planes, zeros = [], []
         for level in range(max(1, int(max(len(order), 1) - 1).bit_length()) - 1, -1, -1):
             bit = (cur >> level) & 1 > 0
@@ -161,22 +162,24 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
     """Write the shard files and return them as read from storage (columns as in ``SHARDS``)."""
 
     def shards(batches):
-        docs_in, ids_in, number = [], [], 0
+        docs_in, sizes, ids_in, held, number = [], [], [], 0, 0
 
         def close():
-            ids = np.concatenate([x for _, x in ids_in])
-            lengths = np.concatenate([n for n, _ in ids_in])
-            return pa.RecordBatch.from_pylist([{
-                "task": task_id(), "shard": number, "n_tokens": len(ids), "doc_ids": [x for d in docs_in for x in d.to_pylist()],
-                "lengths": lengths.tolist(), "payload": WaveletMatrix.build(ids).to_bytes()}], schema=schema)
+            ids, doc, size = np.concatenate(ids_in), pa.concat_arrays(docs_in), np.concatenate(sizes)
+            whole = pa.array([0, len(doc)], pa.int32())
+            return pa.RecordBatch.from_arrays([
+                pa.array([task_id()], pa.int64()), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(whole, doc.cast(pa.int64())),
+                pa.ListArray.from_arrays(whole, pa.array(size, pa.int64())), pa.array([WaveletMatrix.build(ids).to_bytes()], pa.binary())],
+                names=["task", "shard", "n_tokens", "doc_ids", "lengths", "payload"])
 
-        schema = pa.schema([("task", pa.int64()), ("shard", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
         for doc, ids, at in token_runs(batches, tokenizer, end_id, min(1 << 20, 2 * shard_tokens)):
             docs_in.append(doc)
-            ids_in.append((np.diff(at), ids))
-            if sum(len(x) for _, x in ids_in) >= shard_tokens:
+            sizes.append(np.diff(at))
+            ids_in.append(ids)
+            held += len(ids)
+            if held >= shard_tokens:
                 yield close()
-                docs_in, ids_in, number = [], [], number + 1
+                docs_in, sizes, ids_in, held, number = [], [], [], 0, number + 1
         if ids_in:
             yield close()
 
