@@ -57,6 +57,15 @@ BINDINGS: dict[str, str] = {
     "blocks": "SELECT conv_id AS page_id, turn AS pos, CASE WHEN turn % 4 = 0 THEN 'paragraph' "
               "WHEN turn % 4 = 1 THEN 'bulleted_list_item' WHEN turn % 4 = 2 THEN 'numbered_list_item' "
               "ELSE 'code' END AS type, text FROM {conversations}",
+    # block trees of 20 blocks a page: block j hangs under (j - 1) / 2, five levels deep; block 3 is a table, block 5 reads no children
+    "tree_blocks": "SELECT CAST(floor(doc_id / 20) AS BIGINT) AS page_id, doc_id AS block_id, "
+                   "CASE WHEN doc_id % 20 > 0 THEN doc_id - doc_id % 20 + CAST(floor((doc_id % 20 - 1) / 2) AS BIGINT) END AS parent, "
+                   "100 - doc_id % 20 AS pos, CASE WHEN doc_id % 20 = 3 THEN 'table' WHEN doc_id % 20 IN (7, 8) THEN 'table_row' "
+                   "WHEN doc_id % 20 = 5 THEN 'quote' WHEN doc_id % 20 < 10 THEN 'toggle' WHEN doc_id % 3 = 0 THEN 'bulleted_list_item' "
+                   "WHEN doc_id % 3 = 1 THEN 'code' ELSE 'paragraph' END AS type, text, split(lang || ';' || source || ';x', ';') AS cells "
+                   "FROM {documents}",
+    # stored papers with their publication time
+    "papers": "SELECT doc_id, text, TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE AS published FROM {documents}",
     "replies": "SELECT conv_id, turn, role AS name, text, CASE WHEN turn > 0 THEN turn - 1 END AS reply_to_turn, "
                "(conv_id + turn) % 5 = 0 AS target_deleted FROM {conversations}",
     # ---- model answers, cache, action lines, summaries, media urls

@@ -16,6 +16,7 @@ from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
 from feedsift.catalog.q_text import _classifier_sql, _embed_ctes, _summary_sql, _todo_rows_sql, rank_classifier
 from feedsift.plans import jobs as J
+from feedsift.sources.blocks import blocks_to_text
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
 
@@ -126,10 +127,13 @@ _DIGEST_SQL = """
 , meta AS (SELECT id AS item_id, user_rating FROM lat WHERE user_rating IS NOT NULL)
 , latest AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited_time DESC, arrival ASC) AS rn FROM rated_pages
-    WHERE user_rating IS NOT NULL AND user_rating <> '') WHERE rn = 1)
+    WHERE user_rating IS NOT NULL AND user_rating <> '' AND last_edited_time >= TIMESTAMP '{RUN_TS}' - INTERVAL 7 DAY) WHERE rn = 1)
+, body AS (SELECT CAST(page_id AS VARCHAR) AS id, string_agg(CASE type WHEN 'bulleted_list_item' THEN '- ' || text || chr(10)
+               WHEN 'numbered_list_item' THEN '1. ' || text || chr(10) WHEN 'code' THEN '```' || text || '```' ELSE text END || chr(10), '' ORDER BY pos) AS page_text
+           FROM blocks GROUP BY page_id)
 , pages AS MATERIALIZED (SELECT id, source, CAST(user_rating AS INTEGER) AS user_rating, take_aways,
-                                id || ': ' || CASE WHEN coalesce(take_aways, '') <> '' THEN chr(10) || 'Take aways: ' || take_aways ELSE '' END AS t
-                         FROM latest WHERE CAST(user_rating AS INTEGER) >= 4 OR coalesce(take_aways, '') <> '')""" \
+                                id || ': ' || coalesce(page_text, '') || CASE WHEN coalesce(take_aways, '') <> '' THEN chr(10) || 'Take aways: ' || take_aways ELSE '' END AS t
+                         FROM latest LEFT JOIN body USING (id) WHERE CAST(user_rating AS INTEGER) >= 4 OR coalesce(take_aways, '') <> '')""".replace("{RUN_TS}", RUN_TS) \
     + _embed_ctes("r", "lat", "id", "text") + _embed_ctes("q", "pages", "id", "t") + """
 , pairs AS (SELECT q.key AS query_id, r.key AS item_id,
                    round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
@@ -145,16 +149,17 @@ SELECT source, CAST(count(*) AS BIGINT) AS n_pages,
 FROM digest GROUP BY source"""
 
 
-@register("weekly_digest", uses=("rated_pages",), sql=_DIGEST_SQL)
+@register("weekly_digest", uses=("rated_pages", "blocks"), sql=_DIGEST_SQL)
 def weekly_digest(spark, sf):
-    """Digest pages scored against the rated collection (k=4, self excluded), post-filtered, by source."""
+    """Pages of the last seven days with their block text, scored against the rated collection (k=4, self excluded), post-filtered, by source."""
     pages = binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating", "last_edited_time",
                                                      "take_aways", "tags")
     latest = pages.groupBy("id").agg(F.max_by("take_aways", "last_edited_time").alias("text"),
                                      F.max_by("user_rating", "last_edited_time").cast("int").alias("user_rating"))
     vectors = J.rated_vectors_of(latest, F.col("text"))
     meta = latest.where(F.col("user_rating").isNotNull()).select(F.col("id").alias("item_id"), "user_rating")
-    out = J.weekly_digest(pages, vectors, meta)
+    texts = blocks_to_text(binding(spark, sf, "blocks"), separator="\n").select(F.col("page_id").cast("string").alias("id"), F.col("text").alias("page_text"))
+    out = J.weekly_digest(pages, vectors, meta, page_texts=texts, now=ts(RUN_TS))
     return out["sections"]
 
 
@@ -191,12 +196,21 @@ def todo_actions(spark, sf):
     return J.todo_actions(pages, state, excluded_sources=["error", "signup"])
 
 
+_VECTOR_SQL = "array_to_string(list_transform(e, lambda x: CAST(CAST(round(x * 10000) AS INTEGER) AS VARCHAR)), ' ')"
+
+
+def vector_text(name):
+    """A vector's values in ten-thousandths, as text."""
+    return F.array_join(F.transform(name, lambda x: F.round(x.cast("double") * 10000).cast("int").cast("string")), " ").alias("vector")
+
+
 @register("sync_and_index", uses=("rated_pages", "visited"), sql="""
 , latest AS (SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_edited_time DESC, arrival ASC) AS rn FROM rated_pages
     WHERE user_rating IS NOT NULL AND user_rating <> '') WHERE rn = 1)
-SELECT id AS item_id, DATE '{RUN_DATE}' AS as_of, 'hashing' AS model, 64 AS dims FROM latest
-WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM visited)""".replace("{RUN_DATE}", RUN_DATE))
+, fresh AS MATERIALIZED (SELECT id, coalesce(take_aways, '') AS t FROM latest WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM visited))
+""" + _embed_ctes("v", "fresh", "id", "t") + """
+SELECT key AS item_id, DATE '{RUN_DATE}' AS as_of, 'hashing' AS model, """.replace("{RUN_DATE}", RUN_DATE) + _VECTOR_SQL + """ AS vector FROM v""")
 def sync_and_index(spark, sf):
     """Newest rated version per page, new/changed split, vector rows for the run date's collection."""
     pages = binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating", "last_edited_time",
@@ -204,7 +218,7 @@ def sync_and_index(spark, sf):
     visited = binding(spark, sf, "visited").select(F.col("item_id").cast("string").alias("item_id"))
     state = binding(spark, sf, "page_state").select(F.col("page_id").cast("string").alias("page_id"), "user_rating")
     out = J.sync_and_index(pages, visited, state, run_date=RUN_DATE)
-    return out["vectors"].select("item_id", "as_of", "model", F.size("embedding").alias("dims"))
+    return out["vectors"].select("item_id", "as_of", "model", vector_text("embedding"))
 
 
 @register("curate_articles", uses=("notes", "note_watermarks", "visited", "rank_training"), sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedsift.bind import binding
@@ -11,6 +13,8 @@ from feedsift.functions import media as M
 from feedsift.operators import filters as FL
 from feedsift.operators.dedup import anti_join_visited
 from feedsift.operators.embed import hashing_embedding
+from feedsift.session import ensure_checkpoint_dir
+from feedsift.sinks import collections as CO
 from feedsift.sinks import documents as DOC
 from feedsift.sources.scans import sync_rated
 
@@ -113,6 +117,37 @@ def markdown_render(spark, sf):
     return out.select("file_name", F.md5("content").alias("content_md5"))
 
 
+@register("markdown_files", uses=("rated_pages",), sql=_LATEST_RATED + """
+, r AS (SELECT id, source || '_default_' || id || '.md' AS file_name, '---' || chr(10) || 'title: ' || id || chr(10) || 'source: ' || source || chr(10)
+               || 'rating: ' || user_rating || chr(10) || '---' || chr(10) || coalesce(take_aways, '') || chr(10) AS content
+        FROM latest WHERE CAST(user_rating AS INTEGER) >= 4)
+SELECT file_name, md5(CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'older' ELSE content END) AS content_md5 FROM r""")
+def markdown_files(spark, sf):
+    """The archive written as named files beside older ones, which keep their content, and read back."""
+    p = sync_rated(binding(spark, sf, "rated_pages").select("id", "arrival", "source", "user_rating", "last_edited_time", "take_aways"))
+    files = DOC.markdown_files(p.where(F.col("user_rating").cast("int") >= 4))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/markdown-{uuid.uuid4().hex}"
+    DOC.write_markdown(files.where(F.col("id").cast("bigint") % 5 == 0).withColumn("content", F.lit("older")), folder)
+    DOC.write_markdown(files, folder)
+    return spark.read.text(f"{folder}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"[^/]+$", 0).alias("file_name"), F.md5("value").alias("content_md5"))
+
+
+@register("collection_retention", uses=("vectors",), sql="""
+SELECT model, as_of, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items,
+       round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS total
+FROM vectors WHERE as_of > DATE '2024-01-11' - 3 GROUP BY model, as_of""")
+def collection_retention(spark, sf):
+    """Collections appended to a dated table, one batch twice, and the old ones dropped by folder; what is left, by vector values."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/collections-{uuid.uuid4().hex}"
+    rows = binding(spark, sf, "vectors")
+    for batch, part in (("even", rows.where(F.col("item_id").cast("bigint") % 2 == 0)), ("odd", rows.where(F.col("item_id").cast("bigint") % 2 == 1)), ("odd", rows.where(F.col("item_id").cast("bigint") % 2 == 1))):
+        CO.append_batch(part, path, batch)
+    CO.drop_collections(spark, path, "2024-01-11", 3)
+    left = CO.read_collections(spark, path).where(F.col("as_of") > F.date_sub(F.to_date(F.lit("2024-01-11")), 3))
+    value = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return left.groupBy("model", "as_of").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("item_id").alias("n_items"), F.round(F.sum(value), 4).alias("total"))
+
+
 @register("retention_keep", uses=("vectors",), sql="""
 SELECT as_of, CAST(count(*) AS BIGINT) AS n_rows FROM vectors WHERE as_of > DATE '2024-01-11' - 3 GROUP BY as_of""")
 def retention_keep(spark, sf):

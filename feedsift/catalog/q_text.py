@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedsift.bind import binding
 from feedsift.catalog import register
-from feedsift.catalog.util import duck_ts_text, ts_text
+from feedsift.catalog.util import RUN_TS, duck_ts_text, ts, ts_text
 from feedsift.functions import text as X
 from feedsift.operators import chunking as CH
 from feedsift.operators import classify
@@ -21,6 +21,7 @@ from feedsift.sinks import records as R
 from feedsift.sources.blocks import blocks_to_text
 from feedsift.sources.html import page_text as html_page_text
 from feedsift.sources.scans import sync_rated
+from feedsift.sources.trees import tree_to_text
 
 _TS = duck_ts_text
 
@@ -267,12 +268,37 @@ def _evidence(spark, sf):
     return R.collect_evidence(q, d, EN.DigestModel("S:"), k=3)
 
 
-@register("collect_evidence", uses=(), sql=_EVIDENCE_SQL)
+_RECENT_DAYS = 12
+_BM25_SQL = f"""
+, bw AS MATERIALIZED (SELECT doc_id, unnest(w) AS w, len(w) AS n FROM (SELECT doc_id, {_tokens_sql("coalesce(text, '')")} AS w FROM papers))
+, btf AS MATERIALIZED (SELECT doc_id, w, count(*) AS tf, any_value(n) AS n FROM bw GROUP BY doc_id, w)
+, bdf AS MATERIALIZED (SELECT w, count(*) AS df FROM btf GROUP BY w)
+, ball AS (SELECT count(*) AS docs, avg(len({_tokens_sql("coalesce(text, '')")})) AS mean FROM papers)
+, bq AS (SELECT DISTINCT item_id, unnest({_tokens_sql("text")}) AS w FROM benchmark)
+, bscore AS (SELECT item_id, doc_id, round(sum(ln(1.0::DOUBLE + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score
+    FROM bq JOIN bdf USING (w) JOIN btf USING (w), ball GROUP BY item_id, doc_id)
+, btop AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rnk FROM bscore)
+, recent AS (SELECT btop.item_id, btop.doc_id, btop.rnk, btop.score, papers.text FROM btop JOIN papers USING (doc_id)
+    WHERE rnk <= 5 AND published >= TIMESTAMP '{RUN_TS}' - INTERVAL {_RECENT_DAYS} DAY)"""
+
+
+@register("collect_evidence", uses=("papers",), sql=_EVIDENCE_SQL.replace("SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk,\n", ", alike AS (SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk,\n") + ")" + _BM25_SQL + """
+SELECT item_id, 'document' AS kind, doc_id, rnk, evidence FROM alike
+UNION ALL SELECT item_id, 'paper', doc_id, CAST(rnk AS INTEGER), md5(text) FROM recent""")
 def collect_evidence(spark, sf):
-    """M9: per topic text the 3 most similar documents; whole bodies are summarised."""
-    e = _evidence(spark, sf)
-    return e.select("item_id", "doc_id", F.col("rnk").cast("int").alias("rnk"),
-                    F.when(F.col("summarised"), F.col("evidence")).otherwise(F.md5("evidence")).alias("evidence"))
+    """M9: per topic text the 3 most similar documents, whole bodies summarised, and of its 5 most relevant papers the recent ones."""
+    topics, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("benchmark", "documents"))
+    e = R.collect_all_evidence(topics, docs, binding(spark, sf, "papers"), EN.DigestModel("S:"), now=ts(RUN_TS), days=_RECENT_DAYS)
+    whole = (F.col("kind") == "paper") | (F.length("evidence") == 0)
+    return e.select("item_id", "kind", "doc_id", F.col("rnk").cast("int").alias("rnk"), F.when(whole, F.md5("evidence")).otherwise(F.col("evidence")).alias("evidence"))
+
+
+@register("recent_papers", uses=("papers",), sql=_BM25_SQL + """
+SELECT item_id, doc_id, CAST(rnk AS INTEGER) AS rnk, score FROM recent""")
+def recent_papers(spark, sf):
+    """Per topic its 5 most relevant papers by BM25 over an inverted index, then those of the last days."""
+    out = R.recent_papers(spark.read.parquet(f"{sf}/benchmark.parquet"), binding(spark, sf, "papers"), now=ts(RUN_TS), days=_RECENT_DAYS)
+    return out.select("item_id", "doc_id", F.col("rnk").cast("int").alias("rnk"), "score")
 
 
 @register("reference_list", uses=(), sql=_EVIDENCE_SQL.replace(
@@ -528,6 +554,21 @@ def blocks_to_text_q(spark, sf):
     return t.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
+@register("tree_to_text", uses=("tree_blocks",), recursive=True, sql="""
+, walk AS (SELECT page_id, block_id, type, text, cells, [pos] AS path FROM tree_blocks WHERE parent IS NULL
+  UNION ALL SELECT b.page_id, b.block_id, b.type, b.text, b.cells, list_append(w.path, b.pos)
+  FROM walk w JOIN tree_blocks b ON b.page_id = w.page_id AND b.parent = w.block_id WHERE w.type IN ('toggle', 'table'))
+, parts AS (SELECT page_id, path, CASE type WHEN 'toggle' THEN text || chr(10) WHEN 'table_row' THEN array_to_string(cells, ',') || ',' || chr(10)
+      WHEN 'bulleted_list_item' THEN '- ' || text || chr(10) WHEN 'code' THEN '```' || text || '```' WHEN 'table' THEN '' ELSE text END AS part FROM walk
+  UNION ALL SELECT page_id, list_append(path, 9223372036854775807), '|' FROM walk WHERE len(path) = 1)
+SELECT p.page_id, md5(coalesce(string_agg(part, '' ORDER BY path), '')) AS text_md5, CAST(coalesce(sum(length(part)), 0) AS BIGINT) AS n_chars
+FROM (SELECT DISTINCT page_id FROM tree_blocks) p LEFT JOIN parts ON p.page_id = parts.page_id GROUP BY p.page_id""")
+def tree_to_text_q(spark, sf):
+    """Pages of nested blocks, five levels deep: toggles with their children, tables with the cells of their rows."""
+    t = tree_to_text(binding(spark, sf, "tree_blocks"), separator="|")
+    return t.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
 @register("score_text_digest", uses=("blocks",), sql=f"""
 , t AS (SELECT page_id, string_agg({_RENDER_SQL} || chr(10), '' ORDER BY pos) AS text,
                max(CASE WHEN pos = 0 THEN substr(text, 1, 50) END) AS first_text FROM blocks GROUP BY page_id)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedsift.operators.common import bounded_broadcast
+from feedsift.sinks.named_files import register_named_text
 
 
 # ---------------------------------------------------------------- K1 / S1
@@ -42,12 +43,6 @@ def vector_rows(df: DataFrame, key: str, embedding: Column, *, model: str, as_of
                      F.col(key).cast("string").alias("item_id"), e.alias("embedding"), err.alias("error"))
 
 
-def append_vectors(rows: DataFrame, path: str) -> None:
-    """K2: append the error-free rows into the table partitioned by (model, as_of); callers anti-join ``visited`` first."""
-    ok = rows.where(F.col("error").isNull()).drop("error") if "error" in rows.columns else rows
-    ok.write.mode("append").partitionBy("model", "as_of").parquet(path)
-
-
 def retention_keep(vectors: DataFrame, run_date: str, days: int) -> DataFrame:
     """Collections dated on or before ``run_date - days`` are dropped (partition filter)."""
     return vectors.where(F.col("as_of") > F.date_sub(F.to_date(F.lit(run_date)), days))
@@ -103,12 +98,10 @@ def markdown_files(pages: DataFrame) -> DataFrame:
                         content.alias("content"))
 
 
-def write_markdown(files: DataFrame, folder: str, existing_names: DataFrame) -> DataFrame:
-    """K9: write files whose names do not exist yet (anti join), one text file per name."""
-    new = files.join(existing_names.select("file_name"), "file_name", "left_anti")
-    (new.select(F.col("content").alias("value"), "file_name")
-     .write.mode("append").partitionBy("file_name").text(folder))
-    return new
+def write_markdown(files: DataFrame, folder: str) -> None:
+    """K9: one file per row under its own name; names that exist already are skipped, and a failed job leaves nothing."""
+    register_named_text(files.sparkSession)
+    files.select("file_name", "content").write.format("named_text").mode("append").save(folder)
 
 
 def research_sections(df: DataFrame) -> DataFrame:

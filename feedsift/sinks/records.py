@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedsift.functions.text import INVALID_RESPONSES, strip
-from feedsift.operators import knn
+from feedsift.operators import bm25, knn
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
 from feedsift.operators.enrich import TextModel, model_attempt, model_call
@@ -165,6 +165,21 @@ def collect_evidence(topics: DataFrame, docs: DataFrame, model: TextModel, *, k:
     return summ.unionByName(keep)
 
 
+def recent_papers(topics: DataFrame, papers: DataFrame, *, now: Column, days: int, k: int = 5) -> DataFrame:
+    """The ``k`` papers most relevant to each topic (BM25 over whole texts), of those the ones published within
+    ``days`` before ``now``: the cut to ``k`` comes first, so fewer may be left. ``papers``: ``doc_id, text, published``."""
+    found = bm25.search(topics, bm25.build(papers), k).withColumnRenamed("query_id", "item_id")
+    dated = papers.select("doc_id", "published", F.col("text").alias("text"))
+    return found.join(dated, "doc_id").where(F.col("published") >= now - F.make_dt_interval(F.lit(days))).select("item_id", "doc_id", "rnk", "score", "text")
+
+
+def collect_all_evidence(topics: DataFrame, docs: DataFrame, papers: DataFrame, model: TextModel, *, now: Column, days: int, k: int = 3, k_papers: int = 5) -> DataFrame:
+    """M9: both branches: similar documents (bodies summarised) and relevant recent papers (their own text), by ``kind``."""
+    similar = collect_evidence(topics, docs, model, k=k).select("item_id", F.lit("document").alias("kind"), "doc_id", "rnk", "evidence")
+    recent = recent_papers(topics, papers, now=now, days=days, k=k_papers)
+    return similar.unionByName(recent.select("item_id", F.lit("paper").alias("kind"), "doc_id", "rnk", F.col("text").alias("evidence")))
+
+
 def reference_list(evidence: DataFrame, group: str, order: str, *, title: str = "title", url: str = "url") -> DataFrame:
     """``- [title](url)`` lines (spaces stripped from the url) per group, in evidence order."""
     line = F.concat(F.lit("- ["), F.col(title), F.lit("]("), F.replace(F.col(url), F.lit(" "), F.lit("")), F.lit(")"))
