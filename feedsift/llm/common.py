@@ -286,7 +286,7 @@ class UnitEncoder:
     when it grows beyond its bound (ids don't change). The vocabulary's added tokens are units of their own, as in the library.
     """
 
-    BOUND = 800_000
+    BOUND = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -374,7 +374,8 @@ class UnitEncoder:
             self._reset()
         starts = self._cuts(data, off)
         cuts = np.append(starts, len(data)).astype(np.int64)
-        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+        units = pc.dictionary_encode(units, memory_pool=pa.system_memory_pool())        # the default pool would keep the hash table's memory
         slot = self._slots(*text_bytes(units.dictionary))[np.asarray(units.indices)]
         flat, stops = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64)
         first, n = stops[slot], stops[slot + 1] - stops[slot]
