@@ -114,6 +114,10 @@ BINDINGS: dict[str, str] = {
                    "|| CASE WHEN turn % 3 = 0 THEN '.000Z' ELSE '+00:00' END END AS created_at, "
                    "CASE WHEN turn > 0 THEN turn - 1 END AS reply_to "
                    "FROM {conversations}",
+    # short posts of two kinds of lists, each answering the turn before, and those read already
+    "list_posts": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'tech' ELSE 'news' END AS list_name, conv_id * 1000 + turn AS id, role AS name, text, "
+                  "CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS reply_to FROM {conversations}",
+    "posts_read": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'tech' ELSE 'news' END AS list_name, conv_id * 1000 + turn AS item_id FROM {conversations} WHERE turn % 4 = 3",
     # forum posts
     "posts": "SELECT CAST(conv_id * 1000 + turn AS STRING) AS id, role AS subreddit, substr(text, 1, 40) AS title, "
              "CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'a' || CAST(conv_id AS STRING) END AS author, "

@@ -7,6 +7,8 @@ themselves are checked for internal consistency in ``tests/test_jobs.py``
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedsift.bind import binding
@@ -16,6 +18,7 @@ from feedsift.functions.labels import render_labels
 from feedsift.operators.filters import parse_overrides
 from feedsift.catalog.q_text import _classifier_sql, _embed_ctes, _summary_sql, _todo_rows_sql, rank_classifier
 from feedsift.plans import jobs as J
+from feedsift.session import ensure_checkpoint_dir
 from feedsift.sources.blocks import blocks_to_text
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -236,6 +239,73 @@ def curate_articles(spark, sf):
     return out.select("id", "source", "summary", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))
 
 
+@register("articles_funnel", uses=("notes", "note_watermarks", "visited"), sql="""
+, pulled AS (SELECT n.* FROM notes n LEFT JOIN note_watermarks w ON n.source = w.source
+             WHERE n.created_time >= coalesce(w.ts, TIMESTAMP '{RUN_TS}' - INTERVAL 1 DAY))
+, c AS (SELECT source AS list_name, count(*) AS total_input, count(*) FILTER (id NOT IN (SELECT item_id FROM visited)) AS n FROM pulled GROUP BY source)
+, k AS (SELECT list_name, total_input, n AS post_deduping, n AS post_scoring, n AS post_filtering, n AS post_summary, n AS post_ranking, n AS total_pushed FROM c)
+SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM k
+UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))""".replace("{RUN_TS}", RUN_TS))
+def articles_funnel(spark, sf):
+    """The seven stage counters of the articles job, counted by the action that publishes (no pass of their own)."""
+    notes = binding(spark, sf, "notes")
+    out = J.articles(notes, binding(spark, sf, "note_watermarks"), binding(spark, sf, "visited").select("item_id"), run_ts=ts(RUN_TS), model=rank_classifier(spark, sf))
+    return _published_funnel(spark, out, notes.select("source").distinct())
+
+
+def _published_funnel(spark, out, groups):
+    """Publish a job's rows into the shared folder; its counters as seen by that action, for the groups that had input."""
+    names = sorted(r[0] for r in groups.collect())                  # the configured sources or lists
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/published-{uuid.uuid4().hex}"
+    counts = out.publish(path, names)["funnel"]
+    with_input = {g for g, stage, n in counts if stage == "total_input" and n}
+    return spark.createDataFrame([x for x in counts if x[0] in with_input], "list_name string, stage string, n long")
+
+
+_SHORT_POSTS = """
+, said AS MATERIALIZED (SELECT p.list_name, p.id, p.name, p.reply_to IS NOT NULL AND t.id IS NULL AS reply_deleted,
+    CASE WHEN coalesce(t.text, '') <> '' THEN t.name || ': ' || t.text ELSE '' END || p.name || ': ' || p.text AS body
+  FROM list_posts p LEFT JOIN list_posts t ON t.list_name = p.list_name AND t.id = p.reply_to)
+, fresh AS MATERIALIZED (SELECT s.* FROM said s LEFT JOIN posts_read v ON v.item_id = s.id AND v.list_name = s.list_name WHERE v.item_id IS NULL)
+, rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)""" \
+    + _embed_ctes("r", "rated_docs", "id", "text") + _embed_ctes("q", "fresh", "id", "body") + """
+, pairs AS (SELECT q.key AS query_id, r.key AS item_id,
+                   round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
+            FROM q, r)
+, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM pairs)
+, kept AS (SELECT k.query_id, m.user_rating FROM near k JOIN ratings m ON k.item_id = m.page_id WHERE k.rnk <= 2 AND k.distance <= 0.5)
+, scores AS (SELECT f.id, coalesce(avg(CAST(kept.user_rating AS DOUBLE)), -1.0) AS relevant_score FROM fresh f LEFT JOIN kept ON f.id = kept.query_id GROUP BY f.id)
+, g AS MATERIALIZED (SELECT f.*, relevant_score, relevant_score > 0 AND relevant_score < 4 AS gated FROM fresh f JOIN scores s ON f.id = s.id
+  WHERE relevant_score < 0 OR relevant_score >= CASE WHEN f.list_name = 'tech' THEN 3.0 ELSE 4.0 END)"""
+
+
+def _short_posts(spark, sf):
+    vectors, meta = _rated(spark, sf)
+    return J.short_posts(binding(spark, sf, "list_posts"), binding(spark, sf, "posts_read"), vectors, meta, model=rank_classifier(spark, sf), overrides=parse_overrides(spark, "tech:3"))
+
+
+@register("curate_short_posts", uses=("list_posts", "posts_read", "ratings", "rank_training"), sql=_SHORT_POSTS + """
+, todo AS MATERIALIZED (SELECT id, body FROM g WHERE NOT gated)""" + _classifier_sql("nb", "todo", "id", "body") + """
+SELECT g.id, list_name, reply_deleted, round(relevant_score, 6) AS relevant_score, CASE WHEN gated THEN -0.02 ELSE coalesce(nullif(quality, 0), -0.01) END AS rate,
+  CASE WHEN gated THEN '' ELSE topic || ':' || printf('%.6f', score) END AS topics, NOT gated AS ranked
+FROM g LEFT JOIN nb ON g.id = nb.k""")
+def curate_short_posts(spark, sf):
+    """Short posts with the post they answer -> dedup -> score of both texts -> per-list threshold -> gate/classify -> top labels."""
+    p = _short_posts(spark, sf).published
+    return p.select("id", "list_name", "reply_deleted", F.round("relevant_score", 6).alias("relevant_score"), F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"), "ranked")
+
+
+@register("short_posts_funnel", uses=("list_posts", "posts_read", "ratings"), sql=_SHORT_POSTS + """
+, c AS (SELECT p.list_name, count(*) AS total_input, count(f.id) AS post_deduping, count(f.id) AS post_scoring, count(g.id) AS post_filtering,
+               count(g.id) AS post_summary, count_if(coalesce(NOT g.gated, false)) AS post_ranking, count(g.id) AS total_pushed
+        FROM list_posts p LEFT JOIN fresh f ON p.id = f.id LEFT JOIN g ON p.id = g.id GROUP BY p.list_name)
+SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM c
+UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))""")
+def short_posts_funnel(spark, sf):
+    """The short posts published, with the seven counters of each list seen by that one action."""
+    return _published_funnel(spark, _short_posts(spark, sf), binding(spark, sf, "list_posts").select("list_name").distinct())
+
+
 _RESEARCH_SQL = """
 , lat AS (SELECT id, arg_max_null(take_aways, last_edited_time) AS take_aways, arg_max_null(tags, last_edited_time) AS tags
           FROM rated_pages GROUP BY id)

@@ -7,7 +7,7 @@ produces all counters, then ``stack`` turns them into the long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Stage counter names and rate-histogram buckets (upper bounds, inclusive).
@@ -24,6 +24,20 @@ def funnel_counts(df: DataFrame, by: list[str], flags: dict[str, Column]) -> Dat
     return agg.select(*by, F.expr(f"stack({len(flags)}, {pairs}) AS (stage, n)")).withColumn("n", F.col("n").cast("bigint"))
 
 
+def observed_funnel(df: DataFrame, by: str, groups: list[str], flags: dict[str, Column], name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """A3 without an action of its own: ``df`` with an observation that counts every stage of every known group while an
+    action (a write) reads its rows. ``groups`` is the job's list of sources or lists, so the counters are a bounded number."""
+    metrics = [F.count_if((F.col(by) == g) & c).alias(f"{stage}|{g}") for g in groups for stage, c in flags.items()]
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), seen
+
+
+def funnel_of(seen: Observation) -> list[tuple[str, str, int]]:
+    """(group, stage, n) of an observation whose action has ended."""
+    out = [(*reversed(key.split("|", 1)), n) for key, n in seen.get.items() if "|" in key]
+    return [(g, stage, n) for g, stage, n in out]
+
+
 def rate_bucket(rate: Column) -> Column:
     """A4: first bucket whose upper bound holds the rate; rates above 1 -> NULL (uncounted)."""
     out = F.lit(None).cast("string")

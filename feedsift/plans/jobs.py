@@ -30,13 +30,38 @@ from feedsift.operators.summarise import CentralSentences
 from feedsift.settings import DEFAULT, Settings
 from feedsift.sinks import documents as DOC
 from feedsift.sinks import records as R
+from feedsift.sinks.publish import publish_observed
 from feedsift.sources import scans as SC
 
 
 @dataclass
 class JobOutput:
+    """``stages`` has a row per input item (key columns, the published columns, and the stage columns behind ``flags``)."""
+
     published: DataFrame
     funnel: DataFrame
+    stages: DataFrame | None = None
+    flags: dict[str, Column] | None = None
+
+    def publish(self, path: str, groups: list[str], *, rejected: Column | None = None) -> dict:
+        """K3/A3: write the published rows and count all stages of ``groups`` in one action."""
+        return publish_observed(self.stages, path, by="list_name", groups=groups, flags=self.flags, published=F.col("_pub"),
+                                columns=self.published.columns, rejected=rejected)
+
+
+def _staged(flagged: DataFrame, scored: DataFrame, published: DataFrame, keys: list[str], flags: dict[str, Column]) -> JobOutput:
+    """The stage table of a job: every input item, whether it had been visited, its score, and what was published of it."""
+    base = flagged.select(*keys, "is_visited").join(scored.select(*keys, F.lit(True).alias("_scored")), keys, "left")
+    stages = base.join(published.withColumn("_pub", F.lit(True)), keys, "left").withColumn("_pub", F.coalesce("_pub", F.lit(False))) \
+        .withColumn("_scored", F.coalesce("_scored", F.lit(False)))
+    return JobOutput(published, ST.funnel_counts(stages, ["list_name"], flags), stages, flags)
+
+
+def _stage_flags(ranked: Column | None = None) -> dict[str, Column]:
+    """The seven counters over a stage table; ``ranked`` says which published rows the classifier has seen."""
+    fresh, pub = ~F.col("is_visited"), F.col("_pub")
+    return {"total_input": F.lit(True), "post_deduping": fresh, "post_scoring": fresh & F.col("_scored"), "post_filtering": pub,
+            "post_summary": pub, "post_ranking": F.lit(False) if ranked is None else pub & F.coalesce(ranked, F.lit(False)), "total_pushed": pub}
 
 
 def score_items(items: DataFrame, score_text: Column, rated_vectors: DataFrame, rated_meta: DataFrame, *,
@@ -87,16 +112,27 @@ def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated
                                   X.label_normalise(t["name"]).alias("name"), t["score"].alias("score"))),
                                   settings.top_labels).alias("categories"),
                               "ranked")
-    key = ["list_name", "id"]
-    stage = (flagged.join(scored.select(*key, "relevant_score"), key, "left")
-             .join(published.select(*key, F.lit(True).alias("_pub"), F.col("ranked").alias("_ranked")), key, "left"))
-    deduped = ~F.col("is_visited")
-    pub = F.coalesce(F.col("_pub"), F.lit(False))
-    funnel = ST.funnel_counts(stage, ["list_name"], {
-        "total_input": F.lit(True), "post_deduping": deduped, "post_scoring": deduped & F.col("relevant_score").isNotNull(),
-        "post_filtering": pub, "post_summary": pub, "post_ranking": pub & F.coalesce(F.col("_ranked"), F.lit(False)),
-        "total_pushed": pub})
-    return JobOutput(published, funnel)
+    return _staged(flagged, scored, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
+
+
+def short_posts(raw: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *, model: EN.TextModel,
+                overrides: DataFrame | None = None, settings: Settings = DEFAULT) -> JobOutput:
+    """C1 (short posts): replies looked up -> dedup -> score of reply and post text (P6) -> per-list threshold ->
+    gate/classify -> top labels -> publish.
+
+    ``raw``: ``list_name, id, name, text, reply_to`` (the id of the post it answers, in the same list).
+    """
+    looked_up = R.reply_enrich(raw, raw.withColumnRenamed("id", "post_id"), ["list_name"], "reply_to", "post_id")
+    items = looked_up.withColumn("body", X.score_text_short(F.col("reply_name"), F.col("reply_text"), F.col("name"), F.col("text")))
+    flagged = D.visited_flags(items, visited, {"id": "item_id", "list_name": "list_name"})
+    fresh = flagged.where(~F.col("is_visited")).drop("is_visited")
+    scored = score_items(fresh, F.col("body"), rated_vectors, rated_meta, settings=settings)
+    ovr = overrides if overrides is not None else raw.sparkSession.createDataFrame([], "list_name STRING, min_score DOUBLE")
+    with_min = FL.with_list_min(scored, ovr, default=settings.min_score)
+    passed = with_min.where(FL.passes_min(F.col("relevant_score"), F.col("min_score"))).drop("min_score")
+    ranked = EN.classify_rank(passed.withColumn("_key", F.to_json(F.struct("list_name", "id"))), "_key", "relevant_score", F.col("body"), model, short_post=True, settings=settings)
+    published = ranked.select("id", "list_name", "name", "reply_deleted", "relevant_score", "rate", "feedback", L.topk_labels("topics", settings.top_labels).alias("topics"), "ranked")
+    return _staged(flagged, scored, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
 
 
 def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,
@@ -112,15 +148,7 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
                                 size=settings.summary_chunk, overlap=settings.summary_overlap)
     published = summ.select("id", "list_name", "title", "relevant_score", "summary",
                             L.firstk(F.split("title", " "), settings.top_labels).alias("tags"))
-    key = ["list_name", "id"]
-    stage = flagged.join(scored.select(*key, "relevant_score"), key, "left") \
-        .join(published.select(*key, F.lit(True).alias("_pub")), key, "left")
-    pub = F.coalesce(F.col("_pub"), F.lit(False))
-    funnel = ST.funnel_counts(stage, ["list_name"], {
-        "total_input": F.lit(True), "post_deduping": ~F.col("is_visited"),
-        "post_scoring": ~F.col("is_visited") & F.col("relevant_score").isNotNull(),
-        "post_filtering": pub, "post_summary": pub, "post_ranking": F.lit(False), "total_pushed": pub})
-    return JobOutput(published, funnel)
+    return _staged(flagged, scored, published, ["list_name", "id"], _stage_flags())
 
 
 def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run_ts: Column,
@@ -131,16 +159,15 @@ def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run
     """
     pulled = S.since_watermark(inbox, watermarks, "source", "created_time", strict=False,
                                default_ts=run_ts - F.expr("INTERVAL 1 DAY"))
-    fresh = D.anti_join_visited(pulled, visited, {"id": "item_id"})
+    flagged = D.visited_flags(pulled.withColumn("list_name", F.col("source")), visited, {"id": "item_id"})
+    fresh = flagged.where(~F.col("is_visited")).drop("is_visited")
     summ = EN.mapreduce_summary(fresh, "id", "content", CentralSentences(), CentralSentences(),
                                 size=settings.summary_chunk, overlap=settings.summary_overlap)
     ranked = EN.classify_rank(summ.withColumn("relevant_score", F.lit(None).cast("double")), "id", "relevant_score",
                               F.col("summary"), model or EN.RankModel(), settings=settings)
-    published = ranked.select("id", "source", "title", "summary", "rate", "feedback",
-                              L.topk_labels("topics", settings.top_labels).alias("topics"))
-    funnel = ST.funnel_counts(published.withColumn("list_name", F.col("source")), ["list_name"],
-                              {"total_pushed": F.lit(True)})
-    return JobOutput(published, funnel)
+    published = ranked.select("id", "list_name", "source", "title", "summary", "rate", "feedback",
+                              L.topk_labels("topics", settings.top_labels).alias("topics"), "ranked")
+    return _staged(flagged, fresh, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
 
 
 def sync_and_index(rated_pages: DataFrame, visited: DataFrame, page_state: DataFrame, *, run_date: str,

@@ -42,3 +42,19 @@ def test_failing_source_is_isolated(spark):
     res = run_sources({"documents": good, "broken": bad, "again": good})
     assert res["documents"]["ok"] and res["again"]["ok"] and not res["broken"]["ok"]
     assert res["documents"]["result"] == res["again"]["result"] > 0
+
+
+def test_publishing_counts_what_the_funnel_counts(spark, tmp_path):
+    from feedsift.catalog.q_jobs import _short_posts
+
+    out = _short_posts(spark, SMALL)
+    groups = ["tech", "news", "unused"]
+    rejected = F.when(F.col("id") % 5 == 0, "refused")
+    seen = out.publish(str(tmp_path / "published"), groups, rejected=rejected)
+    assert {(r.list_name, r.stage, r.n) for r in out.funnel.collect()} == {x for x in seen["funnel"] if x[0] != "unused"}
+    assert {n for g, _, n in seen["funnel"] if g == "unused"} == {0}
+    written = spark.read.parquet(str(tmp_path / "published"))
+    pushed = out.published.count()
+    assert sum(t["attempts"] for t in seen["tallies"].values()) == pushed > 0
+    assert written.count() == pushed - sum(t["error"] for t in seen["tallies"].values()) and written.where("id % 5 = 0").count() == 0
+    assert written.columns == out.published.columns
