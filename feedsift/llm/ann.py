@@ -19,8 +19,9 @@ by double-precision inner products of the original vectors.
 
 Vectors null, empty, zero or with null or non-finite components, and those of
 another length than the most frequent one, take no part, nor do rows without an
-id. Repeated rows count once; a query's own id is never its neighbour. Ties go
-to the smaller id. With fewer than two rows there are no results.
+id. Repeated rows count once; a query's own id is never its neighbour. An id on
+several different vectors asks with each of them, and each has its own ranks.
+Ties go to the smaller id. With fewer than two rows there are no results.
 """
 
 from __future__ import annotations
@@ -137,9 +138,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     dim = dim.dim
     rows = rows.where(F.size("vec") == dim)
     wanted = usable(queries, id_col, vec_col).where(F.size("vec") == dim)
-    # equal vectors: one entry with its k + 1 least ids, enough whichever id asks; partial lists are cut before the shuffle
-    salted = rows.groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    index = staged(salted.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")).withColumn("rep", F.col("ids")[0]), "entries")
+    # equal vectors: one entry with its k + 1 least ids, enough whichever id asks; the limit of the rank cuts each task's rows before the shuffle
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    least = rows.select("vec", "id").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
+    index = staged(least.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "entries")
     asked = staged(wanted.groupBy("vec").agg(F.min("id").alias("q")), "queries")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     facts = index.agg(F.count("*").alias("n"), F.max(norm).alias("m")).first()
