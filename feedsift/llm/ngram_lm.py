@@ -213,7 +213,7 @@ class Block:
 
 
 def score(docs: DataFrame, folds: int = 10, mu: float = 20.0, block_bytes: int = 8 << 20, segment_words: int = 1_000_000,
-          shard_pairs: int = 1_500_000, context_tokens: int = 1_000_000, least_context: int = 2) -> DataFrame:
+          shard_pairs: int = 1_500_000, context_tokens: int = 1_000_000, least_context: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document, learning from those whose
     crc32 fold isn't 0."""
     spark = docs.sparkSession

@@ -88,5 +88,5 @@ def test_substrings(spark):
 def test_language_model(spark):
     learn, held = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 10 == 0) == h) for h in (False, True))
     docs = spark.createDataFrame([(learn, ONE), (held, OTHER)], "doc_id long, text string").coalesce(1)
-    got = {r.doc_id: r.n_known for r in ngram_lm.score(docs, least_context=1).collect()}
+    got = {r.doc_id: r.n_known for r in ngram_lm.score(docs).collect()}
     assert got == {learn: 2, held: 1}

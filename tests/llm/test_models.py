@@ -56,6 +56,10 @@ def test_ann_copies_ties_and_unusable_vectors(spark):
     want = _nearest_brute(list(dict.fromkeys((i, tuple(x + 0.0 for x in w)) for i, w in rows)), 4)
     assert {q: [(n, s) for _, n, s in sorted(x)] for q, x in got.items()} == want
     assert ann.nearest(v.limit(0), v.limit(0)).count() == 0
+    hot = [(i, [1.0, 2.0]) for i in range(200)] + [(500 + i, [1.0, -float(i)]) for i in range(9)] + [(3, [2.0, 4.0])] * 3      # a hot vector, and an id on two vectors
+    found = ann.nearest(spark.createDataFrame(hot, "vec_id long, embedding array<double>"), spark.createDataFrame(hot[:4], "vec_id long, embedding array<double>"), k=4).collect()
+    want = _nearest_brute([(i, tuple(w)) for i, w in hot], 4)
+    assert all([(n, x) for _, n, x in sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == i)] == want[i] for i in range(3))
     assert ann.nearest(v.where("vec_id = 40"), v.where("vec_id = 40")).count() == 0
 
 
@@ -77,7 +81,7 @@ def _lm_brute(rows, mu):
             p0 = (uni.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))
             c = starts if u == "^" else uni.get(u, 0)
             base += math.log10(p0)
-            score += math.log10(p0 if c < 2 else (bi.get((u, x), 0) + mu * p0) / (c + mu))
+            score += math.log10((bi.get((u, x), 0) + mu * p0) / (c + mu))
         out.append((i, held(i), len(w) + 1, sum(x in uni for x in [*w, "/"]), n, base, score))
     return out
 
@@ -124,7 +128,7 @@ def test_language_model_keeps_contexts_seen_once(spark):
     docs = table(spark, SMALL, "documents")
     want = _lm_whole([(r.doc_id, r.text) for r in docs.collect()])
     small = {"block_bytes": 30_000, "segment_words": 2000, "shard_pairs": 5000, "context_tokens": 100}
-    for got in (QUERIES["op3_elias_fano_lm"](spark, SMALL), ngram_lm.score(docs, least_context=1, **small)):
+    for got in (QUERIES["op3_elias_fano_lm"](spark, SMALL), ngram_lm.score(docs, **small)):
         got = {r.doc_id: r.score for r in got.collect()}
         assert set(got) == set(want) and all(abs(got[i] - s) <= 1.3e-4 * n for i, (n, s) in want.items())
 
@@ -134,7 +138,7 @@ def test_language_model_keeps_contexts_seen_once(spark):
     rows += [(learnt[0] + 1000, "zyx quux thud"), (held, "zyx quux thud")]
     rows = [(i, t) for i, t in rows if i == held or zlib.crc32(str(i).encode()) % 10]
     assert len(rows) > 40 and rows[-2][1] == "zyx quux thud"
-    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), least_context=1).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert abs(got[held].score - _lm_whole(rows)[held][1]) <= 1.3e-4 * 4
     assert got[held].score > got[held].base_score + 3            # three names after a name seen once: about 1/21 each
 
