@@ -200,11 +200,14 @@ def links(prints: DataFrame, radius: int, bucket_limit: int = 4096, shard_rows:
     return staged(got, "links")
 
 
-def connect(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, root) of every id in ``edges`` (a, b); the root is the least id of the component."""
+def connect(edges: DataFrame) -> DataFrame:
+    """(id, root) of every id in ``edges`` (a, b); the root is the least id of the component.
+
+    Rounds go on until the stars don't change; their number grows with the logarithm of the longest path (squared at worst).
+    """
     e = edges
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
@@ -216,7 +219,6 @@ def connect(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if now == last or now.n == 0:
             return e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
         last = now
-    raise RuntimeError("components didn't settle")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket_limit: int = 4096) -> DataFrame:
