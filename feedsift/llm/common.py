@@ -1,7 +1,8 @@
 """Helpers shared by the operators of this subpackage.
 
-Every operator selects the columns it needs by name, so extra columns of any
-name never clash with its own; a null text counts as empty everywhere.
+Every operator selects the columns it needs by name, or works on a table with
+``numbered`` columns, so extra columns of any name never clash with its own; a
+null text counts as empty everywhere.
 """
 
 from __future__ import annotations
@@ -48,6 +49,16 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str], list[str]]:
+    """``df`` with its columns renamed to c0, c1, ..., the function from a column's own name to the new one, and the new names.
+
+    Helper columns (which start with two underscores) can't clash with any of these; ``toDF`` gives the own names back.
+    """
+    new = [f"c{i}" for i in range(len(df.columns))]
+    exact, folded = dict(zip(df.columns, new)), {c.lower(): n for c, n in zip(df.columns, new)}
+    return df.toDF(*new), lambda name: exact.get(name) or folded[name.lower()], new
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, LOWER, mix64, span_hash, staged, struct_array, text_bytes, text_udf, word_spans
+from .common import ALNUM_WORDS, LOWER, mix64, numbered, span_hash, staged, struct_array, text_bytes, text_udf, word_spans
 
 SEGMENT = 256            # words that one search cursor covers
 TABLE = 1 << 18
+SUMMARY = "struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string>"
 RESULT = "struct<n_words: bigint, hits: binary, items: array<string>>"
 
 
@@ -140,8 +141,8 @@ def _covered(spans: list[bytes]) -> int:
     return n
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column ``contamination``: struct(n_words, n_hit, n_items, items_sha256).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000, text_col: str = "text", name: str = "contamination") -> DataFrame:
+    """``docs`` with one more column ``name``: struct(n_words, n_hit, n_items, items_sha256). A column of that name is replaced.
 
     An item is one row of the broadcast; items are dealt into blocks by a hash of their id and text so that a block
     holds about ``max_words`` words, and each block is a pass over the documents.
@@ -150,8 +151,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] / 4      # four characters a word
     blocks = max(1, -(-int(total) // max_words))
+    plain, named, columns = numbered(docs)
+    text = F.col(named(text_col))
+    if blocks == 1:                                                 # search and summary in one pass of one Python worker
+        sets = spark.sparkContext.broadcast(patterns_of([tuple(r) for r in items.distinct().collect()], window))
+
+        def judged(data, off):
+            n, hits, its = scan(data, off, sets.value)
+            return _summary(n, [[h] for h in hits], [[x] for x in its])
+
+        return _named(plain.withColumn("__made", text_udf(judged, SUMMARY)(text)), docs.columns, columns, name)
     names = []
-    out = docs
+    out = plain
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         sets = spark.sparkContext.broadcast(patterns_of([tuple(r) for r in part.distinct().collect()], window))
@@ -161,23 +172,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
             return struct_array(n_words=pa.array(n, pa.int64()), hits=pa.array(hits, pa.binary()), items=pa.array(its, pa.list_(pa.string())))
 
         names.append(f"__hits_{k}")
-        out = out.withColumn(names[-1], text_udf(found, RESULT)(F.col(text_col)))
-        if blocks > 1:
-            out = staged(out, "decontam")
+        out = out.withColumn(names[-1], text_udf(found, RESULT)(text))
+        out = staged(out, "decontam")
+
+    def merge(words: pa.Array, hits: pa.Array, items: pa.Array) -> pa.Array:
+        return _summary(words, hits.to_pylist(), items.to_pylist())
+
+    merge.__annotations__ = {"words": pa.Array, "hits": pa.Array, "items": pa.Array, "return": pa.Array}
+    made = F.arrow_udf(merge, SUMMARY)(F.col(names[0])["n_words"], F.array(*[F.col(n)["hits"] for n in names]), F.array(*[F.col(n)["items"] for n in names]))
+    return _named(out.withColumn("__made", made), docs.columns, columns, name)
+
+
+def _summary(n_words, hits: list[list[bytes]], items: list[list[list[str]]]) -> pa.Array:
+    """The counts of each document from its hits and items by block."""
+    rows = [sorted(set(x for y in i for x in y)) for i in items]
+    return struct_array(
+        n_words=pa.array(n_words, pa.int64()), n_hit=pa.array([_covered(x) for x in hits], pa.int64()), n_items=pa.array([len(x) for x in rows], pa.int64()),
+        items_sha256=pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in rows], pa.string()))
 
-    def merge(hits: pa.Array, items: pa.Array) -> pa.Array:
-        rows = [sorted(set(x for y in i for x in y)) for i in items.to_pylist()]
-        return struct_array(
-            n_hit=pa.array([_covered(x) for x in hits.to_pylist()], pa.int64()), n_items=pa.array([len(x) for x in rows], pa.int64()),
-            items_sha256=pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in rows], pa.string()))
 
-    merge.__annotations__ = {"hits": pa.Array, "items": pa.Array, "return": pa.Array}
-    merged = F.arrow_udf(merge, "struct<n_hit: bigint, n_items: bigint, items_sha256: string>")(F.array(*[F.col(n)["hits"] for n in names]), F.array(*[F.col(n)["items"] for n in names]))
-    out = out.withColumn("__merged", merged)
-    made = F.struct(F.col(names[0])["n_words"].alias("n_words"), *[F.col("__merged")[c].alias(c) for c in ("n_hit", "n_items", "items_sha256")])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "contamination"], made.alias("contamination"))
+def _named(made: DataFrame, own: list[str], columns: list[str], name: str) -> DataFrame:
+    """``made`` under its own names again, with ``__made`` as the last column."""
+    kept = [(c, o) for c, o in zip(columns, own) if o.lower() != name.lower()]
+    return made.select(*[F.col(c) for c, _ in kept], "__made").toDF(*[o for _, o in kept], name)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    return contamination(docs, benchmark, **kw).where(F.col("contamination.n_hit") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, named, columns = numbered(docs)
+    judged = contamination(plain, benchmark, text_col=named(kw.pop("text_col", "text")), name="__contamination", **kw)
+    return judged.where(F.col("__contamination.n_hit") == 0).select(*columns).toDF(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged
 
 SALTS = 32
 
@@ -81,12 +81,13 @@ def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text"
 
     Texts that lose no line keep every character.
     """
-    text = F.col(f"`{text_col}`")
-    marked = mark(docs, F.col(f"`{host_col}`"), F.split(F.coalesce(text, F.lit("")), "\n"), ratio, min_pages, F.coalesce(text, F.lit("")) if copies_once else None)
+    plain, named, columns = numbered(docs)
+    text = F.col(named(text_col))
+    marked = mark(plain, F.col(named(host_col)), F.split(F.coalesce(text, F.lit("")), "\n"), ratio, min_pages, F.coalesce(text, F.lit("")) if copies_once else None)
     marked = marked.withColumn("__text", F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: keeps(x, F.col("__drop"))), "\n")))
     kind = dict(docs.dtypes)
-    own = {text_col: F.col("__text")} | ({"n_chars": F.length("__text").cast(kind["n_chars"])} if "n_chars" in kind else {})
-    return marked.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    own = {named(text_col): F.col("__text")} | ({named("n_chars"): F.length("__text").cast(kind["n_chars"])} if "n_chars" in kind else {})
+    return marked.select(*[own.get(c, F.col(c)).alias(c) for c in columns]).toDF(*docs.columns)
 
 
 def html_lines(html: Column) -> Column:

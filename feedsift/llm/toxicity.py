@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_fold, span_hash, text_udf, word_spans
+from .common import LOWER, crc_fold, numbered, span_hash, text_udf, word_spans
 
 #: Words are runs of ASCII letters, digits and non-ASCII bytes, without regard to ASCII case.
 _WORD = np.zeros(256, bool)
@@ -138,4 +138,6 @@ def scored(docs: DataFrame, model: Model, name: str = "score", text_col: str = "
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under ``threshold``, with their own columns."""
-    return scored(docs, train(docs, labels), "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    plain, named, _ = numbered(docs)
+    judged = scored(plain, train(docs, labels), "__toxicity", named("text"))
+    return judged.where(F.col("__toxicity") < threshold).drop("__toxicity").toDF(*docs.columns)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from feedsift.llm import simhash, toxicity
+from feedsift.llm import decontam, simhash, toxicity
 from feedsift.llm.common import table, tokenizer_path
 from tests.conftest import MEDIUM, SMALL
 from tests.llm.test_dedup import _components, _decontam_brute, _fingerprint, _line_brute
@@ -50,6 +50,26 @@ def test_pipeline_edge_cases(spark, edge_docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, got, MEDIUM).columns[:2] == ["doc_id", "start"]
 
 
+def test_stages_leave_columns_with_clashing_names_alone(spark):
+    names = ["contamination", "__toxicity", "__drop", "__salt", "__host", "__h", "__s", "__text", "__lines", "__n", "__pages", "__hits_0", "__merged", "__made", "c0", "c1", "C7", "own", "__row"]
+    lines = "one line of its own {}\nfollow us\nmore of the page {}"
+    rows = [(i, lines.format(i, i * i), "en", "s", 0, *[f"{n} {i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    got = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, SMALL)
+        assert got.columns == docs.columns, name
+        got = spark.createDataFrame(got.collect(), docs.schema)
+    kept = {r.doc_id: tuple(r) for r in got.collect()}
+    assert set(kept) == {r[0] for r in rows}
+    assert all("follow us" not in kept[r[0]][1] and kept[r[0]][5:] == r[5:] for r in rows)
+    bench = table(spark, SMALL, "benchmark")
+    for kw in ({}, {"max_words": 300}):
+        marked = decontam.contamination(docs, bench, name="found", **kw)
+        assert marked.columns == [*docs.columns, "found"] and {tuple(r)[:-1] for r in marked.collect()} == set(rows)
+        assert decontam.contamination(docs, bench, **kw).columns == [c for c in docs.columns if c != "contamination"] + ["contamination"]
+
+
 def test_line_stage_keeps_a_group_of_copies(spark):
     rows = [(i, "the whole text\nof one page", "en", "s", 26) for i in range(20)]
     rows += [(100 + i, f"own line {i}\nfollow us", "en", "s", 0) for i in range(40)]
