@@ -118,6 +118,16 @@ BINDINGS: dict[str, str] = {
     "list_posts": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'tech' ELSE 'news' END AS list_name, conv_id * 1000 + turn AS id, role AS name, text, "
                   "CASE WHEN turn > 0 THEN conv_id * 1000 + turn - 1 END AS reply_to FROM {conversations}",
     "posts_read": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'tech' ELSE 'news' END AS list_name, conv_id * 1000 + turn AS item_id FROM {conversations} WHERE turn % 4 = 3",
+    # videos, their transcript tracks by language, cached transcripts (S21, C3): a conversation is a video, its turns the parts
+    "videos": "SELECT conv_id AS id, CASE WHEN conv_id % 3 = 0 THEN 'video0' ELSE 'video1' END AS source, substr(min(text), 1, 30) AS title, "
+              "CASE WHEN conv_id % 7 = 0 THEN 'https://www.twitch.tv/v' ELSE 'https://video.test/v' END || CAST(conv_id AS STRING) AS url, "
+              "TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE AS created_time FROM {conversations} GROUP BY conv_id",
+    "video_watermarks": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'video0' ELSE 'video1' END AS source, "
+                        "min(TIMESTAMP '2024-01-01 00:00:00' + CAST(conv_id * 37 % 43200 AS INT) * INTERVAL 1 MINUTE) + INTERVAL 1 HOUR AS ts FROM {conversations} GROUP BY 1",
+    "videos_seen": "SELECT DISTINCT conv_id AS item_id FROM {conversations} WHERE conv_id % 4 = 1",
+    "video_tracks": "SELECT conv_id AS video_id, CASE role WHEN 'system' THEN 'en' WHEN 'assistant' THEN 'fr' ELSE 'de' END AS lang, turn AS part, text FROM {conversations}",
+    "transcript_cache": "SELECT conv_id AS item_id, CASE WHEN conv_id % 10 = 0 THEN '' ELSE text END AS value, CASE WHEN conv_id % 15 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' "
+                        "ELSE TIMESTAMP '2024-12-31 00:00:00' END AS expires_at FROM {conversations} WHERE conv_id % 5 = 0 AND turn = 1",
     # forum posts
     "posts": "SELECT CAST(conv_id * 1000 + turn AS STRING) AS id, role AS subreddit, substr(text, 1, 40) AS title, "
              "CASE WHEN turn % 3 = 0 THEN '' WHEN turn % 3 = 1 THEN 'a' || CAST(conv_id AS STRING) END AS author, "

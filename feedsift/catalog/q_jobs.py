@@ -15,11 +15,14 @@ from feedsift.bind import binding
 from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, ts
 from feedsift.functions.labels import render_labels
+from feedsift.operators.dedup import anti_join_visited
 from feedsift.operators.filters import parse_overrides
-from feedsift.catalog.q_text import _classifier_sql, _embed_ctes, _summary_sql, _todo_rows_sql, rank_classifier
+from feedsift.operators.state import since_watermark
+from feedsift.catalog.q_text import _central_sql, _classifier_sql, _embed_ctes, _separator_chunks_sql, _summary_sql, _todo_rows_sql, rank_classifier
 from feedsift.plans import jobs as J
 from feedsift.session import ensure_checkpoint_dir
 from feedsift.sources.blocks import blocks_to_text
+from feedsift.sources.transcripts import resolve_transcripts
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
 
@@ -232,7 +235,7 @@ def sync_and_index(spark, sf):
 , g AS MATERIALIZED (SELECT f.id, f.source, coalesce(ms.summary, '') AS summary FROM fresh f LEFT JOIN msum ms ON f.id = ms.k)""" + _classifier_sql("nb", "g", "id", "summary") + """
 SELECT id, source, summary, quality AS rate, topic || ':' || printf('%.6f', score) AS topics FROM g JOIN nb ON g.id = nb.k""")
 def curate_articles(spark, sf):
-    """Inbox pages since their source's watermark -> dedup -> map-reduce summary -> classify -> top labels."""
+    """Inbox pages since their source's watermark -> dedup -> map-reduce summary -> classify -> top labels."""
     notes = binding(spark, sf, "notes")
     visited = binding(spark, sf, "visited").select("item_id")
     out = J.articles(notes, binding(spark, sf, "note_watermarks"), visited, run_ts=ts(RUN_TS), model=rank_classifier(spark, sf)).published
@@ -262,6 +265,60 @@ def _published_funnel(spark, out, groups):
     return spark.createDataFrame([x for x in counts if x[0] in with_input], "list_name string, stage string, n long")
 
 
+_HEARD = """
+, pulled AS MATERIALIZED (SELECT v.* FROM videos v LEFT JOIN video_watermarks w ON v.source = w.source WHERE v.created_time >= coalesce(w.ts, TIMESTAMP '{RUN_TS}' - INTERVAL 1 DAY))
+, fresh AS MATERIALIZED (SELECT * FROM pulled WHERE id NOT IN (SELECT item_id FROM videos_seen))
+, cached AS (SELECT item_id, max(value) AS value FROM transcript_cache WHERE expires_at > TIMESTAMP '{RUN_TS}' AND value <> '' GROUP BY item_id)
+, spoken AS (SELECT video_id, lang, string_agg(coalesce(text, '') || chr(10), '' ORDER BY part NULLS FIRST, coalesce(text, '')) AS t, list_position(['en', 'fr'], lang) AS p
+             FROM video_tracks WHERE lang IN ('en', 'fr') GROUP BY video_id, lang)
+, tracked AS (SELECT video_id, arg_min(lang, p) AS lang, arg_min(t, p) AS t FROM spoken GROUP BY video_id)
+, said AS MATERIALIZED (SELECT f.*, CASE WHEN contains(url, 'twitch.tv') THEN 'excluded' WHEN c.value IS NOT NULL THEN 'cache' ELSE coalesce(t.lang, 'none') END AS via,
+    CASE WHEN contains(url, 'twitch.tv') THEN '' ELSE coalesce(c.value, t.t, '') END AS transcript
+  FROM fresh f LEFT JOIN cached c ON c.item_id = f.id LEFT JOIN tracked t ON t.video_id = f.id)""".replace("{RUN_TS}", RUN_TS)
+_VIDEO_TABLES = ("videos", "video_watermarks", "videos_seen", "video_tracks", "transcript_cache")
+
+
+def _videos(spark, sf):
+    v, w, seen, tracks, cache = (binding(spark, sf, x) for x in _VIDEO_TABLES)
+    return J.videos(v, w, tracks, cache, run_ts=ts(RUN_TS), langs=["en", "fr"], visited=seen, model=rank_classifier(spark, sf))
+
+
+@register("video_transcripts", uses=_VIDEO_TABLES, sql=_HEARD + """
+SELECT id, via, transcript, via NOT IN ('excluded', 'cache') AS to_cache FROM said""")
+def video_transcripts(spark, sf):
+    """Transcripts of new videos: excluded sites, the cache, the first preferred language, and what the cache gains."""
+    v, w, seen, tracks, cache = (binding(spark, sf, x) for x in _VIDEO_TABLES)
+    pulled = since_watermark(v, w, "source", "created_time", strict=False, default_ts=ts(RUN_TS) - F.expr("INTERVAL 1 DAY"))
+    heard, new = resolve_transcripts(anti_join_visited(pulled, seen, {"id": "item_id"}), tracks, cache, ["en", "fr"], now=ts(RUN_TS), ttl_seconds=604_800)
+    kept = new.select(F.col("item_id").alias("id"), F.col("value").alias("_value"))
+    return heard.join(kept, "id", "left").select("id", "via", "transcript", F.col("_value").eqNullSafe(F.col("transcript")).alias("to_cache"))
+
+
+@register("curate_videos", uses=(*_VIDEO_TABLES, "rank_training"), sql=_HEARD + """
+, heard AS MATERIALIZED (SELECT * FROM said WHERE transcript <> '')""" + _separator_chunks_sql("mc", "heard", "id", "transcript", 2048, 256) + """
+, mk AS (SELECT CAST(k AS VARCHAR) || '|' || CAST(chunk_no AS VARCHAR) AS ck, k, chunk_no, chunk FROM mc)""" + _central_sql("mm", "mk", "ck", "chunk") + """
+, mj AS (SELECT mk.k AS jk, string_agg(CASE WHEN mm.linked THEN mm.summary ELSE '' END, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mk LEFT JOIN mm ON mk.ck = mm.k GROUP BY mk.k)""" \
+    + _central_sql("ms", "mj", "jk", "joined") + _central_sql("hk", "heard", "id", "transcript") + """
+, g AS MATERIALIZED (SELECT h.id, h.source, h.via, CASE WHEN ms.linked THEN ms.summary ELSE coalesce(hk_key.summary, '') END AS summary,
+    CASE WHEN ms.linked THEN 'central-sentences' ELSE 'key-sentences' END AS used
+  FROM heard h LEFT JOIN ms ON ms.k = h.id LEFT JOIN hk_key ON hk_key.k = h.id)""" + _classifier_sql("nb", "g", "id", "summary") + """
+SELECT id, source, via, summary, used, quality AS rate, topic || ':' || printf('%.6f', score) AS topics FROM g JOIN nb ON g.id = nb.k""")
+def curate_videos(spark, sf):
+    """New videos -> transcript (S21) -> map-reduce summary (M3), fallback model (M6) -> classify -> top labels."""
+    out = _videos(spark, sf).published
+    return out.select("id", "source", "via", "summary", "used", F.round("rate", 6).alias("rate"), render_labels("topics").alias("topics"))
+
+
+@register("videos_funnel", uses=_VIDEO_TABLES, sql=_HEARD + """
+, c AS (SELECT p.source AS list_name, count(*) AS total_input, count(s.id) AS fresh, count(s.id) FILTER (s.transcript <> '') AS n FROM pulled p LEFT JOIN said s ON s.id = p.id GROUP BY p.source)
+, k AS (SELECT list_name, total_input, fresh AS post_deduping, fresh AS post_scoring, n AS post_filtering, n AS post_summary, n AS post_ranking, n AS total_pushed FROM c)
+SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM k
+UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))""")
+def videos_funnel(spark, sf):
+    """The videos published, with the seven counters of each source seen by that one action."""
+    return _published_funnel(spark, _videos(spark, sf), binding(spark, sf, "videos").select("source").distinct())
+
+
 _SHORT_POSTS = """
 , said AS MATERIALIZED (SELECT p.list_name, p.id, p.name, p.reply_to IS NOT NULL AND t.id IS NULL AS reply_deleted,
     CASE WHEN coalesce(t.text, '') <> '' THEN t.name || ': ' || t.text ELSE '' END || p.name || ': ' || p.text AS body

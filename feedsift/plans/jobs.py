@@ -26,12 +26,13 @@ from feedsift.operators import state as S
 from feedsift.operators import stats as ST
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
-from feedsift.operators.summarise import CentralSentences
+from feedsift.operators.summarise import CentralSentences, KeySentences
 from feedsift.settings import DEFAULT, Settings
 from feedsift.sinks import documents as DOC
 from feedsift.sinks import records as R
 from feedsift.sinks.publish import publish_observed
 from feedsift.sources import scans as SC
+from feedsift.sources.transcripts import resolve_transcripts
 
 
 @dataclass
@@ -42,6 +43,7 @@ class JobOutput:
     funnel: DataFrame
     stages: DataFrame | None = None
     flags: dict[str, Column] | None = None
+    cache: DataFrame | None = None                 # rows to add to a read-through cache
 
     def publish(self, path: str, groups: list[str], *, rejected: Column | None = None) -> dict:
         """K3/A3: write the published rows and count all stages of ``groups`` in one action."""
@@ -153,7 +155,7 @@ def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rate
 
 def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run_ts: Column,
              model: EN.TextModel | None = None, settings: Settings = DEFAULT) -> JobOutput:
-    """C2/C3 (articles, videos): inbox since watermark -> dedup -> map-reduce summary -> classify -> published rows.
+    """C2 (articles): inbox since watermark -> dedup -> map-reduce summary -> classify -> published rows.
 
     The caller advances the watermarks from the published rows (``state.advance_watermarks``) after writing them.
     """
@@ -170,6 +172,36 @@ def articles(inbox: DataFrame, watermarks: DataFrame, visited: DataFrame, *, run
     return _staged(flagged, fresh, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
 
 
+def videos(inbox: DataFrame, watermarks: DataFrame, tracks: DataFrame, transcripts: DataFrame, *, run_ts: Column, langs: list[str],
+           visited: DataFrame | None = None, model: EN.TextModel | None = None, primary: EN.TextModel | None = None,
+           fallback: EN.TextModel | None = None, settings: Settings = DEFAULT) -> JobOutput:
+    """C3 (videos): inbox since watermark -> dedup (if ``visited`` is given) -> transcript (S21) -> map-reduce summary, by the
+    fallback model where the primary one has no answer (M6) -> classify -> published rows.
+
+    ``inbox``: ``id, source, title, url, created_time``; ``tracks`` and ``transcripts`` (the cache) as in
+    ``resolve_transcripts``. A video without a transcript isn't published. ``cache`` of the result has the transcripts to keep.
+    """
+    pulled = S.since_watermark(inbox, watermarks, "source", "created_time", strict=False, default_ts=run_ts - F.expr("INTERVAL 1 DAY"))
+    pulled = pulled.withColumn("list_name", F.col("source"))
+    flagged = pulled.withColumn("is_visited", F.lit(False)) if visited is None else D.visited_flags(pulled, visited, {"id": "item_id"})
+    fresh = flagged.where(~F.col("is_visited")).drop("is_visited")
+    heard, cache = resolve_transcripts(fresh, tracks, transcripts, langs, now=run_ts, ttl_seconds=settings.model_cache_ttl)
+    primary, fallback = primary or CentralSentences(answer_unlinked=False), fallback or KeySentences()
+    summ = EN.mapreduce_summary(heard.where(F.col("transcript") != ""), "id", "transcript", primary, primary,
+                                size=settings.summary_chunk, overlap=settings.summary_overlap)
+    unanswered = F.col("summary") == ""
+    again = EN.model_call(fallback, F.when(unanswered, F.col("transcript")))          # an empty text where there is an answer
+    summ = summ.withColumn("_again", again).withColumn("used", F.when(unanswered, fallback.name).otherwise(primary.name)) \
+        .withColumn("summary", F.when(unanswered, F.coalesce("_again", F.lit(""))).otherwise(F.col("summary"))).drop("_again")
+    ranked = EN.classify_rank(summ.withColumn("relevant_score", F.lit(None).cast("double")), "id", "relevant_score",
+                              F.col("summary"), model or EN.RankModel(), settings=settings)
+    published = ranked.select("id", "list_name", "source", "title", "via", "summary", "used", "rate", "feedback",
+                              L.topk_labels("topics", settings.top_labels).alias("topics"), "ranked")
+    out = _staged(flagged, fresh, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
+    out.cache = cache
+    return out
+
+
 def sync_and_index(rated_pages: DataFrame, visited: DataFrame, page_state: DataFrame, *, run_date: str,
                    settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """Latest rated version per page -> new/changed split -> metadata upsert -> vector rows of new pages.

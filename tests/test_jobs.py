@@ -58,3 +58,42 @@ def test_publishing_counts_what_the_funnel_counts(spark, tmp_path):
     assert sum(t["attempts"] for t in seen["tallies"].values()) == pushed > 0
     assert written.count() == pushed - sum(t["error"] for t in seen["tallies"].values()) and written.where("id % 5 = 0").count() == 0
     assert written.columns == out.published.columns
+
+
+def test_transcripts_of_every_kind(spark):
+    from feedsift.sources.transcripts import resolve_transcripts
+
+    videos = spark.createDataFrame([(1, "https://a/1"), (2, "https://a/2"), (3, "https://m.twitch.tv/x"), (4, None), (5, "https://a/5"), (6, "https://a/6"), (6, "https://a/6")],
+                                   "id long, url string")
+    tracks = spark.createDataFrame([(1, "de", 0, "nein"), (1, "fr", 2, "b"), (1, "fr", 1, "a"), (1, "fr", None, None), (2, "en", 0, "not read"), (3, "en", 0, "barred"),
+                                    (4, "en", 0, "one"), (4, "fr", 0, "zwei"), (5, "de", 0, "nein"), (6, "en", 1, "same"), (None, "en", 0, "lost")],
+                                   "video_id long, lang string, part int, text string")
+    cache = spark.sql("""SELECT * FROM VALUES (2L, 'kept', TIMESTAMP'2030-01-01'), (1L, '', TIMESTAMP'2030-01-01'), (4L, 'old', TIMESTAMP'2020-01-01'), (3L, 'barred', TIMESTAMP'2030-01-01'),
+                         (2L, 'a', TIMESTAMP'2030-01-01') AS t(item_id, value, expires_at)""")
+    got, new = resolve_transcripts(videos, tracks, cache, ["en", "fr"], now=F.lit("2024-01-01").cast("timestamp"), ttl_seconds=60)
+    assert {(r.id, r.via, r.transcript) for r in got.collect()} == {(1, "fr", "\na\nb\n"), (2, "cache", "kept"), (3, "excluded", ""), (4, "en", "one\n"), (5, "none", ""), (6, "en", "same\n")}
+    assert got.count() == 7 and got.columns == ["id", "url", "transcript", "via"]
+    assert sorted((r.item_id, r.value, str(r.expires_at)) for r in new.collect()) == [(i, t, "2024-01-01 00:01:00") for i, t in ((1, "\na\nb\n"), (4, "one\n"), (5, ""), (6, "same\n"))]
+    empty, none = resolve_transcripts(videos.limit(0), tracks, cache.limit(0), ["en"], now=F.current_timestamp(), ttl_seconds=1)
+    assert empty.count() == none.count() == 0
+
+
+def test_a_video_without_an_answer_goes_to_the_fallback(spark):
+    from feedsift.plans import jobs as J
+
+    class Silent:
+        name = "silent"
+
+        def generate(self, texts):
+            return [""] * len(texts)
+
+    inbox = spark.sql("SELECT id, 's' AS source, 't' AS title, 'u' AS url, TIMESTAMP'2024-01-01' AS created_time FROM VALUES (1L), (2L), (3L) AS t(id)")
+    tracks = spark.createDataFrame([(1, "en", 0, "One sentence. And another one."), (2, "de", 0, "nein")], "video_id long, lang string, part int, text string")
+    marks, cache = spark.createDataFrame([], "source string, ts timestamp"), spark.createDataFrame([], "item_id long, value string, expires_at timestamp")
+    seen = spark.createDataFrame([(3,)], "item_id long")
+    for visited, deduped in ((None, 3), (seen, 2)):
+        out = J.videos(inbox, marks, tracks, cache, run_ts=F.lit("2024-01-01 10:00:00").cast("timestamp"), langs=["en"], visited=visited, primary=Silent())
+        assert [(r.id, r.used, r.summary) for r in out.published.collect()] == [(1, "key-sentences", "One sentence. And another one.")]
+        counts = {r.stage: r.n for r in out.funnel.collect()}
+        assert counts["total_input"] == 3 and counts["post_deduping"] == deduped and counts["total_pushed"] == 1
+        assert {r.item_id for r in out.cache.collect()} == {1, 2, 3} - ({3} if visited is not None else set())
