@@ -18,10 +18,12 @@ from feedsift.functions.labels import render_labels
 from feedsift.operators.dedup import anti_join_visited
 from feedsift.operators.filters import parse_overrides
 from feedsift.operators.state import since_watermark
+from feedsift.catalog.q_normalise import _AUTHOR, _PF, _URL, raw_posts
 from feedsift.catalog.q_text import _central_sql, _classifier_sql, _embed_ctes, _separator_chunks_sql, _summary_sql, _todo_rows_sql, rank_classifier
 from feedsift.plans import jobs as J
 from feedsift.session import ensure_checkpoint_dir
 from feedsift.sources.blocks import blocks_to_text
+from feedsift.sources.normalise import normalise_posts as normalise_raw
 from feedsift.sources.transcripts import resolve_transcripts
 
 OVERRIDES = "src0:3,src3:4.5,bad,src5:0"
@@ -76,7 +78,7 @@ SELECT g.id, list_name, round(relevant_score, 6) AS relevant_score,
   NOT gated AS ranked
 FROM g LEFT JOIN nb ON g.id = nb.k""")
 def curate_posts(spark, sf):
-    """Dedup -> KNN score against rated documents -> per-list threshold -> gate/classify -> top-3 labels."""
+    """Dedup -> KNN score against rated documents -> per-list threshold -> gate/classify -> top-3 labels."""
     p = _curate(spark, sf).published
     return p.select("id", "list_name", F.round("relevant_score", 6).alias("relevant_score"), F.round("rate", 6).alias("rate"),
                     render_labels("topics").alias("topics"), "ranked")
@@ -275,6 +277,19 @@ _HEARD = """
 , said AS MATERIALIZED (SELECT f.*, CASE WHEN contains(url, 'twitch.tv') THEN 'excluded' WHEN c.value IS NOT NULL THEN 'cache' ELSE coalesce(t.lang, 'none') END AS via,
     CASE WHEN contains(url, 'twitch.tv') THEN '' ELSE coalesce(c.value, t.t, '') END AS transcript
   FROM fresh f LEFT JOIN cached c ON c.item_id = f.id LEFT JOIN tracked t ON t.video_id = f.id)""".replace("{RUN_TS}", RUN_TS)
+
+
+def _summary_or_key_sql(src, key, text):
+    """``ss(k, summary, used)``: the map-reduce summary of ``src``, or the text's key sentences where no sentences share a word."""
+    return _separator_chunks_sql("mc", src, key, text, 2048, 256) + """
+, mk AS (SELECT CAST(k AS VARCHAR) || '|' || CAST(chunk_no AS VARCHAR) AS ck, k, chunk_no, chunk FROM mc)""" + _central_sql("mm", "mk", "ck", "chunk") + """
+, mj AS (SELECT mk.k AS jk, string_agg(CASE WHEN mm.linked THEN mm.summary ELSE '' END, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mk LEFT JOIN mm ON mk.ck = mm.k GROUP BY mk.k)""" \
+        + _central_sql("ms", "mj", "jk", "joined") + _central_sql("hk", src, key, text) + f"""
+, ss AS MATERIALIZED (SELECT s.{key} AS k, CASE WHEN ms.linked THEN ms.summary ELSE coalesce(hk_key.summary, '') END AS summary,
+    CASE WHEN ms.linked THEN 'central-sentences' ELSE 'key-sentences' END AS used
+  FROM {src} s LEFT JOIN ms ON ms.k = s.{key} LEFT JOIN hk_key ON hk_key.k = s.{key})"""
+
+
 _VIDEO_TABLES = ("videos", "video_watermarks", "videos_seen", "video_tracks", "transcript_cache")
 
 
@@ -295,13 +310,8 @@ def video_transcripts(spark, sf):
 
 
 @register("curate_videos", uses=(*_VIDEO_TABLES, "rank_training"), sql=_HEARD + """
-, heard AS MATERIALIZED (SELECT * FROM said WHERE transcript <> '')""" + _separator_chunks_sql("mc", "heard", "id", "transcript", 2048, 256) + """
-, mk AS (SELECT CAST(k AS VARCHAR) || '|' || CAST(chunk_no AS VARCHAR) AS ck, k, chunk_no, chunk FROM mc)""" + _central_sql("mm", "mk", "ck", "chunk") + """
-, mj AS (SELECT mk.k AS jk, string_agg(CASE WHEN mm.linked THEN mm.summary ELSE '' END, chr(10) || chr(10) ORDER BY chunk_no) AS joined FROM mk LEFT JOIN mm ON mk.ck = mm.k GROUP BY mk.k)""" \
-    + _central_sql("ms", "mj", "jk", "joined") + _central_sql("hk", "heard", "id", "transcript") + """
-, g AS MATERIALIZED (SELECT h.id, h.source, h.via, CASE WHEN ms.linked THEN ms.summary ELSE coalesce(hk_key.summary, '') END AS summary,
-    CASE WHEN ms.linked THEN 'central-sentences' ELSE 'key-sentences' END AS used
-  FROM heard h LEFT JOIN ms ON ms.k = h.id LEFT JOIN hk_key ON hk_key.k = h.id)""" + _classifier_sql("nb", "g", "id", "summary") + """
+, heard AS MATERIALIZED (SELECT * FROM said WHERE transcript <> '')""" + _summary_or_key_sql("heard", "id", "transcript") + """
+, g AS MATERIALIZED (SELECT h.id, h.source, h.via, ss.summary, ss.used FROM heard h JOIN ss ON ss.k = h.id)""" + _classifier_sql("nb", "g", "id", "summary") + """
 SELECT id, source, via, summary, used, quality AS rate, topic || ':' || printf('%.6f', score) AS topics FROM g JOIN nb ON g.id = nb.k""")
 def curate_videos(spark, sf):
     """New videos -> transcript (S21) -> map-reduce summary (M3), fallback model (M6) -> classify -> top labels."""
@@ -363,6 +373,69 @@ def short_posts_funnel(spark, sf):
     return _published_funnel(spark, _short_posts(spark, sf), binding(spark, sf, "list_posts").select("list_name").distinct())
 
 
+_POSTS = f"""
+, p AS MATERIALIZED (SELECT md5(concat_ws('_', subreddit, title, {_AUTHOR}, {_PF})) AS id, subreddit AS list_name, title, text, num_comments, has_media, {_URL} AS u FROM posts)
+, fresh AS MATERIALIZED (SELECT *, list_name || ' ' || title || ': ' || text AS t FROM p WHERE num_comments <> 3)
+, rated_docs AS MATERIALIZED (SELECT d.doc_id AS id, d.text FROM documents d JOIN ratings r ON d.doc_id = r.page_id)""" \
+    + _embed_ctes("r", "rated_docs", "id", "text") + _embed_ctes("q", "fresh", "id", "t") + """
+, pairs AS (SELECT q.key AS query_id, r.key AS item_id,
+                   round(greatest(list_inner_product(q.e, q.e) + list_inner_product(r.e, r.e) - 2 * list_inner_product(q.e, r.e), 0), 6) AS distance
+            FROM q, r)
+, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS rnk FROM pairs)
+, kept AS (SELECT k.query_id, m.user_rating FROM near k JOIN ratings m ON k.item_id = m.page_id WHERE k.rnk <= 2 AND k.distance <= 0.5)
+, scores AS (SELECT f.id, coalesce(avg(CAST(kept.user_rating AS DOUBLE)), -1.0) AS relevant_score FROM fresh f LEFT JOIN kept ON f.id = kept.query_id GROUP BY f.id)
+, g AS MATERIALIZED (SELECT f.*, relevant_score, relevant_score > 0 AND relevant_score < 4 AS gated FROM fresh f JOIN scores s ON f.id = s.id
+  WHERE relevant_score < 0 OR relevant_score >= CASE list_name WHEN 'user' THEN 3.0 WHEN 'system' THEN 2.0 ELSE 4.0 END)"""
+_POST_RATES = """
+, todo AS MATERIALIZED (SELECT id, text FROM g WHERE NOT gated)""" + _classifier_sql("nb", "todo", "id", "text") + """
+, rated AS (SELECT g.*, CASE WHEN gated THEN -0.02 ELSE coalesce(nullif(quality, 0), -0.01) END AS rate, CASE WHEN gated THEN '' ELSE topic || ':' || printf('%.6f', score) END AS topics FROM g LEFT JOIN nb ON g.id = nb.k)"""
+
+
+def _posts(spark, sf):
+    """C5 over the stored posts; those with three comments have been read, those with five have a cached summary."""
+    raw = raw_posts(binding(spark, sf, "posts"))
+    known = normalise_raw(raw)
+    seen = known.where("num_comments = 3").select(F.col("id").alias("item_id"), F.col("subreddit").alias("list_name"))
+    kept = known.where("num_comments = 5").select(F.col("id").alias("item_id"), F.concat(F.lit("kept: "), "title").alias("value"))
+    vectors, meta = _rated(spark, sf)
+    return J.posts(raw, seen, vectors, meta, kept, overrides=parse_overrides(spark, "user:3,system:2"), model=rank_classifier(spark, sf))
+
+
+@register("publish_posts", uses=("posts", "ratings", "rank_training"), sql=_POSTS + """
+, unread AS MATERIALIZED (SELECT id, text FROM g WHERE num_comments <> 5)""" + _summary_or_key_sql("unread", "id", "text") + _POST_RATES + """
+SELECT r.id, list_name, round(relevant_score, 6) AS relevant_score, CASE WHEN num_comments = 5 THEN 'kept: ' || title ELSE ss.summary END AS summary,
+  CASE WHEN num_comments = 5 THEN 'cached' ELSE ss.used END AS used, rate, topics, NOT gated AS ranked,
+  CASE WHEN has_media OR contains(u, 'https://v.redd.it') THEN 'video|' WHEN suffix(u, 'jpg') OR suffix(u, 'png') OR suffix(u, 'gif') OR contains(u, 'https://i.redd.it') THEN 'image|'
+       WHEN contains(u, 'www.reddit.com/gallery') THEN 'gallery|' WHEN NOT contains(u, 'https://www.reddit.com') AND NOT contains(u, '.redd.it') THEN 'bookmark|' ELSE '' END
+    || 'quote|summary|permalink|metadata' AS blocks
+FROM rated r LEFT JOIN ss ON ss.k = r.id""")
+def publish_posts(spark, sf):
+    """Stored posts -> normalise -> dedup -> score -> threshold -> summary (cache, map-reduce, fallback) -> classify -> body blocks."""
+    p = _posts(spark, sf).published
+    return p.select("id", "list_name", F.round("relevant_score", 6).alias("relevant_score"), "summary", "used", F.round("rate", 6).alias("rate"),
+                    render_labels("topics").alias("topics"), "ranked", F.array_join("blocks", "|").alias("blocks"))
+
+
+@register("posts_rates", uses=("posts", "ratings", "rank_training"), sql=_POSTS + _POST_RATES + """
+, b AS (SELECT list_name, CASE WHEN rate <= 0.5 THEN 'below_0.5' WHEN rate <= 0.6 THEN 'below_0.6' WHEN rate <= 0.7 THEN 'below_0.7'
+                               WHEN rate <= 0.8 THEN 'below_0.8' WHEN rate <= 0.9 THEN 'below_0.9' ELSE 'below_1' END AS bucket FROM rated WHERE rate <= 1)
+SELECT list_name, bucket, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY ALL""")
+def posts_rates(spark, sf):
+    """The histogram of the published posts' rates."""
+    return _posts(spark, sf).rates
+
+
+@register("posts_funnel", uses=("posts", "ratings"), sql=_POSTS + """
+, c AS (SELECT p.list_name, count(*) AS total_input, count(f.id) AS post_deduping, count(f.id) AS post_scoring, count(g.id) AS post_filtering,
+               count(g.id) AS post_summary, count_if(coalesce(NOT g.gated, false)) AS post_ranking, count(g.id) AS total_pushed
+        FROM p LEFT JOIN fresh f ON p.id = f.id LEFT JOIN g ON p.id = g.id GROUP BY p.list_name)
+SELECT list_name, stage, CAST(n AS BIGINT) AS n FROM c
+UNPIVOT (n FOR stage IN (total_input, post_deduping, post_scoring, post_filtering, post_summary, post_ranking, total_pushed))""")
+def posts_funnel(spark, sf):
+    """The posts published, with the seven counters of each list seen by that one action."""
+    return _published_funnel(spark, _posts(spark, sf), binding(spark, sf, "posts").select(F.col("subreddit").alias("list_name")).distinct())
+
+
 _RESEARCH_SQL = """
 , lat AS (SELECT id, arg_max_null(take_aways, last_edited_time) AS take_aways, arg_max_null(tags, last_edited_time) AS tags
           FROM rated_pages GROUP BY id)

@@ -72,7 +72,15 @@ SELECT md5(concat_ws('_', subreddit, title, {_AUTHOR}, {_PF})) AS id, {_AUTHOR}
 FROM p""")
 def normalise_posts(spark, sf):
     """Raw posts -> hashed id, author fallback, UTC/LA times, url repair, permalink, media flags, video blob."""
-    p = binding(spark, sf, "posts")
+    out = N.normalise_posts(raw_posts(binding(spark, sf, "posts")))
+    return out.select("id", "author", ts_text("datetime_utc").alias("datetime_utc"),
+                      ts_text("datetime_pdt").alias("datetime_pdt"), "url", "permalink", "is_video", "is_image",
+                      "is_gallery", "is_external_link", F.col("video.video_provider").alias("video_provider"),
+                      F.col("video.video_url").alias("video_url"), "ups", "downs", "num_comments")
+
+
+def raw_posts(p):
+    """The rows of ``posts`` as stored JSON."""
     media = F.when(F.col("has_media"), F.struct(
         F.struct(F.concat("url", F.lit("/f")).alias("fallback_url"), F.lit("").alias("dash_url")).alias("reddit_video"),
         F.lit(None).cast("string").alias("type"),
@@ -80,11 +88,7 @@ def normalise_posts(spark, sf):
     data = F.struct(F.col("ts").alias("created_utc"), "author", "author_fullname", "subreddit", "title", "url",
                     "permalink", F.col("text").alias("selftext"), "ups", "downs", "num_comments",
                     F.lit(False).alias("is_video"), F.lit(None).cast("boolean").alias("is_gallery"), media.alias("media"))
-    out = N.normalise_posts(p.select(F.to_json(F.struct(data.alias("data"))).alias("raw")))
-    return out.select("id", "author", ts_text("datetime_utc").alias("datetime_utc"),
-                      ts_text("datetime_pdt").alias("datetime_pdt"), "url", "permalink", "is_video", "is_image",
-                      "is_gallery", "is_external_link", F.col("video.video_provider").alias("video_provider"),
-                      F.col("video.video_url").alias("video_url"), "ups", "downs", "num_comments")
+    return p.select(F.to_json(F.struct(data.alias("data"))).alias("raw"))
 
 
 @register("page_properties", uses=(), sql="""

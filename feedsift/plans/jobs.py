@@ -27,10 +27,12 @@ from feedsift.operators import stats as ST
 from feedsift.operators.common import spread
 from feedsift.operators.embed import hashing_embedding
 from feedsift.operators.summarise import CentralSentences, KeySentences
+from feedsift.session import cut_lineage
 from feedsift.settings import DEFAULT, Settings
 from feedsift.sinks import documents as DOC
 from feedsift.sinks import records as R
 from feedsift.sinks.publish import publish_observed
+from feedsift.sources import normalise as N
 from feedsift.sources import scans as SC
 from feedsift.sources.transcripts import resolve_transcripts
 
@@ -44,6 +46,7 @@ class JobOutput:
     stages: DataFrame | None = None
     flags: dict[str, Column] | None = None
     cache: DataFrame | None = None                 # rows to add to a read-through cache
+    rates: DataFrame | None = None                 # histogram of the published rates (A4)
 
     def publish(self, path: str, groups: list[str], *, rejected: Column | None = None) -> dict:
         """K3/A3: write the published rows and count all stages of ``groups`` in one action."""
@@ -92,7 +95,7 @@ def rated_vectors_of(pages: DataFrame, text: Column) -> DataFrame:
 def curate(items: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,
            overrides: DataFrame | None = None, model: EN.TextModel | None = None,
            settings: Settings = DEFAULT) -> JobOutput:
-    """C1/C5/X1 (short posts, posts): dedup -> score -> per-list threshold -> gate/classify -> top labels -> publish.
+    """C1/X1 (items whose texts are ready): dedup -> score -> per-list threshold -> gate/classify -> top labels -> publish.
 
     ``items``: ``id, list_name, title, body``.  Returns published rows and the
     seven-stage funnel per list, computed from stage flags in one aggregation.
@@ -137,6 +140,50 @@ def short_posts(raw: DataFrame, visited: DataFrame, rated_vectors: DataFrame, ra
     return _staged(flagged, scored, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
 
 
+def _summarised(df: DataFrame, key: str, text: str, primary: EN.TextModel | None, fallback: EN.TextModel | None, settings: Settings) -> DataFrame:
+    """M3/M6: ``df`` with ``summary`` (map-reduce; the fallback model reads the whole text where the primary one has no answer) and ``used``."""
+    primary, fallback = primary or CentralSentences(answer_unlinked=False), fallback or KeySentences()
+    summ = EN.mapreduce_summary(df, key, text, primary, primary, size=settings.summary_chunk, overlap=settings.summary_overlap)
+    unanswered = F.col("summary") == ""
+    again = EN.model_call(fallback, F.when(unanswered, F.col(text)))          # an empty text where there is an answer
+    return summ.withColumn("_again", again).withColumn("used", F.when(unanswered, fallback.name).otherwise(primary.name)) \
+        .withColumn("summary", F.when(unanswered, F.coalesce("_again", F.lit(""))).otherwise(F.col("summary"))).drop("_again")
+
+
+def posts(raw: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, summaries: DataFrame, *,
+          overrides: DataFrame | None = None, model: EN.TextModel | None = None, primary: EN.TextModel | None = None,
+          fallback: EN.TextModel | None = None, settings: Settings = DEFAULT) -> JobOutput:
+    """C5 (posts): normalise (S10) -> dedup -> score (P7) -> per-list threshold -> summary gate and map-reduce summary (F12, M3,
+    M6) -> gate/classify -> body blocks (K5) -> publish, with the histogram of the rates (A4).
+
+    ``raw``: the stored posts as JSON; a post's list is its subreddit. ``summaries`` (``item_id, value``) holds valid cached
+    summaries; ``cache`` of the result the new ones. What passes the threshold is checkpointed, so that scoring runs once
+    however many branches read it.
+    """
+    items = N.normalise_posts(raw).withColumn("list_name", F.col("subreddit"))
+    items = items.withColumns({c: F.coalesce(c, F.lit("")) for c in ("title", "text")})
+    flagged = D.visited_flags(items, visited, {"id": "item_id", "list_name": "list_name"})
+    fresh = flagged.where(~F.col("is_visited")).drop("is_visited")
+    scored = score_items(fresh, X.score_text_post(F.col("list_name"), F.col("title"), F.col("text")), rated_vectors, rated_meta, settings=settings)
+    ovr = overrides if overrides is not None else raw.sparkSession.createDataFrame([], "list_name STRING, min_score DOUBLE")
+    with_min = FL.with_list_min(scored, ovr, default=settings.min_score)
+    passed = with_min.where(FL.passes_min(F.col("relevant_score"), F.col("min_score"))).drop("min_score")
+    kept = summaries.where(F.col("value") != "").groupBy("item_id").agg(F.max("value").alias("_kept"))
+    passed = passed.join(kept, passed["id"] == kept["item_id"], "left").drop("item_id")
+    passed = cut_lineage(passed.withColumn("_action", FL.summary_action(F.col("text"), F.col("_kept").isNotNull(), settings)).where("_action <> 'drop'"))
+    done = _summarised(passed.where("_action = 'summarise'"), "id", "text", primary, fallback, settings)
+    rest = passed.where("_action <> 'summarise'").withColumn("summary", F.coalesce("_kept", F.lit(""))).withColumn("used", F.col("_action"))
+    ranked = EN.classify_rank(done.unionByName(rest), "id", "relevant_score", X.rank_text_post(F.col("title"), F.col("text")),
+                              model or EN.RankModel(), short_post=True, model_text=F.col("text"), settings=settings)
+    published = ranked.select("id", "list_name", "title", "permalink", "relevant_score", "summary", "used", "rate", "feedback",
+                              L.topk_labels("topics", settings.top_labels).alias("topics"), "ranked",
+                              DOC.post_block_kinds("is_video", "is_image", "is_gallery", "is_external_link").alias("blocks"))
+    out = _staged(flagged, fresh, published, ["list_name", "id"], _stage_flags(F.col("ranked")))
+    out.cache = done.where(F.col("summary") != "").select(F.col("id").alias("item_id"), F.col("summary").alias("value"))
+    out.rates = ST.rate_histogram(published, ["list_name"])
+    return out
+
+
 def feeds(entries: DataFrame, visited: DataFrame, rated_vectors: DataFrame, rated_meta: DataFrame, *,
           settings: Settings = DEFAULT) -> JobOutput:
     """C4 (feeds): first 3 per feed -> dedup -> score -> global top-k (k=1) -> map-reduce summary -> first tags."""
@@ -186,13 +233,7 @@ def videos(inbox: DataFrame, watermarks: DataFrame, tracks: DataFrame, transcrip
     flagged = pulled.withColumn("is_visited", F.lit(False)) if visited is None else D.visited_flags(pulled, visited, {"id": "item_id"})
     fresh = flagged.where(~F.col("is_visited")).drop("is_visited")
     heard, cache = resolve_transcripts(fresh, tracks, transcripts, langs, now=run_ts, ttl_seconds=settings.model_cache_ttl)
-    primary, fallback = primary or CentralSentences(answer_unlinked=False), fallback or KeySentences()
-    summ = EN.mapreduce_summary(heard.where(F.col("transcript") != ""), "id", "transcript", primary, primary,
-                                size=settings.summary_chunk, overlap=settings.summary_overlap)
-    unanswered = F.col("summary") == ""
-    again = EN.model_call(fallback, F.when(unanswered, F.col("transcript")))          # an empty text where there is an answer
-    summ = summ.withColumn("_again", again).withColumn("used", F.when(unanswered, fallback.name).otherwise(primary.name)) \
-        .withColumn("summary", F.when(unanswered, F.coalesce("_again", F.lit(""))).otherwise(F.col("summary"))).drop("_again")
+    summ = _summarised(heard.where(F.col("transcript") != ""), "id", "transcript", primary, fallback, settings)
     ranked = EN.classify_rank(summ.withColumn("relevant_score", F.lit(None).cast("double")), "id", "relevant_score",
                               F.col("summary"), model or EN.RankModel(), settings=settings)
     published = ranked.select("id", "list_name", "source", "title", "via", "summary", "used", "rate", "feedback",

@@ -97,3 +97,24 @@ def test_a_video_without_an_answer_goes_to_the_fallback(spark):
         counts = {r.stage: r.n for r in out.funnel.collect()}
         assert counts["total_input"] == 3 and counts["post_deduping"] == deduped and counts["total_pushed"] == 1
         assert {r.item_id for r in out.cache.collect()} == {1, 2, 3} - ({3} if visited is not None else set())
+
+
+def test_posts_reuse_cached_summaries_and_drop_empty_texts(spark):
+    from feedsift.plans import jobs as J
+    from feedsift.sources.normalise import normalise_posts
+
+    rows = [("a", "first", "One sentence here. And another one here."), ("a", "second", ""), ("b", "third", None), ("b", "fourth", "Read before."), ("b", "fifth", "Kept. Kept too."), ("b", "sixth", "...")]
+    raw = spark.createDataFrame([(s, t, x, 1_700_000_000.0 + i) for i, (s, t, x) in enumerate(rows)], "subreddit string, title string, selftext string, created_utc double")
+    raw = raw.select(F.to_json(F.struct(F.struct("subreddit", "title", "selftext", "created_utc", F.lit("https://arxiv.org/x").alias("url"), F.lit("/r/x").alias("permalink")).alias("data"))).alias("raw"))
+    ids = {r.title: r.id for r in normalise_posts(raw).collect()}
+    seen = spark.createDataFrame([(ids["fourth"], "b"), (ids["first"], "b")], "item_id string, list_name string")
+    kept = spark.createDataFrame([(ids["fifth"], "from the cache"), (ids["first"], "")], "item_id string, value string")
+    vectors = spark.createDataFrame([], "item_id string, embedding array<double>")
+    out = J.posts(raw, seen, vectors, spark.createDataFrame([], "item_id string, user_rating int"), kept)
+    got = {r.title: (r.summary, r.used, r.relevant_score, r.blocks) for r in out.published.collect()}
+    blocks = ["bookmark", "quote", "summary", "permalink", "metadata"]
+    assert got == {"first": ("One sentence here. And another one here.", "central-sentences", -1.0, blocks), "fifth": ("from the cache", "cached", -1.0, blocks), "sixth": ("", "key-sentences", -1.0, blocks)}
+    assert {(r.item_id, r.value) for r in out.cache.collect()} == {(ids["first"], got["first"][0])}
+    n = {(r.list_name, r.stage): r.n for r in out.funnel.collect()}
+    assert n["a", "total_input"] == 2 and n["b", "total_input"] == 4 and n["b", "post_deduping"] == 3 and n["b", "total_pushed"] == 2 and n["a", "total_pushed"] == 1
+    assert sum(r.n for r in out.rates.collect()) == 3
