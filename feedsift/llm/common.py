@@ -12,6 +12,7 @@ import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -297,7 +298,7 @@ class UnitEncoder:
     when it grows beyond its bound (ids don't change). The vocabulary's added tokens are units of their own, as in the library.
     """
 
-    BOUND = 400_000
+    BOUND = 1_600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -319,9 +320,9 @@ class UnitEncoder:
     def _encode(self, units: list[bytes]) -> None:
         """Append the units' ids, without a place in the memo."""
         for i in range(0, len(units), 2048):
-            for e in self.tok.encode_batch_fast([u.decode() for u in units[i:i + 2048]], add_special_tokens=False):
-                self.flat.extend(e.ids)
-                self.ends.append(len(self.flat))
+            ids = [e.ids for e in self.tok.encode_batch_fast([u.decode() for u in units[i:i + 2048]], add_special_tokens=False)]
+            self.ends.extend(accumulate(map(len, ids[1:]), initial=len(self.flat) + len(ids[0])))
+            self.flat.extend(chain.from_iterable(ids))
         stops = len(self.raw) + np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
         self.raw += b"".join(units)
         self.raw_ends.frombytes(stops.tobytes())
