@@ -116,19 +116,38 @@ def _packed(flags: np.ndarray) -> bytes:
     return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
 
 
-def dedup(docs: DataFrame, window: int = 20, extra: int = 8, block_bytes: int = 4 << 20, segment_windows: int = 2_000_000) -> DataFrame:
+def copies_of(info: DataFrame, texts: int, hot_share: int) -> DataFrame:
+    """Places (``to``, ``idx``) of all documents but the first of each group of copies.
+
+    Groups of more than one in ``hot_share`` of all ``texts`` documents number fewer than ``hot_share``, so their first
+    documents are broadcast; only documents of smaller groups (and single ones) meet their group's first one by a shuffle.
+    """
+    keys, me = ["hi", "lo", "n"], F.struct("doc_id", "to", "idx")
+    groups = info.groupBy(*keys).agg(F.min(me).alias("first"), F.count("*").alias("many")).where("many > 1")
+    groups = staged(groups, "copy-groups")
+    is_hot = F.col("many") * hot_share > texts
+    hot = groups.where(is_hot).select(*keys, F.col("first").alias("hot_first"))
+    rest = groups.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("salt"), "first")
+    told = info.join(F.broadcast(hot), keys, "left")
+    told = told.withColumn("salt", F.when(F.col("hot_first").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("to", "idx").bitwiseOR(F.lit(1))))
+    told = told.join(rest, [*keys, "salt"], "left").withColumn("first", F.coalesce("hot_first", "first"))
+    return told.where(F.col("first").isNotNull() & (me != F.col("first"))).select("to", "idx")
+
+
+def dedup(docs: DataFrame, window: int = 20, extra: int = 8, block_bytes: int = 4 << 20, segment_windows: int = 2_000_000,
+          hot_share: int = 1000) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by single spaces (``kept``, as UTF-8 bytes), a row per document."""
     blocks = blocks_of(docs, block_bytes)
-    total = blocks.select(F.explode("n_words").alias("n")).agg(F.coalesce(F.sum(F.greatest(F.col("n") - (window - 1), F.lit(0))), F.lit(0))).first()[0]
+    n = F.col("n")
+    total, texts = blocks.select(F.explode("n_words").alias("n")).agg(
+        F.coalesce(F.sum(F.greatest(n - (window - 1), F.lit(0))), F.lit(0)), F.count_if(n >= window)).first()
     bits = min(63, max(16, int(total).bit_length() + extra))
     seg_bits = min(bits, max(0, (int(total) // segment_windows).bit_length()))
 
     # copies of whole documents
     info = blocks.select("to", F.posexplode(F.arrays_zip("doc_ids", "n_words", "hi", "lo")).alias("idx", "d"))
     info = info.select("to", "idx", F.coalesce("d.doc_ids", F.lit(NULL_ID)).alias("doc_id"), F.col("d.n_words").alias("n"), "d.hi", "d.lo").where(F.col("n") >= window)
-    first = info.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "to", "idx")).alias("first"), F.count("*").alias("many")).where("many > 1").select("hi", "lo", "n", "first")
-    copies = info.join(first, ["hi", "lo", "n"]).where(F.struct("doc_id", "to", "idx") != F.col("first"))
-    copies = staged(copies.groupBy("to").agg(F.collect_list("idx").alias("copies")), "copies")
+    copies = staged(copies_of(info, texts, hot_share).groupBy("to").agg(F.collect_list("idx").alias("copies")), "copies")
 
     def sketch(batches):
         for b in batches:

@@ -146,6 +146,25 @@ def test_substring_edge_cases(spark, edge_docs, no_docs):
     assert _substring_got(substring.dedup(df, window=5, block_bytes=40)) == _substring_brute(rows, 5)
 
 
+def test_substring_hot_copies(spark):
+    """A third of all documents are copies of one text, others of smaller groups; both ways of meeting the first one."""
+    def text(k):
+        return " ".join(f"w{(k * 31 + i * i) % 997}" for i in range(30))
+
+    rows = [(i, text(0) if i % 3 == 0 else text(i % 40 + 1) if i % 3 == 1 else text(100 + i)) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _substring_brute(rows, 20)
+    for share in (1, 4, 1000):                          # none hot, the third alone, all
+        assert _substring_got(substring.dedup(df, window=20, block_bytes=2000, hot_share=share)) == want
+
+
+def test_substring_hot_copies_are_broadcast_within_a_bound(spark):
+    info = spark.createDataFrame([(i % 7, i, i, 30, -1 if i % 3 == 0 else i, -1 if i % 3 == 0 else i) for i in range(90)],
+                                 "to long, idx int, doc_id long, n long, hi long, lo long")
+    got = substring.copies_of(info, 90, 4)
+    assert sorted((r.to, r.idx) for r in got.collect()) == sorted((i % 7, i) for i in range(3, 90, 3))
+
+
 def _words(t):
     table_ = bytes(c if w else 32 for c, w in zip(LOWER.tolist(), ALNUM_WORDS[LOWER].tolist()))
     return (t or "").encode().translate(table_).split()
