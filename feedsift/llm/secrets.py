@@ -60,7 +60,7 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 MAX_WORD = 20
 MOST_WORDS, LEAST_COUNT = 50_000, 5
 _WORD = re.compile(r"(?<![^\W\d_])[^\W\d_]{3,20}(?![^\W\d_])")
-#: A rejected value is searched again for names from here before its end.
+#: A rejected value is searched again for names from here before its end, or from the start of a name that lies across that place.
 NAME = 64
 
 
@@ -114,6 +114,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(got, key=lambda x: (x[0], x[2]))
 
 
+def _name_start(text: str, a: int, z: int) -> int:
+    """Where the search for names goes on in a rejected value: ``NAME`` characters before its end, but not within a name."""
+    at = max(a, z - NAME)
+    while at > a and (text[at - 1] == "_" or text[at - 1].isascii() and text[at - 1].isalnum()):
+        at -= 1
+    return at
+
+
 def in_context(text: str, min_log10: float, cost=guess_cost) -> list[tuple[int, int, float]]:
     """(start, end, cost) of the values in credential context. A value below ``min_log10`` may itself be a name, so the search
     goes on within it; a name at the end of a long one, of up to ``NAME`` characters, is found too."""
@@ -121,7 +129,7 @@ def in_context(text: str, min_log10: float, cost=guess_cost) -> list[tuple[int,
     while m := CONTEXT.search(text, at):
         a, z = m.span(1 if m[1] is not None else 2)
         got.append((a, z, c := cost(text[a:z].rstrip("."))))
-        at = z if c >= min_log10 else max(a, z - NAME)
+        at = z if c >= min_log10 else _name_start(text, a, z)
     return got
 
 

@@ -246,7 +246,7 @@ def test_secret_digests_in_neighbouring_texts(spark):
 def test_secret_contexts_and_learnt_words(spark):
     v = "x9$Kq2!vLm8#"
     yes = [f"AWS_SECRET_ACCESS_KEY={v}", f"DB_PWD={v}", f"DB_PASSPHRASE: {v}", f'"secretAccessKey": "{v}"', f"PGPASSWORD={v}", f"redis://:{v}@host", f"ftp://{'u' * 90}:{v}@host",
-           "password: xK9$q2!", f"token: pwd: {v}", f"key token: {'ab' * 50} secret pwd is {v}"]
+           "password: xK9$q2!", f"token: pwd: {v}", f"key token: {'ab' * 50} secret pwd is {v}", f"token: {'a' * 100}_password = {v}"]
     no = ["password is required", "token: available", "passwords: qz", "Author: Kowalczyk"]
     prose = ["it is required that the page is available"] * 6
     docs = spark.createDataFrame(list(enumerate(yes + no + prose)), "doc_id long, text string")
