@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: State store of streaming/stateful.py (timers and typed state need it).
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
     """A local session with the settings the test and bench harnesses use.
@@ -25,6 +29,7 @@ def local_session(cpus: int | str = 8, app: str = "feedsift", tz: str | None = N
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", tz or os.environ.get("FEEDSIFT_SESSION_TZ", "UTC"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
     )

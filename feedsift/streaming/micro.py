@@ -12,22 +12,20 @@
         lost checkpoint starts a new query, whose batches never touch what an
         earlier query published or marked.
 * R5  — TTL dedup: ``withWatermark`` + ``dropDuplicatesWithinWatermark``.
-* R6  — keyed change detection: ``applyInPandasWithState`` keeps the last
-        rating per key and emits a row only when it changes.
+* R6, R7 — keyed change detection and the newest version over a sliding
+        look-back: ``feedsift.streaming.stateful``.
 * R8/R9 — event-time tumbling windows with a watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from feedsift.operators.common import is_missing_path
 from feedsift.operators.dedup import anti_join_visited
@@ -109,40 +107,6 @@ def dedup_within_ttl(stream: DataFrame, key: str | list[str], ts: str, ttl: str)
     return event_time(stream, ts).withWatermark(ts, ttl).dropDuplicatesWithinWatermark(keys)
 
 
-_CHANGE_SCHEMA = "page_id %s, user_rating INT, previous INT, ts TIMESTAMP_NTZ"
-
-
-def rating_changes(stream: DataFrame, key: str = "page_id", rating: str = "user_rating",
-                   ts: str = "last_edited") -> DataFrame:
-    """Per micro-batch and key, the latest rated version (W1: newest edit time wins) is compared
-    with the stored rating; a row is emitted only when it differs (first sight counts as a change).
-
-    The state per key is one integer and each call keeps only the newest row
-    seen so far while it iterates the key's Arrow chunks, so neither state nor
-    memory grows with the number of events of a hot key.
-    """
-
-    def step(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else None
-        best_ts, best = None, None
-        for pdf in pdfs:
-            pdf = pdf[pdf[rating].notna()]
-            if pdf.empty:
-                continue
-            i = pdf[ts].idxmax()
-            if best_ts is None or pdf.at[i, ts] > best_ts:
-                best_ts, best = pdf.at[i, ts], int(pdf.at[i, rating])
-        if best is None:
-            return
-        state.update((best,))
-        if prev is None or best != prev:
-            yield pd.DataFrame([(k[0], best, prev, best_ts)], columns=["page_id", "user_rating", "previous", "ts"])
-
-    src = stream.select(F.col(key), F.col(rating).cast("int").alias(rating), F.col(ts))
-    return src.groupBy(key).applyInPandasWithState(step, _CHANGE_SCHEMA % stream.schema[key].dataType.simpleString(), "rating INT", "append",
-                                                   GroupStateTimeout.NoTimeout)
-
-
 def windowed_counts(stream: DataFrame, ts: str, window: str, watermark: str, by: list[str] | None = None) -> DataFrame:
     """Event-time tumbling window counts; rows later than the watermark are dropped."""
     g = [F.window(ts, window)] + [F.col(b) for b in (by or [])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from feedsift.streaming import micro
+from feedsift.streaming import micro, stateful
 from tests.conftest import SMALL
 
 
@@ -96,7 +96,7 @@ def test_rating_changes_stream(spark, tmp_path):
             .coalesce(1).write.parquet(str(src / n))
     schema_t = spark.read.parquet(str(src / "b0")).schema
     stream = micro.read_files(spark, f"{src}/*", schema_t, max_files_per_trigger=1)
-    q = (micro.rating_changes(stream).writeStream.format("memory").queryName("rating_changes_t").outputMode("append")
+    q = (stateful.rating_changes(stream).writeStream.format("memory").queryName("rating_changes_t").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = sorted((r.page_id, r.user_rating, r.previous) for r in spark.sql("SELECT * FROM rating_changes_t").collect())
