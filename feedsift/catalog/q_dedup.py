@@ -1,8 +1,10 @@
 """De-duplication, versioning, state and scan queries (J1-J4, J12-J13, W1, W2, U1, U2, A5, A10, A12,
-K10, K11, F13, R3, S2-S8, S14-S20)."""
+K10, K11, F13, R1, R3, R7, S2-S8, S14-S20)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from feedsift.bind import binding
@@ -10,7 +12,9 @@ from feedsift.catalog import register
 from feedsift.catalog.util import RUN_DATE, RUN_TS, SINCE_TS, duck_ts_text, ts, ts_text
 from feedsift.operators import dedup as D
 from feedsift.operators import state as S
+from feedsift.session import ensure_checkpoint_dir
 from feedsift.sources import scans as SC
+from feedsift.streaming import micro, stateful
 
 _TS = duck_ts_text
 
@@ -367,6 +371,29 @@ def subs_by_list(spark, sf):
     return SC.members_per_list(SC.enabled(binding(spark, sf, "subscriptions")))
 
 
+@register("list_members", uses=("subscriptions",), sql="""
+SELECT DISTINCT list_name, member FROM (SELECT member, unnest(list_names) AS list_name FROM subscriptions WHERE enabled)""")
+def list_members(spark, sf):
+    """The members of each list, a row per (list, member)."""
+    return SC.list_members(SC.enabled(binding(spark, sf, "subscriptions")))
+
+
+@register("stream_newest_versions", uses=(), sql="""
+, o AS (SELECT user_id, event_id, event_type, ts, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS tie FROM events WHERE ts IS NOT NULL)
+, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, tie DESC) AS rn FROM o
+        WHERE epoch_ms(ts) >= (SELECT epoch_ms(max(ts)) FROM o) - 2592000000)
+SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM r WHERE rn = 1""")
+def stream_newest_versions(spark, sf):
+    """The events as a stream; each user's newest event of the 30 days before the newest one of all."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/newest-{uuid.uuid4().hex}"
+    events = micro.read_files(spark, f"{sf}/events*.parquet", spark.read.parquet(f"{sf}/events.parquet").schema)
+    changes = stateful.newest_versions(events, "user_id", "ts", ["event_id", "event_type"], "30 days")
+    stateful.write_changes(changes, f"{folder}/rows", f"{folder}/checkpoint")
+    written = SC.read_snapshot(spark, f"{folder}/rows", changes.schema, "parquet").drop("batch")
+    now = stateful.current_versions(written, "user_id")
+    return now.select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
 @register("dedup_within_ttl", uses=("versions",), recursive=True, sql=f"""
 , o AS (SELECT page_id, arrival, last_edited,
                CAST(row_number() OVER (PARTITION BY page_id ORDER BY last_edited, arrival) AS INTEGER) AS i FROM versions)

@@ -16,16 +16,18 @@ from feedsift.operators.embed import hashing_embedding
 from feedsift.session import ensure_checkpoint_dir
 from feedsift.sinks import collections as CO
 from feedsift.sinks import documents as DOC
-from feedsift.sources.scans import sync_rated
+from feedsift.sources.scans import read_snapshot, sync_rated
 
 _TS = duck_ts_text
 
 
-@register("roundtrip_snapshot", uses=("items",), sql="SELECT id, list_name, title FROM items")
+@register("roundtrip_snapshot", uses=("items",), sql="SELECT id, list_name, title, body FROM items")
 def roundtrip_snapshot(spark, sf):
-    """A batch written as JSON documents and read back with its fixed schema is unchanged."""
-    i = binding(spark, sf, "items").select("id", "list_name", "title")
-    return DOC.json_roundtrip(i)
+    """A batch written as JSON files of a run and read back with its fixed schema is unchanged."""
+    i = binding(spark, sf, "items").select("id", "list_name", "title", "body")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    DOC.write_snapshot(i, folder, RUN_DATE)
+    return read_snapshot(spark, f"{folder}/run_id={RUN_DATE}", i.schema)
 
 
 @register("vector_append", uses=("items", "visited"), sql=f"""

@@ -1,8 +1,7 @@
 """Record builders and table sinks.
 
 Builders return DataFrames shaped like the published records; the ``write_*``
-helpers persist them.  Real file writes happen only in ``write_*`` (tests use a
-temporary folder); fixture queries exercise the builders.
+helpers persist them.
 """
 
 from __future__ import annotations
@@ -15,13 +14,6 @@ from feedsift.sinks.named_files import register_named_text
 
 
 # ---------------------------------------------------------------- K1 / S1
-def json_roundtrip(df: DataFrame) -> DataFrame:
-    """K1/S1 in one plan: each row serialised as the stored JSON document and parsed back with the schema."""
-    schema = df.schema
-    docs = df.select(F.to_json(F.struct(*df.columns)).alias("doc"))
-    return docs.select(F.from_json("doc", schema).alias("r")).select("r.*")
-
-
 def write_snapshot(df: DataFrame, folder: str, run_id: str) -> None:
     """K1: overwrite the run's snapshot (one JSON folder per run id)."""
     df.write.mode("overwrite").json(f"{folder}/run_id={run_id}")

@@ -113,6 +113,11 @@ def read_texts(spark: SparkSession, expected: DataFrame, folder: str, name_col:
     return j.select(*[expected[c] for c in expected.columns], F.coalesce(F.col("_text"), F.lit("")).alias("text"))
 
 
+def list_members(subscriptions: DataFrame, lists: str = "list_names", member: str = "member") -> DataFrame:
+    """The members of each list, a row per (list, member)."""
+    return subscriptions.select(F.explode(lists).alias("list_name"), member).distinct()
+
+
 def members_per_list(subscriptions: DataFrame, lists: str = "list_names", member: str = "member") -> DataFrame:
     """Members per list as rows keyed by list (explode), with the distinct member count per list."""
     s = subscriptions.select(member, F.explode(lists).alias("list_name"))

@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from feedsift.session import ROCKSDB
 from feedsift.streaming.micro import event_time
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 def _newest_per_key(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Of each Arrow batch the last row per key by (``_us``, ``_tie``)."""
 
@@ -135,6 +138,20 @@ def newest_versions(stream: DataFrame, key: str, ts: str, columns: list[str], lo
     return rows.groupBy(key).transformWithState(NewestVersion(key, kept, state), out, "update", "EventTime")
 
 
+def write_changes(changes: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain what is available into ``path``; a replayed micro-batch overwrites its own folder. The stateful query starts
+    with the RocksDB state store, whatever the session names for others."""
+    spark = changes.sparkSession
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        q = (changes.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+             .foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}")).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 def current_versions(changes: DataFrame, key: str) -> DataFrame:
     """The newest version of each key that has not expired, from the rows of ``newest_versions``."""
     cols = [c for c in changes.columns if c not in (key, "_us", "expired")]
