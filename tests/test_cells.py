@@ -75,6 +75,20 @@ def test_a_cell_with_a_third_of_the_rows_is_dealt_to_many_tasks(spark):
     assert got == _brute(x, x, 3, "L2")
 
 
+def test_scattered_vectors_are_copied_for_blocks_not_for_cells(spark):
+    """Where the bounds leave all cells open, a query meets about one copy for each block of rated vectors."""
+    x = np.random.default_rng(7).normal(size=(1200, 24))
+    r = _frame(spark, x, "item_id").select("item_id", F.col("embedding").alias("rv"))
+    q = _frame(spark, x[::6], "query_id").select("query_id", F.col("embedding").alias("qv"))
+    c, _ = cells.build(r, "IP", block=400)
+    visits = cells.further_visits(q.withColumn("kth", F.lit(None).cast("double")), c, 4)
+    assert len(c.pivots) == 35 and visits.count() <= 6 * q.count()
+    few = Settings(knn_broadcast_queries=0, knn_block_rows=400)
+    for metric in knn.METRICS:
+        got = _got(knn.knn_join(_frame(spark, x, "query_id"), _frame(spark, x, "item_id"), 4, metric, settings=few))
+        assert got == _brute(x, x, 4, metric)
+
+
 def test_undefined_vectors_and_small_collections(spark):
     few = Settings(knn_broadcast_queries=0)
     x = [[0.0, 0.0], [1.0, 0.0], [0.0, 0.0], [0.0, 2.0], None]
