@@ -569,3 +569,51 @@ def test_building_queries_runs_no_job(spark):
         stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
         assert all(s is None or s.numTasks <= 1 for s in stages), (name, len(jobs))
     sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_day_is_read_line_by_line(spark):
+    """The model sees a day's lines in order without a string of the day; one that wants whole texts gets them."""
+    import datetime as dt
+    import hashlib
+
+    from feedsift.operators import enrich as EN
+    from feedsift.sinks import records as R
+
+    at = lambda d, m: dt.datetime(2024, 1, d, 0, m)
+    notes = [(3, "c", "third", at(1, 9)), (1, "a", "first.", at(1, 1)), (2, "b", None, at(1, 1)), (4, "d", "alone", at(2, 0)), (5, "e", "lost", None)]
+    df = spark.createDataFrame(notes, "id int, title string, content string, created_time timestamp_ntz").repartition(4)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    text = {1: "a first.\nb \nc third\n", 2: "d alone\n"}
+
+    out = R.journal_refined(df, EN.DigestModel("S:"))
+    assert "listagg" not in out._jdf.queryExecution().toString()
+    assert {r.day.day: (r.n_notes, r.refined.rewrite) for r in out.collect()} == {d: (n, "S:" + md5("rewrite|" + text[d])) for d, n in ((1, 3), (2, 1))}
+    assert {r.refined.title for r in out.collect()} == {"S:" + md5("title|S:" + md5("rewrite|" + t)) for t in text.values()}
+
+    class Whole:
+        name = "whole"
+
+        def generate(self, texts):
+            if any("alone" in t for t in texts):
+                raise RuntimeError("no")
+            return [t.upper() for t in texts]
+
+    lines = R._day_lines(df, None)
+    got = EN.read_lines(lines, "day", R.LINE_ORDER, "line", Whole(), before="> ", tries=1, wait=0)
+    assert {r.day.day: r.answer for r in got.collect()} == {1: "> " + text[1].upper(), 2: None}
+
+    days = {r.day.day: (r.n_notes, r.n_chars, r.text_md5) for r in R.journal_days(df, "2024-01-01", "2024-01-03").collect()}
+    assert days == {1: (3, len(text[1]), md5(text[1])), 2: (1, len(text[2]), md5(text[2])), 3: (0, 0, md5(""))}
+
+
+def test_batches_of_long_texts_are_short(spark):
+    """A Python worker never gets 10,000 long texts at a time."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    texts = spark.range(0, 12_000, 1, 1).select(F.repeat(F.lit("word "), 600).alias("t"))
+    assert texts.mapInArrow(rows, "n long").agg(F.max("n")).first()[0] < 17 << 20
