@@ -119,3 +119,16 @@ def test_collections_are_appended_once_and_dropped_by_folder(spark, tmp_path):
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*as_of", plan)
     assert left.count() == 2
+
+
+def test_bm25_shuffles_texts_by_document_and_the_best_only(spark, tmp_path):
+    """No postings and no scores are dealt anew: one document's rows in two places count as one."""
+    docs = [(1, "a b"), (2, "b c c"), (1, "c"), (None, "c c"), (3, None)]
+    index = bm25.build(spark.createDataFrame(docs, "doc_id int, text string").repartition(3))
+    assert index.docs == 4 and abs(index.mean_tokens - 2.0) < 1e-12
+    assert {(r.token, r.doc_id, r.tf, r.n_tokens) for r in index.postings.collect()} == {("a", 1, 1, 3), ("b", 1, 1, 3), ("c", 1, 1, 3), ("b", 2, 1, 3), ("c", 2, 2, 3)}
+    spark.createDataFrame([(7, "c c b")], "item_id int, text string").write.parquet(str(tmp_path / "asked"))
+    found = bm25.search(spark.read.parquet(str(tmp_path / "asked")), index, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "query_id" in x and "doc_id" in x]
+    assert [(r.query_id, r.doc_id, r.rnk) for r in found.collect()] == [(7, 2, 1)]
