@@ -103,6 +103,14 @@ def test_undefined_vectors_and_small_collections(spark):
         assert knn.knn_join(_frame(spark, q, "query_id").limit(0), _frame(spark, x, "item_id"), 3, metric, settings=few).count() == 0
 
 
+def test_rated_rows_without_an_id_are_ranked_too(spark):
+    r = spark.createDataFrame([("b", [1.0, 0.0]), (None, [1.0, 0.0]), ("a", [0.0, 1.0])], "item_id string, embedding array<double>").coalesce(1)
+    q = _frame(spark, [[1.0, 0.0]], "query_id")
+    for few in (Settings(), Settings(knn_broadcast_queries=0)):
+        got = knn.knn_join(q, r, 2, "IP", settings=few).orderBy("rnk").collect()
+        assert [(x.item_id, x.distance) for x in got] == [(None, 1.0), ("b", 1.0)]
+
+
 def test_pivots_are_distinct_and_bounds_hold():
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(30, 4)), 3, 0)
