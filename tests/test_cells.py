@@ -137,3 +137,13 @@ def test_embedding_counts_every_token(spark):
     rows = df.select("i", embed.bucket_counts("t", 16).alias("n"), embed.hashing_embedding("t", 16).alias("e")).orderBy("i").collect()
     assert [sum(r.n) for r in rows] == [9, 0, 0, 0, 5000]
     assert all(len(r.e) == 16 and abs(sum(x * x for x in r.e) - (1 if sum(r.n) else 0)) < 1e-12 for r in rows)
+
+
+def test_the_memo_of_tokens_is_bounded_in_tokens_and_characters():
+    from feedsift.operators import embed
+
+    embed._MEMO.pop(24, None)
+    n = embed.count_tokens([" ".join(f"t{i}" for i in range(150_000)), "x" * 1_000_000, "t1 t1"], 24)
+    memo = embed._MEMO.pop(24)
+    assert n.sum(1).tolist() == [150_000, 1, 2] and (n[2] > 0).sum() == 1
+    assert len(memo) <= 100_000 and max(map(len, memo)) <= 64
