@@ -25,6 +25,26 @@ def test_curate_published_subset_and_funnel(spark):
     assert bad == 0
 
 
+def test_scores_are_searched_once_for_all_branches_of_a_job(spark):
+    """The published rows and the stage table read stored scores; no branch embeds texts or searches again."""
+    from feedsift.operators import enrich as EN
+    from feedsift.plans import jobs as J
+
+    def table(name):
+        return spark.createDataFrame([(i, f"l{i % 2}", f"title {i}", f"body {i} word{i % 5}") for i in range(12)], f"{name} long, list_name string, title string, body string")
+
+    items = table("id")
+    visited = table("item_id").where("item_id % 4 = 0").select("item_id", "list_name")
+    vectors = J.rated_vectors_of(table("id").where("id < 6").select("id", "body"), F.col("body"))
+    meta = table("item_id").where("item_id < 6").select("item_id", F.lit(5).alias("user_rating"))
+    posts = table("id").select("list_name", "id", F.lit("n").alias("name"), F.col("body").alias("text"), F.lit(None).cast("long").alias("reply_to"))
+    for out in (J.curate(items, visited, vectors, meta), J.short_posts(posts, visited, vectors, meta, model=EN.RankModel())):
+        for df in (out.stages, out.published, out.funnel):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert not any(step in plan for step in ("MapInPandas", "FlatMapCoGroups", "embed("))
+        assert out.stages.where("NOT is_visited AND _scored").count() == 9
+
+
 def test_feed_publishes_at_most_one(spark):
     assert QUERIES["curate_feed"](spark, SMALL).count() <= 1
 
