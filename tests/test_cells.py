@@ -111,6 +111,18 @@ def test_rated_rows_without_an_id_are_ranked_too(spark):
         assert [(x.item_id, x.distance) for x in got] == [(None, 1.0), ("b", 1.0)]
 
 
+@pytest.mark.parametrize("metric", ["L2_SQUARED", "IP"])
+def test_zones_that_no_query_visits_give_no_rows_for_text_ids(spark, metric):
+    """An empty answer of a zone has the columns' own kinds, whatever kind the ids are."""
+    few = Settings(knn_broadcast_queries=0, knn_block_rows=20)
+    x = _clustered(8, 10, 20, 4, 0.01)
+    q = x[:3]
+    named = _frame(spark, q, "query_id").withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    items = _frame(spark, x, "item_id").withColumn("item_id", F.format_string("%04d", "item_id"))
+    got = _got(knn.knn_join(named, items, 4, metric, settings=few))
+    assert {int(i[1:]): [int(r) for r in v] for i, v in got.items()} == _brute(q, x, 4, metric)
+
+
 def test_pivots_are_distinct_and_bounds_hold():
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(30, 4)), 3, 0)
