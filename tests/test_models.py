@@ -54,6 +54,55 @@ def test_classifier_is_bounded_by_its_sample_and_empty_without_labels(spark):
     assert {(r.rate, len(r.topics)) for r in out.collect()} == {(-0.01, 0)}
 
 
+def test_classifier_counts_all_labelled_texts(spark):
+    df = spark.range(10_050).select("id", F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") < 67, "a").otherwise("b").alias("lang"))
+    models = classify.fit(df, "id", "text", ["lang"])
+    m = models["lang"]
+    assert len(m.rows) == 10_050 and np.allclose(m.prior, np.log([67 / 10_050, 9_983 / 10_050])) and np.allclose(m.total, np.log([10_117, 20_033])) and models.rest is None
+
+
+def test_rare_tokens_met_by_a_join_answer_as_those_in_memory(spark, monkeypatch):
+    rows = [(i, f"common{i % 3} common{i % 2} rare{i} rare{i % 7} {'x' * 70}{i % 5}", f"t{i % 3}", "toxic" if i % 4 else "clean", str(i % 2)) for i in range(40)] + [(40, "", "t0", "clean", "1")]
+    df = spark.createDataFrame(rows, "id long, text string, topic string, category string, quality string")
+    labels = ["topic", "category", "quality"]
+    with monkeypatch.context() as m:
+        m.setattr(classify, "_HELD_CHARS", 100)
+        whole = classify.RankClassifier(classify.fit(df, "id", "text", labels))
+    parts, none = (classify.RankClassifier(classify.fit(df, "id", "text", labels, held=n)) for n in (4, 0))
+    assert whole.rest is None and 0 < len(parts.models["topic"].rows) <= 4 and not none.models["topic"].rows
+    assert all(len(t) <= classify._HELD_CHARS for t in parts.models["topic"].rows)
+    texts = [r[1] for r in rows] + ["common1 unknown rare3 rare3 rare3", "nothing known", "common0 common1", "", None] * 3
+    asked = spark.createDataFrame([(i, t, [None, -1.0, 2.0, 5.0][i % 4]) for i, t in enumerate(texts)] + [(None, "rare5", None), (3, "rare5", None)], "id long, body string, score double")
+    asked = asked.withColumn("known", EN.text_key(F.col("body"))).repartition(3)
+
+    def answers(model, **kw):
+        out = EN.classify_rank(asked, "id", "score", F.col("body"), model, **kw)
+        assert out.columns[:4] == ["id", "body", "score", "known"]
+        return sorted(repr((r.id, r.body, r.topics, r.categories, r.rate, r.feedback, r.ranked)) for r in out.collect())
+
+    want = answers(whole)
+    assert len(want) == len(texts) + 2
+    for model in (parts, none):
+        assert answers(model) == answers(model, model_key="known", texts=asked.repartition(2)) == want
+        with pytest.raises(ValueError):
+            model.generate(["x"])
+    cache = spark.createDataFrame([(0, "kept")], "item_id long, value string")
+    got = [{(r.id, r.body, r.a, r.from_cache) for r in EN.read_through(asked, "id", F.col("body"), cache, m, "a")[0].collect()} for m in (whole, parts)]
+    assert got[0] == got[1] and (0, texts[0], "kept", True) in got[0]
+
+
+def test_rank_answers_that_nobody_reads_are_not_made(spark):
+    from feedsift.plans import jobs as J
+
+    items = spark.createDataFrame([(i, "l", f"title {i}", f"body {i} word{i % 5}") for i in range(12)], "id long, list_name string, title string, body string")
+    trained = items.select("id", "body", *[(F.col("id") % 2).cast("string").alias(c) for c in ("topic", "category", "quality")])
+    model = classify.RankClassifier(classify.fit(trained, "id", "body", ["topic", "category", "quality"], held=2))
+    vectors = J.rated_vectors_of(items, F.col("body"))
+    out = J.curate(items, items.limit(0).select(F.col("id").alias("item_id"), "list_name"), vectors, items.select(F.col("id").alias("item_id"), F.lit(5).alias("user_rating")), model=model)
+    assert "MapInArrow" in out.published._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in out.funnel._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_centrality_matches_a_dense_matrix(seed):
     rng = np.random.default_rng(seed)
