@@ -159,3 +159,65 @@ def test_the_memo_of_tokens_is_bounded_in_tokens_and_characters():
     memo = embed._MEMO.pop(24)
     assert n.sum(1).tolist() == [150_000, 1, 2] and (n[2] > 0).sum() == 1
     assert len(memo) <= 100_000 and max(map(len, memo)) <= 64
+
+
+@pytest.mark.parametrize("metric", ["L2", "L2_SQUARED", "IP", "COSINE"])
+def test_scattered_vectors_are_compared_run_by_run_without_copies(spark, metric, monkeypatch):
+    """Every query has to look at nearly every zone: nothing is shuffled by zone, and the answer is that of brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 12))
+    x[300:] = x[rng.integers(0, 40, 100)]                    # many equal vectors
+    q = np.concatenate([x[::3], rng.normal(size=(150, 12))])
+    runs, scan = [], cells.scan
+    monkeypatch.setattr(cells, "scan", lambda *a, **kw: runs.append(kw["rows"]) or scan(*a, **kw))
+    few = Settings(knn_broadcast_queries=0, knn_block_rows=20)
+    joined = knn.knn_join(_frame(spark, q, "query_id"), _frame(spark, x, "item_id"), 3, metric, settings=few)
+    assert runs == [100] and "FlatMapCoGroupsInPandas" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert _got(joined) == _brute(q, x, 3, metric)
+
+
+def test_a_scan_by_runs_takes_odd_rows_and_text_ids(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    x[7, 2], x[150] = np.nan, 1e20
+    q = np.concatenate([x[:60], rng.normal(size=(80, 8))])
+    rated = spark.createDataFrame([(None if i == 20 else f"i{i:04d}", [float(a) for a in v]) for i, v in enumerate(x)], "item_id string, embedding array<double>").repartition(3)
+    few = Settings(knn_broadcast_queries=0, knn_block_rows=10)
+
+    def pairs(df):
+        return sorted((r.query_id, r.rnk, r.item_id or "", r.distance) for r in df.collect())
+
+    monkeypatch.setattr(cells, "_COPIES", 0)
+    got = pairs(knn.knn_join(_frame(spark, q, "query_id"), rated, 3, "L2_SQUARED", settings=few))
+    monkeypatch.setattr(cells, "_COPIES", float("inf"))
+    assert got == pairs(knn.knn_join(_frame(spark, q, "query_id"), rated, 3, "L2_SQUARED", settings=few)) and len(got) == 3 * len(q)
+
+
+@pytest.mark.parametrize("metric", ["L2", "L2_SQUARED", "IP", "COSINE"])
+def test_single_precision_only_narrows_the_choice(metric):
+    """Vectors far from the origin and near to each other, and many at the same distance."""
+    from feedsift.operators.nearest import Block
+
+    rng = np.random.default_rng(7)
+    for v, q in ((100 + rng.normal(size=(3000, 6)) * 1e-3, 100 + rng.normal(size=(40, 6)) * 1e-3), (rng.integers(0, 2, (3000, 5)) + 1.0, rng.integers(0, 2, (40, 5)) + 1.0)):
+        want = _brute(q, v, 4, metric)
+        kth = np.full(len(q), np.inf)
+        for limit in (None, kth):
+            got = {}
+            for row, col, _ in Block(v, metric).nearest(q, 4, limit):
+                for i, j in zip(row.tolist(), col.tolist()):
+                    got.setdefault(i, []).append(j)
+            assert got == want
+
+
+def test_rated_vectors_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i):
+        made.add(1)
+        return [float(i % 17), float(i % 5), 1.0]
+
+    rated = spark.range(300).select(F.col("id").alias("item_id"), vector("id").alias("embedding"))
+    knn.knn_join(_frame(spark, np.random.default_rng(8).normal(size=(50, 3)), "query_id"), rated, 2, "L2", settings=Settings(knn_broadcast_queries=0, knn_block_rows=50)).collect()
+    assert made.value == 300
