@@ -45,6 +45,31 @@ def test_scores_are_searched_once_for_all_branches_of_a_job(spark):
         assert out.stages.where("NOT is_visited AND _scored").count() == 9
 
 
+def test_curating_joins_keys_and_vectors_but_no_bodies(spark, monkeypatch):
+    """With a classifier that has a table, no join of the job gives out a body: not for the search, and not for what is published."""
+    from feedsift.operators import classify
+    from feedsift.plans import jobs as J
+
+    items = spark.createDataFrame([(i, f"l{i % 2}", f"title {i}", f"body {i} word{i % 5}") for i in range(12)], "id long, list_name string, title string, body string")
+    labels = ["topic", "category", "quality"]
+    trained = items.select("id", "body", *[(F.col("id") % 2).cast("string").alias(c) for c in labels])
+    visited = items.where("id % 4 = 0").select(F.col("id").alias("item_id"), "list_name")
+    meta = items.select(F.col("id").alias("item_id"), F.lit(5).alias("user_rating"))
+    model = classify.RankClassifier(classify.fit(trained, "id", "body", labels, held=2))
+    asked, score = [], J.knn.relevance_score
+    monkeypatch.setattr(J.knn, "relevance_score", lambda q, *a, **kw: asked.append(q) or score(q, *a, **kw))
+    out = J.curate(items, visited, J.rated_vectors_of(items, F.col("body")), meta, model=model)
+
+    def joins(plan):
+        below, found = plan.children(), [plan.output().mkString(" ")] if plan.nodeName() == "Join" else []
+        return found + [x for i in range(below.size()) for x in joins(below.apply(i))]
+
+    for df in (*asked, out.published, out.stages):
+        found = joins(df._jdf.queryExecution().optimizedPlan())
+        assert found and not any("body#" in x for x in found)
+    assert out.published.count() == 9 and {r.ranked for r in out.published.collect()} == {True}
+
+
 def test_feed_publishes_at_most_one(spark):
     assert QUERIES["curate_feed"](spark, SMALL).count() <= 1
 
